@@ -3,6 +3,10 @@
 Folding maps homoglyphs and digit substitutions to plain letters. Matches must
 stand as whole words and outside exception phrases; their weights are
 normalised by the length of the text.
+
+The lexicon is learned from labelled texts. A word's support is counted in
+clusters of texts that share their least shingle hash: near copies count about
+once, so the words of a large group of copies don't enter by its size.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,15 +27,14 @@ from .common import held_out, learned_from, materialize, small_batches, table, t
 THRESHOLD = 0.7
 #: Bound of the labelled rows that the model is fitted on: those of the least hashes of doc_id.
 TRAIN_ROWS = 12_000
-#: A candidate entry stands in so many toxic texts at least, and so has each
-#: entry taken to the lexicon, counting texts that no earlier entry explains.
-SUPPORT, SUPPORT_SHARE = 4, 0.005
-#: Log odds of an entry in toxic over other texts.
+#: A word of the lexicon stands in so many clusters of toxic texts at least.
+SUPPORT, SUPPORT_SHARE = 3, 0.003
+#: Log odds of a word in toxic over other texts.
 LEAST_WEIGHT = 2.5
-#: Bounds of the candidates and of the lexicon.
-CANDIDATES, LEXICON_ROWS = 20_000, 2_000
-#: Lengths of the word beginnings that may become stems.
-STEMS = range(4, 9)
+#: Bound of the lexicon: the words of most support times weight.
+LEXICON_ROWS = 20_000
+#: Words in a shingle of the clusters.
+SHINGLE = 5
 
 #: Look-alike letters and digits, and what they stand for.
 HOMOGLYPHS = {
@@ -75,45 +79,38 @@ def _fold_chunk(chunk: str) -> str:
 class Model:
     weights: dict[str, float]
     bias: float = -6.0
-    slope: np.ndarray = field(default_factory=lambda: np.array([6.0, 1.0]))
+    slope: np.ndarray = field(default_factory=lambda: np.array([3.0, 1.0]))
     exceptions: tuple[str, ...] = EXCEPTIONS
 
     def automaton(self) -> ahocorasick.Automaton:
-        """Values: length, weight of the whole word, weight of the stem; an exception has none."""
-        values = {fold(e): [len(fold(e)), 0.0, 0.0] for e in self.exceptions}
-        for entry, x in self.weights.items():
-            w = entry.removesuffix("*")
-            values.setdefault(w, [len(w), 0.0, 0.0])[1 + entry.endswith("*")] = x
+        """Values: length and weight; an exception has weight 0."""
         a = ahocorasick.Automaton()
-        for w, v in values.items():
-            a.add_word(w, tuple(v))
+        for w, x in (self.weights | dict.fromkeys(map(fold, self.exceptions), 0.0)).items():
+            a.add_word(w, (len(w), x))
         a.make_automaton()
         return a
 
 
 def matches(automaton: ahocorasick.Automaton, text: str) -> tuple[float, int]:
-    """Summed weight and number of the words of folded text that match outside exceptions; a word counts by its heaviest entry."""
-    found: dict[int, tuple[int, float]] = {}
-    free = []
+    """Summed weight and number of the whole words of folded text that match outside exceptions."""
+    hits, free = [], []
     n = len(text)
-    for end, (size, word, stem) in automaton.iter(text):
+    for end, (size, weight) in automaton.iter(text):
         start = end - size + 1
-        if start and text[start - 1].isalnum():
+        if (start and text[start - 1].isalnum()) or (end + 1 < n and text[end + 1].isalnum()):
             continue
-        whole = end + 1 == n or not text[end + 1].isalnum()
-        weight = max(word if whole else 0.0, stem)
-        if not word and not stem:
-            if whole:
-                free.append((start, end))
-        elif weight > found.get(start, (0, 0.0))[1]:
-            found[start] = (end, weight)
-    hits = [w for a, (b, w) in found.items() if not any(x <= a and b <= y for x, y in free)]
-    return math.fsum(hits), len(hits)
+        if weight:
+            hits.append((start, end, weight))
+        else:
+            free.append((start, end))
+    if free:
+        hits = [h for h in hits if not any(x <= h[0] and h[1] <= y for x, y in free)]
+    return math.fsum(h[2] for h in hits), len(hits)
 
 
 def measures(weight: float, words: int) -> tuple[float, float]:
-    """Whether anything matched, and the log of the weight per hundred words."""
-    return float(weight > 0), math.log1p(100 * weight / max(words, 20))
+    """Logs of the weight per hundred words and of the whole weight."""
+    return math.log1p(100 * weight / max(words, 20)), math.log1p(weight)
 
 
 def text_score(model: Model, weight: float, words: int) -> float:
@@ -121,70 +118,42 @@ def text_score(model: Model, weight: float, words: int) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def entries_of(text: str) -> set[str]:
-    """Words of a text, and their beginnings marked by *."""
-    own = set(_WORD.findall(fold(text)))
-    return own | {f"{w[:k]}*" for w in own for k in STEMS if len(w) > k}
+def words_of(text: str) -> set[str]:
+    return set(_WORD.findall(fold(text)))
+
+
+def cluster_of(text: str) -> int:
+    """Least hash of the text's shingles, signed; texts of fewer words are one shingle."""
+    words = text.lower().split()
+    k = min(SHINGLE, len(words))
+    if not k:
+        return 0
+    return min(xxhash.xxh64_intdigest(" ".join(words[i : i + k])) for i in range(len(words) - k + 1)) - (1 << 63)
 
 
 def _entries(batches):
     for b in batches:
-        entries, toxic = [], []
+        words, toxic, cluster = [], [], []
         for x, y in zip(texts_of(b, 1), b.column(0).to_pylist(), strict=True):
-            own = entries_of(x.decode("utf-8", "replace"))
-            entries += own
+            text = x.decode("utf-8", "replace")
+            own = words_of(text)
+            words += own
             toxic += [y] * len(own)
-        yield pa.RecordBatch.from_arrays([pa.array(entries, pa.string()), pa.array(toxic, pa.int32())], names=["entry", "toxic"])
-
-
-def _held(candidates: frozenset[str]):
-    def run(batches):
-        for b in batches:
-            own = [sorted(entries_of(x.decode("utf-8", "replace")) & candidates) for x in texts_of(b, 0)]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.string()))], names=["held"])
-
-    return run
-
-
-def cover(held: list[list[str]], weights: dict[str, float], least: float) -> dict[str, float]:
-    """Entries that explain the toxic texts, by greedy cover.
-
-    A group of copies brings hundreds of words of its own; once one entry
-    explains it, the others gain nothing.
-    """
-    where: dict[str, set[int]] = {}
-    for i, own in enumerate(held):
-        for e in own:
-            where.setdefault(e, set()).add(i)
-    out: dict[str, float] = {}
-    while where and len(out) < LEXICON_ROWS:
-        best = max(where, key=lambda e: (len(where[e]) * weights[e], e.endswith("*"), -len(e), e))
-        if len(where[best]) < least:
-            break
-        out[best] = weights[best]
-        done = where.pop(best)
-        for e in [e for e, own in where.items() if own & done]:
-            where[e] -= done
-            if len(where[e]) < least:
-                del where[e]
-    return out
+            cluster += [cluster_of(text)] * len(own)
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic, pa.int32()), pa.array(cluster, pa.int64())], names=["word", "toxic", "cluster"])
 
 
 def lexicon(labelled: DataFrame) -> dict[str, float]:
-    """Weighted entries from (toxic int, text) rows, which the caller has bounded."""
+    """Weighted words from (toxic int, text) rows, which the caller has bounded."""
     small_batches(labelled.sparkSession)
     texts = labelled.select(F.col("toxic").cast("int"), F.col("text").cast("binary").alias("_qm_b")).distinct()
-    n = {r[0]: r[1] for r in texts.groupBy("toxic").count().collect()}
+    held = materialize(texts.mapInArrow(_entries, "word string, toxic int, cluster long").distinct(), "words")
+    n = {r[0]: r[1] for r in held.select("toxic", "cluster").distinct().groupBy("toxic").count().collect()}
     bad, good = n.get(1, 0), n.get(0, 0)
-    if not bad:
-        return {}
-    df = texts.mapInArrow(_entries, "entry string, toxic int").groupBy("entry").agg(F.sum("toxic").alias("bad"), F.count("*").alias("all"))
+    df = held.groupBy("word").agg(F.sum("toxic").alias("bad"), F.count("*").alias("all"))
     weight = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("all") - F.col("bad") + 0.5) / (good + 1))
-    least = max(SUPPORT, SUPPORT_SHARE * bad)
-    kept = df.where(F.col("bad") >= least).withColumn("w", weight).where(F.col("w") >= LEAST_WEIGHT)
-    weights = {r["entry"]: r["w"] for r in kept.orderBy(F.desc(F.col("w") * F.col("bad")), "entry").limit(CANDIDATES).collect()}
-    held = texts.where("toxic = 1").select("_qm_b").mapInArrow(_held(frozenset(weights)), "held array<string>")
-    return cover([r[0] for r in held.collect()], weights, least)
+    kept = df.where(F.col("bad") >= max(SUPPORT, SUPPORT_SHARE * bad)).withColumn("w", weight).where(F.col("w") >= LEAST_WEIGHT)
+    return {r["word"]: r["w"] for r in kept.orderBy(F.desc(F.col("w") * F.col("bad")), "word").limit(LEXICON_ROWS).collect()}
 
 
 def _match(model: Model):
@@ -243,6 +212,7 @@ def op7_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"))
     s = matched(docs, model)
-    z = F.lit(model.bias) + F.when(F.col("weight") > 0, model.slope[0]).otherwise(0.0) + F.lit(float(model.slope[1])) * F.log1p(100 * F.col("weight") / F.greatest("n_words", F.lit(20)))
+    rate, whole = F.log1p(100 * F.col("weight") / F.greatest("n_words", F.lit(20))), F.log1p("weight")
+    z = F.lit(model.bias) + F.lit(float(model.slope[0])) * rate + F.lit(float(model.slope[1])) * whole
     score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
     return s.select("doc_id", held_out(3, 1).alias("held_out"), score.alias("score"), "n_matches").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
