@@ -85,7 +85,7 @@ def _ln_factorial(n: str) -> str:
 
 
 def _ln_choose(n: str, k: str) -> str:
-    return f"({_ln_factorial(n)} - {_ln_factorial(k)} - {_ln_factorial(f'{n} - {k}')})"
+    return f"({_ln_factorial(n)} - {_ln_factorial(k)} - {_ln_factorial(f'({n}) - ({k})')})"
 
 
 def hypergeometric(population: str, good: str, draws: str, u: str) -> str:
