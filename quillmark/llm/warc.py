@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialize, remove_path, scratch_path, small_batches, table
+from .common import BROADCAST_ROWS, bounded_broadcast, materialize, remove_path, scratch_path, small_batches, table
 
 VERSION = "WARC/1.1"
 MAGIC = f"{VERSION}\r\n"
@@ -122,10 +122,11 @@ def _digest(x: bytes | None) -> str | None:
 _PIECE = pa.schema(
     [
         ("file", pa.string()), ("split", pa.int64()), ("at", pa.int64()), ("size", pa.int64()), ("total", pa.int64()), ("record_type", pa.string()),
-        ("page_id", pa.int64()), ("refers_to", pa.int64()), ("named_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("raw", pa.binary()),
+        ("page_id", pa.int64()), ("refers_to", pa.int64()), ("named_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
     ]
 )
-_PIECE_DDL = "file string, split long, at long, size long, total long, record_type string, page_id long, refers_to long, named_digest string, payload_bytes long, payload_digest string, raw binary"
+_PIECE_DDL = "file string, split long, at long, size long, total long, record_type string, page_id long, refers_to long, named_digest string, payload_bytes long, payload_digest string"
+_RAW = pa.schema([("file", pa.string()), ("split", pa.int64()), ("at", pa.int64()), ("raw", pa.binary())])
 
 
 def _described(found: dict) -> dict:
@@ -141,42 +142,57 @@ def _digested(block: bytes) -> dict:
     return {"payload_bytes": len(payload), "payload_digest": hashlib.sha256(payload).hexdigest()}
 
 
-def _pieces(batches):
-    """Candidates in the order of the split; ``at`` counts from the split's first piece. Only odd pieces keep their bytes."""
+def _numbered(batches):
+    """Batches of (file, split, at, piece), ``at`` counting bytes from the split's first piece."""
     now, at = None, 0
     for b in batches:
-        rows = []
+        out = []
         for file, split, piece in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if (file, split) != now:
                 now, at = (file, split), 0
+            out.append((file, split, at, piece))
+            at += len(piece) + len(MAGIC)
+        yield out
+
+
+def _pieces(batches):
+    """Candidates in the order of the split; a piece that is just one whole record has its payload's digest."""
+    for numbered in _numbered(batches):
+        rows = []
+        for file, split, at, piece in numbered:
             row = dict.fromkeys(_PIECE.names) | {"file": file, "split": split, "at": at, "size": len(piece) + len(MAGIC)}
             found = _parse(piece)
             if found:
                 total = len(MAGIC) + found["body"] + found["length"] + len(END)
                 row |= _described(found) | {"total": total}
-                # The last record of a file ends where the file does.
                 if total == row["size"]:
                     row |= _digested(piece[found["body"] : found["body"] + found["length"]])
-            if row["payload_digest"] is None:
-                row["raw"] = piece
             rows.append(row)
-            at += row["size"]
         yield pa.RecordBatch.from_pylist(rows, schema=_PIECE)
 
 
+def _raw(batches):
+    for numbered in _numbered(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*numbered, strict=True), _RAW, strict=True)], schema=_RAW) if numbered else pa.RecordBatch.from_pylist([], schema=_RAW)
+
+
+def _text(spark: SparkSession, path: str) -> DataFrame:
+    """(file, split, piece): what stands between one magic and the next. The same splits each time."""
+    small_batches(spark)
+    text = spark.read.option("lineSep", MAGIC).text(path)
+    return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("piece"))
+
+
 def candidates(spark: SparkSession, path: str) -> DataFrame:
     """Pieces with ``off``, the offset of their magic in the file.
 
     What stands before a file's first magic is a piece too, at a negative offset: it is empty in a sound archive.
     """
-    small_batches(spark)
-    text = spark.read.option("lineSep", MAGIC).text(path)
-    rows = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("piece"))
-    piece = materialize(rows.mapInArrow(_pieces, _PIECE_DDL), "pieces")
+    piece = materialize(_text(spark, path).mapInArrow(_pieces, _PIECE_DDL), "pieces")
     spans = piece.groupBy("file", "split").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.select("file", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return piece.join(spans, ["file", "split"]).withColumn("off", F.col("base") + F.col("at") - len(MAGIC)).drop("base", "at", "split")
+    return piece.join(spans, ["file", "split"]).withColumn("off", F.col("base") + F.col("at") - len(MAGIC)).drop("base")
 
 
 def reachable(edges: DataFrame) -> DataFrame:
@@ -209,6 +225,24 @@ def _assembled(batches):
         yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("file", pa.string()), ("off", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())]))
 
 
+def _mended(spark: SparkSession, path: str, c: DataFrame, odd: DataFrame) -> DataFrame:
+    """(file, off, payload_bytes, payload_digest) of the ``odd`` records, whose payloads hold the magic.
+
+    A window in the order of offsets tells which record each piece is in, on
+    metadata alone; then the archives are read once more for the bytes of the
+    pieces of odd records.
+    """
+    head = odd.select("file", "off", F.lit(True).alias("head"))
+    order = Window.partitionBy("file").orderBy("off").rowsBetween(Window.unboundedPreceding, 0)
+    place = c.select("file", "split", "at", "off", "total").join(head, ["file", "off"], "left")
+    place = place.withColumn("rec", F.last(F.when(F.col("head"), F.struct(F.col("off").alias("o"), (F.col("off") + F.col("total")).alias("end"))), True).over(order))
+    inside = materialize(place.where("off < rec.end").select("file", "split", "at", "off", F.col("rec.o").alias("rec")), "inside")
+    raw = _text(spark, path).mapInArrow(_raw, "file string, split long, at long, raw binary")
+    parts = raw.join(bounded_broadcast(inside, inside.count()), ["file", "split", "at"])
+    whole = parts.groupBy("file", F.col("rec").alias("off")).agg(F.collect_list(F.struct(F.col("off"), "raw")).alias("pieces"))
+    return whole.mapInArrow(_assembled, "file string, off long, payload_bytes long, payload_digest string")
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, record_type, refers_to, named_digest, payload_bytes, payload_digest): every record, in no order.
 
@@ -217,16 +251,15 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """
     c = materialize(candidates(spark, path), "candidates")
     chain = reachable(c.where("total is not null and off >= 0").select("file", "off", (F.col("off") + F.col("total")).alias("next")))
-    found = c.join(chain, ["file", "off"])
-    whole = found.where("payload_digest is not null")
-    odd = found.where("payload_digest is null")
-    # The pieces of a record whose payload has the magic: all from its offset to its successor's.
-    parts = odd.select("file", "off", (F.col("off") + F.col("total")).alias("end")).join(c.where("raw is not null or payload_digest is not null").select("file", F.col("off").alias("o"), "raw"), "file")
-    parts = parts.where("o >= off and o < end and raw is not null").groupBy("file", "off").agg(F.collect_list(F.struct(F.col("o").alias("off"), "raw")).alias("pieces"))
-    mended = parts.mapInArrow(_assembled, "file string, off long, payload_bytes long, payload_digest string")
-    names = ["page_id", "record_type", "refers_to", "named_digest", "payload_bytes", "payload_digest"]
-    mended = odd.drop("payload_bytes", "payload_digest").join(mended, ["file", "off"]).select(*names)
-    return whole.select(*names).unionByName(mended)
+    found = materialize(c.join(chain, ["file", "off"]).select("file", "off", "total", *_FOUND), "found")
+    whole, odd = found.where("payload_digest is not null").select(*_FOUND), found.where("payload_digest is null")
+    if odd.isEmpty():
+        return whole
+    mended = _mended(spark, path, c, odd)
+    return whole.unionByName(odd.drop("payload_bytes", "payload_digest").join(mended, ["file", "off"]).select(*_FOUND))
+
+
+_FOUND = ["page_id", "record_type", "refers_to", "named_digest", "payload_bytes", "payload_digest"]
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
