@@ -5,8 +5,8 @@ stand as whole words and outside exception phrases; their weights are
 normalised by the length of the text.
 
 The lexicon is learned from labelled texts. A word's support is counted in
-clusters of texts that share their least shingle hash: near copies count about
-once, so the words of a large group of copies don't enter by its size.
+clusters of near copies (two of four min-hashes agree), so the words of a large
+group of copies don't enter by its size.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import ahocorasick
 import numpy as np
@@ -122,32 +123,66 @@ def words_of(text: str) -> set[str]:
     return set(_WORD.findall(fold(text)))
 
 
-def cluster_of(text: str) -> int:
-    """Least hash of the text's shingles, signed; texts of fewer words are one shingle."""
+def sketch(text: str) -> list[int]:
+    """Four min-hashes of the text's shingles; texts of fewer words are one shingle."""
     words = text.lower().split()
     k = min(SHINGLE, len(words))
     if not k:
-        return 0
-    return min(xxhash.xxh64_intdigest(" ".join(words[i : i + k])) for i in range(len(words) - k + 1)) - (1 << 63)
+        return [0, 0, 0, 0]
+    h = np.array([xxhash.xxh64_intdigest(" ".join(words[i : i + k])) for i in range(len(words) - k + 1)], np.uint64)
+    return [int((h * m).min()) for m in _ODD_FACTORS]
+
+
+#: Odd factors that permute 64-bit hashes.
+_ODD_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+
+
+def clusters(sketches: list[list[int]]) -> list[int]:
+    """A number for each text, equal for texts joined by agreeing in two of their min-hashes."""
+    parent = list(range(len(sketches)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    first: dict[tuple, int] = {}
+    for i, s in enumerate(sketches):
+        for a, b in combinations(range(len(s)), 2):
+            parent[root(i)] = root(first.setdefault((a, b, s[a], s[b]), i))
+    return [root(i) for i in range(len(sketches))]
+
+
+def _sketched(batches):
+    for b in batches:
+        keys = [sketch(x.decode("utf-8", "replace")) for x in texts_of(b, 2)]
+        keys = [[k - (1 << 63) for k in s] for s in keys]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["k", "toxic", "sketch"])
 
 
 def _entries(batches):
     for b in batches:
         words, toxic, cluster = [], [], []
-        for x, y in zip(texts_of(b, 1), b.column(0).to_pylist(), strict=True):
-            text = x.decode("utf-8", "replace")
-            own = words_of(text)
+        for y, c, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b, 2), strict=True):
+            own = words_of(x.decode("utf-8", "replace"))
             words += own
             toxic += [y] * len(own)
-            cluster += [cluster_of(text)] * len(own)
+            cluster += [c] * len(own)
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic, pa.int32()), pa.array(cluster, pa.int64())], names=["word", "toxic", "cluster"])
 
 
 def lexicon(labelled: DataFrame) -> dict[str, float]:
-    """Weighted words from (toxic int, text) rows, which the caller has bounded."""
-    small_batches(labelled.sparkSession)
-    texts = labelled.select(F.col("toxic").cast("int"), F.col("text").cast("binary").alias("_qm_b")).distinct()
-    held = materialize(texts.mapInArrow(_entries, "word string, toxic int, cluster long").distinct(), "words")
+    """Weighted words from (toxic int, text) rows, which the caller has bounded: their sketches are grouped on the driver."""
+    spark = labelled.sparkSession
+    small_batches(spark)
+    texts = labelled.select(F.xxhash64("text").alias("k"), F.col("toxic").cast("int"), F.col("text").cast("binary").alias("_qm_b")).dropDuplicates(["k", "toxic"])
+    rows = texts.mapInArrow(_sketched, "k long, toxic int, sketch array<long>").collect()
+    rows = sorted({r[0]: r[2] for r in rows}.items())
+    group = clusters([s for _, s in rows])
+    cluster = spark.createDataFrame([(k, g) for (k, _), g in zip(rows, group, strict=True)], "k long, cluster long")
+    own = texts.join(F.broadcast(cluster), "k").select("toxic", "cluster", "_qm_b")
+    held = materialize(own.mapInArrow(_entries, "word string, toxic int, cluster long").distinct(), "words")
     n = {r[0]: r[1] for r in held.select("toxic", "cluster").distinct().groupBy("toxic").count().collect()}
     bad, good = n.get(1, 0), n.get(0, 0)
     df = held.groupBy("word").agg(F.sum("toxic").alias("bad"), F.count("*").alias("all"))
