@@ -57,6 +57,7 @@ def to_number(value: object) -> float | None:
 class Layout:
     """The printed sheet; lengths in millimetres."""
 
+    # The default sheet.
     page_width_mm: float = 210
     page_height_mm: float = 297
     margin_mm: float = 12
@@ -127,6 +128,7 @@ CALIBRATION_BOUNDS = {"fill_threshold": (0.05, 0.6), "margin_threshold": (0.02,
 class OmrOptions:
     """Mark reading: image size, sampling and decision thresholds."""
 
+    # The defaults at which sheets are read.
     max_dim: int = 1400
     sample_radius_factor: float = 0.32
     fill_threshold: float = 0.16

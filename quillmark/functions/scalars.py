@@ -26,6 +26,10 @@ ERF_T = 0.3275911
 #: Month names of long dates.
 MONTHS = ("Januari", "Februari", "Maret", "April", "Mei", "Juni", "Juli", "Agustus", "September", "Oktober", "November", "Desember")
 
+#: Judgements of an item, and states of a response.
+NO_KEY, REVISE, REVIEW, GOOD = "Tanpa kunci", "Revisi", "Tinjau", "Layak"
+NOKEY, BLANK, CORRECT, WRONG = "nokey", "blank", "correct", "wrong"
+
 PX_PER_MM = 96 / 25.4
 
 
@@ -65,7 +69,7 @@ def classify(deviation: Column) -> Column:
 
 def verdict(p: Column, discrimination: Column) -> Column:
     """Judgement of an item; a low discrimination comes before an extreme difficulty."""
-    return F.when(p.isNull(), "Tanpa kunci").when(discrimination < 0.2, "Revisi").when((p < 0.2) | (p > 0.9), "Tinjau").otherwise("Layak")
+    return F.when(p.isNull(), NO_KEY).when(discrimination < 0.2, REVISE).when((p < 0.2) | (p > 0.9), REVIEW).otherwise(GOOD)
 
 
 def reliability_grade(kr20: Column) -> Column:
@@ -76,7 +80,7 @@ def reliability_grade(kr20: Column) -> Column:
 
 
 def item_status(key: Column, response: Column) -> Column:
-    return F.when(key.isNull(), "nokey").when(response.isNull(), "blank").when(response == key, "correct").otherwise("wrong")
+    return F.when(key.isNull(), NOKEY).when(response.isNull(), BLANK).when(response == key, CORRECT).otherwise(WRONG)
 
 
 def raw_score(correct: Column, wrong: Column, penalty: bool, options: int) -> Column:

@@ -57,6 +57,15 @@ def searched(rows: DataFrame, query: str) -> DataFrame:
     return rows.where(F.contains(F.lower("name"), F.lower(trimmed(F.lit(query)))))
 
 
+#: Column names of the CSV; the seventh takes the top of the scale.
+CSV_COLUMNS = ("No", "Nama", "Benar", "Salah", "Kosong", "Skor Mentah", "Nilai (0-{top})", "Z", "T", "Skor Deviasi", "Persentil", "Klasifikasi", "Pola Jawaban")
+#: Sentences of the report.
+KNOWN = "Estimasi konsistensi internal melalui KR-20 sebesar %s tergolong %s pada sampel berukuran %s peserta"
+UNKNOWN = "Koefisien konsistensi internal KR-20 belum dapat diestimasi karena variansi skor total pada sampel berukuran %s peserta belum memadai"
+MANUAL_BASIS = "parameter normatif yang ditetapkan pemeriksa"
+SAMPLE_BASIS = "norma lokal yang diturunkan dari sampel pemeriksaan ini"
+MOMENTS = "%s (M = %s; SD = %s)"
+
 #: How each column of the roster sorts: missing values come last when falling, first when rising.
 SORT_KEYS = ("name", "correct", "wrong", "blank", "raw_score", "scaled_score", "z_score", "deviation_iq", "percentile", "classification")
 
@@ -99,20 +108,15 @@ def report_sentences(spark_row: DataFrame) -> DataFrame:
     """(reliability_sentence, norm_sentence, note) from one row (n, kr20, interpretation, norm_mean, norm_sd, norm_mode)."""
     of = lambda c, d: fmt(F.col(c), d)
     n = F.col("n").cast("string")
-    known = F.concat(
-        F.lit("Estimasi konsistensi internal melalui KR-20 sebesar "), of("kr20", 3), F.lit(" tergolong "), F.col("interpretation"), F.lit(" pada sampel berukuran "), n, F.lit(" peserta")
-    )
-    unknown = F.concat(F.lit("Koefisien konsistensi internal KR-20 belum dapat diestimasi karena variansi skor total pada sampel berukuran "), n, F.lit(" peserta belum memadai"))
-    basis = F.concat(F.lit(" (M = "), of("norm_mean", 2), F.lit("; SD = "), of("norm_sd", 2), F.lit(")"))
-    source = F.when(F.col("norm_mode") == "manual", "parameter normatif yang ditetapkan pemeriksa").otherwise("norma lokal yang diturunkan dari sampel pemeriksaan ini")
-    return spark_row.select(
-        F.when(F.col("kr20").isNotNull(), known).otherwise(unknown).alias("reliability_sentence"), F.concat(source, basis).alias("norm_sentence"), F.lit(NOTE).alias("note")
-    )
+    reliability = F.when(F.col("kr20").isNotNull(), F.format_string(KNOWN, of("kr20", 3), "interpretation", n)).otherwise(F.format_string(UNKNOWN, n))
+    source = F.when(F.col("norm_mode") == "manual", MANUAL_BASIS).otherwise(SAMPLE_BASIS)
+    basis = F.format_string(MOMENTS, source, of("norm_mean", 2), of("norm_sd", 2))
+    return spark_row.select(reliability.alias("reliability_sentence"), basis.alias("norm_sentence"), F.lit(NOTE).alias("note"))
 
 
 def csv_header(config: ScoringConfig) -> list[str]:
     top = int(config.scale_max) if float(config.scale_max).is_integer() else config.scale_max
-    return ["No", "Nama", "Benar", "Salah", "Kosong", "Skor Mentah", f"Nilai (0-{top})", "Z", "T", "Skor Deviasi", "Persentil", "Klasifikasi", "Pola Jawaban"]
+    return [c.format(top=top) for c in CSV_COLUMNS]
 
 
 def csv_lines(rows: DataFrame, safe: bool = False) -> DataFrame:
