@@ -36,49 +36,40 @@ def numbered(df: DataFrame, level: str | None = None, ord_col: str = "sheet_ord"
     return ranked.drop("_qm_level", "_qm_bucket", "_qm_l", "_qm_b", "_qm_before")
 
 
-def _cut(df: DataFrame, sides: DataFrame, level: str, ord_col: str) -> DataFrame:
-    """(side, level, cut): the input position of each side's ``m``-th row among those that tie at its level.
-
-    The upper side counts from the earliest, the lower from the latest. Only
-    rows of the two tie classes are read, counted by bucket, and one bucket of
-    each is sorted.
-    """
-    tie = df.select(F.col(level).alias("_qm_level"), F.col(ord_col).alias("_qm_ord")).join(F.broadcast(sides), F.col("_qm_level") == F.col("at"))
-    tie = tie.withColumn("_qm_place", F.when(F.col("side") == "upper", F.col("_qm_ord")).otherwise(-F.col("_qm_ord")))
-    tie = tie.withColumn("_qm_bucket", F.floor(F.col("_qm_place") / BUCKET))
-    counts = tie.groupBy("side", "at", "m", "_qm_bucket").agg(F.count("*").alias("n"))
-    upto = Window.partitionBy("side").orderBy("_qm_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("upto", F.sum("n").over(upto))
-    chosen = counts.where((F.col("upto") >= F.col("m")) & (F.col("upto") - F.col("n") < F.col("m")))
-    chosen = chosen.select(F.col("side").alias("s"), F.col("_qm_bucket").alias("b"), (F.col("m") - F.col("upto") + F.col("n")).alias("nth"))
-    inside = tie.join(F.broadcast(chosen), (F.col("side") == F.col("s")) & (F.col("_qm_bucket") == F.col("b")))
-    nth = inside.withColumn("i", F.row_number().over(Window.partitionBy("side").orderBy("_qm_place"))).where("i = nth")
-    return nth.select("side", "at", F.col("_qm_ord").alias("cut"))
-
-
 def extreme_groups(df: DataFrame, level: str = "raw_score", ord_col: str = "sheet_ord", share: float = 0.27) -> DataFrame:
     """One row (n, group_size, upper_at, upper_cut, lower_at, lower_cut) that tells who is in the extreme groups.
 
     In the order of falling ``level``, ties by input order, a row is among the
     first ``group_size`` if its level is above upper_at, or equal and its
     position at most upper_cut; the last likewise. No row for an empty table.
+
+    Rows are counted once by level and bucket. From these counts come the level
+    at each border, how many of its ties belong to the group, and the bucket
+    where that number is reached; only the rows of two buckets are sorted.
     """
-    levels = df.groupBy(F.col(level).alias("at")).agg(F.count("*").alias("c"))
+    rows = df.select(F.col(level).alias("at"), F.col(ord_col).alias("ord"), F.floor(F.col(ord_col) / BUCKET).alias("bucket"))
+    counts = rows.groupBy("at", "bucket").agg(F.count("*").alias("c"))
+
+    levels = counts.groupBy("at").agg(F.sum("c").alias("c"))
     falling = Window.orderBy(F.col("at").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.partitionBy()
-    levels = levels.withColumn("n", F.sum("c").over(everything)).withColumn("upto", F.sum("c").over(falling))
+    levels = levels.withColumn("n", F.sum("c").over(Window.partitionBy())).withColumn("upto", F.sum("c").over(falling))
     levels = levels.withColumn("g", F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(share) + 0.5)).cast("long"))
     above, below = F.col("upto") - F.col("c"), F.col("n") - F.col("upto")
-    upper = (above < F.col("g")) & (F.col("upto") >= F.col("g"))
-    lower = (below < F.col("g")) & (below + F.col("c") >= F.col("g"))
-    side = lambda name, m: F.struct(F.lit(name).alias("side"), (F.col("g") - m).alias("m"))
-    both = F.filter(F.array(F.when(upper, side("upper", above)), F.when(lower, side("lower", below))), lambda x: x.isNotNull())
-    sides = levels.select("n", "g", "at", F.explode(both).alias("x")).select("n", "g", "at", "x.*")
-    cuts = _cut(df, sides.select("side", "at", "m"), level, ord_col)
-    sizes = sides.select("n", "g").distinct()
-    pick = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
-    one = cuts.agg(pick("upper", "at").alias("upper_at"), pick("upper", "cut").alias("upper_cut"), pick("lower", "at").alias("lower_at"), pick("lower", "cut").alias("lower_cut"))
-    return sizes.crossJoin(F.broadcast(one)).withColumnRenamed("g", "group_size")
+    side = lambda name, before: F.when((before < F.col("g")) & (before + F.col("c") >= F.col("g")), F.struct(F.lit(name).alias("side"), (F.col("g") - before).alias("m")))
+    sides = levels.select("n", "g", "at", F.inline(F.array_compact(F.array(side("upper", above), side("lower", below)))))
+
+    # The upper side takes its ties from the earliest position, the lower from the latest.
+    sign = F.when(F.col("side") == "upper", 1).otherwise(-1)
+    order = Window.partitionBy("side").orderBy(sign * F.col("bucket")).rowsBetween(Window.unboundedPreceding, 0)
+    ties = counts.join(F.broadcast(sides), "at").withColumn("upto", F.sum("c").over(order))
+    reached = ties.where((F.col("upto") >= F.col("m")) & (F.col("upto") - F.col("c") < F.col("m")))
+    reached = reached.select("at", "bucket", "side", "n", "g", (F.col("m") - F.col("upto") + F.col("c")).alias("nth"))
+    inside = rows.join(F.broadcast(reached), ["at", "bucket"])
+    nth = inside.withColumn("i", F.row_number().over(Window.partitionBy("side").orderBy(sign * F.col("ord")))).where("i = nth")
+    pick = lambda name, c: F.max(F.when(F.col("side") == name, F.col(c)))
+    return nth.groupBy("n", F.col("g").alias("group_size")).agg(
+        pick("upper", "at").alias("upper_at"), pick("upper", "ord").alias("upper_cut"), pick("lower", "at").alias("lower_at"), pick("lower", "ord").alias("lower_cut")
+    )
 
 
 def in_upper(level: str = "raw_score", ord_col: str = "sheet_ord") -> Column:
