@@ -8,7 +8,10 @@ shorter) agrees in four fifths or more. The masks find every such window with
 up to two substitutions.
 
 Tokens are runs of letters and digits in lower case. Items of fewer than
-``LEAST_TOKENS`` tokens, null texts and null items match nothing.
+``LEAST_TOKENS`` tokens, null texts and null items match nothing. Long texts are
+read whole; of items of equal tokens the smallest item_id is reported; rows
+equal in doc_id and text are reported once and dropped together; empty tables
+match nothing; other columns stay as they are.
 """
 
 from __future__ import annotations

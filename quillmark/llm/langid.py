@@ -3,7 +3,13 @@
 Words are runs of letters. A word's script narrows the languages to those that
 were seen in that script; each of them scores the word by its character
 trigrams. Viterbi over the words, with a penalty for every switch of language,
-labels spans; a document's language is the one with most letters.
+labels spans; a document's language is the one with most letters, of equal ones
+the first by name.
+
+A null text and one without letters are undetermined (und, score 0); long texts
+are labelled whole; repeated rows get the same; an empty table gives an empty
+one, and with nothing to learn from every text is undetermined. Rows without a
+language are not learned from.
 """
 
 from __future__ import annotations

@@ -1,5 +1,10 @@
 """Media columns: Netpbm and BMP decoded to numpy arrays, area-resized through
 integral images, written as NPY tiles with difference hashes.
+
+A null text is stored like an empty one; a null medium has null features; a text
+of any length is one image, 64 samples wide. Rows are independent: repeated ones
+repeat their result, an empty table gives an empty one. A medium that is no
+image of these formats is an error.
 """
 
 from __future__ import annotations

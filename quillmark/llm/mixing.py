@@ -12,6 +12,11 @@
    again; a shard takes the next run of each source's draws, so shards are
    disjoint. Within a shard, a hash gives the order.
 
+A null or blank text has no words and nothing is taken of it; a null source is a
+source, the last; rows equal in doc_id and text are separate documents, in any
+order; a table without words has target 0 throughout and an empty table gives an
+empty one; other columns are not read.
+
 Only DataFrame and SQL functions are used. Positions come from sums over
 buckets of about ``BUCKET_DOCS`` documents, so no source is in one task.
 """

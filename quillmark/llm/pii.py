@@ -1,6 +1,9 @@
 """Personal data: regular expressions propose spans, checksums confirm, nearby words adjust a score.
 
-Offsets count code points, ends are exclusive. A null text counts as empty.
+Offsets count code points, ends are exclusive. A null text counts as empty in
+``spans`` and stays null in ``redacted``; long texts are read whole, in linear
+time; rows are independent, so repeated ones repeat their result and an empty
+table gives an empty one; other columns stay as they are in ``redacted``.
 """
 
 from __future__ import annotations

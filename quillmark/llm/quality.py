@@ -3,6 +3,11 @@
 Filters of 8 bytes, 4 apart, run over overlapping chunks of about 256 bytes
 that cover the whole document. Each filter's maximum is taken per chunk; the
 means and the maxima of these over all chunks give one probability.
+
+A null text scores as an empty one; long texts are scored whole in pieces;
+repeated rows score alike; an empty table gives an empty one, and with nothing
+to learn from, or one label only, every text has the same score. Null labels are
+not learned from.
 """
 
 from __future__ import annotations

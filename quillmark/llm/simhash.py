@@ -11,6 +11,11 @@ Equal fingerprints are one node from the start, so copies cost one row. A key's
 group is dealt over sub-blocks of about ``CHUNK`` fingerprints, every pair of
 sub-blocks is compared in one numpy call, and what leaves it is a spanning
 forest, never all pairs.
+
+Null and empty texts have fingerprint zero and link like any other; texts of
+any length count whole; repeated rows all come back (``classes``) or leave one
+(``near_dedup``); an empty table gives an empty one; other columns are not read
+by ``classes`` and stay as they are in ``near_dedup``.
 """
 
 from __future__ import annotations

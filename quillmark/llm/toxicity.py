@@ -4,6 +4,11 @@ Folding maps homoglyphs and digit substitutions to plain letters. Matches must
 stand as whole words and outside exception phrases; their weights are
 normalised by the length of the text.
 
+A null text counts as empty, whose score is that of no match; long texts are
+matched whole; repeated rows score alike; an empty table gives an empty one, and
+with nothing to learn from the lexicon is empty. Null labels are not learned
+from.
+
 The lexicon is learned from labelled texts. A word's support is counted in
 clusters of near copies (two of four min-hashes agree), so the words of a large
 group of copies don't enter by its size.

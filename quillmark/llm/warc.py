@@ -10,6 +10,11 @@ its length, hence the offset of its successor. The magic may also stand inside
 a payload. Only what can be reached from offset 0 of its file by following
 successors is a record; pointer jumping finds this in a number of rounds that
 grows with the logarithm of the records in a file.
+
+A null html is an empty payload, a null url leaves its header out, and a page
+without an id is never referred to. Rows that repeat a page all come back.
+Payloads are kept whole, with any bytes, line ends and record heads in them. An
+empty table writes no record and reads back none.
 """
 
 from __future__ import annotations

@@ -1,8 +1,14 @@
 from __future__ import annotations
 
+from collections import Counter
+
 import corpus_pipeline
-from quillmark.llm import decontam, pii, quality, simhash
-from quillmark.llm.common import table
+from quillmark.llm import decontam, pii, quality
+from quillmark.llm.common import materialize, table
+from tests.llm.test_decontam import slow
+from tests.llm.test_mixing import WORD, slow_targets
+from tests.llm.test_pii import plain
+from tests.llm.test_simhash import slow_components, slow_fingerprint
 
 
 def test_stages_follow_each_other_and_take_effect(spark, sf):
@@ -11,23 +17,41 @@ def test_stages_follow_each_other_and_take_effect(spark, sf):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality", "near_dedup", "decontamination", "pii", "mixing"]
     kept = {}
-    from quillmark.llm.common import materialize
-
     for name, stage in corpus_pipeline.STAGES:
         before, docs = docs, materialize(stage(spark, docs, sf), f"test-{name}")
         kept[name] = docs
         if name != "mixing":
             assert docs.columns == columns
         assert {r.doc_id for r in docs.select("doc_id").collect()} <= {r.doc_id for r in before.select("doc_id").collect()}
+    text_of = {r.doc_id: r.text or "" for r in table(spark, sf, "documents").collect()}
+    ids = {name: {r.doc_id for r in df.collect()} for name, df in kept.items()}
+
     net = quality.fit(table(spark, sf, "documents"), table(spark, sf, "labels"))
-    good = {r.doc_id for r in quality.scores(table(spark, sf, "documents"), net).where("score >= 0.3").collect()}
-    assert {r.doc_id for r in kept["quality"].collect()} == good
-    groups = [r.component_id for r in simhash.classes(kept["near_dedup"]).collect()]
-    assert len(groups) == len(set(groups))
+    assert ids["quality"] == {i for i, t in text_of.items() if quality.probability(net, t.encode()) >= quality.THRESHOLD}
+
+    root = slow_components({i: slow_fingerprint(text_of[i]) for i in ids["quality"]})
+    assert ids["near_dedup"] == set(root.values())
+
+    items = {r.item_id: r.text for r in table(spark, sf, "benchmark").collect()}
+    short = {i: text_of[i] for i in ids["near_dedup"] if len(text_of[i]) < 6000}
+    leaked = {d for d, _ in slow(short, items)}
+    assert leaked and ids["decontamination"] & set(short) == set(short) - leaked
     assert decontam.contaminated(kept["decontamination"], table(spark, sf, "benchmark")).count() == 0
-    texts = [r.text for r in kept["pii"].collect()]
-    assert all(pii.redact(t) == t for t in texts) and any("<EMAIL>" in t for t in texts)
-    assert kept["mixing"].count() == kept["pii"].count()
+
+    assert ids["pii"] == ids["decontamination"]
+    texts = {r.doc_id: r.text for r in kept["pii"].collect()}
+    assert not any(spans for t in texts.values() for spans in plain(t).values()) and any("<EMAIL>" in t for t in texts.values())
+    assert all(texts[i] == text_of[i] for i in texts if not pii.find_spans(text_of[i]))
+
+    mixed = {r.doc_id: r for r in kept["mixing"].collect()}
+    source = {r.doc_id: r.source for r in kept["pii"].collect()}
+    sizes, taken = Counter(), Counter()
+    for i, r in mixed.items():
+        assert r["size"] == len(WORD.findall(texts[i])) and r.taken <= 3 * r["size"]
+        sizes[source[i]] += r["size"]
+        taken[source[i]] += r.taken
+    targets = slow_targets(sizes)
+    assert set(mixed) == ids["pii"] and all(abs(taken[s] - t) <= max(128, 0.01 * t) for s, t in targets.items())
 
 
 def test_runs_agree(spark, sf):
