@@ -90,12 +90,23 @@ def responses_of(sheets: DataFrame, n: int) -> DataFrame:
     return long.select("sheet_id", "sheet_ord", (F.col("i") + 1).alias("item_no"), "response")
 
 
+def answer_maps(responses: DataFrame, n: int, by: str = "sheet_ord") -> DataFrame:
+    """(by, answers map<int, string>): a row per sheet in ``responses``, its answers to items 1 to n that are not null.
+
+    One aggregation; equal rows meet in partial sets. Of several answers to an
+    item the first by letter counts.
+    """
+    known = F.col("item_no").between(1, n) & F.col("response").isNotNull()
+    sets = responses.groupBy(by).agg(F.array_sort(F.collect_set(F.when(known, F.struct("item_no", "response")))).alias("pairs"))
+    first = F.filter("pairs", lambda x, i: (i == 0) | (F.get("pairs", i - 1)["item_no"] != x["item_no"]))
+    return sets.select(by, F.map_from_entries(first).alias("answers"))
+
+
 def dense(responses: DataFrame, n: int, by: str = "sheet_ord") -> DataFrame:
-    """A row for every sheet and item 1 to n, null where ``responses`` has none; one aggregation by sheet."""
-    pairs = F.map_from_entries(F.array_distinct(F.collect_list(F.struct("item_no", "response"))))
-    wide = responses.where(F.col("item_no").between(1, n)).groupBy(by).agg(pairs.alias("m"))
+    """A row for every sheet in ``responses`` and item 1 to n, null where it has no answer."""
+    wide = answer_maps(responses, n, by)
     item = F.explode(F.sequence(F.lit(1), F.lit(n))).alias("item_no")
-    return wide.select(by, "m", item).select(by, "item_no", F.try_element_at("m", F.col("item_no")).alias("response"))
+    return wide.select(by, "answers", item).select(by, "item_no", F.try_element_at("answers", F.col("item_no")).alias("response"))
 
 
 def key_from_sheet(responses: DataFrame, sheet: int, n: int, by: str = "sheet_ord") -> DataFrame:

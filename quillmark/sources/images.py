@@ -22,7 +22,11 @@ def read_images(spark: SparkSession, path: str, glob: str | None = None) -> Data
     and stays, so that it can be counted.
     """
     reader = spark.read.format("image").option("recursiveFileLookup", True)
-    images = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
+    return image_rows((reader.option("pathGlobFilter", glob) if glob else reader).load(path))
+
+
+def image_rows(images: DataFrame) -> DataFrame:
+    """The columns of ``read_images`` from Spark's image struct; the id is a hash of the path, so it is the same each time."""
     file = F.element_at(F.split(F.url_decode(F.replace(F.col("image.origin"), F.lit("+"), F.lit("%2B"))), "/"), -1)
     return images.select(
         F.sha2(F.col("image.origin").cast("binary"), 256).alias("sheet_id"), file.alias("file_name"), sheet_name(file).alias("name"), F.lit(0).alias("page_index"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark import schemas
 from quillmark.functions.scalars import fit_length, normalised_name, parse_answers, sheet_name
+from quillmark.operators.scoring import answer_maps
 
 _TYPES = {f.name: f.dataType for f in schemas.SHEETS}
 
@@ -36,10 +37,9 @@ def from_typed(typed: DataFrame, n: int, option_set: str) -> DataFrame:
 
 
 def from_responses(responses: DataFrame, n: int, by: str = "sheet_ord") -> DataFrame:
-    """Finished sheets from long responses (by, item_no, response); one aggregation by sheet."""
-    entries = F.map_from_entries(F.array_distinct(F.collect_list(F.when(F.col("response").isNotNull() & F.col("item_no").between(1, n), F.struct("item_no", "response")))))
-    wide = responses.groupBy(by).agg(entries.alias("m"))
-    answers = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.try_element_at("m", i))
+    """Finished sheets from long responses (by, item_no, response); of several answers to an item the first by letter counts."""
+    wide = answer_maps(responses, n, by)
+    answers = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.try_element_at("answers", i))
     return _sheets(
         wide, sheet_id=F.col(by).cast("string"), sheet_ord=F.col(by), name=F.concat(F.lit("PESERTA "), F.col(by).cast("string")), status=F.lit("done"), source=F.lit("manual"),
         page_index=F.lit(0), answers=answers,

@@ -12,22 +12,18 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quillmark import schemas
 from quillmark.config import Layout, OmrOptions, ScoringConfig
-from quillmark.functions.scalars import sheet_name
 from quillmark.operators.decisions import decide_scans
 from quillmark.operators.scanning import scanned
 from quillmark.operators.scoring import score_sheets
+from quillmark.sources.images import image_rows
 
 _IMAGE = "image struct<origin: string, height: int, width: int, nChannels: int, mode: int, data: binary>"
 
 
 def landing_images(spark: SparkSession, folder: str, per_trigger: int = 64) -> DataFrame:
-    """Stream of (sheet_id, file_name, name, page_index, height, width, n_channels, data) of image files in ``folder``."""
+    """Stream of the image files in ``folder``, with the columns of ``read_images``."""
     raw = spark.readStream.format("image").schema(_IMAGE).option("maxFilesPerTrigger", per_trigger).load(folder)
-    file = F.element_at(F.split("image.origin", "/"), -1)
-    return raw.select(
-        F.sha2(F.col("image.origin").cast("binary"), 256).alias("sheet_id"), file.alias("file_name"), sheet_name(file).alias("name"), F.lit(0).alias("page_index"),
-        F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("n_channels"), F.col("image.data").alias("data"),
-    )
+    return image_rows(raw)
 
 
 def read_landing(spark: SparkSession, folder: str, out: str, checkpoint: str, layout: Layout, options: OmrOptions = OmrOptions()) -> StreamingQuery:

@@ -67,6 +67,14 @@ def test_sparse_responses_and_items_outside_the_test(spark):
     assert {(r.item_no, r.response) for r in scoring.dense(df, 3).collect()} == {(1, "A"), (2, None), (3, None)}
 
 
+def test_repeated_and_contradicting_responses(spark):
+    from quillmark.sources import sheets
+
+    df = spark.createDataFrame([(1, 1, "C"), (1, 1, "B"), (1, 1, "B"), (1, 2, None), (1, 2, "A"), (2, 1, None)], "sheet_ord long, item_no int, response string")
+    assert {r.sheet_ord: r.answers for r in sheets.from_responses(df, 3).collect()} == {1: ["B", "A", None], 2: [None, None, None]}
+    assert scoring.dense(df, 3).where("response is not null").count() == 2 and scoring.dense(df, 3).count() == 6
+
+
 def test_empty_table(spark):
     empty = scoring.score_responses(long(spark, {1: "A"}).limit(0), scoring.key_table(spark, ["A"]), config(1))
     assert empty.count() == 0
