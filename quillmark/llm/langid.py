@@ -29,6 +29,8 @@ BUCKETS = 1 << 15
 SWITCH = 8.0
 #: Bound of the sample: texts per language, of the least hashes of doc_id.
 TEXTS_PER_LANG = 1500
+#: Hashes fall in 2 ** RANGE_BITS ranges when that sample is sought.
+RANGE_BITS = 10
 CACHE_WORDS = 150_000
 ALPHA = 0.3
 
@@ -180,14 +182,28 @@ def label_spans(model: Model, text: str) -> list[tuple[int, int, str]]:
     return [(found[a].start(), found[b - 1].end(), model.langs[labels[a]]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def _least(known: DataFrame, per_lang: int) -> DataFrame:
+    """The rows of each language with the least hashes of doc_id, ``per_lang`` at most.
+
+    Counts by range of hashes tell which ranges hold them, so that no task sorts
+    all rows of a frequent language.
+    """
+    known = known.withColumn("_qm_h", F.xxhash64("doc_id")).withColumn("_qm_range", F.shiftright("_qm_h", 64 - RANGE_BITS))
+    ranges = known.groupBy("_qm_lang", "_qm_range").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("_qm_lang").orderBy("_qm_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") < per_lang)
+    some = known.join(ranges.select("_qm_lang", "_qm_range"), ["_qm_lang", "_qm_range"])
+    order = Window.partitionBy("_qm_lang").orderBy("_qm_h", "doc_id")
+    return some.withColumn("_qm_n", F.row_number().over(order)).where(F.col("_qm_n") <= per_lang)
+
+
 def fit(docs: DataFrame, k: int = 4, r: int = 2, per_lang: int = TEXTS_PER_LANG) -> Model:
     """Learn from at most ``per_lang`` whole texts of each language whose crc32(doc_id) mod k is not r.
 
     With no row to learn from, every prediction is undetermined.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learned_from(k, r)).select("doc_id", F.col("lang").alias("_qm_lang"))
-    least = Window.partitionBy("_qm_lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.withColumn("_qm_n", F.row_number().over(least)).where(F.col("_qm_n") <= per_lang).drop("_qm_n")
+    picked = _least(known, per_lang).select("doc_id", "_qm_lang")
     rows = sample_texts(docs.select("doc_id", "text"), picked)
     return train([(b.decode("utf-8", "replace"), lang) for _, b, lang in rows])
 

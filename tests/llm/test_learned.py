@@ -64,6 +64,16 @@ def test_language_of_odd_rows(odd, nothing):
     assert {r.lang_pred for r in langid.predictions(odd, none).collect()} == {"und"}
 
 
+def test_sample_has_the_least_hashes_of_each_language(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("_qm_lang"))
+    df = df.unionByName(df.where("doc_id < 20"))
+    rows = df.withColumn("h", F.xxhash64("doc_id")).collect()
+    for most in (1, 50, 1000, 10_000):
+        got = sorted((r._qm_lang, r.doc_id) for r in langid._least(df, most).collect())
+        want = sorted((x, r.doc_id) for x in "ab" for r in sorted((r for r in rows if r._qm_lang == x), key=lambda r: (r.h, r.doc_id))[:most])
+        assert got == want
+
+
 def test_language_is_learned_from_the_right_rows(odd):
     lied = odd.withColumn("lang", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, "xx").otherwise(F.col("lang")))
     assert "xx" not in langid.fit(lied).langs
