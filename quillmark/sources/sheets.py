@@ -17,6 +17,12 @@ def _sheets(df: DataFrame, **given) -> DataFrame:
     return df.select(*[given.get(n, F.lit(None)).cast(t).alias(n) for n, t in _TYPES.items()])
 
 
+def in_file_order(files: DataFrame) -> DataFrame:
+    """(sheet_id, sheet_ord, file_name): positions that rise with the file name, with gaps, from a sort by ranges and no single task."""
+    rows = files.select("sheet_id", "file_name").orderBy("file_name", "sheet_id")
+    return rows.select("sheet_id", F.monotonically_increasing_id().alias("sheet_ord"), "file_name")
+
+
 def from_files(files: DataFrame, n: int) -> DataFrame:
     """Pending sheets of (sheet_id, sheet_ord, file_name): named after the file, all answers blank."""
     blank = F.array_repeat(F.lit(None).cast("string"), n)

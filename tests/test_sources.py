@@ -125,6 +125,12 @@ def test_sheets_from_files_and_typing(spark):
     assert sheets.resized(sheets.from_typed(typed, 3, "ABCDE"), 5).first().answers == ["A", "B", None, None, None]
 
 
+def test_positions_follow_file_names(spark):
+    files = spark.createDataFrame([(str(i), f"f{(i * 37) % 100:03}.png") for i in range(100)], "sheet_id string, file_name string").repartition(5)
+    rows = sorted(sheets.in_file_order(files).collect(), key=lambda r: r.sheet_ord)
+    assert [r.file_name for r in rows] == [f"f{i:03}.png" for i in range(100)] and len({r.sheet_ord for r in rows}) == 100
+
+
 def test_state_round_trip_and_broken_state(spark, tmp_path):
     good = {"config": {"testName": "T"}, "layout": {"columns": "2"}, "omr_options": {"fill_threshold": 0.2}, "answer_key": ["A", "", "C"]}
     (tmp_path / "s.json").write_text(json.dumps(good) + "\n{broken\n" + json.dumps({"answer_key": None}) + "\n")
