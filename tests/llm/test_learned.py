@@ -243,6 +243,11 @@ def test_lm_words_outside_the_head_count_all_the_same(odd):
     assert rows(200_000) == rows(20)
 
 
+def test_lm_words_outside_the_head_score_all_the_same(odd):
+    by = lambda head: sorted((r.n_tokens, r.score) for r in lm.scored(odd, head_words=head).collect())
+    assert np.allclose(by(200_000), by(20), rtol=1e-6)
+
+
 def test_lm_of_odd_rows(odd, nothing):
     got = lm.scored(odd).collect()
     assert len(got) == odd.count()
