@@ -248,6 +248,33 @@ def test_lm_words_outside_the_head_score_all_the_same(odd):
     assert np.allclose(by(200_000), by(20), rtol=1e-6)
 
 
+def test_lm_learns_from_all_training_texts(spark):
+    """1,500 texts, of which each 10 hold a word of their own: more than any fixed sample would see."""
+    texts = [f"the house of w{i // 10} is a w{i // 10} house" for i in range(1500)]
+    training = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    counts = lm.word_counts(training)
+    coder = lm.Coder(lm.TOKENIZER)
+    ids, sizes = coder([t.encode() for t in texts])
+    want = np.bincount(ids, minlength=coder.enc.n_vocab + 1)[:-1] + 1
+    n, types = sum(len(t.split()) + 1 for t in texts), len({w for t in texts for w in t.split()}) + 1
+    model = lm.fit(training, counts, n, types, len(texts))
+    size = np.bincount(model.class_of, want, lm.CLASSES)
+    assert np.allclose(model.emit, np.log(want / size[model.class_of]))
+    classes = np.append(model.class_of, lm.STOP)[ids]
+    assert (lm.class_pairs(training, model.class_of) == lm.pair_counts(classes, sizes)).all()
+    own, width = lm.own_classes(want), lm.OWN_CLASSES + 1
+    column = np.full(coder.enc.n_vocab + 1, lm.OWN_CLASSES)
+    column[own] = np.arange(len(own))
+    near = np.zeros((coder.enc.n_vocab, 2 * width))
+    for a, b in zip(ids, ids[1:], strict=False):
+        if max(a, b) < coder.enc.n_vocab:
+            near[b, column[a]] += column[b] == lm.OWN_CLASSES
+            near[a, width + column[b]] += column[a] == lm.OWN_CLASSES
+    assert near.any() and (lm.neighbours(training, own) == near).all()
+    assert [x.count() for x in lm.shares(training, 1500 * 1000)][0] < 20
+    assert 300 < lm.shares(training, 1500)[0].count() < 700
+
+
 def test_lm_of_odd_rows(odd, nothing):
     got = lm.scored(odd).collect()
     assert len(got) == odd.count()
