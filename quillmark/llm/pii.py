@@ -30,11 +30,17 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 _SECRET = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{40}|[0-9a-f]{64}|[0-9a-f]{32})(?![0-9A-Za-z])")
 _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[^\W\d_]+")
 
+#: Characters of an IBAN by country.
+_LENGTHS = """NO15 BE16 DK18 FI18 FK18 FO18 GL18 NL18 SD18 MK19 SI19 AT20 BA20 EE20 KZ20 LT20 LU20 MN20 XK20 CH21 HR21 LI21 LV21
+BG22 BH22 CR22 DE22 GB22 GE22 IE22 ME22 RS22 VA22 AE23 GI23 IL23 IQ23 OM23 SO23 TL23 AD24 CZ24 ES24 MD24 PK24 RO24 SA24 SE24 SK24
+TN24 VG24 LY25 PT25 ST25 IS26 TR26 DJ27 FR27 GR27 IT27 MC27 MR27 SM27 AL28 AZ28 BY28 CY28 DO28 GT28 HU28 LB28 NI28 PL28 SV28 BR29
+EG29 PS29 QA29 UA29 JO30 KW30 MU30 YE30 MT31 SC31 LC32 RU33"""
+IBAN_LENGTH = {x[:2]: int(x[2:]) for x in _LENGTHS.split()}
 #: Words near a span that make its kind likelier, by kind.
 CONTEXT = {
     "email": ("email", "mail", "e-mail", "contact", "correo", "courriel"),
@@ -72,6 +78,23 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """From each start the stretch of 15 to 34 characters that ends with a word and passes mod-97.
+
+    Of several the one of the country's length, else the longest; a start
+    without any is passed over by itself.
+    """
+    m = _IBAN.search(text)
+    while m:
+        ends = [e for e in range(m.end(), m.start() + 14, -1) if text[e - 1] != " " and not (text[e : e + 1].isascii() and text[e : e + 1].isalnum())]
+        stretches = [(e, text[m.start() : e].replace(" ", "")) for e in ends]
+        stretches.sort(key=lambda x: len(x[1]) != IBAN_LENGTH.get(x[1][:2]))
+        end = next((e for e, s in stretches if len(s) >= 15 and mod97(s)), None)
+        if end:
+            yield m.start(), end
+        m = _IBAN.search(text, end or m.start() + 1)
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     done, at = 0, text.find("@")
     while at >= 0:
@@ -121,10 +144,7 @@ def find_spans(text: str) -> list[Span]:
     for kind in ADDED_KINDS:
         found[kind] = []
     if _DIGIT.search(text):
-        for m in _IBAN.finditer(text):
-            compact = m[0].replace(" ", "")
-            if 15 <= len(compact) <= 34 and mod97(compact):
-                found["iban"].append(m.span())
+        found["iban"] = list(_ibans(text))
         found["secret"] = [m.span() for m in _SECRET.finditer(text)]
     out = []
     for kind in KINDS:

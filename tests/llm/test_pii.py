@@ -64,6 +64,26 @@ def test_checksums_and_context(text, kinds):
     assert [s.kind for s in pii.find_spans(text)] == kinds
 
 
+@pytest.mark.parametrize(
+    ("text", "ibans"),
+    [
+        ("IBAN DE89370400440532013000 BIC COBADEFF", ["DE89370400440532013000"]),
+        ("GB82 WEST 1234 5698 7654 32 2024", ["GB82 WEST 1234 5698 7654 32"]),
+        ("DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32", ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"]),
+        ("AB12 DE89 3704 0044 0532 0130 00 OK", ["DE89 3704 0044 0532 0130 00"]),
+        ("DE893704004405320130001", []),
+        ("DE89370400440532013000x", []),
+    ],
+)
+def test_ibans_among_other_words(text, ibans):
+    assert [text[s.start : s.end] for s in pii.find_spans(text) if s.kind == "iban"] == ibans
+    assert not any(i in pii.redact(text) for i in ibans)
+
+
+def test_many_starts_of_ibans_take_linear_time():
+    pii.find_spans("AB12 " * 60_000)
+
+
 def test_context_raises_the_score():
     near, far = pii.find_spans("phone: +49 30 1234567")[0], pii.find_spans("thing: +49 30 1234567")[0]
     assert near.score > far.score
