@@ -5,7 +5,8 @@ every position of every document meet those of the benchmark in a join; a hit
 fixes an item and an alignment, along which all tokens are compared. A document
 is contaminated if some window of 13 aligned tokens (the whole item where it is
 shorter) agrees in four fifths or more. The masks find every such window with
-up to two substitutions.
+up to two substitutions; items shorter than a window have further masks, by
+their length, that find a fifth of their tokens substituted at any places.
 
 Tokens are runs of letters and digits in lower case. Items of fewer than
 ``LEAST_TOKENS`` tokens, null texts and null items match nothing. Long texts are
@@ -17,6 +18,7 @@ match nothing; other columns stay as they are.
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +30,7 @@ MASKS = ((0, 1, 2, 5, 7, 8), (0, 1, 3, 4, 5, 8), (0, 4, 5, 6, 7, 8))
 SPAN = 9
 WINDOW = 13
 SHARE = 0.8
-#: Items shorter than this are too short to tell; those below SPAN are sought whole.
+#: Items shorter than this are too short to tell.
 LEAST_TOKENS = 5
 BROADCAST_SEEDS = 2_000_000
 
@@ -48,6 +50,21 @@ def _seeds(hashes: str, masks: list[tuple[int, ...]]) -> Column:
     return F.flatten(F.transform(positions, at))
 
 
+def short_masks(n: int) -> list[tuple[tuple[int, ...], int]]:
+    """(mask, position) for an item of ``n`` tokens, below WINDOW: some of them avoids any floor(n / 5) places.
+
+    MASKS where they fit, and for each choice of places that they don't avoid
+    a mask of all others. A mask starts with its first kept token, so places
+    beyond a document's ends count as any others.
+    """
+    out = [(mask, q) for q in range(n - SPAN + 1) for mask in MASKS]
+    for bad in combinations(range(n), n // 5):
+        if not any(all(q + m not in bad for m in mask) for mask, q in out):
+            kept = [i for i in range(n) if i not in bad]
+            out.append((tuple(i - kept[0] for i in kept), kept[0]))
+    return out
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, _qm_k1, _qm_k2, item_id, n_matched, item_tokens, window_matched, window).
 
@@ -56,19 +73,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     items = benchmark.select(F.col("item_id"), _hashed("text").alias("_qm_bh")).where(F.size("_qm_bh") >= LEAST_TOKENS)
     items = materialize(items.groupBy("_qm_bh").agg(F.min("item_id").alias("item_id")).select("item_id", "_qm_bh", F.xxhash64("_qm_bh").alias("_qm_item")), "items")
-    short = sorted(r[0] for r in items.where(F.size("_qm_bh") < SPAN).select(F.size("_qm_bh")).distinct().collect())
-    masks = [*MASKS, *(tuple(range(n)) for n in short)]
-    # An item below SPAN is sought by the mask of its own length; longer ones by MASKS.
     size = F.size("_qm_bh")
-    wanted = F.when(size >= SPAN, F.col("m") < len(MASKS))
-    for i, n in enumerate(short):
-        wanted = wanted.when(size == n, F.col("m") == len(MASKS) + i)
-    inside = F.lit(False)
-    for i, mask in enumerate(masks):
-        inside = inside | ((F.col("m") == i) & (F.col("q") + (max(mask) if i >= len(MASKS) else SPAN - 1) < size))
+    short = {r[0]: short_masks(r[0]) for r in items.where(size < WINDOW).select(size).distinct().collect()}
+    masks = list(dict.fromkeys([*MASKS, *(mask for n in sorted(short) for mask, _ in short[n])]))
+    wanted = F.when(size >= WINDOW, (F.col("m") < len(MASKS)) & (F.col("q") + SPAN - 1 < size))
+    for n, some in short.items():
+        wanted = wanted.when(size == n, F.col("pos").isin([q * len(masks) + masks.index(mask) for mask, q in some]))
     seeds = items.select("_qm_item", "_qm_bh", F.posexplode(_seeds("_qm_bh", masks)).alias("pos", "seed"))
     seeds = seeds.withColumn("m", F.col("pos") % len(masks)).withColumn("q", F.floor(F.col("pos") / len(masks)).cast("int"))
-    seeds = seeds.where(wanted & inside).select("_qm_item", "seed", "q")
+    seeds = seeds.where(wanted).select("_qm_item", "seed", "q")
     seeds = materialize(seeds, "seeds")
 
     hashed = docs.select("doc_id", *row_keys(), _hashed("text").alias("_qm_h"))

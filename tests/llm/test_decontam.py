@@ -58,6 +58,21 @@ def test_substitutions_short_items_and_odd_rows(spark, odd, nothing):
     assert decontam.decontaminated(odd, items.limit(0)).count() == odd.count()
 
 
+def test_short_items_with_all_admissible_substitutions(spark):
+    items = {n: " ".join(f"i{n}t{k}" for k in range(n)) for n in range(5, 15)}
+    docs = []
+    for n, text in items.items():
+        for lost in (0, n // 5, n // 5 + 1):
+            for bad in combinations(range(n), lost):
+                toks = ["x" if k in bad else w for k, w in enumerate(text.split())]
+                docs += [" ".join(["before", *toks, "after"])] + [" ".join(toks).removeprefix("x ").removesuffix(" x")] * any(k in bad for k in (0, n - 1))
+    docs = dict(enumerate(docs))
+    rows = lambda d: spark.createDataFrame(list(d.items()), "id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(rows(docs).withColumnRenamed("id", "doc_id"), rows(items).withColumnRenamed("id", "item_id")).collect()}
+    assert got == slow(docs, items)
+    assert {b for _, b in got} == set(items)
+
+
 def test_a_document_repeated_as_a_row_is_reported_and_dropped(spark):
     passage = " ".join(f"t{i}" for i in range(30))
     docs = spark.createDataFrame([(1, passage), (1, passage), (None, passage), (2, "clean text")], "doc_id long, text string")
