@@ -15,6 +15,7 @@ language are not learned from.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,13 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, learned_from, sample_texts, small_batches, table, texts_of
+from .common import held_out, learned_from, small_batches, table, texts_of
 
 BUCKETS = 1 << 15
 #: Log score lost at each switch of language between two words.
 SWITCH = 8.0
-#: Bound of the sample: texts per language, of the least hashes of doc_id.
-TEXTS_PER_LANG = 1500
 #: Hashes fall in 2 ** RANGE_BITS ranges when that sample is sought.
 RANGE_BITS = 10
 CACHE_WORDS = 150_000
@@ -41,6 +40,9 @@ SCRIPTS = (
     (0x10A0, 0x10FF, "georgian"), (0x1100, 0x11FF, "hangul"), (0x1E00, 0x1EFF, "latin"), (0x1F00, 0x1FFF, "greek"), (0x3040, 0x309F, "kana"),
     (0x30A0, 0x30FF, "kana"), (0x3400, 0x9FFF, "han"), (0xAC00, 0xD7AF, "hangul"),
 )
+SCRIPT_NAMES = (*sorted({s for _, _, s in SCRIPTS}), "other")
+#: Counts leave a task after so many languages.
+FLUSH_LANGS = 64
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -79,24 +81,40 @@ class Model:
         return s
 
 
-def train(rows: list[tuple[str, str]]) -> Model:
-    """From (text, language) pairs."""
-    langs = sorted({lang for _, lang in rows})
-    counts = np.zeros((BUCKETS, len(langs)))
-    seen: dict[str, np.ndarray] = {}
-    for text, lang in rows:
-        words = _WORD.findall(text.lower())
-        if not words:
-            continue
-        j = langs.index(lang)
-        slots, _ = trigram_slots(words)
-        counts[:, j] += np.bincount(slots, minlength=BUCKETS)
-        for w in words:
-            seen.setdefault(script_of(w), np.zeros(len(langs)))[j] += 1
+def count_trigrams(batches):
+    """(lang, cell, n) of (lang, text): numbers of hashed trigrams, then of words by script."""
+    counts: dict[str, np.ndarray] = {}
+
+    def out():
+        for lang, row in counts.items():
+            at = np.flatnonzero(row)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(row[at])], names=["lang", "cell", "n"])
+        counts.clear()
+
+    for b in batches:
+        words: dict[str, Counter] = {}
+        for lang, x in zip(b.column(0).to_pylist(), texts_of(b, 1), strict=True):
+            words.setdefault(lang, Counter()).update(_WORD.findall(x.decode("utf-8", "replace").lower()))
+        for lang, some in words.items():
+            if not some:
+                continue
+            row = counts.setdefault(lang, np.zeros(BUCKETS + len(SCRIPT_NAMES), np.int64))
+            distinct, n = list(some), np.fromiter(some.values(), np.int64, len(some))
+            slots, _ = trigram_slots(distinct)
+            np.add.at(row, slots, np.repeat(n, np.fromiter(map(len, distinct), np.int64, len(distinct))))
+            np.add.at(row, [BUCKETS + SCRIPT_NAMES.index(script_of(w)) for w in distinct], n)
+        if len(counts) > FLUSH_LANGS:
+            yield from out()
+    yield from out()
+
+
+def train(langs: list[str], table: np.ndarray) -> Model:
+    """From the numbers that ``count_trigrams`` gives: a column for each language."""
+    counts, words = table[:BUCKETS], table[BUCKETS:]
     logp = np.log((counts + ALPHA) / (counts.sum(axis=0) + ALPHA * BUCKETS))
     # A language that has a script in less than a thousandth of its words is no candidate there, unless none has more.
-    total = np.maximum(sum(seen.values()) if seen else np.ones(len(langs)), 1)
-    scripts = {s: np.where(c >= np.minimum(total / 1000, c.max()), 0.0, -1e4) for s, c in seen.items()}
+    total = np.maximum(words.sum(axis=0), 1)
+    scripts = {s: np.where(c >= np.minimum(total / 1000, c.max()), 0.0, -1e4) for s, c in zip(SCRIPT_NAMES, words, strict=True) if c.any()}
     return Model(langs, logp.astype(np.float32), scripts)
 
 
@@ -197,15 +215,22 @@ def _least(known: DataFrame, per_lang: int) -> DataFrame:
     return some.withColumn("_qm_n", F.row_number().over(order)).where(F.col("_qm_n") <= per_lang)
 
 
-def fit(docs: DataFrame, k: int = 4, r: int = 2, per_lang: int = TEXTS_PER_LANG) -> Model:
-    """Learn from at most ``per_lang`` whole texts of each language whose crc32(doc_id) mod k is not r.
+def fit(docs: DataFrame, k: int = 4, r: int = 2) -> Model:
+    """Learn from all rows with a language whose crc32(doc_id) mod k is not r; only sums by language and trigram are collected.
 
     With no row to learn from, every prediction is undetermined.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learned_from(k, r)).select("doc_id", F.col("lang").alias("_qm_lang"))
-    picked = _least(known, per_lang).select("doc_id", "_qm_lang")
-    rows = sample_texts(docs.select("doc_id", "text"), picked)
-    return train([(b.decode("utf-8", "replace"), lang) for _, b, lang in rows])
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learned_from(k, r))
+    small_batches(docs.sparkSession, 1024)
+    part = known.select(F.col("lang").alias("_qm_lang"), F.col("text").cast("binary").alias("_qm_b")).mapInArrow(count_trigrams, "lang string, cell int, n long")
+    rows = part.groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
+    names = rows["lang"].combine_chunks().dictionary_encode() if rows.num_rows else pa.array([], pa.string()).dictionary_encode()
+    langs = sorted(names.dictionary.to_pylist())
+    column = np.array([langs.index(x) for x in names.dictionary.to_pylist()], np.int64)
+    table = np.zeros((BUCKETS + len(SCRIPT_NAMES), len(langs)))
+    if rows.num_rows:
+        table[rows["cell"].to_numpy(), column[names.indices.to_numpy()]] = rows["n"].to_numpy()
+    return train(langs, table)
 
 
 def predictions(docs: DataFrame, model: Model) -> DataFrame:

@@ -79,6 +79,19 @@ def test_language_is_learned_from_the_right_rows(odd):
     assert "xx" not in langid.fit(lied).langs
 
 
+def test_language_learns_from_each_row_once_and_by_its_own_language(spark):
+    """One doc_id stands on a third of all rows, under two languages and none."""
+    rows = [(1, f"one two three {'x' * (i % 5 + 1)}", "en") for i in range(300)] + [(1, "eins zwei drei", "de")] * 40 + [(1, "qqq www", None)] * 50
+    rows += [(i, "der die das", "de") for i in range(3, 700) if remainder(i, 4) != 2]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    alone = [(lang, text) for _, text, lang in rows if lang]
+    assert model.langs == ["de", "en"]
+    want = np.zeros((langid.BUCKETS, 2))
+    for lang, text in alone:
+        want[:, model.langs.index(lang)] += np.bincount(langid.trigram_slots(text.split())[0], minlength=langid.BUCKETS)
+    assert np.allclose(model.logp, np.log((want + langid.ALPHA) / (want.sum(axis=0) + langid.ALPHA * langid.BUCKETS)), atol=1e-5)
+
+
 # ---- quality -------------------------------------------------------------------
 
 
