@@ -288,6 +288,77 @@ def test_lm_learns_from_all_training_texts(spark):
     assert 300 < lm.shares(training, 1500)[0].count() < 700
 
 
+def slow_log10(model: lm.Model, words: list[bytes]) -> list[float]:
+    """The network's log10 probability of each word, and of the end, one id after another in plain loops."""
+    import math
+
+    net, begin, enc = model.network, lm.begin_classes(model.class_of, lm.begins()), lm.tokenizer()
+    ids = [enc.encode_ordinary(" " + w.decode()) for w in words]
+    seq = [int(model.class_of[i]) for x in ids for i in x] + [lm.STOP]
+
+    def law(t: int) -> np.ndarray:
+        first = t // lm.HALF * lm.HALF - lm.HALF - 1
+        seen = [(t - 1 - j, lm.START if j < 0 else seq[j]) for j in range(max(first, -1), t)]
+        last = seen[-1][1]
+        w = [math.exp(np.clip(net.query[last] @ net.key[c], -20, 20)) * math.exp(np.clip(net.place[d], -20, 20)) for d, c in seen]
+        mean = sum(x * net.value[c] for x, (_, c) in zip(w, seen, strict=True)) / sum(w)
+        z = net.own[last] + mean @ net.out
+        return np.exp(z) / np.exp(z).sum()
+
+    out, t = [], 0
+    for x in ids:
+        p = 1 / law(t)[begin].sum()
+        for i in x:
+            p *= law(t)[model.class_of[i]] * math.exp(model.emit[i])
+            t += 1
+        out.append(math.log10(p * law(t)[begin].sum()))
+    return [*out, math.log10(law(t)[lm.STOP] / law(t)[begin].sum())]
+
+
+def small_model(spark):
+    texts = ["the house of the cat is a house", "a cat and a dog of the house, naïve and e.g. odd-looking", "the dog is the dog", "that was his dog, and the cat was hers"] * 9 + ["", "zebra 12 crossing", "the the the " * 40 + "xyzzy"]
+    training = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").where(lm.learned_from(7, 2))
+    counts = {r[0]: r[1] for r in lm.word_counts(training).collect()}
+    n, v = sum(counts.values()), len(counts)
+    return texts, counts, n, v, lm.fit(training, lm.word_counts(training), n, v, training.count())
+
+
+def test_lm_probabilities_sum_to_one_at_most(spark):
+    _, counts, n, v, model = small_model(spark)
+    words = lm.Words(model, counts, n, v)
+    some = [w for w in counts if w != lm.END] + [b"neverseen"]
+    for prefix in ([], [b"the"], [b"a", b"dog", b"neverseen"], [b"the", b"house"] * 30):
+        texts = [b" ".join([*prefix, w]) for w in some] + [b" ".join(prefix)]
+        s = words.score(texts)
+        unigram = np.log10([counts.get(w, 0) + 1 for w in s["every"]]) - np.log10(n + v + 1)
+        chance = 10 ** lm.mixture(model.share, s["network"], unigram)
+        at = [*(s["starts"][:-1] + len(prefix)), s["starts"][-1] + len(prefix)]
+        assert [s["every"][i] for i in at] == [*some, lm.END]
+        assert 0.3 < chance[at].sum() <= 1 + 1e-6 and (10 ** s["network"][at]).sum() <= 1 + 1e-6
+
+
+def test_lm_score_agrees_with_brute_force(spark):
+    import math
+
+    texts, counts, n, v, model = small_model(spark)
+    got = {r.doc_id: r.score for r in lm.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), head_words=5).collect()}
+    assert sorted(got) == list(range(len(texts)))
+    for i, x in list(enumerate(texts))[-8:]:
+        words = x.lower().encode().split()
+        chances = zip([*words, lm.END], slow_log10(model, words), strict=True)
+        want = sum(math.log10(model.share * (counts.get(w, 0) + 1) / (n + v + 1) + (1 - model.share) * 10**p) for w, p in chances)
+        assert math.isclose(got[i], want, rel_tol=1e-4)
+
+
+def test_lm_subwords_of_many_words_are_those_of_each():
+    words = "plain naïve 12,5 e.g. \u00a0 a\u00a0b x\u2003 東京 'tis it's <|endoftext|> \x1c \x85 --".encode().split() + [b"\xff\xfebad"]
+    for some in (words, words[:-1], words[:1], []):
+        ids, sizes = lm.subwords(some)
+        want = [lm._alone(lm.TOKENIZER, w) for w in some]
+        assert ids.tolist() == [i for x in want for i in x] and sizes.tolist() == [len(x) for x in want]
+        assert all(lm.begins()[x[0]] and not lm.begins()[x[1:]].any() for x in want)
+
+
 def test_lm_of_odd_rows(odd, nothing):
     got = lm.scored(odd).collect()
     assert len(got) == odd.count()
