@@ -330,10 +330,11 @@ def test_lm_probabilities_sum_to_one_at_most(spark):
     for prefix in ([], [b"the"], [b"a", b"dog", b"neverseen"], [b"the", b"house"] * 30):
         texts = [b" ".join([*prefix, w]) for w in some] + [b" ".join(prefix)]
         s = words.score(texts)
-        unigram = np.log10([counts.get(w, 0) + 1 for w in s["every"]]) - np.log10(n + v + 1)
+        every = [s["distinct"][i] for i in s["ids"]]
+        unigram = np.log10([counts.get(w, 0) + 1 for w in every]) - np.log10(n + v + 1)
         chance = 10 ** lm.mixture(model.share, s["network"], unigram)
         at = [*(s["starts"][:-1] + len(prefix)), s["starts"][-1] + len(prefix)]
-        assert [s["every"][i] for i in at] == [*some, lm.END]
+        assert [every[i] for i in at] == [*some, lm.END]
         assert 0.3 < chance[at].sum() <= 1 + 1e-6 and (10 ** s["network"][at]).sum() <= 1 + 1e-6
 
 
@@ -350,6 +351,14 @@ def test_lm_score_agrees_with_brute_force(spark):
         assert math.isclose(got[i], want, rel_tol=1e-4)
 
 
+def test_lm_tokens_are_the_words_and_the_ends():
+    texts = [b" a  B\x0bc\x0cd\x1ce\xc2\x85 \xc2\xa0f ", b"", b"\xff\xfe bad", b" \n ", "É É x".encode(), b"x"]
+    t = lm.Tokens.of(texts)
+    want = [w for x in texts for w in (*x.lower().split(), lm.END)]
+    assert [t.distinct[i] for i in t.ids] == want and t.sizes.tolist() == [len(x.split()) + 1 for x in texts]
+    assert lm.Tokens.of([]).sizes.tolist() == []
+
+
 def test_lm_subwords_of_many_words_are_those_of_each():
     words = "plain naïve 12,5 e.g. \u00a0 a\u00a0b x\u2003 東京 'tis it's <|endoftext|> \x1c \x85 --".encode().split() + [b"\xff\xfebad"]
     for some in (words, words[:-1], words[:1], []):
