@@ -2,14 +2,20 @@
 
 Fixed masks keep six of nine token positions. Hashes of the kept tokens at
 every position of every document meet those of the benchmark in a join; a hit
-fixes an item and an alignment, along which all tokens are compared. A document
+fixes an item and an alignment, along which all tokens are compared. Before the
+join a table of bits, one for each of the benchmark's hashes, passes over nearly
+all others, so that what is joined, or shuffled where the benchmark is too large
+to broadcast, is little more than the hits. A document
 is contaminated if some window of 13 aligned tokens (the whole item where it is
 shorter) agrees in four fifths or more. The masks find every such window with
 up to two substitutions; items shorter than a window have further masks, by
 their length, that find a fifth of their tokens substituted at any places.
 
-Tokens are runs of letters and digits in lower case. Items of fewer than
-``LEAST_TOKENS`` tokens, null texts and null items match nothing. Long texts are
+Tokens are runs of letters, digits and combining marks in lower case; of scripts
+written without spaces each letter is one. Items of fewer than five tokens are
+sought word for word, so a benchmark of single words finds them in any text:
+``least_tokens`` leaves such items out where that is not wanted. Null texts, null
+items and those without a token match nothing. Long texts are
 read whole; of items of equal tokens the smallest item_id is reported; rows
 equal in doc_id and text are reported once and dropped together; empty tables
 match nothing; other columns stay as they are.
@@ -18,6 +24,7 @@ match nothing; other columns stay as they are.
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -30,24 +37,64 @@ MASKS = ((0, 1, 2, 5, 7, 8), (0, 1, 3, 4, 5, 8), (0, 4, 5, 6, 7, 8))
 SPAN = 9
 WINDOW = 13
 SHARE = 0.8
-#: Items shorter than this are too short to tell.
-LEAST_TOKENS = 5
+#: Items shorter than this are not sought.
+LEAST_TOKENS = 1
 BROADCAST_SEEDS = 2_000_000
+#: Binary logarithms of the least and most bits of the table of the benchmark's hashes; BITS_A_SEED for each between.
+LEAST_BITS, MOST_BITS, BITS_A_SEED = 12, 26, 16
+#: Code points of scripts written without spaces between words (Thai, Lao, Burmese, Khmer, kana, Han).
+UNSPACED = r"\x{E00}-\x{EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3005}-\x{3007}\x{3040}-\x{30FF}\x{31F0}-\x{31FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{323AF}"
 
 
 def tokens(text: str) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    """Lower-case runs of letters, digits and marks; an unspaced letter with its marks is one by itself."""
+    lower = F.lower(text)
+    apart = F.when(lower.rlike(f"[{UNSPACED}]"), F.regexp_replace(lower, f"([{UNSPACED}]\\p{{M}}*)", " $1 ")).otherwise(lower)
+    return F.regexp_extract_all(apart, F.lit(r"([\p{L}\p{N}][\p{L}\p{N}\p{M}]*)"), F.lit(1))
 
 
 def _hashed(text: str) -> Column:
     return F.transform(tokens(text), lambda w: F.xxhash64(w))
 
 
-def _seeds(hashes: str, masks: list[tuple[int, ...]]) -> Column:
-    """Hashes of every mask at every position: mask by mask within a position."""
-    at = lambda i: F.array(*[F.xxhash64(F.lit(m), *[F.get(hashes, i + o) for o in mask]) for m, mask in enumerate(masks)])
-    positions = F.when(F.size(hashes) > 0, F.sequence(F.lit(0), F.size(hashes) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.flatten(F.transform(positions, at))
+def _seed(m: int, mask: tuple[int, ...], hashes: str, pos: Column) -> Column:
+    """Hash of what mask ``m`` keeps at ``pos``; places beyond the end count as null."""
+    return F.xxhash64(F.lit(m), *[F.get(hashes, pos + o) for o in mask])
+
+
+def _of_item(masks: list[tuple[int, ...]]) -> Column:
+    """Hashes of every mask at every position of an item: mask by mask within a position."""
+    at = lambda i: F.array(*[_seed(m, mask, "_qm_bh", i) for m, mask in enumerate(masks)])
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size("_qm_bh") - 1), at))
+
+
+def bit_table(seeds: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """One row (_qm_bits array<long>) with a bit set for each seed, found by its highest bits, and the logarithm of its longs."""
+    logs = min(max((n * BITS_A_SEED).bit_length(), LEAST_BITS), MOST_BITS) - 6
+    some = seeds.groupBy(F.shiftrightunsigned("seed", 64 - logs).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(seed & 63 as int))")).alias("x"))
+    every = seeds.sparkSession.range(1 << logs).join(some, "id", "left").select(F.struct("id", F.coalesce("x", F.lit(0).cast("long")).alias("x")).alias("s"))
+    return every.agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["x"]).alias("_qm_bits")), logs
+
+
+def _maybe(seed: Column, logs: int) -> Column:
+    """Whether the seed's bit is set."""
+    word = F.get("_qm_bits", F.shiftrightunsigned(seed, 64 - logs).cast("int"))
+    return F.getbit(word, seed.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def probes(hashed: DataFrame, seeds: DataFrame, n: int, masks: list[tuple[int, ...]]) -> DataFrame:
+    """(doc_id, _qm_k1, _qm_k2, pos, seed) of every position and mask of the documents whose bit is set.
+
+    The positions are generated, hashed and tested within one stage of
+    generated code; only what passes leaves it.
+    """
+    bits, logs = bit_table(seeds, n)
+    at = hashed.crossJoin(F.broadcast(materialize(bits, "bits"))).select("doc_id", *KEYS, "_qm_h", "_qm_bits", F.posexplode_outer("_qm_h").alias("pos", "_qm_own"))
+    every = [_seed(m, mask, "_qm_h", F.col("pos")) for m, mask in enumerate(masks)]
+    # Outer, since otherwise the planner tests the array's size first by making it twice.
+    passed = at.where("pos is not null").where(reduce(Column.__or__, [_maybe(x, logs) for x in every]))
+    one = passed.select("doc_id", *KEYS, "pos", "_qm_bits", F.explode(F.array(*every)).alias("seed"))
+    return one.where(_maybe(F.col("seed"), logs)).drop("_qm_bits")
 
 
 def short_masks(n: int) -> list[tuple[tuple[int, ...], int]]:
@@ -65,13 +112,13 @@ def short_masks(n: int) -> list[tuple[tuple[int, ...], int]]:
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least_tokens: int = LEAST_TOKENS) -> DataFrame:
     """(doc_id, _qm_k1, _qm_k2, item_id, n_matched, item_tokens, window_matched, window).
 
     One row per contaminated document and matched item, from the item's best
     alignment. Items of equal tokens are one, of the smallest item_id.
     """
-    items = benchmark.select(F.col("item_id"), _hashed("text").alias("_qm_bh")).where(F.size("_qm_bh") >= LEAST_TOKENS)
+    items = benchmark.select(F.col("item_id"), _hashed("text").alias("_qm_bh")).where(F.size("_qm_bh") >= max(least_tokens, 1))
     items = materialize(items.groupBy("_qm_bh").agg(F.min("item_id").alias("item_id")).select("item_id", "_qm_bh", F.xxhash64("_qm_bh").alias("_qm_item")), "items")
     size = F.size("_qm_bh")
     short = {r[0]: short_masks(r[0]) for r in items.where(size < WINDOW).select(size).distinct().collect()}
@@ -79,15 +126,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     wanted = F.when(size >= WINDOW, (F.col("m") < len(MASKS)) & (F.col("q") + SPAN - 1 < size))
     for n, some in short.items():
         wanted = wanted.when(size == n, F.col("pos").isin([q * len(masks) + masks.index(mask) for mask, q in some]))
-    seeds = items.select("_qm_item", "_qm_bh", F.posexplode(_seeds("_qm_bh", masks)).alias("pos", "seed"))
+    seeds = items.select("_qm_item", "_qm_bh", F.posexplode(_of_item(masks)).alias("pos", "seed"))
     seeds = seeds.withColumn("m", F.col("pos") % len(masks)).withColumn("q", F.floor(F.col("pos") / len(masks)).cast("int"))
     seeds = seeds.where(wanted).select("_qm_item", "seed", "q")
     seeds = materialize(seeds, "seeds")
 
+    n_seeds = seeds.count()
     hashed = docs.select("doc_id", *row_keys(), _hashed("text").alias("_qm_h"))
-    probes = hashed.select("doc_id", *KEYS, F.posexplode(_seeds("_qm_h", masks)).alias("pos", "seed"))
-    hits = probes.join(bounded_broadcast(seeds, seeds.count(), BROADCAST_SEEDS), "seed")
-    aligned = hits.select("doc_id", *KEYS, "_qm_item", (F.floor(F.col("pos") / len(masks)).cast("int") - F.col("q")).alias("diagonal")).distinct()
+    hits = probes(hashed, seeds, n_seeds, masks).join(bounded_broadcast(seeds, n_seeds, BROADCAST_SEEDS), "seed")
+    aligned = hits.select("doc_id", *KEYS, "_qm_item", (F.col("pos") - F.col("q")).alias("diagonal")).distinct()
     aligned = materialize(aligned, "aligned").join(items, "_qm_item")
     found = materialize(aligned.drop("doc_id"), "candidates")
     n = found.count()

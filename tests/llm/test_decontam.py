@@ -1,12 +1,15 @@
 from __future__ import annotations
 
 import random
-import re
 from itertools import combinations
 
+import regex
+
 from quillmark.llm import decontam
 
-TOKEN = re.compile(r"[^\W_]+")
+#: One letter of a script without spaces, or a run of other letters, digits and marks.
+_OWN = r"[\p{Thai}\p{Lao}\p{Myanmar}\p{Khmer}\p{Hiragana}\p{Katakana}\p{Han}]"
+TOKEN = regex.compile(rf"(?V1){_OWN}\p{{M}}*|[\p{{L}}\p{{N}}--{_OWN}](?:[\p{{L}}\p{{N}}\p{{M}}--{_OWN}])*")
 
 
 def slow(docs: dict[int, str], items: dict[int, str]) -> set[tuple[int, int]]:
@@ -18,8 +21,10 @@ def slow(docs: dict[int, str], items: dict[int, str]) -> set[tuple[int, int]]:
         if len(item) < decontam.LEAST_TOKENS:
             continue
         w = min(13, len(item))
+        known = set(item)
         for d, t in toks.items():
-            for diagonal in range(-len(item) + 1, len(t)):
+            near = {p - q for p, x in enumerate(t) if x in known for q, y in enumerate(item) if x == y}
+            for diagonal in near:
                 same = [0 <= q + diagonal < len(t) and t[q + diagonal] == x for q, x in enumerate(item)]
                 if sum(same) * 5 >= 4 * w and any(sum(same[s : s + w]) * 5 >= 4 * w for s in range(len(item) - w + 1)):
                     out.add((d, b))
@@ -33,9 +38,9 @@ def test_masks_find_two_substitutions_in_a_window():
 
 
 def test_query_agrees_with_brute_force(spark, sf):
-    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if len(r.text or "") < 6000}
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     items = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
-    got = {(r.doc_id, r.item_id) for r in decontam.op8_decontamination(spark, sf).collect() if r.doc_id in docs}
+    got = {(r.doc_id, r.item_id) for r in decontam.op8_decontamination(spark, sf).collect() }
     assert got == slow(docs, items)
     assert got
 
@@ -50,8 +55,9 @@ def test_substitutions_short_items_and_odd_rows(spark, odd, nothing):
     rows = [(1, "before " + " ".join(changed) + " after"), (2, "x alpha, BETA gamma. delta epsilon zeta y"), (3, "too short"), (4, " ".join(passage[:12])), (5, None), (6, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect()}
-    assert got == {(1, 1), (2, 2), (4, 1)} or got == {(1, 1), (2, 2)}
-    assert [r.doc_id for r in decontam.decontaminated(docs, items).orderBy("doc_id").collect()][-2:] == [5, 6]
+    assert got == {(1, 1), (2, 2), (3, 3), (4, 1)} == slow({r[0]: r[1] or "" for r in rows}, {r.item_id: r.text or "" for r in items.collect() if r.item_id != 6})
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, items, least_tokens=5).collect()} == {(1, 1), (2, 2), (4, 1)}
+    assert [r.doc_id for r in decontam.decontaminated(docs, items).orderBy("doc_id").collect()] == [5, 6]
     out = decontam.decontaminated(odd, items)
     assert out.columns == odd.columns and out.count() == odd.count()
     assert decontam.contaminated(nothing, items).count() == 0
@@ -59,7 +65,7 @@ def test_substitutions_short_items_and_odd_rows(spark, odd, nothing):
 
 
 def test_short_items_with_all_admissible_substitutions(spark):
-    items = {n: " ".join(f"i{n}t{k}" for k in range(n)) for n in range(5, 15)}
+    items = {n: " ".join(f"i{n}t{k}" for k in range(n)) for n in range(1, 21)}
     docs = []
     for n, text in items.items():
         for lost in (0, n // 5, n // 5 + 1):
@@ -73,6 +79,27 @@ def test_short_items_with_all_admissible_substitutions(spark):
     assert {b for _, b in got} == set(items)
 
 
+def test_unspaced_scripts_marks_and_the_longest_of_equal_alignments(spark):
+    items = {1: "東京は日本の首都です。人口は約千四百万人。", 2: "ภาษาไทยเขียนติดกันเสมอ", 3: "नमस्ते दुनिया कैसे हैं आप", 4: "lone", 5: "a a a a a b"}
+    docs = {1: "前文 " + items[1] + " 後文", 2: "x" + items[2] + "y", 3: "कहा नमस्ते दुनिया कैसे हैं आप और", 4: "all lonely", 5: "a lone word", 6: "a a a a a a a a b a b", 7: "東京は日本の首都だ", 8: "e\u0301te\u0301 naïve"}
+    rows = lambda d, k: spark.createDataFrame(list(d.items()), f"{k} long, text string")
+    found = decontam.contaminated(rows(docs, "doc_id"), rows(items, "item_id")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == slow(docs, items) == {(1, 1), (2, 2), (3, 3), (5, 4), (6, 5)}
+    assert [(r.n_matched, r.window_matched) for r in found if r.doc_id == 6] == [(6, 6)]
+    toks = {r[0]: r[1] for r in rows(docs, "i").select("i", decontam.tokens("text")).collect()}
+    assert all(toks[i] == TOKEN.findall(t.lower()) for i, t in docs.items())
+
+
+def test_bits_of_all_seeds_are_set_and_few_others(spark):
+    from pyspark.sql import functions as F
+
+    seeds = spark.range(3000).select(F.xxhash64("id").alias("seed"))
+    bits, logs = decontam.bit_table(seeds, 3000)
+    other = spark.range(3000, 23_000).select(F.xxhash64("id").alias("seed"))
+    passed = lambda df: df.crossJoin(bits).where(decontam._maybe(F.col("seed"), logs)).count()
+    assert passed(seeds) == 3000 and passed(other) < 20_000 / 10
+
+
 def test_a_document_repeated_as_a_row_is_reported_and_dropped(spark):
     passage = " ".join(f"t{i}" for i in range(30))
     docs = spark.createDataFrame([(1, passage), (1, passage), (None, passage), (2, "clean text")], "doc_id long, text string")
