@@ -10,15 +10,19 @@
    goes right, down to one shard. Draws are functions of the seed and the node.
 4. Blocks are drawn in a permuted order, every block once before any is drawn
    again; a shard takes the next run of each source's draws, so shards are
-   disjoint. Within a shard, a hash gives the order.
+   disjoint. Within a shard, the order of a hash gives the places: it is
+   shuffled locally.
 
 A null or blank text has no words and nothing is taken of it; a null source is a
 source, the last; rows equal in doc_id and text are separate documents, in any
 order; a table without words has target 0 throughout and an empty table gives an
-empty one; other columns are not read.
+empty one; other columns are not read, but for those asked for.
 
 Only DataFrame and SQL functions are used. Positions come from sums over
-buckets of about ``BUCKET_DOCS`` documents, so no source is in one task.
+buckets of about ``BUCKET_DOCS`` documents, so no source is in one task. The
+tree's nodes are dealt anew every ``LEVELS`` levels. A draw finds its shard in a
+join on (source, the shard where it would be if the source were spread evenly),
+to which each shard's run is listed under the few even shards that it overlaps.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import KEYS, materialize, row_keys, table
+from .common import KEYS, bounded_broadcast, materialize, row_keys, table
 
 #: Weights by rank of the source, and the most a source is repeated.
 WEIGHTS = (5, 2, 1)
@@ -35,8 +39,12 @@ MOST = 3
 BLOCK_WORDS, BLOCKS = 64, 1000
 SHARD_WORDS = 4_000_000
 BUCKET_DOCS = 4096
-#: Longs (sources times shards) that may be broadcast; beyond it sources are copied SALT times and joined.
-BROADCAST_LONGS, SALT = 2_000_000, 64
+#: Rows of sources that may be broadcast; beyond it they are copied SALT times and joined.
+BROADCAST_SOURCES, SALT = 500_000, 64
+#: Runs (sources times shards) that may be broadcast.
+BROADCAST_RUNS = 500_000
+#: Levels of the tree that are unfolded where their root is.
+LEVELS = 8
 SEED = 20_240_229
 #: Primes, one of which does not divide the number of blocks.
 PRIMES = (15_485_863, 32_452_843, 49_979_687, 67_867_967, 86_028_121)
@@ -46,11 +54,6 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), F.lit(0).cast("long"))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, _qm_k1, _qm_k2, source, size)."""
-    return docs.select("doc_id", *row_keys(), F.col("source").cast("string"), word_count().alias("size"))
-
-
 def targets(sizes: DataFrame) -> DataFrame:
     """(ix, source, source_size, n_docs, target), a row per source.
 
@@ -126,13 +129,15 @@ def _split() -> str:
 def split_tree(root: DataFrame, shards: int) -> DataFrame:
     """(shard, quotas) leaves from a row (quotas array<long>).
 
-    Each level turns a row into two, by itself: nothing is shuffled. Shards'
-    sizes differ by one block at most.
+    Each level turns a row into two, by itself; after every ``LEVELS`` levels
+    the rows are dealt over tasks. Shards' sizes differ by one block at most.
     """
     total = F.aggregate("quotas", F.lit(0).cast("long"), lambda x, y: x + y)
     tree = root.select(F.lit(0).alias("lo"), F.lit(shards).alias("hi"), total.cast("decimal(38,0)").alias("all"), "quotas")
     size = lambda a, b: f"cast(floor(`all` * {b} / {shards}) - floor(`all` * {a} / {shards}) as bigint)"
-    for _ in range((shards - 1).bit_length()):
+    for level in range((shards - 1).bit_length()):
+        if level and level % LEVELS == 0:
+            tree = materialize(tree.repartition(min(1 << level, 4096), "lo"), "tree")
         tree = tree.withColumn("mid", F.expr("lo + (hi - lo) div 2")).withColumn("take", F.expr(size("lo", "mid")))
         tree = tree.withColumn("left", F.when(F.col("mid") > F.col("lo"), F.expr(_split())))
         left = "named_struct('lo', lo, 'hi', mid, 'quotas', left)"
@@ -142,71 +147,127 @@ def split_tree(root: DataFrame, shards: int) -> DataFrame:
     return tree.select(F.col("lo").alias("shard"), "quotas")
 
 
-def plan(src: DataFrame, shards: int) -> DataFrame:
-    """``quotas`` with starts: for each shard, the number of the source's draws that go to earlier shards."""
-    q = materialize(quotas(src), "quotas")
+def runs(q: DataFrame, shards: int) -> DataFrame:
+    """(ix, even, shard, start, end): draws start to end - 1 of a source go to ``shard``, listed under each even shard that they touch."""
     root = q.agg(F.transform(F.array_sort(F.collect_list(F.struct("ix", "quota"))), lambda x: x["quota"]).alias("quotas"))
     leaves = materialize(split_tree(root, shards), "shards")
     cell = leaves.select("shard", F.posexplode("quotas").alias("ix", "n"))
-    before = Window.partitionBy("ix").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    cell = cell.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    starts = cell.groupBy("ix").agg(F.transform(F.array_sort(F.collect_list(F.struct("shard", "start"))), lambda x: x["start"]).alias("starts"))
-    return materialize(q.join(starts, "ix"), "plan")
+    # Sums over groups of shards first, so that no task adds up all shards of a source.
+    cell = cell.withColumn("group", F.floor(F.col("shard") / BUCKET_DOCS))
+    order = Window.partitionBy("ix").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = cell.groupBy("ix", "group").agg(F.sum("n").alias("m")).select("ix", "group", F.coalesce(F.sum("m").over(order), F.lit(0)).alias("ahead"))
+    within = Window.partitionBy("ix", "group").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    cell = cell.withColumn("start", F.coalesce(F.sum("n").over(within), F.lit(0))).join(ahead, ["ix", "group"]).withColumn("start", F.col("start") + F.col("ahead"))
+    cell = cell.where("n > 0").withColumn("end", F.col("start") + F.col("n")).join(F.broadcast(q.select("ix", "quota")), "ix")
+    under = F.sequence(_even(F.col("start"), shards), _even(F.col("end") - 1, shards))
+    return materialize(cell.select("ix", "shard", "start", "end", F.explode(under).alias("even")), "runs")
+
 
+def _even(draw: Column, shards: int) -> Column:
+    """The shard of a draw if its source's ``quota`` were spread evenly."""
+    return F.floor(draw.cast("double") * F.lit(shards) / F.col("quota")).cast("long")
 
-def _with_source(docs: DataFrame, src: DataFrame, longs: int) -> DataFrame:
+
+def _with_source(docs: DataFrame, src: DataFrame, sources: int) -> DataFrame:
     """Join documents to their source's row; the source may be null, and one may hold any share of the rows."""
     src = src.withColumnRenamed("source", "_qm_source")
-    if longs <= BROADCAST_LONGS:
+    if sources <= BROADCAST_SOURCES:
         return docs.join(F.broadcast(src), F.col("source").eqNullSafe(F.col("_qm_source"))).drop("_qm_source")
     salted = src.withColumn("_qm_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     on = F.col("source").eqNullSafe(F.col("_qm_source")) & (F.pmod(F.col(KEYS[1]), F.lit(SALT)).cast("int") == F.col("_qm_salt"))
     return docs.join(salted, on).drop("_qm_source", "_qm_salt")
 
 
-def drawn(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """Every document with what the mix takes of it.
+def placed(docs: DataFrame, keep: tuple[str, ...] = (), shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame, int]:
+    """Every document at its place in its source's stream of words, the sources' rows (``quotas``), and the number of shards.
 
-    (doc_id, _qm_k1, _qm_k2, source, size, source_size, target, draws), draws
-    being array<struct<first_word, n_words, repeat, shard>>, empty where
-    nothing is taken. A null text has no words; sources may be null.
+    (doc_id, _qm_k1, _qm_k2, source, size, kept columns as _qm_0 and so on, the
+    columns of ``quotas``, start).
     """
-    sizes = materialize(sized(docs), "sized")
-    src = materialize(targets(sizes), "targets")
+    named = [F.col(c).alias(f"_qm_{i}") for i, c in enumerate(keep)]
+    sizes = docs.select("doc_id", *row_keys(), F.col("source").cast("string"), word_count().alias("size"), *named)
+    sizes = sizes if keep else materialize(sizes, "sized")
+    src = materialize(targets(materialize(sizes.select("source", "size"), "sized") if keep else sizes), "targets")
     n, total = src.agg(F.count("*"), F.sum("source_size")).first()
-    shards = max(1, -(-(total or 0) // shard_words))
-    q = plan(src, shards)
-    rows = _with_source(sizes, q.drop("starts"), n)
+    q = materialize(quotas(src), "quotas")
+    rows = _with_source(sizes, q, n)
     rows = rows.withColumn("bucket", F.pmod(F.col(KEYS[0]), F.ceil(F.col("n_docs") / BUCKET_DOCS)))
+    rows = rows.withColumn("start", F.coalesce(F.sum("size").over(Window.partitionBy("ix", "bucket").orderBy(*KEYS).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = materialize(rows, "rows")
     ahead = rows.groupBy("ix", "bucket").agg(F.sum("size").alias("words"))
     order = Window.partitionBy("ix").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = ahead.select("ix", "bucket", F.coalesce(F.sum("words").over(order), F.lit(0)).alias("ahead"))
-    within = Window.partitionBy("ix", "bucket").orderBy(*KEYS).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("start", F.coalesce(F.sum("size").over(within), F.lit(0))).join(ahead, ["ix", "bucket"]).withColumn("start", F.col("start") + F.col("ahead"))
-    rows = _with_source(rows, q.select("source", "starts"), n * shards)
-    steps = max(1, shards.bit_length())
-    half = _let("m", "cast((s.a + s.b) div 2 as int)", "if(starts[m] <= d, named_struct('a', m, 'b', s.b), named_struct('a', s.a, 'b', m))")
-    shard = f"aggregate(sequence(1, {steps}), named_struct('a', 0, 'b', {shards}), (s, i) -> if(s.b - s.a <= 1, s, {half}), s -> s.a)"
+    ahead = materialize(ahead.select("ix", "bucket", F.coalesce(F.sum("words").over(order), F.lit(0)).alias("ahead")), "ahead")
+    rows = rows.join(bounded_broadcast(ahead, ahead.count()), ["ix", "bucket"]).withColumn("start", F.col("start") + F.col("ahead")).drop("bucket", "ahead")
+    return rows, q, max(1, -(-(total or 0) // shard_words))
+
+
+def draws(rows: DataFrame, q: DataFrame, shards: int) -> DataFrame:
+    """What the mix takes of the ``placed`` rows: (doc_id, _qm_k1, _qm_k2, ix, source, start, first_word, n_words, repeat, shard, place).
+
+    A shard holds the words of ``SHARD_WORDS`` at most, so the window that
+    shuffles it is bounded.
+    """
     block = _let(
         "o", "named_struct('a', greatest(start, b * block), 'z', least(start + size, (b + 1) * block), 'd', pmod(b * step + shift, n_blocks))",
-        f"transform(filter(transform(sequence(0, {MOST - 1}), e -> e * n_blocks + o.d), d -> d < quota), d -> named_struct('first_word', o.a - start, 'n_words', o.z - o.a, 'repeat', cast(d div n_blocks as int), 'shard', {shard}))",
+        f"transform(filter(transform(sequence(0, {MOST - 1}), e -> e * n_blocks + o.d), d -> d < quota), d -> named_struct('first_word', o.a - start, 'n_words', o.z - o.a, 'repeat', cast(d div n_blocks as int), 'draw', d))",
     )
-    draws = f"if(size > 0, flatten(transform(sequence(start div block, (start + size - 1) div block), b -> {block})), array())"
-    kind = "array<struct<first_word:bigint,n_words:bigint,repeat:int,shard:int>>"
-    return rows.select("doc_id", *KEYS, "source", "size", "source_size", "target", F.expr(f"cast({draws} as {kind})").alias("draws"))
+    every = F.expr(f"flatten(transform(sequence(start div block, (start + size - 1) div block), b -> {block}))")
+    one = rows.where("size > 0").select("doc_id", *KEYS, "ix", "source", "start", "quota", F.explode(every).alias("d")).select("doc_id", *KEYS, "ix", "source", "start", "quota", "d.*")
+    one = one.withColumn("even", _even(F.col("draw"), shards))
+    r = runs(q, shards).withColumnsRenamed({"start": "_qm_from", "end": "_qm_to"})
+    one = one.join(bounded_broadcast(r, r.count(), BROADCAST_RUNS), ["ix", "even"]).where("draw >= _qm_from and draw < _qm_to")
+    local = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(SEED), *KEYS, "first_word", "repeat"), *KEYS, "start", "first_word", "repeat")
+    return one.select("doc_id", *KEYS, "ix", "source", "start", "first_word", "n_words", "repeat", "shard", F.row_number().over(local).alias("place"))
 
 
 def mixture(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """The mix itself: (doc_id, source, shard, place, first_word, n_words, repeat), place being the hashed order within the shard."""
-    one = drawn(docs, shard_words).select("doc_id", *KEYS, "source", F.explode("draws").alias("d")).select("doc_id", *KEYS, "source", "d.*")
-    return one.select("doc_id", "source", "shard", F.xxhash64(F.lit(SEED), *KEYS, "first_word", "repeat").alias("place"), "first_word", "n_words", "repeat")
+    """The mix itself: (doc_id, source, shard, place, first_word, n_words, repeat), places counting from 1 in each shard."""
+    return draws(*placed(docs, (), shard_words)).select("doc_id", "source", "shard", "place", "first_word", "n_words", "repeat")
 
 
-def taken(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, n_shards) of every row, taken being the words the mix takes, repeats counted."""
+def _with_draws(docs: DataFrame, keep: tuple[str, ...], shard_words: int) -> DataFrame:
+    """``placed`` rows with draws, an array of (shard, place, first_word, n_words, repeat), empty where nothing is taken.
+
+    A source and a start name a document that has words.
+    """
+    rows, q, shards = placed(docs, keep, shard_words)
+    mine = draws(rows, q, shards).groupBy("ix", F.col("start").alias("_qm_at")).agg(F.array_sort(F.collect_list(F.struct("shard", "place", "first_word", "n_words", "repeat"))).alias("draws"))
+    rows = rows.withColumn("_qm_at", F.when(F.col("size") > 0, F.col("start"))).join(mine, ["ix", "_qm_at"], "left")
+    return rows.withColumn("draws", F.coalesce("draws", F.array().cast(mine.schema["draws"].dataType)))
+
+
+def _figures() -> list[Column]:
     words = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["n_words"])
     n_shards = F.size(F.array_distinct(F.transform("draws", lambda d: d["shard"])))
-    return drawn(docs, shard_words).select("doc_id", "source", "size", "source_size", "target", words.alias("taken"), n_shards.alias("n_shards"))
+    return [F.col("doc_id"), F.col("source"), F.col("size"), F.col("source_size"), F.col("target"), words.alias("taken"), n_shards.alias("n_shards")]
+
+
+def taken(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken, n_shards, places_hash) of every row.
+
+    taken is the number of words the mix takes, repeats counted; places_hash a
+    hash of where they stand: (shard, place, first_word, n_words, repeat) of all draws.
+    """
+    return _with_draws(docs, (), shard_words).select(*_figures(), F.xxhash64("draws").alias("places_hash"))
+
+
+def mixed(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """``taken`` with the texts: text, that of the document, and pieces, what the mix takes of it.
+
+    pieces is a JSON array of {shard, place, text}: the pieces of all documents
+    in the order of shard and place are the mixed corpus (``corpus``).
+    """
+    words = F.regexp_extract_all("_qm_0", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    rows = _with_draws(docs, ("text",), shard_words).withColumn("_qm_words", words)
+    piece = lambda d: F.struct(d["shard"].alias("shard"), d["place"].alias("place"), F.array_join(F.slice("_qm_words", d["first_word"].cast("int") + 1, d["n_words"].cast("int")), " ").alias("text"))
+    return rows.select(*_figures(), F.col("_qm_0").alias("text"), F.to_json(F.transform("draws", piece)).alias("pieces"))
+
+
+def corpus(mix: DataFrame, path: str) -> None:
+    """Write what ``mixed`` gave as Parquet, a folder for each shard, rows in their local order."""
+    piece = F.explode(F.from_json("pieces", "array<struct<shard:int,place:int,text:string>>"))
+    rows = mix.select("doc_id", "source", piece.alias("p")).select("doc_id", "source", "p.*")
+    rows.repartition("shard").sortWithinPartitions("shard", "place").write.partitionBy("shard").parquet(path)
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

@@ -68,7 +68,7 @@ def test_hypergeometric_law(spark):
 def test_tree_splits_every_quota_exactly(spark):
     quotas = [0, 1, 977, 50_000, 3]
     root = spark.createDataFrame([(quotas,)], "quotas array<bigint>")
-    for shards in (1, 2, 7, 16):
+    for shards in (1, 2, 7, 16, 600):
         leaves = mixing.split_tree(root, shards).collect()
         assert sorted(r.shard for r in leaves) == list(range(shards))
         assert [sum(r.quotas[i] for r in leaves) for i in range(len(quotas))] == quotas
@@ -93,6 +93,43 @@ def test_shards_hold_disjoint_draws_of_whole_blocks(spark, sf):
     assert max(by.values()) - min(by.values()) < 0.15 * max(by.values())
 
 
+def test_places_are_a_shuffle_of_each_shard_and_runs_tile_the_draws(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = mixing.mixture(docs, shard_words=5_000).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r.shard].append((r.place, r.doc_id))
+    assert len(by) > 10
+    for some in by.values():
+        assert sorted(p for p, _ in some) == list(range(1, len(some) + 1))
+    first = [d for _, d in sorted(by[0])]
+    assert first != sorted(first) and len(set(first[: len(first) // 2])) > 5
+    size, quota = Counter(), Counter()
+    for r in rows:
+        size[r.source] += r.n_words
+        quota[r.source, r.repeat] += 1
+    again = {(r.doc_id, r.taken, r.places_hash) for r in mixing.taken(docs, 5_000).collect()}
+    assert again == {(r.doc_id, r.taken, r.places_hash) for r in mixing.taken(docs.repartition(7), 5_000).collect()}
+    assert sum(t for _, t, _ in again) == sum(size.values())
+
+
+def test_the_written_corpus_holds_the_words_taken(spark, odd, tmp_path):
+    import json
+
+    mix = mixing.mixed(odd, shard_words=4_000)
+    rows = mix.collect()
+    assert len(rows) == odd.count()
+    for r in rows:
+        pieces = json.loads(r.pieces)
+        assert sum(len(WORD.findall(p["text"])) for p in pieces) == r.taken
+        assert all(p["text"] in " ".join(WORD.findall(r.text or "")) for p in pieces)
+    path = f"file://{tmp_path}/mix"
+    mixing.corpus(mix, path)
+    written = spark.read.parquet(path).collect()
+    key = lambda x: (x[0], x[1])
+    assert sorted(((w.shard, w.place, w.text) for w in written), key=key) == sorted(((p["shard"], p["place"], p["text"]) for r in rows for p in json.loads(r.pieces)), key=key)
+
+
 def test_odd_rows(odd, nothing):
     got = mixing.taken(odd).collect()
     assert len(got) == odd.count()

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 from collections import Counter
 
 import corpus_pipeline
@@ -33,7 +34,7 @@ def test_stages_follow_each_other_and_take_effect(spark, sf):
     assert ids["near_dedup"] == set(root.values())
 
     items = {r.item_id: r.text for r in table(spark, sf, "benchmark").collect()}
-    short = {i: text_of[i] for i in ids["near_dedup"] if len(text_of[i]) < 6000}
+    short = {i: text_of[i] for i in ids["near_dedup"]}
     leaked = {d for d, _ in slow(short, items)}
     assert leaked and ids["decontamination"] & set(short) == set(short) - leaked
     assert decontam.contaminated(kept["decontamination"], table(spark, sf, "benchmark")).count() == 0
@@ -45,8 +46,11 @@ def test_stages_follow_each_other_and_take_effect(spark, sf):
 
     mixed = {r.doc_id: r for r in kept["mixing"].collect()}
     source = {r.doc_id: r.source for r in kept["pii"].collect()}
-    sizes, taken = Counter(), Counter()
+    sizes, taken, words_of = Counter(), Counter(), lambda pieces: [w for p in pieces for w in WORD.findall(p["text"])]
     for i, r in mixed.items():
+        assert r.text == texts[i] and r.source == source[i]
+        drawn = Counter(words_of(json.loads(r.pieces)))
+        assert sum(drawn.values()) == r.taken and all(n <= 3 * Counter(WORD.findall(texts[i]))[w] for w, n in drawn.items())
         assert r["size"] == len(WORD.findall(texts[i])) and r.taken <= 3 * r["size"]
         sizes[source[i]] += r["size"]
         taken[source[i]] += r.taken
