@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of (two longs or so) that may be broadcast; beyond it joins shuffle.
@@ -32,10 +32,12 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see: spark.checkpoint.dir.
 
-    Only where the session names none (local runs and tests) is one made.
+    Only a local master that names none (as in tests) has one made.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='qm-shared-')}"
         spark.conf.set("spark.checkpoint.dir", root)
         atexit.register(_remove_local, root)
@@ -60,7 +62,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._qm_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for ``df``, which no later plan reads."""
+    remove_path(df.sparkSession, df._qm_path)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
@@ -90,8 +99,17 @@ def drop_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
     The columns of ``docs`` come back unchanged, whatever they are called.
     """
     keys = materialize(keys.select(*KEYS).distinct(), "drop")
-    keyed = docs.withColumns(dict(zip(KEYS, row_keys(), strict=True)))
-    return keyed.join(bounded_broadcast(keys, keys.count()), KEYS, "left_anti").drop(*KEYS)
+    keyed, names = with_keys(docs)
+    keys_as = keys.toDF(*names)
+    return keyed.join(bounded_broadcast(keys_as, keys.count()), names, "left_anti").drop(*names)
+
+
+def with_keys(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with its row keys, under names that it does not use yet."""
+    names = list(KEYS)
+    while set(names) & set(docs.columns):
+        names = [f"{n}_" for n in names]
+    return docs.withColumns(dict(zip(names, row_keys(), strict=True))), names
 
 
 def remainder(k: int, doc_id: str = "doc_id") -> Column:
@@ -107,20 +125,23 @@ def learned_from(k: int, r: int) -> Column:
     return F.coalesce(remainder(k) != r, F.lit(False))
 
 
-def sample_texts(docs: DataFrame, picked: DataFrame) -> list:
-    """Whole texts of the ``picked`` rows (doc_id and labels), which the caller has bounded by a limit.
+def sample_texts(docs: DataFrame, picked: DataFrame, most_rows: int, most_bytes: int) -> list:
+    """(doc_id, text, labels...) of whole texts of the ``picked`` rows (doc_id and labels).
 
-    Sorted, so that a rerun learns the same model.
+    Rows equal in doc_id, text and labels are one. They are taken in the order
+    of their hashes, whatever their lengths, until there are ``most_rows`` or
+    the texts before hold ``most_bytes``; both bounds hold before any text is
+    collected. Sorted, so that a rerun learns the same model.
     """
     cols = [c for c in picked.columns if c != "doc_id"]
-    rows = (
-        docs.select(F.col("doc_id"), F.col("text").cast("binary").alias("_qm_b"))
-        .where("_qm_b is not null")
-        .join(F.broadcast(picked), "doc_id")
-        .select("doc_id", "_qm_b", *cols)
-        .collect()
-    )
-    return sorted(((r[0], bytes(r[1]), *r[2:]) for r in rows), key=lambda r: (r[0], r[1]))
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("_qm_b"), *row_keys()).where("_qm_b is not null").join(F.broadcast(picked), "doc_id")
+    sizes = texts.select(*KEYS, *cols, F.length("_qm_b").alias("_qm_size")).distinct().orderBy(*KEYS, *cols).limit(most_rows)
+    before = Window.orderBy(*KEYS, *cols).rowsBetween(Window.unboundedPreceding, -1)
+    # The window's one task holds most_rows rows of a few numbers.
+    some = sizes.withColumn("_qm_before", F.coalesce(F.sum("_qm_size").over(before), F.lit(0))).where(F.col("_qm_before") < most_bytes).select(*KEYS, *cols)
+    some = materialize(some, "sample")
+    rows = texts.join(F.broadcast(some), [*KEYS, *cols], "left_semi").dropDuplicates([*KEYS, *cols]).select("doc_id", "_qm_b", *cols).collect()
+    return sorted(((r[0], bytes(r[1]), *r[2:]) for r in rows), key=lambda r: (r[0], r[1], *r[2:]))
 
 
 def texts_of(batch: pa.RecordBatch, i: int) -> list[bytes]:

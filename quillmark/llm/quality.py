@@ -25,7 +25,7 @@ EMBED, FILTERS = 8, 16
 STEP = 4
 #: Positions in a group; a chunk is 4 groups and starts 3 groups after the one before.
 GROUP, CHUNK_GROUPS, CHUNK_STEP = 16, 4, 3
-#: Bound of the labelled sample that the network is fitted on.
+#: Bound of the labelled sample that the network is fitted on: texts in hash order, of any length, until one bound is met.
 SAMPLE_ROWS = 1200
 SAMPLE_BYTES = 4_000_000
 EPOCHS = 10
@@ -167,13 +167,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", k: int = 5,
     """
     known = labels.where(F.col(label).isin(0, 1) & learned_from(k, r)).select("doc_id", F.col(label).alias("_qm_y"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id", "_qm_y").limit(rows)
-    sample, size = [], 0
-    for _, text, y in sorted(sample_texts(docs, picked), key=lambda x: (len(x[1]), x[0], x[2])):
-        size += len(text)
-        if size > SAMPLE_BYTES:
-            break
-        sample.append((text, y))
-    return train(sample)
+    sample = sorted(sample_texts(docs, picked, rows, SAMPLE_BYTES), key=lambda x: (len(x[1]), x[0], x[2]))
+    return train([(text, y) for _, text, y in sample])
 
 
 def _score(net: Network):

@@ -10,7 +10,7 @@ WORDS = {
 }
 
 #: Names that operators use inside, as extra columns of the input.
-EXTRA = ["size", "target", "score", "row", "fp", "word", "key", "media", "seed", "draws", "root", "n_words", "held_out", "lang_pred", "spans"]
+EXTRA = ["size", "target", "score", "row", "fp", "word", "key", "media", "seed", "draws", "root", "n_words", "held_out", "lang_pred", "spans", "_qm_k1", "_qm_k2", "_qm_b"]
 
 
 def prose(rng: random.Random, lang: str, n: int) -> str:
