@@ -4,7 +4,7 @@ integral images, written as NPY tiles with difference hashes.
 A null text is stored like an empty one; a null medium has null features; a text
 of any length is one image, 64 samples wide. Rows are independent: repeated ones
 repeat their result, an empty table gives an empty one. A medium that is no
-image of these formats is an error.
+image of these formats has null features and says why in ``error``.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, texts_of
+from .common import materialize, small_batches, table, texts_of
 
 WIDTH = 64
 #: Side of an NPY tile.
@@ -158,34 +158,39 @@ def text_media(docs: DataFrame) -> DataFrame:
 def _features(batches):
     for b in batches:
         i = b.schema.get_field_index("media")
-        cols: list[list] = [[] for _ in range(6)]
+        cols: list[list] = [[] for _ in range(7)]
         for m in b.column(i).to_pylist():
-            if m is None:
-                for c in cols:
-                    c.append(None)
+            try:
+                a = None if m is None else decode(m)
+                error = None
+            except (ValueError, IndexError, struct.error) as e:
+                a, error = None, str(e) or type(e).__name__
+            if a is None or not a.size:
+                for c, v in zip(cols, (None,) * 6 + (error if a is None else "no samples",), strict=True):
+                    c.append(v)
                 continue
-            a = decode(m)
             payload, s = a.tobytes(), integral(grey(a))
             tile = npy(np.rint(area_resize(s, TILE, TILE)).astype(np.uint8 if a.dtype == np.uint8 else np.uint16))
-            for c, v in zip(cols, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), hashlib.sha256(m).hexdigest(), difference_hash(s), tile), strict=True):
+            for c, v in zip(cols, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), hashlib.sha256(m).hexdigest(), difference_hash(s), tile, None), strict=True):
                 c.append(v)
         kept = [b.column(j) for j in range(b.num_columns) if j != i]
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary())
-        names = [n for n in b.schema.names if n != "media"] + ["payload_bytes", "payload_sha256", "tail_crc32", "media_sha256", "dhash", "tile"]
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string())
+        names = [n for n in b.schema.names if n != "media"] + ["payload_bytes", "payload_sha256", "tail_crc32", "media_sha256", "dhash", "tile", "error"]
         yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=names)
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Decode the stored ``media`` column; its place take digests of the samples read back, dhash and an NPY tile.
+    """Decode the stored ``media`` column; its place take digests of the samples read back, dhash, an NPY tile and an error.
 
     A null medium has null features; other columns stay.
     """
     small_batches(media.sparkSession)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema if f.name != "media")
-    return media.mapInArrow(_features, kept + ", payload_bytes long, payload_sha256 string, tail_crc32 long, media_sha256 string, dhash string, tile binary")
+    return media.mapInArrow(_features, kept + ", payload_bytes long, payload_sha256 string, tail_crc32 long, media_sha256 string, dhash string, tile binary, error string")
 
 
 def op2_media(spark, sf_dir: str) -> DataFrame:
-    media = text_media(table(spark, sf_dir, "documents"))
+    """Stores the images in the shared folder and reads them back; ``tile`` is the NPY tile itself."""
+    media = materialize(text_media(table(spark, sf_dir, "documents")), "media")
     out = media_features(media.withColumn("media_bytes", F.length("media").cast("long")))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.concat_ws(":", "dhash", F.sha2("tile", 256)).alias("feature"))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.concat_ws(":", "dhash", F.sha2("tile", 256)).alias("feature"), "tile")

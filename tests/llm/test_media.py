@@ -73,3 +73,10 @@ def test_broken_images_are_refused():
     for data in (b"", b"GIF89a", b"BM" + bytes(60)):
         with pytest.raises((ValueError, IndexError, Exception)):
             media.decode(data)
+
+
+def test_a_malformed_medium_has_null_features_and_an_error(spark):
+    rows = [(1, b"P5\n2 2\n255\nabcd"), (2, b"not an image"), (3, b"P5\n9 9\n255\nshort"), (4, b"BM"), (5, b""), (6, None), (7, b"P6\n"), (8, b"P5\n0 0\n255\n")]
+    got = {r.doc_id: r for r in media.media_features(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
+    assert got[1].dhash and got[1].error is None and got[6].error is None
+    assert all(got[i].dhash is None and got[i].payload_sha256 is None for i in range(2, 9)) and all(got[i].error for i in (2, 3, 4, 5, 7, 8))
