@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -38,7 +38,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not last[0]:
             return e
-        e = materialize(_small_star(_large_star(e).where("u <> v").distinct()).distinct(), "stars")
+        before, e = e, materialize(_small_star(_large_star(e).where("u <> v").distinct()).distinct(), "stars")
+        discard(before)
         now = _state(e)
         if now == last:
             return e

@@ -28,13 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, drop_rows, materialize, row_keys, small_batches, table, texts_of
+from .common import BROADCAST_ROWS, bounded_broadcast, drop_rows, materialize, row_keys, small_batches, table, texts_of, with_keys
 from .components import components
 
 SHINGLE = 4
 SEED = 42
 DISTANCE = 4
 CHUNK = 256
+SALT = 64
 
 
 def fingerprint(data: bytes, k: int = SHINGLE) -> int:
@@ -66,8 +67,8 @@ def _fingerprints(batches):
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, _qm_k1, _qm_k2, fp): one row per document, fp a signed 64-bit long; a null text counts as empty."""
     small_batches(docs.sparkSession)
-    keyed = docs.select(F.col("doc_id").cast("long"), *row_keys(), F.col("text").cast("binary").alias("_qm_b"))
-    return keyed.mapInArrow(_fingerprints, "doc_id long, _qm_k1 long, _qm_k2 long, fp long")
+    keyed = docs.select("doc_id", *row_keys(), F.col("text").cast("binary").alias("_qm_b"))
+    return keyed.mapInArrow(_fingerprints, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _qm_k1 long, _qm_k2 long, fp long")
 
 
 def block_count(n: int, per_key: float = 4.0) -> int:
@@ -142,6 +143,14 @@ def links(distinct: DataFrame, n: int) -> DataFrame:
     return alone.unionByName(pair).mapInArrow(_verify, "u long, v long")
 
 
+def _to_root(rooted: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """Join fingerprints to their class; one class may hold any share of them, so beyond a broadcast its row is copied SALT times."""
+    if n <= BROADCAST_ROWS:
+        return rooted.join(F.broadcast(least), "root")
+    salted = least.withColumn("_qm_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rooted.withColumn("_qm_salt", F.pmod(F.xxhash64("fp"), F.lit(SALT)).cast("int")).join(salted, ["root", "_qm_salt"]).drop("_qm_salt")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(fp, doc_id, _qm_k1, _qm_k2, root, component_id): near-duplicate classes, root being a fingerprint that names one.
 
@@ -153,8 +162,8 @@ def classes(docs: DataFrame) -> DataFrame:
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     parent = components(links(nodes.select("fp"), nodes.count()))
     rooted = nodes.join(parent.withColumnsRenamed({"u": "fp", "v": "root"}), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    node_class = materialize(rooted.join(least, "root").select("fp", "root", "component_id"), "classes")
+    least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    node_class = materialize(_to_root(rooted, least, least.count()).select("fp", "root", "component_id"), "classes")
     return prints.join(bounded_broadcast(node_class, nodes.count()), "fp")
 
 
@@ -172,9 +181,10 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     rest = drop_rows(docs, dropped)
     if not repeated.count():
         return rest
-    keyed = rest.withColumns(dict(zip(["_qm_k1", "_qm_k2"], row_keys(), strict=True)))
-    once = keyed.join(repeated, ["_qm_k1", "_qm_k2"], "left_semi").dropDuplicates(["_qm_k1", "_qm_k2"])
-    return keyed.join(repeated, ["_qm_k1", "_qm_k2"], "left_anti").unionByName(once).drop("_qm_k1", "_qm_k2")
+    keyed, names = with_keys(rest)
+    repeated = repeated.toDF(*names)
+    once = keyed.join(repeated, names, "left_semi").dropDuplicates(names)
+    return keyed.join(repeated, names, "left_anti").unionByName(once).drop(*names)
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
