@@ -59,15 +59,15 @@ _RUN = re.compile(r"[^\s]+")
 
 
 def fold(text: str) -> str:
-    """Lower case with look-alikes replaced.
+    """Lower case with look-alikes replaced; l is written i, since one sign stands for either.
 
     A digit or sign is replaced only inside a chunk that also has letters, so
     numbers and rows of signs stay as they are; signs at a chunk's ends go.
     """
     text = text.lower()
     if text.isascii() and not _ODD.search(text):
-        return text
-    return _RUN.sub(lambda m: _fold_chunk(m[0]), text)
+        return text.replace("l", "i")
+    return _RUN.sub(lambda m: _fold_chunk(m[0]), text).replace("l", "i")
 
 
 _ODD = re.compile(r"[0134578@$!|]")
@@ -91,7 +91,8 @@ class Model:
     def automaton(self) -> ahocorasick.Automaton:
         """Values: length and weight; an exception has weight 0."""
         a = ahocorasick.Automaton()
-        for w, x in (self.weights | dict.fromkeys(map(fold, self.exceptions), 0.0)).items():
+        words = {fold(w): x for w, x in self.weights.items()} | dict.fromkeys(map(fold, self.exceptions), 0.0)
+        for w, x in words.items():
             a.add_word(w, (len(w), x))
         a.make_automaton()
         return a
