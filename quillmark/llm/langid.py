@@ -31,6 +31,8 @@ SWITCH = 8.0
 #: Hashes fall in 2 ** RANGE_BITS ranges when that sample is sought.
 RANGE_BITS = 10
 CACHE_WORDS = 150_000
+#: Numbers of languages.
+LABEL = np.int16
 ALPHA = 0.3
 
 #: First and last code point of ranges, and their script; letters elsewhere are "other".
@@ -127,14 +129,14 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, switch: float = SWITCH) -> np
     starts = (np.cumsum(sizes) - sizes)[order]
     long = sizes[order]
     n, width = len(scores), scores.shape[1]
-    came = np.empty((n, width), np.int8)
-    own = np.arange(width, dtype=np.int8)
+    came = np.empty((n, width), LABEL)
+    own = np.arange(width, dtype=LABEL)
     active = np.searchsorted(-long, -np.arange(long[0]), side="left")
     at = starts.copy()
     delta = scores[at].astype(np.float64)
     came[at] = own
-    labels = np.empty(n, np.int8)
-    finals = np.empty(len(sizes), np.int8)
+    labels = np.empty(n, LABEL)
+    finals = np.empty(len(sizes), LABEL)
     for t in range(1, long[0]):
         k = active[t]
         if k < len(delta):
@@ -148,7 +150,7 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, switch: float = SWITCH) -> np
         delta = np.where(stay, delta, jump)
         delta += scores[at]
     finals[: len(delta)] = delta.argmax(axis=1)
-    state = np.empty(0, np.int8)
+    state = np.empty(0, LABEL)
     for t in range(long[0] - 1, -1, -1):
         k = active[t]
         if k > len(state):

@@ -43,7 +43,7 @@ EG29 PS29 QA29 UA29 JO30 KW30 MU30 YE30 MT31 SC31 LC32 RU33"""
 IBAN_LENGTH = {x[:2]: int(x[2:]) for x in _LENGTHS.split()}
 #: Words near a span that make its kind likelier, by kind.
 CONTEXT = {
-    "email": ("email", "mail", "e-mail", "contact", "correo", "courriel"),
+    "email": ("email", "mail", "contact", "correo", "courriel"),
     "ip": ("ip", "address", "host", "server", "adresse"),
     "card": ("card", "visa", "mastercard", "credit", "karte", "carte", "tarjeta"),
     "phone": ("phone", "tel", "call", "fax", "mobile", "telefon"),
@@ -201,10 +201,11 @@ def redacted(docs: DataFrame) -> DataFrame:
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:
-    """n_* count the base spans; base_sha256 digests them; spans lists base and added ones."""
+    """n_* count the base spans; base_sha256 digests them; spans lists base and added ones, span_scores their scores."""
     found = spans(table(spark, sf_dir, "documents"))
     listed = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("found", lambda s: s["kind"].isin(*BASE_KINDS))
     count = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     counts = [count(k) for k in BASE_KINDS]
-    return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
+    scores = F.array_join(F.transform("found", lambda s: F.format_number(s["score"], 2)), ",")
+    return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"), scores.alias("span_scores"))

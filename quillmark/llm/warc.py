@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bounded_broadcast, materialize, remove_path, scratch_path, small_batches, table
+from .common import BROADCAST_ROWS, bounded_broadcast, discard, materialize, remove_path, scratch_path, small_batches, table
 
 VERSION = "WARC/1.1"
 MAGIC = f"{VERSION}\r\n"
@@ -211,8 +211,9 @@ def reachable(edges: DataFrame) -> DataFrame:
     for _ in range(MOST_ROUNDS):
         target = state.select("file", F.col("off").alias("next"), F.col("next").alias("after"))
         told = state.where("hit").select("file", F.col("next").alias("off"), F.lit(True).alias("told"))
-        state = state.join(target, ["file", "next"], "left").join(told, ["file", "off"], "left")
+        before, state = state, state.join(target, ["file", "next"], "left").join(told, ["file", "off"], "left")
         state = materialize(state.select("file", "off", F.col("after").alias("next"), (F.col("hit") | F.coalesce("told", F.lit(False))).alias("hit")), "chain")
+        discard(before)
         now = state.where("hit").count()
         if now == done:
             break

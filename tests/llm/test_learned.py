@@ -45,6 +45,55 @@ def test_viterbi_agrees_with_trying_all_paths():
         at += n
 
 
+def test_viterbi_tells_three_hundred_languages_apart():
+    scores = np.full((600, 300), -9.0, np.float32)
+    scores[np.arange(600), np.repeat(np.arange(300), 2)] = 0
+    assert langid.viterbi(scores, np.full(300, 2)).tolist() == np.repeat(np.arange(300), 2).tolist()
+    assert langid.viterbi(scores, np.array([600]), switch=1.0).tolist() == np.repeat(np.arange(300), 2).tolist()
+
+
+def test_the_first_by_name_of_equal_languages_is_told(spark):
+    docs = spark.createDataFrame([(i, "same words here") for i in range(3)], "doc_id long, text string")
+    model = langid.train(["a", "b"], np.ones((langid.BUCKETS + len(langid.SCRIPT_NAMES), 2)))
+    assert {r.lang_pred for r in langid.predictions(docs, model).collect()} == {"a"}
+
+
+def slow_lang(model: langid.Model, text: str) -> tuple[str, float]:
+    """Word by word in plain loops."""
+    import re
+
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    if not words:
+        return "und", 0.0
+    own = []
+    for w in words:
+        s, marked = np.zeros(len(model.langs), np.float64), f" {w} "
+        for i in range(len(w)):
+            a, b, c = (ord(x) for x in marked[i : i + 3])
+            h = (a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) % 2**64
+            s += model.logp[(h ^ (h >> 17)) % langid.BUCKETS]
+        own.append(s + model.scripts.get(langid.script_of(w), 0))
+    best, came = own[0], []
+    for s in own[1:]:
+        top = int(best.argmax())
+        stay = best >= best[top] - langid.SWITCH
+        came.append(np.where(stay, np.arange(len(best)), top))
+        best = np.where(stay, best, best[top] - langid.SWITCH) + s
+    at = [int(best.argmax())]
+    for c in reversed(came):
+        at.append(int(c[at[-1]]))
+    weight = np.bincount(at[::-1], [len(w) for w in words], len(model.langs))
+    return model.langs[int(weight.argmax())], float(weight.max() / weight.sum())
+
+
+def test_language_query_agrees_with_plain_loops(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model, texts = langid.fit(docs), {r.doc_id: r.text or "" for r in docs.collect()}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.op3_langid(spark, sf).collect()}
+    want = {i: slow_lang(model, t) for i, t in texts.items()}
+    assert sum(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 1e-3 for i in texts) >= 0.99 * len(texts)
+
+
 def test_mixed_text_gets_spans(odd):
     model = langid.fit(odd)
     from tests.llm.conftest import WORDS
@@ -143,6 +192,40 @@ def test_quality_features_see_the_whole_text():
     assert not np.allclose(quality.features(net, long), quality.features(net, long[:-8] + b"\xf0\x9f\x98\x80#@!%"))
 
 
+def test_quality_sample_is_bounded_whatever_the_lengths(spark):
+    from quillmark.llm.common import sample_texts
+
+    rows = [(i, "x" * (10 if i % 2 else 1000) + str(i)) for i in range(400)] + [(7, "again")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    picked = spark.createDataFrame([(i, i % 3 % 2) for i in range(400)], "doc_id long, _qm_y int")
+    got = sample_texts(docs, picked, 10_000, 10**9)
+    assert sorted((r[0], r[1].decode()) for r in got) == sorted(set(rows))
+    some = sample_texts(docs, picked, 10_000, 50_000)
+    assert 50_000 <= sum(len(t) for _, t, _ in some) < 51_100 and 0.3 < np.mean([len(t) > 500 for _, t, _ in some]) < 0.7
+    assert len(sample_texts(docs, picked, 20, 10**9)) == 20 and sample_texts(docs.limit(0), picked, 9, 9) == []
+
+
+def test_quality_query_agrees_with_plain_scores(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    net = quality.fit(docs, labels)
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    weights = np.stack((net.left.T.reshape(quality.FILTERS, quality.STEP, quality.EMBED), net.right.T.reshape(quality.FILTERS, quality.STEP, quality.EMBED)), 1).reshape(quality.FILTERS, -1, quality.EMBED)
+
+    def slow(data: bytes) -> float:
+        width, chunk, step = 2 * quality.STEP, quality.GROUP * quality.CHUNK_GROUPS, quality.GROUP * quality.CHUNK_STEP
+        n = quality.chunks_of(len(data))
+        raw = np.zeros((step * (n - 1) + chunk + 1) * quality.STEP, int)
+        raw[: len(data)] = list(data)
+        y = np.array([np.maximum(0, np.tensordot(weights, net.embed[raw[p * quality.STEP : p * quality.STEP + width]], ([1, 2], [0, 1])) + net.bias) for p in range(step * (n - 1) + chunk)])
+        most = np.array([y[i * step : i * step + chunk].max(axis=0) for i in range(n)])
+        return 1 / (1 + np.exp(-(np.concatenate((most.mean(axis=0), most.max(axis=0))) @ net.out + net.out_bias[0])))
+
+    got = {r.doc_id: r.score for r in quality.op6_quality(spark, sf).collect()}
+    assert sorted(got) == sorted(texts)
+    some = [i for i, t in texts.items() if len(t) < 5000][:60]
+    assert np.allclose([got[i] for i in some], [slow(texts[i]) for i in some], atol=1e-4)
+
+
 def test_quality_of_odd_rows(odd, nothing, labels):
     net = quality.fit(odd, labels)
     got = quality.scores(odd, net).collect()
@@ -168,13 +251,36 @@ def test_toxicity_held_out_accuracy(spark):
 
 @pytest.mark.parametrize(
     ("text", "weight", "n"),
-    [("You idiot", 2.0, 1), ("you 1d10t!", 2.0, 1), ("іdіоt", 2.0, 1), ("IDIOT idiot", 4.0, 2), ("idiotic", 0.0, 0), ("a clown fish", 0.0, 0), ("clown, fish", 3.0, 1), ("two clown fish, one clown", 3.0, 1), ("10 1 5", 0.0, 0), ("", 0.0, 0)],
+    [("You idiot", 2.0, 1), ("you 1d10t!", 2.0, 1), ("іdіоt", 2.0, 1), ("IDIOT idiot", 4.0, 2), ("idiotic", 0.0, 0), ("a clown fish", 0.0, 0), ("clown, fish", 3.0, 1), ("two clown fish, one clown", 3.0, 1), ("10 1 5", 0.0, 0), ("", 0.0, 0), ("a c1own", 3.0, 1), ("c|own CLOWN", 6.0, 2)],
 )
 def test_matching(text, weight, n):
     a = toxicity.Model({"idiot": 2.0, "clown": 3.0}).automaton()
     assert toxicity.matches(a, toxicity.fold(text)) == (weight, n)
 
 
+def test_toxicity_query_agrees_with_plain_matching(spark, sf):
+    import math
+
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    lexicon = {toxicity.fold(w): x for w, x in model.weights.items()}
+    got = {r.doc_id: r for r in toxicity.op7_toxicity(spark, sf).collect()}
+    for r in docs.collect():
+        text = toxicity.fold(r.text or "")
+        found = []
+        for w, x in lexicon.items():
+            at = text.find(w)
+            while at >= 0:
+                end = at + len(w)
+                if not (at and text[at - 1].isalnum()) and not text[end : end + 1].isalnum():
+                    found.append((at, end, x))
+                at = text.find(w, at + 1)
+        free = [(i, i + len(e)) for e in map(toxicity.fold, model.exceptions) for i in range(len(text)) if text.startswith(e, i) and not text[i + len(e) : i + len(e) + 1].isalnum()]
+        found = [f for f in found if not any(a <= f[0] and f[1] <= b for a, b in free)]
+        want = toxicity.text_score(model, math.fsum(f[2] for f in found), len((r.text or "").split()))
+        assert got[r.doc_id].n_matches == len(found) and math.isclose(got[r.doc_id].score, want, rel_tol=1e-6)
+
+
 def test_a_group_of_copies_does_not_fill_the_lexicon(spark):
     rows = [(1, "zork flim grabble plonk quux wibble wobble sneeze " * 3 + str(i)) for i in range(200)]
     rows += [(1, f"{a} you nasty {b} thing {c} here") for a, b, c in zip("abcdefgh", "ijklmnop", "qrstuvwx", strict=True)]
