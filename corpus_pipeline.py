@@ -35,8 +35,8 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mixture takes of each document."""
-    return mixing.taken(docs)
+    """What the mixture takes of each document, with the words themselves; ``mixing.corpus`` writes them by shard."""
+    return mixing.mixed(docs)
 
 
 STAGES = [
