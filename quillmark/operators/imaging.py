@@ -185,6 +185,12 @@ def widest_quad(p: np.ndarray, area: np.ndarray) -> np.ndarray | None:
     return best
 
 
+#: What a mark is (largest share of the image, least and most aspect, least solidity, least share of
+#: the largest mark's area), and of the four chosen the most ratio of areas and error of the page's aspect.
+MARK_SHARE, MARK_ASPECT, MARK_SOLIDITY, MARK_LEAST = 0.02, (0.65, 1.55), 0.48, 0.2
+MARKS_RATIO, ASPECT_ERROR = 6, 0.45
+
+
 def corner_marks(found: dict[str, np.ndarray], shape: tuple[int, int], aspect: float, choose: Callable | None = None) -> np.ndarray | None:
     """Indices of the marks at tl, tr, br, bl among components, or None.
 
@@ -193,10 +199,10 @@ def corner_marks(found: dict[str, np.ndarray], shape: tuple[int, int], aspect: f
     fit the page's ``aspect`` are plausible; ``choose`` picks one by what is
     printed on the page.
     """
-    ok = (found["area"] <= shape[0] * shape[1] * 0.02) & (found["aspect"] >= 0.65) & (found["aspect"] <= 1.55) & (found["solidity"] >= 0.48)
+    ok = (found["area"] <= shape[0] * shape[1] * MARK_SHARE) & (found["aspect"] >= MARK_ASPECT[0]) & (found["aspect"] <= MARK_ASPECT[1]) & (found["solidity"] >= MARK_SOLIDITY)
     if ok.sum() < 4:
         return None
-    ok &= found["area"] >= 0.2 * found["area"][ok].max()
+    ok &= found["area"] >= MARK_LEAST * found["area"][ok].max()
     pool = np.nonzero(ok)[0]
     if len(pool) < 4:
         return None
@@ -205,7 +211,7 @@ def corner_marks(found: dict[str, np.ndarray], shape: tuple[int, int], aspect: f
     if quad is None:
         return None
     quad = pool[quad]
-    if found["area"][quad].max() / found["area"][quad].min() > 6:
+    if found["area"][quad].max() / found["area"][quad].min() > MARKS_RATIO:
         return None
     turned = []
     for r in range(4):
@@ -213,7 +219,7 @@ def corner_marks(found: dict[str, np.ndarray], shape: tuple[int, int], aspect: f
         top, right = np.hypot(*(p[q[0]] - p[q[1]])), np.hypot(*(p[q[1]] - p[q[2]]))
         if right >= 1:
             turned.append((abs(top / right - aspect) / aspect, r, q))
-    plausible = [q for error, _, q in sorted(turned, key=lambda t: t[:2]) if error <= 0.45]
+    plausible = [q for error, _, q in sorted(turned, key=lambda t: t[:2]) if error <= ASPECT_ERROR]
     if not plausible:
         return None
     return choose(plausible) if choose and len(plausible) > 1 else plausible[0]

@@ -19,6 +19,7 @@ MANUAL = ScoringConfig(num_questions=ITEMS, norm_mode="manual")
 OPTIONS = OmrOptions()
 
 #: Layouts of the geometry queries.
+#: The page layouts whose published accuracy is to be matched, and one of several pages.
 LAYOUTS = {
     "L30": Layout.of(),
     "L100": Layout.of({"num_questions": 100, "columns": 4, "rows_per_column": 25, "option_set": "ABCD", "row_pitch_mm": 6.5, "bubble_diameter_mm": 4.2, "grid_top_mm": 88, "number_gutter_mm": 7, "column_gap_mm": 4}),

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -44,61 +43,59 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
 
 
-class Surface:
-    """A white page to draw on, ``px`` pixels a millimetre."""
+class Canvas:
+    """A white page that takes ink where a function of millimetres says so, ``px`` pixels a millimetre."""
 
     def __init__(self, width_mm: float, height_mm: float, px: float):
         self.px = px
         self.grey = np.full((round(height_mm * px), round(width_mm * px)), 255, np.uint8)
 
-    def rect(self, x: float, y: float, w: float, h: float, value: int = 0) -> None:
-        at = lambda v: max(0, math.floor(v * self.px + 0.5))
-        self.grey[at(y) : at(y + h), at(x) : at(x + w)] = value
+    def ink(self, box: tuple[float, float, float, float], shape: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, value: int = 0) -> None:
+        """Set the pixels in ``box`` (left, top, right, bottom) for which ``shape`` of the offsets from its middle holds; all, without one."""
+        rows, cols = (slice(max(0, round(lo * self.px)), max(0, round(hi * self.px))) for lo, hi in ((box[1], box[3]), (box[0], box[2])))
+        part = self.grey[rows, cols]
+        if shape is None:
+            part[:] = value
+        elif part.size:
+            v = (np.arange(rows.start, rows.start + part.shape[0]) + 0.5)[:, None] / self.px - (box[1] + box[3]) / 2
+            u = (np.arange(cols.start, cols.start + part.shape[1]) + 0.5)[None, :] / self.px - (box[0] + box[2]) / 2
+            part[shape(u, v)] = value
 
-    def _window(self, x0: float, y0: float, x1: float, y1: float) -> tuple[slice, slice, np.ndarray, np.ndarray]:
-        h, w = self.grey.shape
-        rows, cols = slice(max(0, math.floor(y0)), min(h, math.ceil(y1) + 1)), slice(max(0, math.floor(x0)), min(w, math.ceil(x1) + 1))
-        return rows, cols, np.arange(rows.start, rows.stop)[:, None], np.arange(cols.start, cols.stop)[None, :]
 
-    def disc(self, x: float, y: float, r: float, inner: float = 0, value: int = 0) -> None:
-        """Sizes in millimetres."""
-        x, y, r, inner = (v * self.px for v in (x, y, r, inner))
-        rows, cols, py, px = self._window(x - r, y - r, x + r, y + r)
-        d = (px - x) ** 2 + (py - y) ** 2
-        self.grey[rows, cols][(d <= r * r) & (d >= inner * inner)] = value
+#: What fills a bubble of unit radius: pencil lines, and two bars that cross.
+PENCIL = lambda u, v: (u * u / 0.62 + v * v / 0.72 < 1) & ((u + v) % 0.34 < 0.29)
+CROSS = lambda u, v: (np.minimum(abs(u - v), abs(u + v)) < 0.17) & (np.maximum(abs(u), abs(v)) < 0.68)
 
-    def stroke(self, x0: float, y0: float, x1: float, y1: float, thick: float, value: int = 0) -> None:
-        """A line with round ends: all pixels within half of ``thick`` of it."""
-        x0, y0, x1, y1, r = (v * self.px for v in (x0, y0, x1, y1, thick / 2))
-        rows, cols, py, px = self._window(min(x0, x1) - r, min(y0, y1) - r, max(x0, x1) + r, max(y0, y1) + r)
-        dx, dy = x1 - x0, y1 - y0
-        t = np.clip(((px - x0) * dx + (py - y0) * dy) / max(dx * dx + dy * dy, 1e-12), 0, 1)
-        self.grey[rows, cols][(px - x0 - t * dx) ** 2 + (py - y0 - t * dy) ** 2 <= r * r] = value
+
+def _square(x: float, y: float, half: float) -> tuple[float, float, float, float]:
+    return x - half, y - half, x + half, y + half
 
 
 def draw_page(layout: Layout, answers: dict[int, str], crossed: frozenset[int] = frozenset(), page: int = 0, px: float = 4) -> np.ndarray:
-    """A page as printed and filled in: answers by item, marked by a disc, or by a cross for items in ``crossed``."""
-    s = Surface(layout.page_width_mm, layout.page_height_mm, px)
-    side = layout.fiducial_size_mm
+    """A page as printed and filled in: answers by item, marked by pencil lines, or by a cross for items in ``crossed``.
+
+    The head is a framed title over two columns of broken lines, as text is; a
+    bubble is a circle around as many dots as its option's number.
+    """
+    canvas = Canvas(layout.page_width_mm, layout.page_height_mm, px)
     for x, y in mark_centers(layout):
-        s.rect(x - side / 2, y - side / 2, side, side)
-    for line in range(5):
-        s.rect(layout.margin_mm, layout.margin_mm + 6 + 5 * line, (layout.page_width_mm - 2 * layout.margin_mm) * (0.9 - 0.1 * line), 1.2, 30)
-    d = layout.bubble_diameter_mm
-    c = page_centers(layout, page)
-    for no, o, x, y in zip(c["no"].tolist(), c["option_index"].tolist(), c["x_mm"].tolist(), c["y_mm"].tolist(), strict=True):
-        s.disc(x, y, d / 2, d / 2 - 0.28)
-        s.stroke(x - 0.12 * d, y + 0.14 * d, x + 0.12 * d, y + 0.14 * d, 0.3, 40)
-        s.stroke(x, y - 0.16 * d, x - 0.11 * d, y + 0.14 * d, 0.3, 40)
-        if answers.get(no) != layout.option_set[o]:
-            continue
-        if no in crossed:
-            a = 0.34 * d
-            s.stroke(x - a, y - a, x + a, y + a, 0.45)
-            s.stroke(x + a, y - a, x - a, y + a, 0.45)
-        else:
-            s.disc(x, y, 0.38 * d)
-    return s.grey
+        canvas.ink(_square(x, y, layout.fiducial_size_mm / 2))
+    left, right = layout.margin_mm + 10, layout.page_width_mm - layout.margin_mm - 10
+    top, foot = layout.margin_mm + 8, layout.grid_top_mm - 8
+    title = (left, top, right, top + (foot - top) * 0.3)
+    across, up = (right - left) / 2, (title[3] - title[1]) / 2
+    canvas.ink(title, lambda u, v: (abs(u) > across - 0.8) | (abs(v) > up - 0.8) | ((abs(v) < 1.2) & (u % 9 < 7)), 20)
+    canvas.ink((left, title[3] + 4, right, foot), lambda u, v: (v % 5 < 1.6) & (u % 13 < 11) & (abs(u) > 3), 20)
+    radius = layout.bubble_diameter_mm / 2
+    spots = page_centers(layout, page)
+    for no, option, x, y in zip(*(spots[k].tolist() for k in ("no", "option_index", "x_mm", "y_mm")), strict=True):
+        bubble = _square(x, y, radius)
+        canvas.ink(bubble, lambda u, v: abs(np.hypot(u, v) - radius + 0.16) < 0.16)
+        canvas.ink(bubble, lambda u, v, n=option + 1: (abs(v) < 0.25) & (abs(u) < 0.35 * n) & ((u + 0.35 * n) % 0.7 < 0.4), 60)
+        if answers.get(no) == layout.option_set[option]:
+            fill = CROSS if no in crossed else PENCIL
+            canvas.ink(bubble, lambda u, v, fill=fill: fill(u / radius, v / radius))
+    return canvas.grey
 
 
 def drawn_pages(sheets: DataFrame, layout: Layout, px: float = 4) -> DataFrame:

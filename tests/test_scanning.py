@@ -16,6 +16,7 @@ from quillmark.operators import decisions, geometry, scanning
 from quillmark.plans.queries import LAYOUTS
 from quillmark.sources import images
 
+#: The published conditions and the least share of right answers in each.
 VARIANTS = {
     "straight": {}, "5 degrees": {"rotate": 5}, "12 degrees": {"rotate": 12}, "25 degrees": {"rotate": 25}, "dim": {"bright": 0.7}, "dark": {"bright": 0.35}, "keystone 10": {"keystone": 0.1},
     "keystone 18": {"keystone": 0.18}, "noise": {"noise": 55, "blur": 1}, "fair photo": {"rotate": -4, "keystone": 0.05, "bright": 0.75, "vignette": 0.2, "noise": 16, "blur": 1},
@@ -25,36 +26,46 @@ FLOOR = {"straight": 0.99, "bad photo": 0.9}
 
 
 def truth(layout: Layout) -> tuple[dict[int, str], frozenset[int]]:
-    """Every ninth item blank, every third one crossed."""
-    answers, crossed = {}, set()
-    for k in range(min(layout.num_questions, layout.columns * layout.rows_per_column)):
-        if k % 9 != 4:
-            answers[k + 1] = layout.option_set[(k + 1) * 3 % len(layout.option_set)]
-            if k % 3 == 1:
-                crossed.add(k + 1)
-    return answers, frozenset(crossed)
+    """Answers drawn by chance, an eighth of the items blank, and half of the answered ones crossed."""
+    rng = np.random.default_rng(layout.num_questions)
+    items = range(1, min(layout.num_questions, layout.columns * layout.rows_per_column) + 1)
+    answers = {no: str(rng.choice(list(layout.option_set))) for no in items if rng.random() > 0.125}
+    return answers, frozenset(no for no in answers if rng.random() < 0.5)
 
 
 def spoil(page: np.ndarray, rotate=0.0, keystone=0.0, bright=1.0, vignette=0.0, noise=0.0, blur=0, seed=1) -> np.ndarray:
-    """A photograph of the page: turned, tapering to the top, darker, darker at the corners, noisy, soft."""
+    """A photograph of the page: one matrix of a camera that tilts and turns, then light, grain and focus.
+
+    ``keystone`` is what either end of the upper edge loses of the page's width.
+    """
     h, w = page.shape
-    a = np.radians(rotate)
-    corners = np.array([(w * keystone, 0), (w * (1 - keystone), 0), (w, h), (0, h)], float) - (w / 2, h / 2)
-    corners = corners @ np.array([(np.cos(a), np.sin(a)), (-np.sin(a), np.cos(a))])
-    corners -= corners.min(axis=0) - 20
-    width, height = (np.ceil(corners.max(axis=0)) + 20).astype(int)
-    back = im.homography(corners, np.array([(0, 0), (w, 0), (w, h), (0, h)], float))
-    x, y = np.meshgrid(np.arange(width), np.arange(height))
-    sx, sy = im.project(back, x, y)
-    sx, sy = np.floor(sx + 0.5).astype(int), np.floor(sy + 0.5).astype(int)
-    inside = (sx >= 0) & (sy >= 0) & (sx < w) & (sy < h)
-    out = np.where(inside, page[np.clip(sy, 0, h - 1), np.clip(sx, 0, w - 1)], 255).astype(float)
-    centre = np.hypot(width / 2, height / 2)
-    out *= bright * (1 - vignette * (np.hypot(x - width / 2, y - height / 2) / centre) ** 2)
-    out += (np.random.default_rng(seed).random(out.shape) - 0.5) * noise
+    turn, taper = np.radians(rotate), 1 - 2 * keystone
+    middle = np.array([[1, 0, -w / 2], [0, 1, -h / 2], [0, 0, 1.0]])
+    # The upper edge is 1 / taper times as far away as the lower one.
+    far = (1 / taper - 1) / ((1 / taper + 1) * h / 2)
+    tilt = np.array([[2 / (1 + taper), 0, 0], [0, 1, 0], [0, -far, 1]]) * [[(1 + taper) / 2 * (1 + far * h / 2)], [1], [1]]
+    spin = np.array([[np.cos(turn), -np.sin(turn), 0], [np.sin(turn), np.cos(turn), 0], [0, 0, 1]])
+    camera = spin @ tilt @ middle
+    edge = camera @ np.array([[0, w, w, 0], [0, 0, h, h], [1, 1, 1, 1.0]])
+    edge = edge[:2] / edge[2]
+    low, (width, height) = edge.min(axis=1) - 25, np.ceil(np.ptp(edge, axis=1) + 50).astype(int)
+    y, x = np.mgrid[:height, :width]
+    back = np.linalg.inv(camera) @ np.stack((x.ravel() + low[0], y.ravel() + low[1], np.ones(x.size)))
+    sx, sy = back[:2] / back[2]
+    # Bilinear between the four pixels around, on a table wider than the page.
+    wide = np.pad(page.astype(float), 2, constant_values=255)
+    sx, sy = np.clip(sx + 2, 0, w + 2.999), np.clip(sy + 2, 0, h + 2.999)
+    i, j = sx.astype(int), sy.astype(int)
+    fx, fy = sx - i, sy - j
+    seen = (wide[j, i] * (1 - fx) + wide[j, i + 1] * fx) * (1 - fy) + (wide[j + 1, i] * (1 - fx) + wide[j + 1, i + 1] * fx) * fy
+    out = seen.reshape(height, width)
+    across, down = np.linspace(-1, 1, width)[None, :], np.linspace(-1, 1, height)[:, None]
+    out = out * bright * (1 - vignette * (across**2 + down**2) / 2)
+    # Grain of the same spread as even noise of that width.
+    out += np.random.default_rng(seed).normal(0, noise / np.sqrt(12), out.shape) if noise else 0
     for _ in range(blur):
-        c = out.copy()
-        out[1:-1, 1:-1] = (4 * c[1:-1, 1:-1] + c[:-2, 1:-1] + c[2:, 1:-1] + c[1:-1, :-2] + c[1:-1, 2:]) / 8
+        for axis in (0, 1):
+            out = (np.roll(out, 1, axis) + 2 * out + np.roll(out, -1, axis)) / 4
     return np.rint(out.clip(0, 255)).astype(np.uint8)
 
 
@@ -102,9 +113,9 @@ def test_what_is_no_sheet_is_refused():
     cut[:60, :60] = 255
     assert not scanning.read_page(cut, layout)["ok"]
     assert scanning.read_page(page, layout, page=3)["error"] == scanning.NO_ITEMS
-    blank = images.Surface(210, 297, 4)
+    blank = images.Canvas(210, 297, 4)
     for x, y in scanning.mark_centers(layout):
-        blank.rect(x - 3, y - 3, 6, 6)
+        blank.ink((x - 3, y - 3, x + 3, y + 3))
     assert scanning.read_page(blank.grey, layout)["error"] == scanning.MISALIGNED
 
 
