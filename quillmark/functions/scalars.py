@@ -132,7 +132,7 @@ def long_date(iso: Column) -> Column:
 
 def letters_of(text: Column, n: int) -> Column:
     """The first ``n`` letters and hyphens of typed answers, in capitals; everything else is deleted."""
-    kept = F.substring(F.regexp_replace(F.upper(F.coalesce(text, F.lit(""))), "[^A-Z-]", ""), 1, n)
+    kept = F.substring(F.regexp_replace(F.upper(F.coalesce(text, F.lit(""))), "[^A-Z-]+", ""), 1, n)
     return F.when(kept == "", F.array().cast("array<string>")).otherwise(F.split(kept, "", -1))
 
 

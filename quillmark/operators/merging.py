@@ -1,7 +1,8 @@
 """Participants that stand on several sheets: merging by name, and edits of what they own.
 
-Membership is a table, not an array, so a name on very many sheets stays
-spread; answers merge by aggregates with partial sums.
+Membership is a table, not an array, and answers merge by aggregates with
+partial sums. Sheets find the first of their name in a join that copies names'
+rows ``SALT`` times, so a name on very many sheets stays spread.
 """
 
 from __future__ import annotations
@@ -12,13 +13,25 @@ from pyspark.sql import functions as F
 from quillmark.functions.scalars import merge_key, normalised_name
 
 
+SALT = 16
+
+
 def memberships(sheets: DataFrame, merge: bool = True) -> DataFrame:
     """(participant_id, sheet_id, sheet_ord): each sheet's participant, the first sheet of its name; itself without ``merge``."""
     if not merge:
         return sheets.select(F.col("sheet_id").cast("string").alias("participant_id"), "sheet_id", "sheet_ord")
     keyed = sheets.select("sheet_id", "sheet_ord", merge_key(F.col("name"), F.col("sheet_id")).alias("_qm_key"))
     first = keyed.groupBy("_qm_key").agg(F.min_by(F.col("sheet_id").cast("string"), "sheet_ord").alias("participant_id"))
-    return keyed.join(first, "_qm_key").select("participant_id", "sheet_id", "sheet_ord")
+    dealt = keyed.withColumn("_qm_salt", F.pmod(F.xxhash64("sheet_id"), F.lit(SALT)).cast("int"))
+    copies = first.withColumn("_qm_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return dealt.join(copies, ["_qm_key", "_qm_salt"]).select("participant_id", "sheet_id", "sheet_ord")
+
+
+def appended(sheets: DataFrame, more: DataFrame) -> DataFrame:
+    """``sheets`` and behind them the rows of ``more``, whose positions go on from the last; absent columns are null."""
+    last = sheets.agg(F.coalesce(F.max("sheet_ord") + 1, F.lit(0).cast("long")).alias("_qm_last"))
+    behind = more.crossJoin(F.broadcast(last)).withColumn("sheet_ord", F.col("sheet_ord") + F.col("_qm_last")).drop("_qm_last")
+    return sheets.unionByName(behind, allowMissingColumns=True)
 
 
 def merged_participants(sheets: DataFrame) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from quillmark.functions.scalars import CLASSES, ERF, ERF_T, MONTHS
 from quillmark.plans.fixtures import D_SQL, R_SQL
 
+#: Fixed values, stated here anew so that a wrong one in the library shows: classes by least deviation score, the
+#: polynomial of the error function with its t, and month names.
+CLASSES = ((130, "Sangat Superior"), (120, "Superior"), (110, "Di Atas Rata-rata"), (90, "Rata-rata"), (80, "Di Bawah Rata-rata"), (70, "Batas Ambang"), (None, "Sangat Rendah"))
+ERF, ERF_T = (1.061405429, -1.453152027, 1.421413741, -0.284496736, 0.254829592), 0.3275911
+MONTHS = "Januari Februari Maret April Mei Juni Juli Agustus September Oktober November Desember".split()
+
 
 def _graded(penalty: bool = False) -> str:
     raw = "correct - wrong / 4.0" if penalty else "correct"
@@ -123,6 +128,13 @@ def _key(rows: str) -> str:
 #: Capitals of sharp s are two letters, which not every engine's upper knows.
 _PATTERN = "substr(regexp_replace(upper(replace(coalesce(text, ''), 'ß', 'SS')), '[^A-Z-]', '', 'g'), 1, 30)"
 
+_QUEUED = _PAGED + ", qd as (select *, case sheet_ord % 4 when 0 then 'pending' when 1 then 'processing' when 2 then 'done' else 'error' end as status from s)"
+
+
+def _fmt(x: str, digits: int) -> str:
+    return f"coalesce(format('{{:.{digits}f}}', cast({x} as double)), '—')"
+
+
 ORACLES: dict[str, str] = {
     "score_sheets": f"with {_graded()} select sheet_ord, correct, wrong, blank, scored_items, raw_score, round(scaled_score, 6) as scaled_score from g",
     "score_sheets_penalty": f"with {_graded(True)} select sheet_ord, correct, wrong, blank, scored_items, round(raw_score, 6) as raw_score, round(scaled_score, 6) as scaled_score from g",
@@ -195,5 +207,33 @@ select layout_id, cast(floor(least(40.0, greatest(4.0, p_size)) + 0.5) as int) a
   select l_returnflag, level, cast(w as double) * cast(a - w as double) * pow(cast(s as double) / nullif(w, 0) - cast(t - s as double) / nullif(a - w, 0), 2) as between_var from c
 ), ranked as (select *, row_number() over (partition by l_returnflag order by between_var desc nulls last, level) as i from q)
 select l_returnflag, cast(case when between_var > 0 then level else 128 end as int) as threshold from ranked where i = 1""",
+    "omr_scan_photos": f"with {R_SQL} select sheet_ord, sheet_ord % 11 <> 0 as ok, case when sheet_ord % 11 <> 0 then string_agg(coalesce(response, '-'), '' order by no) end as pattern from r group by sheet_ord",
+    "omr_recalibrated": f"with {_DECIDED.replace('0.16', '0.42').replace('>= 0.1 ', '>= 0.02 ')} select sheet_ord, no, response, flag from dec",
+    "bulk_key": "select r_regionkey, rpad(regexp_replace(substr(regexp_replace(upper(r_name) || '-ABCDE', '[^A-Z-]', '', 'g'), 1, 12), '[^A-E]', '-', 'g'), 12, '-') as key_string from region",
+    "typed_sheets": f"""with t as (select doc_id, upper(trim(source)) as name, rpad(regexp_replace({_PATTERN}, '[^A-E]', '-', 'g'), 30, '-') as pattern from documents)
+select cast(doc_id as varchar) as sheet_id, doc_id as sheet_ord, name, 'done' as status, 'manual' as source, pattern from t where name <> '' and pattern <> repeat('-', 30)""",
+    "file_sheets": "select cast(page_id as varchar) as sheet_id, page_id as sheet_ord, 'scan ' || page_id || '.v2.png' as file_name, 'SCAN ' || page_id || '.V2' as name, 'pending' as status, 30 as items from pages",
+    "work_queue": f"with {_QUEUED} select sheet_id, status from qd where status in ('pending', 'error') or (status = 'processing' and sheet_ord % 8 = 1)",
+    "outcome_counts": f"with {_QUEUED} select status, count(*) as count from qd group by status",
+    "page_index": f"with {_QUEUED} select sheet_id, case when sheet_id = '3' then 2 else 0 end as page_index from qd",
+    "update_sheets": f"with {_QUEUED} select sheet_id, case when sheet_ord % 6 = 0 then upper(name) else name end as name, case when sheet_ord % 3 = 0 then 'done' else status end as status from qd",
+    "append_sheets": f"with {_PAGED} select sheet_id, sheet_ord, name from s union all select 'new-' || sheet_id, sheet_ord + 1 + (select max(sheet_ord) from s), null from s where sheet_ord <= 5",
+    "results_by_name": f"with {_normed()}, nn as (select sheet_ord, case when sheet_ord % 2 = 0 then lower(name) else 'Peserta ' || sheet_ord end as name from n) select row_number() over (order by lower(name), sheet_ord) as row_no, sheet_ord, name from nn qualify row_no <= 25",
+    "results_rising": f"with {_normed()} select row_number() over (order by correct, sheet_ord) as row_no, sheet_ord, correct from n qualify row_no <= 25",
+    "fmt_numbers": "select s_suppkey, case when s_suppkey % 9 <> 4 then format('{:.2f}', s_acctbal / 7.0::double) else '—' end as two, case when s_suppkey % 9 <> 4 then format('{:.0f}', s_acctbal / 7.0::double) else '—' end as none from supplier",
+    "mm_to_px": "select p_partkey, round(p_size / 4.0 * 96 / 25.4, 6) as px from part",
+    "data_urls": "select page_id, 'data:text/plain;base64,' || base64(encode(url)) as data_url, base64(encode(url)) as payload from pages",
+    "csv_rows": f"""with {_normed()}, pat as (select sheet_ord, string_agg(coalesce(response, '-'), '' order by no) as pattern from r group by sheet_ord), c as (select *, row_number() over (order by sheet_ord) as row_no from n join pat using (sheet_ord))
+select row_no, '"' || concat_ws('","', row_no, name, correct, wrong, blank, {_fmt('raw_score', 2)}, {_fmt('scaled_score', 1)}, {_fmt('z_score', 2)}, {_fmt('t_score', 1)}, {_fmt('deviation_iq', 0)}, {_fmt('percentile', 1)}, coalesce(classification, '—'), pattern) || '"' as line from c""",
+    "csv_head": "select cast(i as int) as place, h as header from (select unnest(range(1, 14)) as i, unnest(['No', 'Nama', 'Benar', 'Salah', 'Kosong', 'Skor Mentah', 'Nilai (0-100)', 'Z', 'T', 'Skor Deviasi', 'Persentil', 'Klasifikasi', 'Pola Jawaban']) as h)",
+    "report_appendix": f"with {R_SQL} select sheet_ord, 'PESERTA ' || sheet_ord as name, no as item_no, response, key, case when key is null then 'nokey' when response is null then 'blank' when response = key then 'correct' else 'wrong' end as status from r",
+    "report_text": f"""with {_ITEMS}, t as (select count(key) as k, sum(p * (1 - p)) filter (where key is not null) as pq, max(ts) as sd, max(n) as n from v), u as (
+  select n, case when k > 1 and sd > 0 then k * 1.0 / nullif(k - 1, 0) * (1 - pq / nullif(sd * sd, 0)) end as kr from t
+), bs as (select avg(raw_score) as m, case when stddev_samp(raw_score) > 0 then stddev_samp(raw_score) end as s from g)
+select case when kr is null then 'Koefisien konsistensi internal KR-20 belum dapat diestimasi karena variansi skor total pada sampel berukuran ' || n || ' peserta belum memadai'
+    else 'Estimasi konsistensi internal melalui KR-20 sebesar ' || {_fmt('kr', 3)} || ' tergolong ' || case when kr >= 0.9 then 'sangat tinggi' when kr >= 0.8 then 'tinggi' when kr >= 0.7 then 'memadai untuk keputusan kelompok' when kr >= 0.6 then 'marginal' else 'rendah' end || ' pada sampel berukuran ' || n || ' peserta' end as reliability_sentence,
+  'norma lokal yang diturunkan dari sampel pemeriksaan ini (M = ' || {_fmt('m', 2)} || '; SD = ' || {_fmt('s', 2)} || ')' as norm_sentence,
+  'Norm-based scores describe standing relative to the chosen comparison group and are not standardised IQ scores.' as note
+from u cross join bs""",
     "omr_scan": f"with {R_SQL} select sheet_ord, no as item_no, response from r",
 }

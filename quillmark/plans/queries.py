@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.config import Layout, OmrOptions, ScoringConfig
 from quillmark.functions import scalars as S
+from quillmark.functions.formatting import fmt
 from quillmark.operators import decisions, geometry, items, merging, norms, reports, scanning, scoring
 from quillmark.plans.fixtures import ITEMS, d_matrix, key_of, r_matrix
 from quillmark.sources import images, sheets
@@ -18,7 +21,6 @@ PENALTY = ScoringConfig(num_questions=ITEMS, penalty=True)
 MANUAL = ScoringConfig(num_questions=ITEMS, norm_mode="manual")
 OPTIONS = OmrOptions()
 
-#: Layouts of the geometry queries.
 #: The page layouts whose published accuracy is to be matched, and one of several pages.
 LAYOUTS = {
     "L30": Layout.of(),
@@ -445,6 +447,159 @@ def omr_scan(spark, sf_dir):
     return one.select("sheet_ord", F.col("a.no").alias("item_no"), F.col("a.response").alias("response"))
 
 
+def _photographed(pages: DataFrame) -> DataFrame:
+    """Drawn pages as photographs in colour: turned by quarters by their number, every eleventh cut off in the middle of its bytes."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for p in pdf.itertuples(index=False):
+                n = int(p.sheet_id)
+                grey = np.rot90(np.frombuffer(p.data, np.uint8).reshape(p.height, p.width), n % 4)
+                data = np.repeat(grey[:, :, None], 3, axis=2).tobytes()
+                rows.append((p.sheet_id, p.page_index, *grey.shape, 3, data[: len(data) // 2] if n % 11 == 0 else data))
+            yield pd.DataFrame(rows, columns=pdf.columns)
+
+    return pages.mapInPandas(run, pages.schema)
+
+
+@query
+def omr_scan_photos(spark, sf_dir):
+    """Turned, coloured and broken pages: what could be read, and the error of what could not."""
+    s = sheets.from_responses(r_matrix(spark, sf_dir), ITEMS)
+    drawn = images.drawn_pages(s.repartition(F.col("sheet_id")), LAYOUTS["L30"], SCAN_PX)
+    decided = decisions.decide_scans(scanning.scanned(_photographed(drawn), LAYOUTS["L30"], OPTIONS), OPTIONS)
+    given = F.transform("answers", lambda a: a["response"])
+    return decided.select(F.col("sheet_id").cast("long").alias("sheet_ord"), "ok", F.when(F.col("ok"), S.answer_pattern(given)).alias("pattern"))
+
+
+@query
+def omr_recalibrated(spark, sf_dir):
+    """Other thresholds on the same samples: no image is read again."""
+    other = OmrOptions(fill_threshold=0.42, margin_threshold=0.02)
+    decided = decisions.decisions(decisions.with_net(d_matrix(spark, sf_dir)), other)
+    return decided.select("sheet_ord", "no", "response", "flag")
+
+
+# ---- intake, reports and exports ---------------------------------------------------
+
+
+@query
+def bulk_key(spark, sf_dir):
+    """The key typed as text, of the region names."""
+    regions = spark.read.parquet(f"{sf_dir}/region.parquet")
+    return regions.select("r_regionkey", S.answer_pattern(S.parse_answers(F.concat("r_name", F.lit(" - abcde")), 12, "ABCDE")).alias("key_string"))
+
+
+@query
+def typed_sheets(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    typed = docs.select(F.col("doc_id").cast("string").alias("sheet_id"), F.col("doc_id").alias("sheet_ord"), F.concat(F.lit("  "), "source", F.lit(" ")).alias("name"), "text")
+    s = sheets.from_typed(typed, ITEMS, "ABCDE")
+    return s.select("sheet_id", "sheet_ord", "name", "status", "source", S.answer_pattern(F.col("answers")).alias("pattern"))
+
+
+@query
+def file_sheets(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    files = pages.select(F.col("page_id").cast("string").alias("sheet_id"), F.col("page_id").alias("sheet_ord"), F.concat(F.lit("scan "), F.col("page_id").cast("string"), F.lit(".v2.png")).alias("file_name"))
+    s = sheets.from_files(files, ITEMS)
+    return s.select("sheet_id", "sheet_ord", "file_name", "name", "status", F.size("answers").alias("items"))
+
+
+def _queued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, _ = paged(spark, sf_dir)
+    status = F.element_at(F.array(*map(F.lit, ("pending", "processing", "done", "error"))), (F.col("sheet_ord") % 4 + 1).cast("int"))
+    return s.withColumns({"status": status, "page_index": F.lit(0)})
+
+
+@query
+def work_queue(spark, sf_dir):
+    return merging.pending(_queued(spark, sf_dir), F.col("sheet_ord") % 8 == 1).select("sheet_id", "status")
+
+
+@query
+def outcome_counts(spark, sf_dir):
+    return reports.outcome_counts(_queued(spark, sf_dir))
+
+
+@query
+def page_index(spark, sf_dir):
+    return merging.with_page_index(_queued(spark, sf_dir), "3", 2).select("sheet_id", "page_index")
+
+
+@query
+def update_sheets(spark, sf_dir):
+    q = _queued(spark, sf_dir)
+    changes = q.where("sheet_ord % 3 = 0").select("sheet_id", F.lit("done").alias("status"), F.when(F.col("sheet_ord") % 2 == 0, F.upper("name")).alias("name"))
+    return merging.updated(q, changes).select("sheet_id", "name", "status")
+
+
+@query
+def append_sheets(spark, sf_dir):
+    s, _ = paged(spark, sf_dir)
+    more = s.where("sheet_ord <= 5").select(F.concat(F.lit("new-"), "sheet_id").alias("sheet_id"), "sheet_ord")
+    return merging.appended(s, more).select("sheet_id", "sheet_ord", "name")
+
+
+@query
+def results_by_name(spark, sf_dir):
+    rows = normed(spark, sf_dir).withColumn("name", F.when(F.col("sheet_ord") % 2 == 0, F.lower("name")).otherwise(F.initcap("name")))
+    return reports.roster_page(rows, 25, key="name").select("row_no", "sheet_ord", "name")
+
+
+@query
+def results_rising(spark, sf_dir):
+    """The same column again: it rises."""
+    return reports.roster_page(normed(spark, sf_dir), 25, key="correct", ascending=True).select("row_no", "sheet_ord", "correct")
+
+
+@query
+def fmt_numbers(spark, sf_dir):
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    v = F.when(F.col("s_suppkey") % 9 != 4, F.col("s_acctbal").cast("double") / 7.0)
+    return s.select("s_suppkey", fmt(v, 2).alias("two"), fmt(v, 0).alias("none"))
+
+
+@query
+def mm_to_px(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return part.select("p_partkey", F.round(S.mm_to_px(F.col("p_size") / 4.0), 6).alias("px"))
+
+
+@query
+def data_urls(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    url = S.data_url(F.col("url").cast("binary"), "text/plain")
+    return pages.select("page_id", url.alias("data_url"), S.base64_of_data_url(url).alias("payload"))
+
+
+def _normed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = scoring.score_sheets(sheets.from_responses(r_matrix(spark, sf_dir), ITEMS), key_of(spark), CONFIG)
+    return norms.with_norms(scored, CONFIG)
+
+
+@query
+def csv_rows(spark, sf_dir):
+    return reports.csv_lines(_normed_items(spark, sf_dir))
+
+
+@query
+def csv_head(spark, sf_dir):
+    return spark.createDataFrame([(i + 1, h) for i, h in enumerate(reports.csv_header(CONFIG))], "place int, header string")
+
+
+@query
+def report_appendix(spark, sf_dir):
+    return reports.appendix(_normed_items(spark, sf_dir))
+
+
+@query
+def report_text(spark, sf_dir):
+    one = graded(spark, sf_dir).agg(F.count("*").alias("n")).crossJoin(items.kr20(statistics(spark, sf_dir))).crossJoin(norms.norm_basis(graded(spark, sf_dir), CONFIG))
+    return reports.report_sentences(one)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored and normed participants."""
     rows = normed(spark, sf_dir)
