@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bounded_broadcast, discard, materialize, remove_path, scratch_path, small_batches, table
+from .common import bounded_broadcast, discard, materialize, remove_path, scratch_path, small_batches, table
 
 VERSION = "WARC/1.1"
 MAGIC = f"{VERSION}\r\n"
@@ -34,14 +34,18 @@ END = "\r\n\r\n"
 #: Payloads below this are never revisits.
 LEAST_BYTES = 100
 MOST_ROUNDS = 40
+#: Digests (about 100 bytes a row) that may be broadcast; beyond it each is copied to so many tasks, over which its pages are dealt.
+BROADCAST_DIGESTS, SALTS = 160_000, 32
 
 
-def with_revisits(pages: DataFrame) -> DataFrame:
+def with_revisits(pages: DataFrame, broadcast: int = BROADCAST_DIGESTS) -> DataFrame:
     """(page_id, url, _qm_payload, record_type, refers_to, digest).
 
     Of the pages of equal payloads of ``LEAST_BYTES`` or more, those of the
     smallest page_id are responses and the rest revisit it; rows that share
     that page_id are all responses, rows without a page_id are never referred to.
+    More than ``broadcast`` repeated digests meet their pages in a salted join,
+    so a page that stands on a third of all rows fills no single task.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     base = pages.select("page_id", F.col("url").cast("string"), payload.alias("_qm_payload"))
@@ -49,10 +53,13 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     long = base.where(F.octet_length("_qm_payload") >= LEAST_BYTES).select("page_id", digest.alias("digest"))
     first = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
     first = materialize(first, "first")
-    n = first.count()
     base = base.withColumn("digest", digest)
-    first = F.broadcast(first) if n * 100 <= BROADCAST_ROWS * 16 else first
-    joined = base.join(first, "digest", "left")
+    if first.count() <= broadcast:
+        joined = base.join(F.broadcast(first), "digest", "left")
+    else:
+        salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+        spread = first.withColumn("_qm_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = base.withColumn("_qm_salt", salt).join(spread, ["digest", "_qm_salt"], "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select("page_id", "url", "_qm_payload", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"), "digest")
 

@@ -46,6 +46,11 @@ def test_round_trip_with_magic_inside_payloads(pages):
     assert {tuple(r) for r in got} == expected(pages) and len(got) == pages.count()
 
 
+def test_many_repeated_digests_give_the_same_revisits(pages):
+    rows = lambda df: sorted(df.select("page_id", "record_type", "refers_to", "digest").collect(), key=str)
+    assert rows(warc.with_revisits(pages)) == rows(warc.with_revisits(pages, broadcast=0))
+
+
 def test_archives_split_anywhere_give_the_same_records(spark, pages):
     path = scratch_path(spark, "warc-test")
     warc.write_archives(pages.where("page_id < 14").coalesce(1), path)
