@@ -11,7 +11,9 @@ from.
 
 The lexicon is learned from labelled texts. A word's support is counted in
 clusters of near copies (two of four min-hashes agree), so the words of a large
-group of copies don't enter by its size.
+group of copies don't enter by its size. Exception phrases are some fixed ones
+and those learned: two words, one of them of the lexicon, that stand side by
+side in clusters of texts nearly none of which is toxic.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass, field
-from itertools import combinations
+from itertools import combinations, pairwise
 
 import ahocorasick
 import numpy as np
@@ -39,6 +41,10 @@ SUPPORT, SUPPORT_SHARE = 3, 0.003
 LEAST_WEIGHT = 2.5
 #: Bound of the lexicon: the words of most support times weight.
 LEXICON_ROWS = 20_000
+#: A learned exception stands in clusters of which at most this share is toxic, smoothed by half a cluster.
+EXCEPTION_SHARE = 0.1
+#: Bound of the learned exceptions: those in most clusters.
+EXCEPTION_ROWS = 2_000
 #: Words in a shingle of the clusters.
 SHINGLE = 5
 
@@ -178,8 +184,25 @@ def _entries(batches):
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic, pa.int32()), pa.array(cluster, pa.int64())], names=["word", "toxic", "cluster"])
 
 
-def lexicon(labelled: DataFrame) -> dict[str, float]:
-    """Weighted words from (toxic int, text) rows, which the caller has bounded: their sketches are grouped on the driver."""
+def _pairs(weights: dict[str, float]):
+    """Neighbouring words of folded text, a blank between them, of which one is in the lexicon."""
+
+    def run(batches):
+        for b in batches:
+            pairs, toxic, cluster = [], [], []
+            for y, c, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b, 2), strict=True):
+                words = list(_WORD.finditer(fold(x.decode("utf-8", "replace"))))
+                own = {f"{u[0]} {v[0]}" for u, v in pairwise(words) if u.end() + 1 == v.start() and u.string[u.end()] == " " and (u[0] in weights or v[0] in weights)}
+                pairs += own
+                toxic += [y] * len(own)
+                cluster += [c] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs, pa.string()), pa.array(toxic, pa.int32()), pa.array(cluster, pa.int64())], names=["word", "toxic", "cluster"])
+
+    return run
+
+
+def clustered(labelled: DataFrame) -> DataFrame:
+    """(toxic, cluster, _qm_b) of (toxic int, text) rows, which the caller has bounded: their sketches are grouped on the driver."""
     spark = labelled.sparkSession
     small_batches(spark)
     texts = labelled.select(F.xxhash64("text").alias("k"), F.col("toxic").cast("int"), F.col("text").cast("binary").alias("_qm_b")).dropDuplicates(["k", "toxic"])
@@ -187,7 +210,10 @@ def lexicon(labelled: DataFrame) -> dict[str, float]:
     rows = sorted({r[0]: r[2] for r in rows}.items())
     group = clusters([s for _, s in rows])
     cluster = spark.createDataFrame([(k, g) for (k, _), g in zip(rows, group, strict=True)], "k long, cluster long")
-    own = texts.join(F.broadcast(cluster), "k").select("toxic", "cluster", "_qm_b")
+    return materialize(texts.join(F.broadcast(cluster), "k").select("toxic", "cluster", "_qm_b"), "clustered")
+
+
+def _weights(own: DataFrame) -> dict[str, float]:
     held = materialize(own.mapInArrow(_entries, "word string, toxic int, cluster long").distinct(), "words")
     n = {r[0]: r[1] for r in held.select("toxic", "cluster").distinct().groupBy("toxic").count().collect()}
     bad, good = n.get(1, 0), n.get(0, 0)
@@ -197,6 +223,21 @@ def lexicon(labelled: DataFrame) -> dict[str, float]:
     return {r["word"]: r["w"] for r in kept.orderBy(F.desc(F.col("w") * F.col("bad")), "word").limit(LEXICON_ROWS).collect()}
 
 
+def lexicon(labelled: DataFrame) -> dict[str, float]:
+    """Weighted words from (toxic int, text) rows."""
+    return _weights(clustered(labelled))
+
+
+def learned_exceptions(own: DataFrame, weights: dict[str, float]) -> tuple[str, ...]:
+    """Folded phrases of two words in which a lexicon word is harmless, by the clusters that hold them."""
+    if not weights:
+        return ()
+    held = own.mapInArrow(_pairs(weights), "word string, toxic int, cluster long").distinct()
+    df = held.groupBy("word").agg(F.sum("toxic").alias("bad"), F.count("*").alias("all"))
+    kept = df.where((F.col("all") - F.col("bad") >= SUPPORT) & (F.col("bad") + 0.5 <= EXCEPTION_SHARE * (F.col("all") + 1)))
+    return tuple(r["word"] for r in kept.orderBy(F.desc("all"), "word").limit(EXCEPTION_ROWS).collect())
+
+
 def _match(model: Model):
     def run(batches):
         a = model.automaton()
@@ -241,7 +282,9 @@ def fit(docs: DataFrame, labels: DataFrame, k: int = 3, r: int = 1, rows: int =
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows)
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("toxic", "text")
     texts = materialize(texts, "labelled")
-    model = Model(lexicon(texts))
+    own = clustered(texts)
+    model = Model(_weights(own))
+    model.exceptions = EXCEPTIONS + learned_exceptions(own, model.weights)
     seen = sorted(matched(texts, model, "toxic").select("weight", "n_words", "toxic").collect())
     if len({s[2] for s in seen}) == 2:
         w = _logistic(np.array([measures(a, b) for a, b, _ in seen]), np.array([s[2] for s in seen], float))

@@ -289,6 +289,18 @@ def test_a_group_of_copies_does_not_fill_the_lexicon(spark):
     assert "nasty" in learned and not {"zork", "wibble", "sneeze", "you", "here"} & set(learned)
 
 
+def test_phrases_that_are_mostly_harmless_become_exceptions(spark):
+    said = lambda i, words: " ".join(f"{w}{chr(97 + i % 26)}{chr(97 + i // 26)}" for w in ("one", "two", "six", "ten")) + f" {words} " + " ".join(f"{w}{chr(97 + i % 26)}{chr(97 + i // 26)}" for w in ("red", "tan"))
+    toxic = [(i, said(i, "nasty fool"), 1) for i in range(20)]
+    mild = [(i, said(i, "nasty weather" if i < 26 else "fine weather"), 0) for i in range(20, 120)]
+    docs, labels = spark.createDataFrame([r[:2] for r in toxic + mild], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in toxic + mild], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, 1, 1)
+    assert "nasty" in model.weights and toxicity.fold("nasty weather") in model.exceptions and toxicity.fold("nasty fool") not in model.exceptions
+    seen = {r.doc_id: r.n_matches for r in toxicity.matched(docs, model).collect()}
+    assert seen[21] == 0 and seen[3] == 2
+    assert toxicity.learned_exceptions(toxicity.clustered(labels.join(docs, "doc_id").select("toxic", "text")), {}) == ()
+
+
 def test_toxicity_of_odd_rows(odd, nothing, labels):
     model = toxicity.fit(odd, labels)
     got = toxicity.matched(odd, model).collect()
