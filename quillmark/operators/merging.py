@@ -112,12 +112,13 @@ def with_page_index(sheets: DataFrame, sheet_id: str, page_index: int) -> DataFr
     return sheets.withColumn("page_index", F.when(hit, F.lit(page_index)).otherwise(F.col("page_index")))
 
 
-def updated(sheets: DataFrame, changes: DataFrame) -> DataFrame:
-    """Columns that ``changes`` has (besides sheet_id) replace those of the same sheet; a null changes nothing."""
+def updated(sheets: DataFrame, changes: DataFrame, nulls: bool = False) -> DataFrame:
+    """Columns that ``changes`` has (besides sheet_id) replace those of the same sheet; a null changes nothing, or with ``nulls`` is written."""
     cols = [c for c in changes.columns if c != "sheet_id"]
     new = changes.select(F.col("sheet_id").alias("_qm_id"), *[F.col(c).alias(f"_qm_new_{c}") for c in cols])
     joined = sheets.join(new, F.col("sheet_id") == F.col("_qm_id"), "left")
-    return joined.withColumns({c: F.coalesce(f"_qm_new_{c}", c) for c in cols}).select(*sheets.columns)
+    hit = F.col("_qm_id").isNotNull()
+    return joined.withColumns({c: F.when(hit, F.col(f"_qm_new_{c}")).otherwise(F.col(c)) if nulls else F.coalesce(f"_qm_new_{c}", c) for c in cols}).select(*sheets.columns)
 
 
 def with_detection(previous: DataFrame, detected: DataFrame, n: int) -> DataFrame:

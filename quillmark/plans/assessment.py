@@ -13,7 +13,7 @@ from quillmark.operators import items, merging, norms, reports, scoring
 
 @dataclass(frozen=True)
 class Assessment:
-    """Frames of one test. ``scored`` is a stored table, so the others don't score again."""
+    """Frames of one test. With a work folder ``scored`` is a stored table, so the others don't score again."""
 
     config: ScoringConfig
     members: DataFrame
@@ -37,15 +37,16 @@ def merged_sheets(sheets: DataFrame, members: DataFrame, n: int) -> DataFrame:
     return people.select(F.col("participant_id").alias("sheet_id"), "sheet_ord", "name", filled.alias("answers"), "conflict_count")
 
 
-def assess(sheets: DataFrame, key: DataFrame, config: ScoringConfig, work: str) -> Assessment:
-    """Score the finished ``sheets`` against ``key``; scores are written as Parquet under ``work`` and read again."""
+def assess(sheets: DataFrame, key: DataFrame, config: ScoringConfig, work: str | None) -> Assessment:
+    """Score the finished ``sheets`` against ``key``; scores are written as Parquet under ``work`` and read again, or planned anew for each table without it."""
     spark, n = sheets.sparkSession, config.num_questions
     done = sheets.where("status = 'done'")
     members = merging.memberships(done, config.merge_by_name)
     units = merged_sheets(done, members, n) if config.merge_by_name else done.select("sheet_id", "sheet_ord", "name", "answers", F.lit(0).cast("long").alias("conflict_count"))
-    path = f"{work.rstrip('/')}/scored"
     scored = scoring.score_sheets(units, key, config)
-    scored.write.mode("overwrite").parquet(path)
-    scored = spark.read.schema(scored.schema).parquet(path)
+    if work is not None:
+        path = f"{work.rstrip('/')}/scored"
+        scored.write.mode("overwrite").parquet(path)
+        scored = spark.read.schema(scored.schema).parquet(path)
     stats = items.item_statistics_of_sheets(scored, key, config)
     return Assessment(config, members, scored, norms.with_norms(scored, config), stats, items.kr20(stats), norms.norm_basis(scored, config))

@@ -135,7 +135,21 @@ def _fmt(x: str, digits: int) -> str:
     return f"coalesce(format('{{:.{digits}f}}', cast({x} as double)), '—')"
 
 
+def _of_merged(sql: str) -> str:
+    """The same figures of merged participants, each under its first sheet."""
+    merged = _PAGED + ", r1 as (select cast(participant_id as bigint) as sheet_ord, k.no, response, k.key, conflict from merged m join k on k.no = m.item_no)"
+    return sql.replace(R_SQL, merged).replace("from r group by", "from r1 group by").replace("from r join ranked", "from r1 r join ranked")
+
+
 ORACLES: dict[str, str] = {
+    "assessed_people": _of_merged(f"with {_normed()}, cf as (select sheet_ord, count(*) filter (where conflict) as conflict_count from r1 group by 1) select sheet_ord, correct, wrong, blank, conflict_count, raw_score, round(z_score, 6) as z_score, classification from n join cf using (sheet_ord)"),
+    "assessed_items": _of_merged(f"with {_ITEMS} select item_no, round(p, 6) as p, round(d, 6) as discrimination, round(rpb, 6) as point_biserial, n_blank, verdict from v"),
+    "image_intake": "select sha256('file:/scans/' || page_id || '/kelas%20a+b.' || (page_id % 3) || '.png') as sheet_id, 'kelas a+b.' || (page_id % 3) || '.png' as file_name, 'KELAS A+B.' || (page_id % 3) as name, 0 as page_index, case when page_id % 7 = 0 then -1 else 8 end as height from pages",
+    "intake_counts": "select count(*) filter (where page_id % 7 <> 0) as readable, count(*) filter (where page_id % 7 = 0) as rejected from pages",
+    "template_counts": f"with {_LAYOUTS} select layout_id, cast(page as int) as page_index, 4 as marks, count(*) as bubbles, count(distinct no) as numbers from b group by 1, 2",
+    "setting_ranges": """with i as (select cast(unnest(range(0, 25)) as int) as i), s as (select i, least(1000.0, greatest(1.0, i * 60 - 30)) as top from i)
+select i, cast(least(0.6, greatest(0.05, i / 25.0)) as double) as fill_threshold, cast(least(0.4, greatest(0.02, i / 40.0)) as double) as margin_threshold, cast(least(0.45, greatest(0.2, i / 40.0)) as double) as sample_radius_factor,
+  cast(top as double) as scale_max, cast(least(top, i * 45) as double) as passing_score from s""",
     "score_sheets": f"with {_graded()} select sheet_ord, correct, wrong, blank, scored_items, raw_score, round(scaled_score, 6) as scaled_score from g",
     "score_sheets_penalty": f"with {_graded(True)} select sheet_ord, correct, wrong, blank, scored_items, round(raw_score, 6) as raw_score, round(scaled_score, 6) as scaled_score from g",
     "score_sheets_wide": f"with {_graded()} select sheet_ord, correct, wrong, blank, scored_items, raw_score, round(scaled_score, 6) as scaled_score from g",

@@ -13,6 +13,7 @@ from quillmark.config import Layout, OmrOptions, ScoringConfig
 from quillmark.functions import scalars as S
 from quillmark.functions.formatting import fmt
 from quillmark.operators import decisions, geometry, items, merging, norms, reports, scanning, scoring
+from quillmark.plans.assessment import Assessment, assess
 from quillmark.plans.fixtures import ITEMS, d_matrix, key_of, r_matrix
 from quillmark.sources import images, sheets
 
@@ -600,6 +601,64 @@ def report_text(spark, sf_dir):
     return reports.report_sentences(one)
 
 
+def _assessed(spark: SparkSession, sf_dir: str) -> Assessment:
+    """The whole flow on pages of participants of equal names."""
+    _, r = paged(spark, sf_dir)
+    s = sheets.from_responses(r.withColumn("sheet_ord", F.col("sheet_id").cast("long")), ITEMS)
+    s = s.withColumn("name", F.when(F.col("sheet_ord") % 10 != 7, F.concat(F.lit(" peserta "), F.floor(F.col("sheet_ord") / 2).cast("string"))))
+    return assess(s, key_of(spark), ScoringConfig(num_questions=ITEMS, merge_by_name=True), None)
+
+
+@query
+def assessed_people(spark, sf_dir):
+    rows = _assessed(spark, sf_dir).normed
+    return _round(rows.select("sheet_ord", "correct", "wrong", "blank", "conflict_count", "raw_score", "z_score", "classification"), "z_score")
+
+
+@query
+def assessed_items(spark, sf_dir):
+    stats = _assessed(spark, sf_dir).item_stats
+    return _round(stats.select("item_no", "p", "discrimination", "point_biserial", "n_blank", "verdict"), "p", "discrimination", "point_biserial")
+
+
+def _taken_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of Spark's image source for the pages' addresses; every seventh could not be decoded."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    side = F.when(F.col("page_id") % 7 == 0, -1).otherwise(8)
+    origin = F.concat(F.lit("file:/scans/"), F.col("page_id").cast("string"), F.lit("/kelas%20a+b."), (F.col("page_id") % 3).cast("string"), F.lit(".png"))
+    image = F.struct(origin.alias("origin"), side.alias("height"), side.alias("width"), F.lit(1).alias("nChannels"), F.col("url").cast("binary").alias("data"))
+    return images.image_rows(pages.select(image.alias("image")))
+
+
+@query
+def image_intake(spark, sf_dir):
+    return _taken_in(spark, sf_dir).select("sheet_id", "file_name", "name", "page_index", "height")
+
+
+@query
+def intake_counts(spark, sf_dir):
+    return images.intake_counts(_taken_in(spark, sf_dir))
+
+
+@query
+def template_counts(spark, sf_dir):
+    """Marks, bubbles and numbers on each printed page."""
+    svg = geometry.template_svg(_layouts(spark))
+    count = lambda pattern: F.regexp_count("svg", F.lit(pattern)).cast("long")
+    return svg.select("layout_id", "page_index", count("<rect ").alias("marks"), count("<circle ").alias("bubbles"), count('class="no"').alias("numbers"))
+
+
+@query
+def setting_ranges(spark, sf_dir):
+    """Thresholds and scales as they are set, and within their ranges."""
+    rows = []
+    for i in range(25):
+        o = OPTIONS.calibrated(fill_threshold=i / 25, margin_threshold=i / 40, sample_radius_factor=i / 40)
+        c = ScoringConfig(scale_max=i * 60 - 30, passing_score=i * 45).validated()
+        rows.append((i, o.fill_threshold, o.margin_threshold, o.sample_radius_factor, float(c.scale_max), float(c.passing_score)))
+    return spark.createDataFrame(rows, "i int, fill_threshold double, margin_threshold double, sample_radius_factor double, scale_max double, passing_score double")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored and normed participants."""
     rows = normed(spark, sf_dir)

@@ -12,22 +12,26 @@ from quillmark.operators.reports import csv_header, csv_lines
 BOM = "﻿"
 
 
+def _head(config: ScoringConfig) -> str:
+    return BOM + ",".join('"' + h.replace('"', '""') + '"' for h in csv_header(config))
+
+
 def csv_text(rows: DataFrame, config: ScoringConfig, safe: bool = False) -> str:
     """The whole CSV of one test's roster as text: BOM, every cell quoted, CRLF between rows and none at the end.
 
     For a roster that a person opens; ``write_csv`` writes any size.
     """
-    header = ",".join('"' + h.replace('"', '""') + '"' for h in csv_header(config))
     lines = [r.line for r in csv_lines(rows, safe).orderBy("row_no").toLocalIterator()]
-    return BOM + "\r\n".join([header, *lines])
+    return "\r\n".join([_head(config), *lines])
 
 
 def write_csv(rows: DataFrame, config: ScoringConfig, path: str, safe: bool = False) -> None:
-    """The same rows as a folder of part files in row order, without header and BOM; refuses an empty result."""
-    lines = csv_lines(rows, safe)
+    """The same text as a folder of part files: the header is the first line of the first, and every line ends in CRLF; refuses an empty result."""
+    lines = csv_lines(rows, safe).select("row_no", "line")
     if lines.isEmpty():
         raise ValueError("nothing to export")
-    lines.orderBy("row_no").select("line").write.option("lineSep", "\r\n").text(path)
+    head = rows.sparkSession.createDataFrame([(0, _head(config))], "row_no long, line string")
+    head.unionByName(lines).orderBy("row_no").select("line").write.option("lineSep", "\r\n").text(path)
 
 
 def export_name(df: DataFrame, kind: str, title: str, date: str, extension: str) -> DataFrame:

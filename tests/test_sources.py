@@ -118,7 +118,7 @@ def test_csv_is_exact(spark, tmp_path):
     assert '"\'=1+1"' in sinks.csv_text(rows, c, safe=True)
     sinks.write_csv(rows, c, str(tmp_path / "out"))
     parts = b"".join(p.read_bytes() for p in sorted((tmp_path / "out").glob("part-*")))
-    assert parts.decode() == "\r\n".join(lines[1:]) + "\r\n"
+    assert parts.decode() == text + "\r\n"
     with pytest.raises(ValueError):
         sinks.write_csv(rows.limit(0), c, str(tmp_path / "none"))
 
@@ -193,6 +193,9 @@ def test_updates_and_queue(spark):
     new = merging.updated(s, spark.createDataFrame([("a", "done"), ("b", "error"), ("c", "processing")], "sheet_id string, status string"))
     assert {r.sheet_id: r.status for r in new.collect()} == {"a": "done", "b": "error", "c": "processing", "d": "pending"}
     assert {r.sheet_id for r in merging.pending(new).collect()} == {"b", "d"} and {r.sheet_id for r in merging.pending(new, F.lit(True)).collect()} == {"b", "c", "d"}
+    unnamed = spark.createDataFrame([("a", None)], "sheet_id string, name string")
+    assert merging.updated(s, unnamed).where("sheet_id = 'a'").first().name == "A" and merging.updated(s, unnamed, nulls=True).where("sheet_id = 'a'").first().name is None
+    assert merging.updated(s, unnamed, nulls=True).where("name is null").count() == 1
     assert {r.sheet_id: r.page_index for r in merging.with_page_index(s, "b", 2).collect()}["b"] == 2
     assert {r.status: r["count"] for r in reports.outcome_counts(new).collect()} == {"done": 1, "error": 1, "processing": 1, "pending": 1}
 
