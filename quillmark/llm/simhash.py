@@ -28,14 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bounded_broadcast, drop_rows, materialize, row_keys, small_batches, table, texts_of, with_keys
+from .common import drop_rows, materialize, row_keys, small_batches, table, texts_of, with_keys
 from .components import components
 
 SHINGLE = 4
 SEED = 42
 DISTANCE = 4
 CHUNK = 256
-SALT = 64
+#: A fingerprint or class on more than one in HOT rows is hot.
+HOT = 1024
 
 
 def fingerprint(data: bytes, k: int = SHINGLE) -> int:
@@ -143,12 +144,17 @@ def links(distinct: DataFrame, n: int) -> DataFrame:
     return alone.unionByName(pair).mapInArrow(_verify, "u long, v long")
 
 
-def _to_root(rooted: DataFrame, least: DataFrame, n: int) -> DataFrame:
-    """Join fingerprints to their class; one class may hold any share of them, so beyond a broadcast its row is copied SALT times."""
-    if n <= BROADCAST_ROWS:
-        return rooted.join(F.broadcast(least), "root")
-    salted = least.withColumn("_qm_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    return rooted.withColumn("_qm_salt", F.pmod(F.xxhash64("fp"), F.lit(SALT)).cast("int")).join(salted, ["root", "_qm_salt"]).drop("_qm_salt")
+def _join_hot(rows: DataFrame, one: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined to the one row of ``one`` (key, copies, ...) for their key.
+
+    Keys that stand on more than 1/HOT of all ``total`` rows, fewer than HOT of
+    them, are broadcast, so a hot key stays where its rows are; the others
+    shuffle. No size of the input changes this.
+    """
+    is_hot = F.col("copies") * HOT > total
+    hot, rest = one.where(is_hot).drop("copies"), one.where(~is_hot).drop("copies")
+    cool = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(cool.join(rest, key))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -159,12 +165,14 @@ def classes(docs: DataFrame) -> DataFrame:
     other. Every row comes back, repeated rows too.
     """
     prints = materialize(fingerprints(docs), "prints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    parent = components(links(nodes.select("fp"), nodes.count()))
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "nodes")
+    n, total = nodes.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    parent = components(links(nodes.select("fp"), n))
     rooted = nodes.join(parent.withColumnsRenamed({"u": "fp", "v": "root"}), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    node_class = materialize(_to_root(rooted, least, least.count()).select("fp", "root", "component_id"), "classes")
-    return prints.join(bounded_broadcast(node_class, nodes.count()), "fp")
+    rooted = materialize(rooted, "rooted")
+    least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("copies")), "least")
+    node_class = materialize(_join_hot(rooted, least, "root", n).select("fp", "root", "component_id", "copies"), "classes")
+    return _join_hot(prints, node_class, "fp", total)
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -176,7 +184,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     key = F.struct("doc_id", "_qm_k1", "_qm_k2")
     keep = c.groupBy("root").agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), key)).alias("keep"))
     kept = keep.select("keep._qm_k1", "keep._qm_k2")
-    dropped = c.join(kept, ["_qm_k1", "_qm_k2"], "left_anti").select("_qm_k1", "_qm_k2")
+    dropped = c.select("_qm_k1", "_qm_k2").distinct().join(kept, ["_qm_k1", "_qm_k2"], "left_anti")
     repeated = materialize(c.groupBy("_qm_k1", "_qm_k2").agg(F.count("*").alias("n")).where("n > 1").select("_qm_k1", "_qm_k2"), "repeats")
     rest = drop_rows(docs, dropped)
     if not repeated.count():

@@ -134,13 +134,14 @@ def test_near_dedup_keeps_one_of_each_group(odd, nothing):
     assert simhash.near_dedup(nothing).count() == 0
 
 
-def test_ids_of_any_type_and_a_hot_class_beyond_broadcasts(spark, monkeypatch):
+def test_ids_of_any_type_and_hot_or_no_hot_classes(spark, monkeypatch):
     from quillmark.llm import simhash
 
     texts = ["one two three four five six seven"] * 5 + ["other words stand here and there today", None]
     docs = spark.createDataFrame([(f"id-{i}", t) for i, t in enumerate(texts)], "doc_id string, text string")
     want = {("id-0", "id-0"), *((f"id-{i}", "id-0") for i in range(5)), ("id-5", "id-5"), ("id-6", "id-6")}
     assert {(r.doc_id, r.component_id) for r in simhash.classes(docs).collect()} == want
-    monkeypatch.setattr(simhash, "BROADCAST_ROWS", 0)
-    assert {(r.doc_id, r.component_id) for r in simhash.classes(docs).collect()} == want
-    assert sorted(r.doc_id for r in simhash.near_dedup(docs).collect()) == ["id-0", "id-5", "id-6"]
+    for hot in (0, 2, 1 << 40):  # none, the one of 5 in 7 rows, all
+        monkeypatch.setattr(simhash, "HOT", hot)
+        assert {(r.doc_id, r.component_id) for r in simhash.classes(docs).collect()} == want
+        assert sorted(r.doc_id for r in simhash.near_dedup(docs).collect()) == ["id-0", "id-5", "id-6"]
