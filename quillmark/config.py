@@ -93,6 +93,16 @@ class Layout:
         return Layout(**out)
 
 
+@dataclass(frozen=True)
+class Heading:
+    """What a printed page says above its items."""
+
+    institution: str = ""
+    unit: str = ""
+    test_name: str = ""
+    instrument: str = ""
+
+
 @dataclass(frozen=True)
 class ScoringConfig:
     """How answers become scores and norms."""

@@ -11,7 +11,7 @@ from dataclasses import fields
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.config import LAYOUT_BOUNDS, LAYOUT_COUNTS, OPTION_SETS, Layout
+from quillmark.config import LAYOUT_BOUNDS, LAYOUT_COUNTS, OPTION_SETS, Heading, Layout
 from quillmark.functions.scalars import half_up
 
 FIELDS = [f.name for f in fields(Layout)]
@@ -126,9 +126,86 @@ def number_anchors(layouts: DataFrame) -> DataFrame:
     return _placed(layouts).select("layout_id", "page_index", "no", F.col("left_mm").alias("x_mm"), (F.col("number_gutter_mm") - 1.5).alias("width_mm"), "y_mm")
 
 
-def template_svg(layouts: DataFrame) -> DataFrame:
-    """(layout_id, page_index, svg): a printable page of each layout, marks, bubbles, letters and numbers."""
-    f1 = lambda c: F.format_string("%.3f", c.cast("double"))
+#: What every page prints; the instructions stand on the first page only.
+NO_INSTITUTION = "Nama Institusi"
+SHEET_TITLE = "Lembar Jawaban Komputer"
+PAGE_OF = "Halaman %d dari %d"
+NAME_BOX = ("Nama", "No. Peserta", "Kelas / Unit", "Tanggal")
+INSTRUCTIONS_TITLE = "Petunjuk Pengisian"
+INSTRUCTIONS = (
+    "Tulis nama dengan HURUF KAPITAL yang jelas pada kolom identitas.",
+    "Gunakan pensil 2B atau pulpen hitam. Jangan gunakan tipp-ex.",
+    "Tandai jawaban dengan menghitamkan bulatan penuh (●) atau memberi tanda silang (X) pada satu pilihan saja.",
+    "Jawaban ganda, ragu, atau terhapus tidak akan dinilai.",
+    "Jaga keempat kotak hitam di sudut lembar tetap bersih — kotak itu acuan pemindai.",
+)
+ITEMS_OF = "Butir %d–%d — Opsi: %s"
+SIGNATURE = "Paraf Pengawas"
+
+#: Millimetres that the head takes at full size; a lower head is drawn smaller.
+HEAD_MM = 70.0
+
+
+def _mm(c: Column) -> Column:
+    return F.format_string("%.3f", c.cast("double"))
+
+
+def _xml(text: Column) -> Column:
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def _line(kind: str, x: Column, y: Column, size: Column, text: Column) -> Column:
+    """A line of text that starts (class l) or ends (class r) at x."""
+    return F.concat(F.lit(f'<text class="{kind}" x="'), _mm(x), F.lit('" y="'), _mm(y), F.lit('" style="font-size:'), _mm(size), F.lit('px">'), _xml(text), F.lit("</text>"))
+
+
+def _box(left: Column, top: Column, right: Column, bottom: Column) -> Column:
+    return F.concat(F.lit('<path d="M'), _mm(left), F.lit(" "), _mm(top), F.lit("H"), _mm(right), F.lit("V"), _mm(bottom), F.lit("H"), _mm(left), F.lit('Z"/>'))
+
+
+def _rule(left: Column, y: Column, right: Column) -> Column:
+    return F.concat(F.lit('<path d="M'), _mm(left), F.lit(" "), _mm(y), F.lit("H"), _mm(right), F.lit('"/>'))
+
+
+def _page_head(heading: Heading) -> Column:
+    """Title, page number, name box and, on the first page, instructions, above grid_top_mm."""
+    left, right = F.col("margin_mm"), F.col("page_width_mm") - F.col("margin_mm")
+    scale = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("grid_top_mm") - F.col("margin_mm") - 4) / HEAD_MM))
+    y = lambda mm: F.col("margin_mm") + scale * mm
+    size = lambda mm: scale * mm
+    middle, pad = left + (right - left) * 0.6, scale * 2
+    title = " — ".join(t for t in (heading.test_name, heading.instrument) if t)
+    parts = [
+        _line("l", left, y(2), size(3.4), F.upper(F.lit(heading.institution or NO_INSTITUTION))),
+        _line("r", right, y(2), size(2.8), F.upper(F.lit(SHEET_TITLE))),
+        _line("l", left, y(6), size(2.5), F.lit(heading.unit)),
+        _line("r", right, y(6), size(2.5), F.format_string(PAGE_OF, F.col("page_index") + 1, F.col("page_count"))),
+        _rule(left, y(8.5), right),
+        _line("l", left, y(12), size(2.9), F.upper(F.lit(title))),
+        _box(left, y(15), right, y(31)),
+    ]
+    for i, label in enumerate(NAME_BOX):
+        start, end = (middle, right - pad) if i % 2 else (left + pad, middle - pad)
+        row = y(20 + 7 * (i // 2))
+        parts += [_line("l", start, row, size(2.5), F.lit(label)), _rule(start + size(20), row + size(1.2), end)]
+    rows = [INSTRUCTIONS_TITLE.upper(), *(f"{i}. {t}" for i, t in enumerate(INSTRUCTIONS, 1))]
+    first = [_box(left, y(34), right, y(64)), *(_line("l", left + pad, y(37.5 + 4.7 * i), size(2.2), F.lit(t)) for i, t in enumerate(rows))]
+    return F.concat(*parts, F.when(F.col("page_index") == 0, F.concat(*first)).otherwise(F.lit("")))
+
+
+def _page_foot() -> Column:
+    """Which items the page holds and a line for a signature; needs first and last, the numbers of its items."""
+    left, right = F.col("margin_mm"), F.col("page_width_mm") - F.col("margin_mm")
+    y = F.col("page_height_mm") - F.col("margin_mm") - 2
+    options = F.array_join(F.split("option_set", ""), "/")
+    items = F.format_string(ITEMS_OF, F.col("first"), F.col("last"), options)
+    size = F.lit(2.3)
+    return F.concat(_rule(left, y - 6, right), _line("l", left, y - 3.5, size, items), _line("r", right, y - 3.5, size, F.lit(SIGNATURE)), _rule(right - 25, y, right))
+
+
+def template_svg(layouts: DataFrame, heading: Heading = Heading()) -> DataFrame:
+    """(layout_id, page_index, svg): a printable page of each layout: head, marks, bubbles, letters, numbers and foot."""
+    f1 = _mm
     m = layouts.select("layout_id", "page_width_mm", "page_height_mm", "bubble_diameter_mm", "fiducial_size_mm")
     bubble = bubble_centers(layouts).join(m, "layout_id")
     circle = F.concat(
@@ -139,13 +216,13 @@ def template_svg(layouts: DataFrame) -> DataFrame:
     parts = bubble.select("layout_id", "page_index", "no", "option_index", circle.alias("part"))
     parts = parts.unionByName(number_anchors(layouts).select("layout_id", "page_index", "no", F.lit(-1).alias("option_index"), number.alias("part")))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "option_index", "part"))), lambda x: x["part"]), "")
-    pages = parts.groupBy("layout_id", "page_index").agg(body.alias("body"))
+    pages = parts.groupBy("layout_id", "page_index").agg(body.alias("body"), F.min("no").alias("first"), F.max("no").alias("last"))
     side = F.col("fiducial_size_mm")
     square = F.concat(
         F.lit('<rect x="'), f1(F.col("x_mm") - side / 2), F.lit('" y="'), f1(F.col("y_mm") - side / 2), F.lit('" width="'), f1(side), F.lit('" height="'), f1(side), F.lit('"/>')
     )
-    marks = fiducials(layouts).join(m, "layout_id").groupBy("layout_id", "page_width_mm", "page_height_mm").agg(F.array_join(F.array_sort(F.collect_list(square)), "").alias("marks"))
+    marks = fiducials(layouts).join(m, "layout_id").groupBy("layout_id").agg(F.array_join(F.array_sort(F.collect_list(square)), "").alias("marks"))
     size = F.concat(F.lit('width="'), f1(F.col("page_width_mm")), F.lit('mm" height="'), f1(F.col("page_height_mm")), F.lit('mm" viewBox="0 0 '), f1(F.col("page_width_mm")), F.lit(" "), f1(F.col("page_height_mm")), F.lit('"'))
-    style = F.lit("<style>circle{fill:none;stroke:#000;stroke-width:.28}text{font:2.2px sans-serif;text-anchor:middle;dominant-baseline:central}.no{text-anchor:end}</style>")
-    svg = F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" '), size, F.lit(">"), style, F.col("marks"), F.col("body"), F.lit("</svg>"))
-    return pages.join(marks, "layout_id").select("layout_id", "page_index", svg.alias("svg"))
+    style = F.lit("<style>circle{fill:none;stroke:#000;stroke-width:.28}text{font:2.2px sans-serif;text-anchor:middle;dominant-baseline:central}.no{text-anchor:end}.l{text-anchor:start}.r{text-anchor:end}path{fill:none;stroke:#000;stroke-width:.3}</style>")
+    svg = F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" '), size, F.lit(">"), style, F.col("marks"), _page_head(heading), F.col("body"), _page_foot(), F.lit("</svg>"))
+    return pages.join(marks, "layout_id").join(_let(layouts), "layout_id").select("layout_id", "page_index", svg.alias("svg"))

@@ -148,7 +148,7 @@ def appendix(scored: DataFrame) -> DataFrame:
 
 
 def report(spark: SparkSession, normed: DataFrame, stats: DataFrame, reliability: DataFrame, basis: DataFrame, config: ScoringConfig) -> dict[str, DataFrame]:
-    """The report's tables by name."""
+    """The report's tables by name; the appendix needs the items of ``normed``."""
     from quillmark.operators.norms import descriptive_stats
 
     one = normed.agg(F.count("*").alias("n")).crossJoin(reliability).crossJoin(basis)
@@ -159,4 +159,5 @@ def report(spark: SparkSession, normed: DataFrame, stats: DataFrame, reliability
         "classes": class_distribution(normed),
         "items": stats,
         "method": report_sentences(one),
+        **({"appendix": appendix(normed)} if "items" in normed.columns else {}),
     }

@@ -147,6 +147,8 @@ ORACLES: dict[str, str] = {
     "image_intake": "select sha256('file:/scans/' || page_id || '/kelas%20a+b.' || (page_id % 3) || '.png') as sheet_id, 'kelas a+b.' || (page_id % 3) || '.png' as file_name, 'KELAS A+B.' || (page_id % 3) as name, 0 as page_index, case when page_id % 7 = 0 then -1 else 8 end as height from pages",
     "intake_counts": "select count(*) filter (where page_id % 7 <> 0) as readable, count(*) filter (where page_id % 7 = 0) as rejected from pages",
     "template_counts": f"with {_LAYOUTS} select layout_id, cast(page as int) as page_index, 4 as marks, count(*) as bubbles, count(distinct no) as numbers from b group by 1, 2",
+    "template_heads": f"""with {_LAYOUTS}, p as (select layout_id, page, min(no) as lo, max(no) as hi, string_agg(distinct opt, '/' order by opt) as opts from b group by 1, 2), n as (select layout_id, max(page) + 1 as pages from p group by 1)
+select layout_id, cast(page as int) as page_index, 'DINAS &lt;A &amp; B&gt;' as institution, 'TES — PILIHAN GANDA' as title, 'Halaman ' || (page + 1) || ' dari ' || pages as page, 'Butir ' || lo || '–' || hi || ' — Opsi: ' || opts as items, case when page = 0 then 5 else 0 end as instructions from p join n using (layout_id)""",
     "setting_ranges": """with i as (select cast(unnest(range(0, 25)) as int) as i), s as (select i, least(1000.0, greatest(1.0, i * 60 - 30)) as top from i)
 select i, cast(least(0.6, greatest(0.05, i / 25.0)) as double) as fill_threshold, cast(least(0.4, greatest(0.02, i / 40.0)) as double) as margin_threshold, cast(least(0.45, greatest(0.2, i / 40.0)) as double) as sample_radius_factor,
   cast(top as double) as scale_max, cast(least(top, i * 45) as double) as passing_score from s""",

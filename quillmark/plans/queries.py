@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.config import Layout, OmrOptions, ScoringConfig
+from quillmark.config import Heading, Layout, OmrOptions, ScoringConfig
 from quillmark.functions import scalars as S
 from quillmark.functions.formatting import fmt
 from quillmark.operators import decisions, geometry, items, merging, norms, reports, scanning, scoring
@@ -648,6 +648,17 @@ def template_counts(spark, sf_dir):
     return svg.select("layout_id", "page_index", count("<rect ").alias("marks"), count("<circle ").alias("bubbles"), count('class="no"').alias("numbers"))
 
 
+@query
+def template_heads(spark, sf_dir):
+    """Which lines each printed page has besides its items."""
+    svg = geometry.template_svg(_layouts(spark), Heading("Dinas <A & B>", "Unit 7", "Tes", "Pilihan Ganda"))
+    text = lambda pattern: F.regexp_extract("svg", pattern, 1)
+    return svg.select(
+        "layout_id", "page_index", text(">(DINAS[^<]*)<").alias("institution"), text(">(TES[^<]*)<").alias("title"), text(">(Halaman[^<]*)<").alias("page"), text(">(Butir[^<]*)<").alias("items"),
+        F.regexp_count("svg", F.lit(r">[1-5]\. ")).cast("long").alias("instructions"),
+    )
+
+
 @query
 def setting_ranges(spark, sf_dir):
     """Thresholds and scales as they are set, and within their ranges."""

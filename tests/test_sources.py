@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,6 +105,17 @@ def test_template_has_every_bubble(spark):
     svg = {(r.layout_id, r.page_index): r.svg for r in geometry.template_svg(table).collect()}
     assert set(svg) == {("a", 0), ("b", 0), ("b", 1), ("b", 2)}
     assert svg["a", 0].count("<circle") == 150 and svg["a", 0].count("<rect") == 4 and svg["b", 2].count("<circle") == 50
+    assert "NAMA INSTITUSI" in svg["a", 0] and "Halaman 3 dari 3" in svg["b", 2] and "Butir 121–130 — Opsi: A/B/C/D/E" in svg["b", 2]
+    assert "PETUNJUK PENGISIAN" in svg["b", 0] and "PETUNJUK PENGISIAN" not in svg["b", 1] and svg["b", 1].count("Tanggal") == 1
+    for page in svg.values():
+        ElementTree.fromstring(page)
+
+
+def test_head_stays_above_the_items(spark):
+    table = geometry.layout_table(spark, {str(top): Layout.of({"grid_top_mm": top, "margin_mm": 25}) for top in (30, 60, 160)})
+    for r in geometry.template_svg(table).collect():
+        heads = [float(x.get("y")) for x in ElementTree.fromstring(r.svg).iter() if x.get("class") == "l"][:-1]
+        assert len(heads) == 13 and max(heads) < float(r.layout_id) - 4
 
 
 def test_csv_is_exact(spark, tmp_path):
@@ -221,4 +233,5 @@ def test_report_tables(spark):
     sentence = tables["method"].first()
     assert sentence.reliability_sentence.startswith("Estimasi konsistensi internal melalui KR-20 sebesar ") and "M = 1.00; SD = 1.00" in sentence.norm_sentence and "not standardised" in sentence.note
     assert tables["passed"].first().passed == 1 and [r.row_no for r in tables["roster"].orderBy("row_no").collect()] == [1, 2, 3]
-    assert reports.appendix(scored).count() == 6
+    assert reports.appendix(scored).count() == tables["appendix"].count() == 6
+    assert "appendix" not in reports.report(spark, norms.with_norms(scored.drop("items"), c), stats, items.kr20(stats), norms.norm_basis(scored, c), c)
