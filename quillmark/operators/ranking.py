@@ -1,8 +1,11 @@
 """Exact ranks and cuts without one task that sorts everything.
 
-Rows are counted per (sort level, bucket of input order); sums over those few
-counts give what stands before a bucket, and only within a bucket are rows
-numbered. Levels are score values, of which a test has at most a few hundred.
+``numbered`` and ``extreme_groups`` count rows per (sort level, bucket of input
+order); sums over those few counts give what stands before a bucket, and only
+within a bucket are rows numbered. Levels are score values, of which a test has
+at most a few hundred. ``placed`` takes any key: rows of a sample cut the order
+into ranges, counts of ranges give what stands before each, and only within a
+range are rows numbered.
 """
 
 from __future__ import annotations
@@ -12,6 +15,11 @@ from pyspark.sql import functions as F
 
 #: Consecutive input positions in one bucket: what one window partition sorts.
 BUCKET = 4096
+#: Rows of the sample whose quantiles cut an order into ranges.
+SAMPLE = 4096
+
+#: A sort key: a column's name and whether it falls. Nulls come last when falling, first when rising.
+SortKey = tuple[str, bool]
 
 
 def numbered(df: DataFrame, level: str | None = None, ord_col: str = "sheet_ord", out: str = "rk", descending: bool = True) -> DataFrame:
@@ -78,3 +86,48 @@ def in_upper(level: str = "raw_score", ord_col: str = "sheet_ord") -> Column:
 
 def in_lower(level: str = "raw_score", ord_col: str = "sheet_ord") -> Column:
     return (F.col(level) < F.col("lower_at")) | ((F.col(level) == F.col("lower_at")) & (F.col(ord_col) >= F.col("lower_cut")))
+
+
+def _order(keys: list[SortKey]) -> list[Column]:
+    return [F.col(c).desc_nulls_last() if falls else F.col(c).asc_nulls_first() for c, falls in keys]
+
+
+def _reached(cut: Column, keys: list[SortKey]) -> Column:
+    """Whether the row stands at or behind the struct ``cut``."""
+    out = F.lit(True)
+    for c, falls in reversed(keys):
+        a, b = cut[c], F.col(c)
+        ahead = F.coalesce(a > b if falls else a < b, (a.isNotNull() & b.isNull()) if falls else (a.isNull() & b.isNotNull()))
+        out = ahead | (a.eqNullSafe(b) & out)
+    return out
+
+
+def placed(df: DataFrame, keys: list[SortKey], out: str = "place", ranges: int | None = None) -> DataFrame:
+    """``df`` with its exact 1-based place in the order of ``keys``, whatever their types and however many values they have.
+
+    The last key should tell rows apart: rows equal in all keys share a range
+    and are numbered in any order there, and a value that very many rows hold
+    is split at the keys behind it. Cuts are quantiles of the ``SAMPLE`` rows of
+    least hash, so a range holds about its share; a row finds its range in two
+    short searches, over every so many cuts and between two of these. One
+    shuffle by range. ``df`` is read three times (sample, counts, result): store
+    it first if it is costly. An empty table gives an empty table.
+    """
+    spark, names = df.sparkSession, [c for c, _ in keys]
+    ranges = ranges or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sample = df.select(*names).orderBy(F.xxhash64(*[F.col(c).cast("string") for c in names])).limit(SAMPLE)
+    # The sample is bounded, and so is its sort on one task.
+    sample = sample.select(F.struct(*names).alias("k"), F.row_number().over(Window.orderBy(*_order(keys))).alias("i"), F.count("*").over(Window.partitionBy()).alias("n"))
+    step = F.greatest(F.lit(1), F.floor(F.col("n") / ranges))
+    one = sample.agg(F.transform(F.array_sort(F.collect_list(F.when((F.col("i") - 1) % step == 0, F.struct("i", "k")))), lambda x: x["k"]).alias("_qm_cuts"))
+    every = max(1, round(ranges**0.5))
+    one = one.withColumn("_qm_coarse", F.filter("_qm_cuts", lambda _, i: i % every == 0))
+    upto = lambda cuts: F.size(F.filter(cuts, lambda x: _reached(x, keys)))
+    ranged = df.crossJoin(F.broadcast(one)).withColumn("_qm_part", F.greatest(F.lit(0), upto("_qm_coarse") - 1) * every)
+    ranged = ranged.withColumn("_qm_range", F.col("_qm_part") + upto(F.slice("_qm_cuts", F.col("_qm_part") + 1, F.lit(every)))).drop("_qm_cuts", "_qm_coarse", "_qm_part")
+    counts = ranged.groupBy("_qm_range").agg(F.count("*").alias("_qm_n"))
+    before = Window.orderBy("_qm_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_qm_range", F.coalesce(F.sum("_qm_n").over(before), F.lit(0)).alias("_qm_before"))
+    within = Window.partitionBy("_qm_range").orderBy(*_order(keys))
+    placed_rows = ranged.join(F.broadcast(offsets), "_qm_range")
+    return placed_rows.withColumn(out, (F.col("_qm_before") + F.row_number().over(within)).cast("long")).select(*df.columns, out)
