@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontam import op8_decontamination
+from .exact import op12_exact
 from .langid import op3_langid
 from .lm import op4_lm
 from .media import op2_media
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_pii": op9_pii,
     "op10_simhash": op10_simhash,
+    "op12_exact": op12_exact,
 }
 
 #: What a page's record must be can be said in SQL, whatever archives lie between.
@@ -39,4 +41,17 @@ select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
 from f
 """
 
-ORACLE_SQL = {"op5_warc": _OP5}
+#: The row that stays is the first of its group; which of wholly equal rows it is does not show.
+_OP12 = r"""
+with d as (
+  select doc_id, length(coalesce(text, '')) as points, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) as text_sha256 from documents
+), g as (
+  select *, count(*) over (partition by text_sha256) as group_size,
+         row_number() over (partition by text_sha256 order by points desc, doc_id nulls last) as place,
+         first_value(doc_id) over (partition by text_sha256 order by points desc, doc_id nulls last) as keep_id
+  from d
+)
+select doc_id, keep_id, group_size, place = 1 as kept, text_sha256 from g
+"""
+
+ORACLE_SQL = {"op5_warc": _OP5, "op12_exact": _OP12}
