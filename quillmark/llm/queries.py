@@ -10,6 +10,7 @@ from .media import op2_media
 from .mixing import op1_mixing
 from .pii import op9_pii
 from .quality import op6_quality
+from .resampling import op11_resampling
 from .simhash import op10_simhash
 from .toxicity import op7_toxicity
 from .warc import op5_warc
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_pii": op9_pii,
     "op10_simhash": op10_simhash,
+    "op11_resampling": op11_resampling,
     "op12_exact": op12_exact,
 }
 
