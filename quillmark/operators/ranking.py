@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Consecutive input positions in one bucket: what one window partition sorts.
 BUCKET = 4096
@@ -107,19 +108,19 @@ def placed(df: DataFrame, keys: list[SortKey], out: str = "place", ranges: int |
 
     The last key should tell rows apart: rows equal in all keys share a range
     and are numbered in any order there, and a value that very many rows hold
-    is split at the keys behind it. Cuts are quantiles of the ``SAMPLE`` rows of
-    least hash, so a range holds about its share; a row finds its range in two
-    short searches, over every so many cuts and between two of these. One
-    shuffle by range. ``df`` is read three times (sample, counts, result): store
-    it first if it is costly. An empty table gives an empty table.
+    is split at the keys behind it. Cuts are quantiles of ``SAMPLE`` random
+    rows, the only ones to reach the driver, so a range holds about its share;
+    a row finds its range in two short searches, over every so many cuts and
+    between two of these. One shuffle by range. ``df`` is read three times
+    (sample, counts, result): store it first if it is costly. An empty table
+    gives an empty table.
     """
     spark, names = df.sparkSession, [c for c, _ in keys]
     ranges = ranges or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sample = df.select(*names).orderBy(F.xxhash64(*[F.col(c).cast("string") for c in names])).limit(SAMPLE)
-    # The sample is bounded, and so is its sort on one task.
-    sample = sample.select(F.struct(*names).alias("k"), F.row_number().over(Window.orderBy(*_order(keys))).alias("i"), F.count("*").over(Window.partitionBy()).alias("n"))
-    step = F.greatest(F.lit(1), F.floor(F.col("n") / ranges))
-    one = sample.agg(F.transform(F.array_sort(F.collect_list(F.when((F.col("i") - 1) % step == 0, F.struct("i", "k")))), lambda x: x["k"]).alias("_qm_cuts"))
+    kinds = T.StructType([df.schema[c] for c in names])
+    sample = df.select(*names).orderBy(F.rand(0)).limit(SAMPLE).orderBy(*_order(keys)).collect()
+    cuts = [tuple(r) for i, r in enumerate(sample) if i % max(1, len(sample) // ranges) == 0]
+    one = spark.createDataFrame([(cuts,)], T.StructType([T.StructField("_qm_cuts", T.ArrayType(kinds))]))
     every = max(1, round(ranges**0.5))
     one = one.withColumn("_qm_coarse", F.filter("_qm_cuts", lambda _, i: i % every == 0))
     upto = lambda cuts: F.size(F.filter(cuts, lambda x: _reached(x, keys)))
