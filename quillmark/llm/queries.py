@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontam import op8_decontamination
+from .dialogue import op13_dialogue
 from .exact import op12_exact
 from .langid import op3_langid
 from .lm import op4_lm
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_simhash": op10_simhash,
     "op11_resampling": op11_resampling,
     "op12_exact": op12_exact,
+    "op13_dialogue": op13_dialogue,
 }
 
 #: What a page's record must be can be said in SQL, whatever archives lie between.
