@@ -61,13 +61,18 @@ def _positions(col: pa.Array, bits: int) -> np.ndarray:
     return words[:, :PROBES] & np.uint64(bits - 1)
 
 
+def segment_bits(bits: int) -> int:
+    return min(bits, SEGMENT_BITS)
+
+
 def _partial(bits: int):
     """Positions of a task's rows by segment: those met, and those met more than once."""
+    each = segment_bits(bits)
 
     def flush(held):
         at, n = np.unique(np.concatenate(held), return_counts=True)
-        segment = (at // SEGMENT_BITS).astype(np.int32)
-        inside = (at % SEGMENT_BITS).astype(np.uint32)
+        segment = (at // each).astype(np.int32)
+        inside = (at % each).astype(np.uint32)
         starts = np.flatnonzero(np.diff(segment, prepend=-1))
         met, again = [], []
         for a, b in zip(starts, [*starts[1:], len(at)], strict=True):
@@ -90,30 +95,34 @@ def _partial(bits: int):
     return run
 
 
-def _merged(batches):
-    """The second filter's segments with at least one bit: two bitmaps of 128 KB for each segment that the task owns."""
-    first: dict[int, np.ndarray] = {}
-    second: dict[int, np.ndarray] = {}
-    for b in batches:
-        for segment, met, again in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            once = first.setdefault(segment, np.zeros(SEGMENT_BITS, bool))
-            twice = second.setdefault(segment, np.zeros(SEGMENT_BITS, bool))
-            at = np.frombuffer(met, np.uint32)
-            twice[at[once[at]]] = True
-            twice[np.frombuffer(again, np.uint32)] = True
-            once[at] = True
-    kept = {s: np.packbits(x, bitorder="little").tobytes() for s, x in second.items() if x.any()}
-    yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.int32()), pa.array(list(kept.values()), pa.binary())], names=["segment", "bits"])
+def _merged(each: int):
+    """The second filter's segments with at least one bit: a byte for each bit of both filters' segments that the task owns."""
+
+    def run(batches):
+        first: dict[int, np.ndarray] = {}
+        second: dict[int, np.ndarray] = {}
+        for b in batches:
+            for segment, met, again in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                once = first.setdefault(segment, np.zeros(each, bool))
+                twice = second.setdefault(segment, np.zeros(each, bool))
+                at = np.frombuffer(met, np.uint32)
+                twice[at[once[at]]] = True
+                twice[np.frombuffer(again, np.uint32)] = True
+                once[at] = True
+        kept = {s: np.packbits(x, bitorder="little").tobytes() for s, x in second.items() if x.any()}
+        yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.int32()), pa.array(list(kept.values()), pa.binary())], names=["segment", "bits"])
+
+    return run
 
 
 def repeated_filter(rows: DataFrame, bits: int) -> np.ndarray:
     """Bytes of the second filter: the positions that at least two rows of ``rows`` (sha) share."""
-    segments = max(1, bits // SEGMENT_BITS)
+    segments = bits // segment_bits(bits)
     partial = rows.select("sha").mapInArrow(_partial(bits), "segment int, met binary, again binary")
-    # A task holds a byte for each bit of its segments: at most 8 of them, 16 MB.
-    merged = partial.repartition(max(1, segments // 8), "segment").mapInArrow(_merged, "segment int, bits binary")
+    # A task owns about 8 segments and holds two bytes for each of their bits, 16 MB.
+    merged = partial.repartition(max(1, segments // 8), "segment").mapInArrow(_merged(segment_bits(bits)), "segment int, bits binary")
     out = np.zeros(bits // 8, np.uint8)
-    size = SEGMENT_BITS // 8
+    size = segment_bits(bits) // 8
     for segment, packed in merged.toLocalIterator():
         out[segment * size : (segment + 1) * size] = np.frombuffer(packed, np.uint8)
     return out
