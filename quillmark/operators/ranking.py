@@ -67,18 +67,32 @@ def extreme_groups(df: DataFrame, level: str = "raw_score", ord_col: str = "shee
     side = lambda name, before: F.when((before < F.col("g")) & (before + F.col("c") >= F.col("g")), F.struct(F.lit(name).alias("side"), (F.col("g") - before).alias("m")))
     sides = levels.select("n", "g", "at", F.inline(F.array_compact(F.array(side("upper", above), side("lower", below)))))
 
+    cuts = tie_cuts(rows, sides.select("side", "at", "m"), counts)
+    pick = lambda name, c: F.max(F.when(F.col("side") == name, F.col(c)))
+    return cuts.join(F.broadcast(sides.select("side", "n", "g")), "side").groupBy("n", F.col("g").alias("group_size")).agg(
+        pick("upper", "at").alias("upper_at"), pick("upper", "cut").alias("upper_cut"), pick("lower", "at").alias("lower_at"), pick("lower", "cut").alias("lower_cut")
+    )
+
+
+def tie_cuts(rows: DataFrame, sides: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """(side, at, cut): the position up to which the ``m`` earliest (side upper) or latest (lower) rows of a level reach.
+
+    ``rows`` are (at, ord), ``sides`` are two rows (side, at, m) at most. The
+    rows of the two levels are counted by buckets of positions; only those of
+    the two buckets where m is reached are sorted.
+    """
+    rows = rows.select("at", "ord", F.floor(F.col("ord") / BUCKET).alias("bucket"))
+    if counts is None:
+        counts = rows.join(F.broadcast(sides.select("at").distinct()), "at").groupBy("at", "bucket").agg(F.count("*").alias("c"))
     # The upper side takes its ties from the earliest position, the lower from the latest.
     sign = F.when(F.col("side") == "upper", 1).otherwise(-1)
     order = Window.partitionBy("side").orderBy(sign * F.col("bucket")).rowsBetween(Window.unboundedPreceding, 0)
     ties = counts.join(F.broadcast(sides), "at").withColumn("upto", F.sum("c").over(order))
     reached = ties.where((F.col("upto") >= F.col("m")) & (F.col("upto") - F.col("c") < F.col("m")))
-    reached = reached.select("at", "bucket", "side", "n", "g", (F.col("m") - F.col("upto") + F.col("c")).alias("nth"))
+    reached = reached.select("at", "bucket", "side", (F.col("m") - F.col("upto") + F.col("c")).alias("nth"))
     inside = rows.join(F.broadcast(reached), ["at", "bucket"])
     nth = inside.withColumn("i", F.row_number().over(Window.partitionBy("side").orderBy(sign * F.col("ord")))).where("i = nth")
-    pick = lambda name, c: F.max(F.when(F.col("side") == name, F.col(c)))
-    return nth.groupBy("n", F.col("g").alias("group_size")).agg(
-        pick("upper", "at").alias("upper_at"), pick("upper", "ord").alias("upper_cut"), pick("lower", "at").alias("lower_at"), pick("lower", "ord").alias("lower_cut")
-    )
+    return nth.select("side", "at", F.col("ord").alias("cut"))
 
 
 def in_upper(level: str = "raw_score", ord_col: str = "sheet_ord") -> Column:

@@ -141,7 +141,15 @@ def _of_merged(sql: str) -> str:
     return sql.replace(R_SQL, merged).replace("from r group by", "from r1 group by").replace("from r join ranked", "from r1 r join ranked")
 
 
+#: Responses after a revision: other letters on every seventh sheet, every eleventh taken out.
+_REVISED = R_SQL.replace(", r as (", ", r0 as (") + ", r as (select sheet_ord, no, q, key, case when sheet_ord % 7 = 3 then translate(response, 'ABCDE', 'BCDEA') else response end as response from r0 where sheet_ord % 11 <> 5)"
+
+
 ORACLES: dict[str, str] = {
+    "revised_items": f"with {_ITEMS.replace(R_SQL, _REVISED)} select item_no, round(p, 6) as p, round(d, 6) as discrimination, round(rpb, 6) as point_biserial, n_a, n_blank, verdict from v",
+    "revised_scores": f"with {_normed().replace(R_SQL, _REVISED)} select sheet_ord, correct, wrong, blank, round(scaled_score, 6) as scaled_score, round(z_score, 6) as z_score from n",
+    "joint_counts": f"""with {_graded()} select cast(no as int) as item_no, key, case when response is null then 'kosong' else response end as option, coalesce(response = key, false) as "right", raw_score, correct, count(*) as n from r join g using (sheet_ord) group by all
+union all select 0, null, 'kosong', false, raw_score, correct, count(*) from g group by raw_score, correct""",
     "assessed_people": _of_merged(f"with {_normed()}, cf as (select sheet_ord, count(*) filter (where conflict) as conflict_count from r1 group by 1) select sheet_ord, correct, wrong, blank, conflict_count, raw_score, round(z_score, 6) as z_score, classification from n join cf using (sheet_ord)"),
     "assessed_items": _of_merged(f"with {_ITEMS} select item_no, round(p, 6) as p, round(d, 6) as discrimination, round(rpb, 6) as point_biserial, n_blank, verdict from v"),
     "image_intake": "select sha256('file:/scans/' || page_id || '/kelas%20a+b.' || (page_id % 3) || '.png') as sheet_id, 'kelas a+b.' || (page_id % 3) || '.png' as file_name, 'KELAS A+B.' || (page_id % 3) as name, 0 as page_index, case when page_id % 7 = 0 then -1 else 8 end as height from pages",

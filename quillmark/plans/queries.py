@@ -13,9 +13,10 @@ from quillmark.config import Heading, Layout, OmrOptions, ScoringConfig
 from quillmark.functions import scalars as S
 from quillmark.functions.formatting import fmt
 from quillmark.operators import decisions, geometry, items, merging, norms, reports, scanning, scoring
-from quillmark.plans.assessment import Assessment, assess
+from quillmark.plans.assessment import Assessment, assess, reassess
 from quillmark.plans.fixtures import ITEMS, d_matrix, key_of, r_matrix
 from quillmark.sources import images, sheets
+from quillmark.sources.workspace import stored, work_folder
 
 CONFIG = ScoringConfig(num_questions=ITEMS)
 PENALTY = ScoringConfig(num_questions=ITEMS, penalty=True)
@@ -53,9 +54,17 @@ def normed(spark: SparkSession, sf_dir: str, config: ScoringConfig = CONFIG) ->
     return rows.withColumn("name", F.concat(F.lit("PESERTA "), F.col("sheet_ord").cast("string")))
 
 
-def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = r_matrix(spark, sf_dir).select("sheet_ord", "item_no", "response")
-    return items.item_statistics(r, scoring.score_responses(r, key_of(spark), CONFIG), key_of(spark), CONFIG)
+def scored_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheets with their items and scores, stored: the responses are scanned once."""
+    scored = scoring.score_sheets(sheets.from_responses(r_matrix(spark, sf_dir), ITEMS), key_of(spark), CONFIG)
+    return stored(scored, work_folder(spark, "scored"))
+
+
+def statistics(spark: SparkSession, sf_dir: str, scored: DataFrame | None = None) -> DataFrame:
+    """Item statistics of joint counts, which are stored as well."""
+    scored = scored_sheets(spark, sf_dir) if scored is None else scored
+    counts = stored(items.joint_counts(scored, CONFIG), work_folder(spark, "counts"))
+    return items.item_statistics_of_sheets(scored, key_of(spark), CONFIG, counts)
 
 
 def paged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -195,11 +204,40 @@ def kr20(spark, sf_dir):
 
 @query
 def item_statistics_wide(spark, sf_dir):
-    scored = scoring.score_sheets(sheets.from_responses(r_matrix(spark, sf_dir), ITEMS), key_of(spark), CONFIG)
-    out = items.item_statistics_of_sheets(scored, key_of(spark), CONFIG)
+    """The same of long, sparse responses: blanks have no row."""
+    r = stored(r_matrix(spark, sf_dir).select("sheet_ord", "item_no", "response"), work_folder(spark, "responses"))
+    out = items.item_statistics(r, scoring.score_responses(r, key_of(spark), CONFIG), key_of(spark), CONFIG)
     return _round(out.select("item_no", "p", "discrimination", "point_biserial", "n_blank", "verdict"), "p", "discrimination", "point_biserial")
 
 
+def _revised(spark: SparkSession, sf_dir: str) -> Assessment:
+    """An assessment, and after it every seventh sheet with other letters and every eleventh taken out: only these are scored again."""
+    s = sheets.from_responses(r_matrix(spark, sf_dir), ITEMS).withColumn("name", F.lit(None).cast("string"))
+    last = assess(s, key_of(spark), CONFIG)
+    ord_ = F.col("sheet_ord")
+    changes = last.scored.where((ord_ % 7 == 3) | (ord_ % 11 == 5))
+    changes = changes.select("sheet_id", "sheet_ord", "name", F.transform("answers", lambda a: F.translate(a, "ABCDE", "BCDEA")).alias("answers"), (ord_ % 11 == 5).alias("removed"))
+    return reassess(last, key_of(spark), changes)
+
+
+@query
+def revised_items(spark, sf_dir):
+    stats = _revised(spark, sf_dir).item_stats
+    return _round(stats.select("item_no", "p", "discrimination", "point_biserial", "n_a", "n_blank", "verdict"), "p", "discrimination", "point_biserial")
+
+
+@query
+def revised_scores(spark, sf_dir):
+    rows = _revised(spark, sf_dir).normed
+    return _round(rows.select("sheet_ord", "correct", "wrong", "blank", "scaled_score", "z_score"), "scaled_score", "z_score")
+
+
+@query
+def joint_counts(spark, sf_dir):
+    """The table that item statistics follow from."""
+    return items.joint_counts(scored_sheets(spark, sf_dir), CONFIG)
+
+
 # ---- reports -----------------------------------------------------------------
 
 
@@ -597,7 +635,8 @@ def report_appendix(spark, sf_dir):
 
 @query
 def report_text(spark, sf_dir):
-    one = graded(spark, sf_dir).agg(F.count("*").alias("n")).crossJoin(items.kr20(statistics(spark, sf_dir))).crossJoin(norms.norm_basis(graded(spark, sf_dir), CONFIG))
+    scored = scored_sheets(spark, sf_dir)
+    one = scored.agg(F.count("*").alias("n")).crossJoin(items.kr20(statistics(spark, sf_dir, scored))).crossJoin(norms.norm_basis(scored, CONFIG))
     return reports.report_sentences(one)
 
 
@@ -606,7 +645,7 @@ def _assessed(spark: SparkSession, sf_dir: str) -> Assessment:
     _, r = paged(spark, sf_dir)
     s = sheets.from_responses(r.withColumn("sheet_ord", F.col("sheet_id").cast("long")), ITEMS)
     s = s.withColumn("name", F.when(F.col("sheet_ord") % 10 != 7, F.concat(F.lit(" peserta "), F.floor(F.col("sheet_ord") / 2).cast("string"))))
-    return assess(s, key_of(spark), ScoringConfig(num_questions=ITEMS, merge_by_name=True), None)
+    return assess(s, key_of(spark), ScoringConfig(num_questions=ITEMS, merge_by_name=True))
 
 
 @query
