@@ -125,22 +125,49 @@ def learned_from(k: int, r: int) -> Column:
     return F.coalesce(remainder(k) != r, F.lit(False))
 
 
-def sample_texts(docs: DataFrame, picked: DataFrame, most_rows: int, most_bytes: int) -> list:
-    """(doc_id, text, labels...) of whole texts of the ``picked`` rows (doc_id and labels).
-
-    Rows equal in doc_id, text and labels are one. They are taken in the order
-    of their hashes, whatever their lengths, until there are ``most_rows`` or
+def labelled_rows(docs: DataFrame, known: DataFrame, most_rows: int) -> DataFrame:
+    """Stored (_qm_k1, _qm_k2, _qm_size, doc_id, labels..., _qm_more): at most ``most_rows`` labelled texts, by the hash of doc_id.
+
+    Labels meet texts before the bound, and each doc_id first has one text for
+    each of its distinct labels, that of the least hash; what room is left
+    other texts of these doc_ids fill (_qm_more is 1). So repeated labels,
+    labels of absent documents or null texts, and doc_ids on very many rows
+    take no place from others. Texts meet in partial sums before anything is
+    shuffled. Rows equal in doc_id and text are one.
+    """
+    cols = [c for c in known.columns if c != "doc_id"]
+    full = docs.where(F.col("text").isNotNull()).select("doc_id", *row_keys(), F.octet_length("text").alias("_qm_size"))
+    first = full.groupBy("doc_id").agg(F.min(F.struct(*KEYS, "_qm_size")).alias("_qm_t")).join(known.distinct(), "doc_id")
+    first = first.orderBy(F.xxhash64("doc_id"), "doc_id", *cols).limit(most_rows).select("_qm_t.*", "doc_id", *cols, F.lit(0).alias("_qm_more"))
+    first = materialize(first, "labelled")
+    left = most_rows - first.count()
+    if not left:
+        return first
+    picked = first.select("doc_id", *cols).distinct()
+    others = full.join(F.broadcast(picked.select("doc_id").distinct()), "doc_id", "left_semi").distinct().join(F.broadcast(first.select(*KEYS).distinct()), KEYS, "left_anti")
+    others = others.join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), *KEYS, *cols).limit(left)
+    return materialize(first.unionByName(others.withColumn("_qm_more", F.lit(1))), "labelled")
+
+
+def whole_texts(docs: DataFrame, some: DataFrame) -> DataFrame:
+    """(doc_id, labels..., _qm_b) of the texts of ``labelled_rows``, which are few; rows equal in doc_id and text are one."""
+    texts = docs.select(*row_keys(), F.col("text").cast("binary").alias("_qm_b")).join(F.broadcast(some.select(*KEYS).distinct()), KEYS, "left_semi").dropDuplicates(KEYS)
+    return texts.join(F.broadcast(some), KEYS).drop(*KEYS, "_qm_size", "_qm_more")
+
+
+def sample_texts(docs: DataFrame, known: DataFrame, most_rows: int, most_bytes: int) -> list:
+    """(doc_id, text, labels...) of ``labelled_rows`` with their whole texts.
+
+    They are taken in the order of their hashes, whatever their lengths, until
     the texts before hold ``most_bytes``; both bounds hold before any text is
     collected. Sorted, so that a rerun learns the same model.
     """
-    cols = [c for c in picked.columns if c != "doc_id"]
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("_qm_b"), *row_keys()).where("_qm_b is not null").join(F.broadcast(picked), "doc_id")
-    sizes = texts.select(*KEYS, *cols, F.length("_qm_b").alias("_qm_size")).distinct().orderBy(*KEYS, *cols).limit(most_rows)
-    before = Window.orderBy(*KEYS, *cols).rowsBetween(Window.unboundedPreceding, -1)
+    cols = [c for c in known.columns if c != "doc_id"]
+    sizes = labelled_rows(docs, known, most_rows)
+    before = Window.orderBy("_qm_more", *KEYS, *cols).rowsBetween(Window.unboundedPreceding, -1)
     # The window's one task holds most_rows rows of a few numbers.
-    some = sizes.withColumn("_qm_before", F.coalesce(F.sum("_qm_size").over(before), F.lit(0))).where(F.col("_qm_before") < most_bytes).select(*KEYS, *cols)
-    some = materialize(some, "sample")
-    rows = texts.join(F.broadcast(some), [*KEYS, *cols], "left_semi").dropDuplicates([*KEYS, *cols]).select("doc_id", "_qm_b", *cols).collect()
+    some = sizes.withColumn("_qm_before", F.coalesce(F.sum("_qm_size").over(before), F.lit(0))).where(F.col("_qm_before") < most_bytes).drop("_qm_before")
+    rows = whole_texts(docs, materialize(some, "sample")).select("doc_id", "_qm_b", *cols).collect()
     return sorted(((r[0], bytes(r[1]), *r[2:]) for r in rows), key=lambda r: (r[0], r[1], *r[2:]))
 
 

@@ -160,14 +160,16 @@ def train(rows: list[tuple[bytes, int]], epochs: int = EPOCHS, seed: int = 7) ->
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", k: int = 5, r: int = 0, rows: int = SAMPLE_ROWS) -> Network:
-    """Learn from at most ``rows`` whole texts with a label whose crc32(doc_id) mod k is not r.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", k: int = 5, r: int = 0, rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Network:
+    """Learn from at most ``rows`` whole texts with a label whose crc32(doc_id) mod k is not r, and about ``sample_bytes`` of them.
 
-    The sample is that of the least hashes of doc_id; a document with conflicting labels counts once per label.
+    The sample is that of the least hashes of doc_id among labelled texts, so
+    labels that are repeated or that no text has take no place in it; a
+    document with conflicting labels counts once per label. Texts are not cut:
+    the last one may go beyond the bytes.
     """
     known = labels.where(F.col(label).isin(0, 1) & learned_from(k, r)).select("doc_id", F.col(label).alias("_qm_y"))
-    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id", "_qm_y").limit(rows)
-    sample = sorted(sample_texts(docs, picked, rows, SAMPLE_BYTES), key=lambda x: (len(x[1]), x[0], x[2]))
+    sample = sorted(sample_texts(docs, known, rows, sample_bytes), key=lambda x: (len(x[1]), x[0], x[2]))
     return train([(text, y) for _, text, y in sample])
 
 

@@ -9,8 +9,10 @@ matched whole; repeated rows score alike; an empty table gives an empty one, and
 with nothing to learn from the lexicon is empty. Null labels are not learned
 from.
 
-The lexicon is learned from labelled texts. A word's support is counted in
-clusters of near copies (two of four min-hashes agree), so the words of a large
+The lexicon is learned from labelled texts, a bounded number of them; it holds
+every word with the support and the weight asked for, and the exceptions every
+such phrase, so both are bounded by that sample alone. A word's support is
+counted in clusters of near copies (two of four min-hashes agree), so the words of a large
 group of copies don't enter by its size. Exception phrases are some fixed ones
 and those learned: two words, one of them of the lexicon, that stand side by
 side in clusters of texts nearly none of which is toxic.
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, learned_from, materialize, small_batches, table, texts_of
+from .common import held_out, labelled_rows, learned_from, materialize, small_batches, table, texts_of, whole_texts
 
 THRESHOLD = 0.7
 #: Bound of the labelled rows that the model is fitted on: those of the least hashes of doc_id.
@@ -39,12 +41,8 @@ TRAIN_ROWS = 12_000
 SUPPORT, SUPPORT_SHARE = 3, 0.003
 #: Log odds of a word in toxic over other texts.
 LEAST_WEIGHT = 2.5
-#: Bound of the lexicon: the words of most support times weight.
-LEXICON_ROWS = 20_000
 #: A learned exception stands in clusters of which at most this share is toxic, smoothed by half a cluster.
 EXCEPTION_SHARE = 0.1
-#: Bound of the learned exceptions: those in most clusters.
-EXCEPTION_ROWS = 2_000
 #: Words in a shingle of the clusters.
 SHINGLE = 5
 
@@ -220,7 +218,7 @@ def _weights(own: DataFrame) -> dict[str, float]:
     df = held.groupBy("word").agg(F.sum("toxic").alias("bad"), F.count("*").alias("all"))
     weight = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("all") - F.col("bad") + 0.5) / (good + 1))
     kept = df.where(F.col("bad") >= max(SUPPORT, SUPPORT_SHARE * bad)).withColumn("w", weight).where(F.col("w") >= LEAST_WEIGHT)
-    return {r["word"]: r["w"] for r in kept.orderBy(F.desc(F.col("w") * F.col("bad")), "word").limit(LEXICON_ROWS).collect()}
+    return {r["word"]: r["w"] for r in kept.orderBy(F.desc(F.col("w") * F.col("bad")), "word").collect()}
 
 
 def lexicon(labelled: DataFrame) -> dict[str, float]:
@@ -235,7 +233,7 @@ def learned_exceptions(own: DataFrame, weights: dict[str, float]) -> tuple[str,
     held = own.mapInArrow(_pairs(weights), "word string, toxic int, cluster long").distinct()
     df = held.groupBy("word").agg(F.sum("toxic").alias("bad"), F.count("*").alias("all"))
     kept = df.where((F.col("all") - F.col("bad") >= SUPPORT) & (F.col("bad") + 0.5 <= EXCEPTION_SHARE * (F.col("all") + 1)))
-    return tuple(r["word"] for r in kept.orderBy(F.desc("all"), "word").limit(EXCEPTION_ROWS).collect())
+    return tuple(r["word"] for r in kept.orderBy(F.desc("all"), "word").collect())
 
 
 def _match(model: Model):
@@ -279,9 +277,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, k: int = 3, r: int = 1, rows: int = TRAIN_ROWS) -> Model:
     """Learn from at most ``rows`` labelled whole texts whose crc32(doc_id) mod k is not r."""
     known = labels.where(F.col("toxic").isin(0, 1) & learned_from(k, r)).select("doc_id", "toxic")
-    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows)
-    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("toxic", "text")
-    texts = materialize(texts, "labelled")
+    texts = materialize(whole_texts(docs, labelled_rows(docs, known, rows)).select("toxic", F.col("_qm_b").cast("string").alias("text")), "labelled")
     own = clustered(texts)
     model = Model(_weights(own))
     model.exceptions = EXCEPTIONS + learned_exceptions(own, model.weights)

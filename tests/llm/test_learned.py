@@ -205,6 +205,24 @@ def test_quality_sample_is_bounded_whatever_the_lengths(spark):
     assert len(sample_texts(docs, picked, 20, 10**9)) == 20 and sample_texts(docs.limit(0), picked, 9, 9) == []
 
 
+def test_training_sample_is_not_crowded_out(spark):
+    """Repeated labels, labels of absent documents and a doc_id on very many rows leave the same sample."""
+    from quillmark.llm.common import labelled_rows, sample_texts
+
+    docs = spark.createDataFrame([(i, f"text {i} " * (i % 9)) for i in range(83)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, i % 2) for i in range(83)], "doc_id long, _qm_y int")
+    plain = sample_texts(docs, known, 60, 10**9)
+    assert len(plain) == 60
+    crowded = known.unionByName(spark.createDataFrame([(5, 1)] * 1300 + [(10_000 + i, 1) for i in range(19_000)] + [(200, 1)], known.schema))
+    hot = docs.unionByName(spark.range(300).selectExpr("5L as doc_id", "case when id % 2 = 0 then 'again' else concat('other ', id) end as text"))
+    hot = hot.unionByName(spark.createDataFrame([(200, None)], docs.schema))
+    got = sample_texts(hot, crowded, 60, 10**9)
+    assert [r[0] for r in got] == [r[0] for r in plain] and [r for r in got if r[0] != 5] == [r for r in plain if r[0] != 5]
+    rows = labelled_rows(hot, crowded, 1000)
+    assert rows.where("_qm_more = 0").count() == 83 and rows.where("doc_id = 5").count() == 152
+    assert labelled_rows(docs, known.limit(0), 10).count() == 0
+
+
 def test_quality_query_agrees_with_plain_scores(spark, sf):
     docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
     net = quality.fit(docs, labels)
