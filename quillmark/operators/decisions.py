@@ -17,8 +17,8 @@ def with_net(samples: DataFrame, by: str = "sheet_ord") -> DataFrame:
     return samples.withColumn("baseline", F.percentile("fill", 0.5).over(sheet)).withColumn("net", F.col("fill") - F.col("baseline"))
 
 
-def decisions(samples: DataFrame, options: OmrOptions, by: str = "sheet_ord") -> DataFrame:
-    """(by, no, response, flag, best_net, margin) of every item from samples with net.
+def decisions(samples: DataFrame, options: OmrOptions, by: str = "sheet_ord", keep_option: bool = False) -> DataFrame:
+    """(by, no, response, flag, best_net, margin) of every item from samples with net, and with ``keep_option`` the darkest option whatever is decided.
 
     The darkest option is the answer if it is dark enough and ahead of the
     second by a margin; else the response is null and the flag says ganda
@@ -32,7 +32,27 @@ def decisions(samples: DataFrame, options: OmrOptions, by: str = "sheet_ord") ->
     sure = enough & (F.col("margin") >= F.lit(options.margin_threshold))
     out = ranked.withColumn("margin", margin)
     flag = F.when(~sure, F.when(enough, "ganda").otherwise("kosong"))
-    return out.select(by, "no", F.when(sure, F.col("option")).alias("response"), flag.alias("flag"), F.col("net").alias("best_net"), "margin")
+    return out.select(by, "no", F.when(sure, F.col("option")).alias("response"), flag.alias("flag"), F.col("net").alias("best_net"), "margin", *(["option"] if keep_option else []))
+
+
+def sweep(best: DataFrame, fills: list[float], margins: list[float]) -> DataFrame:
+    """(fill_threshold, margin_threshold, answered, ganda, kosong, right) for each pair of thresholds, from one pass.
+
+    ``best`` holds best_net and margin of every item, option (the darkest) and
+    key. An item is answered at all thresholds that are not above its values,
+    so it is counted once, at the highest of both that it reaches; sums over
+    these counts, of which there are as many as pairs, give every pair.
+    """
+    steps = [sorted(set(fills)), sorted(set(margins))]
+    reached = lambda c, values: F.size(F.filter(F.array(*map(F.lit, values)), lambda t: t <= F.col(c)))
+    hit = F.coalesce(F.col("option") == F.col("key"), F.lit(False))
+    counts = best.where("best_net is not null").groupBy(reached("best_net", steps[0]).alias("i"), reached("margin", steps[1]).alias("j")).agg(F.count("*").alias("n"), F.count_if(hit).alias("hits"))
+    pairs = best.sparkSession.createDataFrame([(i + 1, j + 1, f, m) for i, f in enumerate(steps[0]) for j, m in enumerate(steps[1])], "fi int, mj int, fill_threshold double, margin_threshold double")
+    # Pairs and counts are a few hundred rows each; the lowest pair of indices meets all counts, the highest few.
+    met = pairs.join(F.broadcast(counts), F.lit(True), "left")
+    dark, ahead = F.col("i") >= F.col("fi"), F.col("j") >= F.col("mj")
+    total = lambda when, c: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0))
+    return met.groupBy("fill_threshold", "margin_threshold").agg(total(dark & ahead, "n").alias("answered"), total(dark & ~ahead, "n").alias("ganda"), total(~dark, "n").alias("kosong"), total(dark & ahead, "hits").alias("right"))
 
 
 def fill_rates(decided: DataFrame, by: str = "sheet_ord") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillmark.config import ScoringConfig
 from quillmark.functions.formatting import DASH, fmt
 from quillmark.functions.scalars import CLASSES, answer_pattern, trimmed
-from quillmark.operators.ranking import numbered
+from quillmark.operators.ranking import SortKey, numbered, placed
 
 BINS = 8
 #: Caution that every report carries.
@@ -94,6 +94,30 @@ def roster_page(rows: DataFrame, limit: int, query: str = "", key: str = "scaled
     return first.withColumn("row_no", F.row_number().over(Window.orderBy(*_sort_columns(key, rising))).cast("long"))
 
 
+def _sort_keys(rows: DataFrame, key: str, ascending: bool | None) -> tuple[DataFrame, list[SortKey]]:
+    """``rows`` with the values that its columns sort by."""
+    if key not in SORT_KEYS:
+        raise ValueError(f"no such sort key: {key}")
+    rising = key == "name" if ascending is None else ascending
+    by = F.collate("name", "id") if key == "name" else F.coalesce("deviation_iq", F.lit(0.0)) if key == "classification" else F.col(key)
+    return rows.withColumn("_qm_by", by), [("_qm_by", not rising), ("sheet_ord", False)]
+
+
+def numbered_roster(rows: DataFrame, query: str = "", key: str = "scaled_score", ascending: bool | None = None) -> DataFrame:
+    """Searched rows with row_no, their number in the whole roster sorted by ``key``; no task sorts them all.
+
+    ``rows`` are read three times: store them first.
+    """
+    found, keys = _sort_keys(searched(rows, query) if query else rows, key, ascending)
+    return placed(found, keys, "row_no").drop("_qm_by")
+
+
+def roster_at(rows: DataFrame, page: int, size: int, query: str = "", key: str = "scaled_score", ascending: bool | None = None) -> DataFrame:
+    """Page ``page``, from 1 on, of ``size`` rows of the numbered roster."""
+    last = page * size
+    return numbered_roster(rows, query, key, ascending).where(F.col("row_no").between(last - size + 1, last))
+
+
 def in_report_order(rows: DataFrame) -> DataFrame:
     """Rows with row_no, their number in input order."""
     return numbered(rows, None, "sheet_ord", "row_no")

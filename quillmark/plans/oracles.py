@@ -141,11 +141,64 @@ def _of_merged(sql: str) -> str:
     return sql.replace(R_SQL, merged).replace("from r group by", "from r1 group by").replace("from r join ranked", "from r1 r join ranked")
 
 
+#: The log of edits, of events and of orders.
+_LOG = """log as (
+  select event_id * 2 + 1 as seq, case event_id * 7 % 11 when 5 then 'set' when 6 then 'clear' else 'toggle' end as kind, cast(user_id % 97 + 1 as varchar) as target,
+         cast(regexp_extract(props, '"k": ([0-9]+)', 1) as int) % 10 + 1 as item_no, substr('ABCDE', cast(floor(value) as int) % 3 + 1, 1) as value from events
+  union all
+  select o_orderkey * 2, case when o_orderkey = 96 then 'clear_all' when o_custkey % 31 = 0 then 'rename' when o_custkey % 31 = 1 then 'page' when o_custkey % 31 = 2 then 'remove' else 'append' end, cast(o_custkey % 97 + 1 as varchar), null,
+         case o_custkey % 31 when 1 then cast(o_orderkey % 4 as varchar) when 0 then 'BUDI ' || o_orderkey else 'BARU ' || o_orderkey end
+  from orders where o_custkey % 31 < 2 or (o_custkey % 31 = 2 and o_orderkey % 11 = 0) or (o_custkey % 31 between 3 and 6 and o_orderkey % 97 = 0) or o_orderkey = 96
+)"""
+
+#: Sheet by sheet: the last append, the last removal, and what came after.
+_LIVES = """ids as (
+  select distinct sheet_id from (select sheet_id from s union all select target from log where kind = 'append')
+), lives as (
+  select ids.sheet_id, max(seq) filter (where kind = 'append') as born, max(seq) filter (where kind in ('remove', 'clear_all')) as died
+  from ids left join log on kind = 'clear_all' or (target = ids.sheet_id and kind in ('append', 'remove')) group by ids.sheet_id
+), alive as (
+  select lives.sheet_id, born, s.name from lives left join s using (sheet_id) where born > coalesce(died, -1) or (born is null and died is null and s.sheet_id is not null)
+)"""
+
+#: Edit by edit: each answer as the edits of its cell find it.
+_ONE_BY_ONE = """ed as (
+  select target, item_no, kind, value, row_number() over (partition by target, item_no order by seq) as i from log join alive on alive.sheet_id = target where kind in ('set', 'toggle', 'clear') and (born is null or seq > born)
+), st(target, item_no, i, val) as (
+  select t.target, t.item_no, cast(0 as bigint), b.response from (select distinct target, item_no from ed) t left join before b on b.target = t.target and b.item_no = t.item_no
+  union all
+  select st.target, st.item_no, ed.i, case ed.kind when 'set' then ed.value when 'clear' then null else case when st.val is not distinct from ed.value then null else ed.value end end
+  from st join ed on ed.target = st.target and ed.item_no = st.item_no and ed.i = st.i + 1
+), fin as (
+  select target, item_no, arg_max(coalesce(val, '-'), i) as val from st group by target, item_no
+)"""
+
 #: Responses after a revision: other letters on every seventh sheet, every eleventh taken out.
 _REVISED = R_SQL.replace(", r as (", ", r0 as (") + ", r as (select sheet_ord, no, q, key, case when sheet_ord % 7 = 3 then translate(response, 'ABCDE', 'BCDEA') else response end as response from r0 where sheet_ord % 11 <> 5)"
 
 
+_NO_CLEAR = _LOG.replace("or o_orderkey = 96", "").replace("when o_orderkey = 96 then 'clear_all' ", "")
+
+
 ORACLES: dict[str, str] = {
+    "roster_by_name": f"with {_normed()} select row_number() over (order by lower(name), sheet_ord) as row_no, sheet_ord, case when sheet_ord % 2 = 0 then lower(name) else 'Peserta ' || sheet_ord end as name from n",
+    "roster_by_class": f"with {_normed()} select row_number() over (order by coalesce(deviation_iq, 0) desc, sheet_ord) as row_no, sheet_ord, classification from n",
+    "roster_third_page": f"with {_normed()} select row_number() over (order by lower(name), sheet_ord) as row_no, sheet_ord, case when sheet_ord % 2 = 0 then lower(name) else 'Peserta ' || sheet_ord end as name from n qualify row_no between 7 and 9",
+    "name_searches": """with q as (select p_partkey as query_id, lower(trim(case when p_partkey % 3 = 0 then ' R#0' else '' end || substr(cast(p_partkey as varchar), 1, 3) || case when p_partkey % 5 = 0 then ' ' else '' end)) as q from part)
+select query_id, c_custkey as sheet_ord, c_name as name from q join customer on contains(lower(c_name), q)""",
+    "threshold_sweep": f"""with {_DECIDED}, f as (select round(0.05 + i * 0.55 / 11, 6) as f from range(12) t(i)), m as (select round(0.02 + i * 0.38 / 11, 6) as m from range(12) t(i)),
+b as (select net, net - coalesce(second, 0.0) as margin, option = k.key as hit from ranked left join k using (no) where i = 1)
+select cast(f as double) as fill_threshold, cast(m as double) as margin_threshold, count(*) filter (where net >= f and margin >= m) as answered, count(*) filter (where net >= f and margin < m) as ganda, count(*) filter (where net < f) as kosong,
+  count(*) filter (where net >= f and margin >= m and hit) as "right" from b cross join f cross join m group by 1, 2""",
+    "edit_log_responses": f"""with recursive {_PAGED}, {_NO_CLEAR}, {_LIVES}, before as (select pr.sheet_id as target, item_no, response from pr join alive using (sheet_id) where born is null), {_ONE_BY_ONE}
+select coalesce(f.target, b.target) as sheet_id, cast(coalesce(f.item_no, b.item_no) as int) as item_no, case when f.target is not null then nullif(f.val, '-') else b.response end as response from fin f full join before b on b.target = f.target and b.item_no = f.item_no""",
+    "edit_log_sheets": f"""with {_PAGED}, {_LOG}, {_LIVES}
+select a.sheet_id, coalesce(arg_max(value, seq) filter (where kind in ('append', 'rename') and seq >= coalesce(born, 0)), any_value(a.name)) as name, cast(coalesce(arg_max(value, seq) filter (where kind = 'page' and seq > coalesce(born, 0)), '0') as int) as page_index
+from alive a left join log on target = a.sheet_id group by a.sheet_id""",
+    "edit_log_merged": f"""with recursive {_PAGED}, {_NO_CLEAR.replace("from orders where", "from orders where false and")}, alive as (select distinct participant_id as sheet_id, cast(null as bigint) as born from mem), before as (select participant_id as target, item_no, response from merged), {_ONE_BY_ONE},
+hit as (select distinct f.item_no, mem.sheet_id from fin f join mem on mem.participant_id = f.target)
+select target as sheet_id, cast(item_no as int) as item_no, nullif(val, '-') as response from fin
+union all select pr.sheet_id, cast(pr.item_no as int), case when hit.sheet_id is null then response end from pr left join hit using (sheet_id, item_no) where not exists (select 1 from fin where fin.target = pr.sheet_id and fin.item_no = pr.item_no)""",
     "revised_items": f"with {_ITEMS.replace(R_SQL, _REVISED)} select item_no, round(p, 6) as p, round(d, 6) as discrimination, round(rpb, 6) as point_biserial, n_a, n_blank, verdict from v",
     "revised_scores": f"with {_normed().replace(R_SQL, _REVISED)} select sheet_ord, correct, wrong, blank, round(scaled_score, 6) as scaled_score, round(z_score, 6) as z_score from n",
     "joint_counts": f"""with {_graded()} select cast(no as int) as item_no, key, case when response is null then 'kosong' else response end as option, coalesce(response = key, false) as "right", raw_score, correct, count(*) as n from r join g using (sheet_ord) group by all

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from quillmark.config import Heading, Layout, OmrOptions, ScoringConfig
 from quillmark.functions import scalars as S
 from quillmark.functions.formatting import fmt
-from quillmark.operators import decisions, geometry, items, merging, norms, reports, scanning, scoring
+from quillmark.operators import decisions, edits, geometry, items, merging, norms, reports, scanning, scoring, search
 from quillmark.plans.assessment import Assessment, assess, reassess
 from quillmark.plans.fixtures import ITEMS, d_matrix, key_of, r_matrix
 from quillmark.sources import images, sheets
+from quillmark.sources.versions import Versions
 from quillmark.sources.workspace import stored, work_folder
 
 CONFIG = ScoringConfig(num_questions=ITEMS)
@@ -54,6 +55,10 @@ def normed(spark: SparkSession, sf_dir: str, config: ScoringConfig = CONFIG) ->
     return rows.withColumn("name", F.concat(F.lit("PESERTA "), F.col("sheet_ord").cast("string")))
 
 
+def normed_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(normed(spark, sf_dir), work_folder(spark, "normed"))
+
+
 def scored_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sheets with their items and scores, stored: the responses are scanned once."""
     scored = scoring.score_sheets(sheets.from_responses(r_matrix(spark, sf_dir), ITEMS), key_of(spark), CONFIG)
@@ -266,6 +271,16 @@ def results_search(spark, sf_dir):
     return reports.searched(normed(spark, sf_dir), "  TA 1 ").select("sheet_ord", "name", "correct")
 
 
+@query
+def name_searches(spark, sf_dir):
+    """Whose names hold each of many searches: digits of part numbers, in the names of customers."""
+    people = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("sheet_ord"), F.col("c_name").alias("name"))
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    text = F.concat(F.when(F.col("p_partkey") % 3 == 0, F.lit(" R#0")).otherwise(F.lit("")), F.substring(F.col("p_partkey").cast("string"), 1, 3), F.when(F.col("p_partkey") % 5 == 0, F.lit(" ")).otherwise(F.lit("")))
+    index = stored(search.index(people, "sheet_ord"), work_folder(spark, "grams"))
+    return search.found(index, parts.select(F.col("p_partkey").alias("query_id"), text.alias("query")))
+
+
 @query
 def results_top_k(spark, sf_dir):
     page = reports.roster_page(normed(spark, sf_dir), 20)
@@ -342,6 +357,58 @@ def apply_detection(spark, sf_dir):
     return merging.with_detection(r, detected, ITEMS)
 
 
+def _edit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of edits of the events, of answers, and of the orders, of sheets; one order clears all."""
+    events, orders = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("events", "orders"))
+    n = F.col("event_id") * 7 % 11
+    kind = F.when(n == 5, "set").when(n == 6, "clear").otherwise("toggle")
+    letter = F.substring(F.lit("ABCDE"), (F.floor(F.col("value")) % 3 + 1).cast("int"), F.lit(1))
+    item = F.get_json_object("props", "$.k").cast("int") % 10 + 1
+    cells = events.select((F.col("event_id") * 2 + 1).alias("seq"), kind.alias("kind"), (F.col("user_id") % 97 + 1).cast("string").alias("target"), item.alias("item_no"), letter.alias("value"))
+    who, what = (F.col("o_custkey") % 97 + 1).cast("string"), F.col("o_custkey") % 31
+    kind = F.when(F.col("o_orderkey") == CLEARING, "clear_all").when(what == 0, "rename").when(what == 1, "page").when((what == 2) & (F.col("o_orderkey") % 11 == 0), "remove").when(what.between(3, 6) & (F.col("o_orderkey") % 97 == 0), "append")
+    value = F.when(what == 1, (F.col("o_orderkey") % 4).cast("string")).when(what == 0, F.concat(F.lit(" budi "), F.col("o_orderkey").cast("string"))).otherwise(F.concat(F.lit("BARU "), F.col("o_orderkey").cast("string")))
+    own = orders.select((F.col("o_orderkey") * 2).alias("seq"), kind.alias("kind"), who.alias("target"), F.lit(None).cast("int").alias("item_no"), value.alias("value")).where("kind is not null")
+    return cells.unionByName(own)
+
+
+#: The order that clears all sheets, where there is such an order.
+CLEARING = 96
+
+
+def _replayed(spark: SparkSession, sf_dir: str, clear: bool) -> tuple[DataFrame, DataFrame]:
+    """Pages after the log, the first half of which was replayed and stored before the second: so state outlives a session."""
+    s, r = paged(spark, sf_dir)
+    log = stored(_edit_log(spark, sf_dir).where(F.lit(clear) | (F.col("kind") != "clear_all")), work_folder(spark, "log"))
+    half = log.agg(F.floor((F.min("seq") + F.max("seq")) / 2)).first()[0] or 0
+    state = Versions(spark, work_folder(spark, "state"))
+    one = edits.replayed(s.withColumn("page_index", F.lit(0)), r, log.where(F.col("seq") <= half))
+    state.write(dict(zip(("sheets", "responses"), one, strict=True)))
+    two = edits.replayed(state.read("sheets"), state.read("responses"), log.where(F.col("seq") > half))
+    state.write(dict(zip(("sheets", "responses"), two, strict=True)), expected=1)
+    return state.read("sheets"), state.read("responses")
+
+
+@query
+def edit_log_responses(spark, sf_dir):
+    """Answers after a log of many edits."""
+    return _replayed(spark, sf_dir, clear=False)[1]
+
+
+@query
+def edit_log_sheets(spark, sf_dir):
+    """Sheets after the log, with one edit that clears all: names, pages, and who is there."""
+    return _replayed(spark, sf_dir, clear=True)[0].select("sheet_id", "name", "page_index")
+
+
+@query
+def edit_log_merged(spark, sf_dir):
+    """Answers of merged participants after edits of these: own sheets take them, the others give them up."""
+    s, r = paged(spark, sf_dir)
+    log = stored(_edit_log(spark, sf_dir).where("item_no is not null"), work_folder(spark, "log"))
+    return edits.replayed(s.withColumn("page_index", F.lit(0)), r, log, merge=True)[1]
+
+
 # ---- scalars -------------------------------------------------------------------
 
 
@@ -520,6 +587,20 @@ def omr_recalibrated(spark, sf_dir):
     return decided.select("sheet_ord", "no", "response", "flag")
 
 
+@query
+def threshold_sweep(spark, sf_dir):
+    """What each pair of slider positions makes of all items, from one pass over the bubbles."""
+    fills, margins = sliders()
+    best = decisions.decisions(_net(spark, sf_dir), OPTIONS.calibrated(fill_threshold=0.05, margin_threshold=0.02), keep_option=True)
+    key = key_of(spark).withColumnRenamed("item_no", "no")
+    return decisions.sweep(best.join(F.broadcast(key), "no", "left"), fills, margins)
+
+
+def sliders(steps: int = 12) -> tuple[list[float], list[float]]:
+    """Positions of both threshold sliders over their whole ranges, in even steps."""
+    return [round(0.05 + i * 0.55 / (steps - 1), 6) for i in range(steps)], [round(0.02 + i * 0.38 / (steps - 1), 6) for i in range(steps)]
+
+
 # ---- intake, reports and exports ---------------------------------------------------
 
 
@@ -587,6 +668,30 @@ def results_by_name(spark, sf_dir):
     return reports.roster_page(rows, 25, key="name").select("row_no", "sheet_ord", "name")
 
 
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored participants with names that differ in case only, stored."""
+    rows = normed(spark, sf_dir).withColumn("name", F.when(F.col("sheet_ord") % 2 == 0, F.lower("name")).otherwise(F.initcap("name")))
+    return stored(rows, work_folder(spark, "named"))
+
+
+@query
+def roster_by_name(spark, sf_dir):
+    """The number of everyone in the whole roster by name."""
+    return reports.numbered_roster(_named(spark, sf_dir), key="name").select("row_no", "sheet_ord", "name")
+
+
+@query
+def roster_by_class(spark, sf_dir):
+    """The number of everyone in the whole roster by falling class."""
+    return reports.numbered_roster(normed_stored(spark, sf_dir), key="classification").select("row_no", "sheet_ord", "classification")
+
+
+@query
+def roster_third_page(spark, sf_dir):
+    """Page 3 of those whose name holds a search, by name, 3 to a page."""
+    return reports.roster_at(_named(spark, sf_dir), 3, 3, query=" ESERTA ", key="name").select("row_no", "sheet_ord", "name")
+
+
 @query
 def results_rising(spark, sf_dir):
     """The same column again: it rises."""
