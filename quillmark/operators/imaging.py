@@ -63,12 +63,26 @@ def dark_mask(grey: np.ndarray, divisor: int = 60, bias: float = 30) -> tuple[np
     h, w = grey.shape
     level = otsu(grey)
     r = max(6, math.floor(min(h, w) / divisor + 0.5))
-    s = integral(grey)
-    y0, y1 = np.maximum(np.arange(h) - r, 0), np.minimum(np.arange(h) + r, h - 1) + 1
-    x0, x1 = np.maximum(np.arange(w) - r, 0), np.minimum(np.arange(w) + r, w - 1) + 1
-    band = s[y1] - s[y0]
-    mean = (band[:, x1] - band[:, x0]) / ((y1 - y0)[:, None] * (x1 - x0)[None, :])
-    return (grey < level) | ((grey < mean - bias) & (grey < 200)), level
+    rows, columns = _window(h, r), _window(w, r)
+    # Whole numbers: the sum of a box against its area times the pixel and the bias.
+    kind = np.int32 if grey.size * 255 < 2**31 else np.int64
+    box = _box_sums(_box_sums(grey.astype(kind), *rows).T, *columns).T
+    area = (np.diff(rows, axis=0)[0][:, None] * np.diff(columns, axis=0)[0][None, :]).astype(kind)
+    below = area * (grey.astype(kind) + kind(bias)) < box if float(bias).is_integer() else area * (grey + bias) < box
+    return (grey < level) | (below & (grey < 200)), level
+
+
+def _window(n: int, r: int) -> tuple[np.ndarray, np.ndarray]:
+    """First place of the window around each of n places, and the one behind its last."""
+    at = np.arange(n)
+    return np.maximum(at - r, 0), np.minimum(at + r, n - 1) + 1
+
+
+def _box_sums(a: np.ndarray, first: np.ndarray, behind: np.ndarray) -> np.ndarray:
+    """Sums over rows ``first`` to before ``behind`` of each column."""
+    sums = np.zeros((a.shape[0] + 1, a.shape[1]), a.dtype)
+    np.cumsum(a, axis=0, out=sums[1:])
+    return sums[behind] - sums[first]
 
 
 def opened(mask: np.ndarray) -> np.ndarray:

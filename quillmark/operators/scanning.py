@@ -18,8 +18,8 @@ from quillmark import schemas
 from quillmark.config import Layout, OmrOptions
 from quillmark.operators import imaging as im
 
-#: Images in one Arrow batch: a few megabytes each.
-IMAGES_PER_BATCH = 8
+#: Images that one task reads, a second or so each ten.
+IMAGES_PER_TASK = 32
 
 #: What a failed page says.
 NO_MARKS = "corner marks not found"
@@ -125,16 +125,23 @@ def pixels_of(height: int, width: int, channels: int, data: bytes) -> np.ndarray
     return im.to_grey(rgb)
 
 
+def spread(rows: DataFrame, n: int, by: str = "sheet_id") -> DataFrame:
+    """``n`` rows dealt over so many tasks that each has ``IMAGES_PER_TASK`` or fewer, and every core some; adaptive planning doesn't join them again."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // IMAGES_PER_TASK))
+    return rows.repartition(tasks, by)
+
+
 def scanned(images: DataFrame, layout: Layout, options: OmrOptions = OmrOptions()) -> DataFrame:
     """One row of schemas.SCAN per row of ``images`` (sheet_id, page_index, height, width, n_channels, data).
 
     A null image and one that the source could not decode (height below 1) are
-    failed rows. A null page_index is page 0.
+    failed rows. A null page_index is page 0. Arrow batches are bounded by
+    bytes (spark.sql.execution.arrow.maxBytesPerBatch); deal images out with
+    ``spread`` where few partitions hold them.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
             for s in pdf.itertuples(index=False):
                 page = 0 if pd.isna(s.page_index) else int(s.page_index)
                 row = {"ok": False, "error": None, "threshold": None, "alignment": None, "homography": None, "samples": None}
@@ -145,14 +152,13 @@ def scanned(images: DataFrame, layout: Layout, options: OmrOptions = OmrOptions(
                 else:
                     try:
                         grey = pixels_of(int(s.height), int(s.width), int(s.n_channels), s.data)
-                        row = read_page(im.shrink(grey, options.max_dim), layout, page, options)
-                    except Exception as e:  # one bad image is a failed row, not a failed job
+                    except (ValueError, TypeError, IndexError) as e:  # bytes that are no such image: a failed row, not a failed job
                         row["error"] = f"{BAD_IMAGE}: {type(e).__name__}"
-                rows.append({"sheet_id": s.sheet_id, "page_index": page} | row)
-            out = pd.DataFrame(rows, columns=schemas.SCAN.fieldNames())
-            yield out.astype({"page_index": "int32"}).assign(threshold=out["threshold"].astype("Int32"))
+                    else:
+                        row = read_page(im.shrink(grey, options.max_dim), layout, page, options)
+                out = pd.DataFrame([{"sheet_id": s.sheet_id, "page_index": page} | row], columns=schemas.SCAN.fieldNames())
+                yield out.astype({"page_index": "int32"}).assign(threshold=out["threshold"].astype("Int32"))
 
-    images.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(IMAGES_PER_BATCH))
     cols = [F.col("sheet_id").cast("string"), F.col("page_index").cast("int"), "height", "width", F.col("n_channels"), "data"]
     return images.select(*cols).mapInPandas(run, schemas.SCAN)
 

@@ -13,6 +13,7 @@ from quillmark.config import Heading, Layout, OmrOptions, ScoringConfig
 from quillmark.functions import scalars as S
 from quillmark.functions.formatting import fmt
 from quillmark.operators import decisions, edits, geometry, items, merging, norms, reports, scanning, scoring, search
+from quillmark.plans import drawing
 from quillmark.plans.assessment import Assessment, assess, reassess
 from quillmark.plans.fixtures import ITEMS, d_matrix, key_of, r_matrix
 from quillmark.sources import images, sheets
@@ -542,13 +543,16 @@ def otsu_threshold(spark, sf_dir):
 SCAN_PX = 4
 
 
+def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each participant, dealt over all tasks before anything is drawn."""
+    s = stored(sheets.from_responses(r_matrix(spark, sf_dir), ITEMS).select("sheet_id", "answers"), work_folder(spark, "answers"))
+    return drawing.drawn_pages(scanning.spread(s, s.count()), LAYOUTS["L30"], SCAN_PX)
+
+
 @query
 def omr_scan(spark, sf_dir):
     """Sheets drawn as images, read back and decided: every participant's responses."""
-    s = sheets.from_responses(r_matrix(spark, sf_dir), ITEMS)
-    layout = LAYOUTS["L30"]
-    drawn = images.drawn_pages(s.repartition(F.col("sheet_id")), layout, SCAN_PX)
-    decided = decisions.decide_scans(scanning.scanned(drawn, layout, OPTIONS), OPTIONS)
+    decided = decisions.decide_scans(scanning.scanned(_drawn(spark, sf_dir), LAYOUTS["L30"], OPTIONS), OPTIONS)
     one = decided.select(F.col("sheet_id").cast("long").alias("sheet_ord"), F.explode("answers").alias("a"))
     return one.select("sheet_ord", F.col("a.no").alias("item_no"), F.col("a.response").alias("response"))
 
@@ -572,9 +576,7 @@ def _photographed(pages: DataFrame) -> DataFrame:
 @query
 def omr_scan_photos(spark, sf_dir):
     """Turned, coloured and broken pages: what could be read, and the error of what could not."""
-    s = sheets.from_responses(r_matrix(spark, sf_dir), ITEMS)
-    drawn = images.drawn_pages(s.repartition(F.col("sheet_id")), LAYOUTS["L30"], SCAN_PX)
-    decided = decisions.decide_scans(scanning.scanned(_photographed(drawn), LAYOUTS["L30"], OPTIONS), OPTIONS)
+    decided = decisions.decide_scans(scanning.scanned(_photographed(_drawn(spark, sf_dir)), LAYOUTS["L30"], OPTIONS), OPTIONS)
     given = F.transform("answers", lambda a: a["response"])
     return decided.select(F.col("sheet_id").cast("long").alias("sheet_ord"), "ok", F.when(F.col("ok"), S.answer_pattern(given)).alias("pattern"))
 

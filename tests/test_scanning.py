@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quillmark.config import Layout, OmrOptions
 from quillmark.operators import imaging as im
 from quillmark.operators import decisions, geometry, scanning
+from quillmark.plans import drawing
 from quillmark.plans.queries import LAYOUTS
 from quillmark.sources import images
 
@@ -84,7 +85,7 @@ def test_every_layout_in_every_condition():
     for name in ("L30", "L100", "L12", "L60"):
         layout = LAYOUTS[name]
         answers, crossed = truth(layout)
-        page = images.draw_page(layout, answers, crossed)
+        page = drawing.draw_page(layout, answers, crossed)
         for variant, how in VARIANTS.items():
             found = scanning.read_page(spoil(page, **how), layout)
             if not found["ok"]:
@@ -100,7 +101,7 @@ def test_every_layout_in_every_condition():
 def test_pages_on_their_side_or_head(turn):
     layout = LAYOUTS["L30"]
     answers, crossed = truth(layout)
-    found = scanning.read_page(np.ascontiguousarray(np.rot90(images.draw_page(layout, answers, crossed), turn)), layout)
+    found = scanning.read_page(np.ascontiguousarray(np.rot90(drawing.draw_page(layout, answers, crossed), turn)), layout)
     assert found["ok"] and {n: a for n, a in decide(found).items() if a} == answers
 
 
@@ -108,12 +109,12 @@ def test_what_is_no_sheet_is_refused():
     layout = LAYOUTS["L30"]
     for grey in (np.full((300, 200), 255, np.uint8), np.zeros((300, 200), np.uint8), np.random.default_rng(1).integers(0, 256, (400, 300), dtype=np.uint8), np.full((1, 1), 9, np.uint8)):
         assert not scanning.read_page(grey, layout)["ok"]
-    page = images.draw_page(layout, *truth(layout))
+    page = drawing.draw_page(layout, *truth(layout))
     cut = page.copy()
     cut[:60, :60] = 255
     assert not scanning.read_page(cut, layout)["ok"]
     assert scanning.read_page(page, layout, page=3)["error"] == scanning.NO_ITEMS
-    blank = images.Canvas(210, 297, 4)
+    blank = drawing.Canvas(210, 297, 4)
     for x, y in scanning.mark_centers(layout):
         blank.ink((x - 3, y - 3, x + 3, y + 3))
     assert scanning.read_page(blank.grey, layout)["error"] == scanning.MISALIGNED
@@ -228,7 +229,7 @@ def png(grey: np.ndarray) -> bytes:
 def folder(tmp_path_factory):
     d = tmp_path_factory.mktemp("scans")
     layout = LAYOUTS["L30"]
-    (d / "ani budi.png").write_bytes(png(images.draw_page(layout, *truth(layout))))
+    (d / "ani budi.png").write_bytes(png(drawing.draw_page(layout, *truth(layout))))
     (d / "broken.png").write_bytes(b"no image")
     (d / "white.png").write_bytes(png(np.full((400, 300), 255, np.uint8)))
     return d
@@ -278,6 +279,28 @@ def test_drawn_pages_of_several_pages(spark):
     layout = LAYOUTS["L130"]
     answers = ["ABCDE"[i % 5] if i % 4 else None for i in range(130)]
     s = spark.createDataFrame([("x", answers)], "sheet_id string, answers array<string>")
-    decided = decisions.decide_scans(scanning.scanned(images.drawn_pages(s, layout), layout), OmrOptions())
+    decided = decisions.decide_scans(scanning.scanned(drawing.drawn_pages(s, layout), layout), OmrOptions())
     got = {a.no: a.response for r in decided.collect() for a in r.answers}
     assert got == {i + 1: a for i, a in enumerate(answers)}
+
+
+def test_pages_are_dealt_over_tasks_and_settings_stay(spark):
+    layout = LAYOUTS["L12"]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None)
+    s = spark.range(70).selectExpr("cast(id as string) as sheet_id", "array('A', 'B', 'C') as answers")
+    drawn = drawing.drawn_pages(scanning.spread(s, 70), layout, 3)
+    scans = scanning.scanned(drawn, layout)
+    assert scans.where("ok").count() == 70
+    held = scans.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(held) > 1 and max(r["count"] for r in held) < 40
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) == before
+
+
+def test_dark_mask_agrees_with_plain_means():
+    rng = np.random.default_rng(3)
+    for shape, divisor, bias in (((40, 57), 60, 30), ((33, 90), 5, 12.5), ((9, 8), 60, 30)):
+        grey = rng.integers(0, 256, shape).astype(np.uint8)
+        r = max(6, int(min(shape) / divisor + 0.5))
+        mean = np.array([[grey[max(0, y - r) : y + r + 1, max(0, x - r) : x + r + 1].mean() for x in range(shape[1])] for y in range(shape[0])])
+        mask, level = im.dark_mask(grey, divisor, bias)
+        assert (mask == ((grey < level) | ((grey < mean - bias) & (grey < 200)))).all()

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from quillmark.config import ScoringConfig
 from quillmark.operators import scoring
+from quillmark.plans import drawing
 from quillmark.plans.queries import LAYOUTS
-from quillmark.sources import images, sheets, sinks
+from quillmark.sources import sheets, sinks
 from quillmark.streaming import landing
 from tests.test_scanning import png, truth
 
@@ -14,7 +15,7 @@ def test_new_images_are_read_once(spark, tmp_path):
     layout = LAYOUTS["L30"]
     inbox, out, state = (str(tmp_path / d) for d in ("in", "out", "state"))
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.png").write_bytes(png(images.draw_page(layout, *truth(layout))))
+    (tmp_path / "in" / "a.png").write_bytes(png(drawing.draw_page(layout, *truth(layout))))
     landing.read_landing(spark, inbox, out, state, layout).awaitTermination()
     assert [r.ok for r in spark.read.parquet(out).collect()] == [True]
     (tmp_path / "in" / "b.png").write_bytes(b"broken")
