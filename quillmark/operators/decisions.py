@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.config import OmrOptions
+from quillmark.config import CALIBRATION_BOUNDS, OmrOptions
+from quillmark.functions.scalars import clamp
+
+
+def calibrated(settings: DataFrame) -> DataFrame:
+    """``settings`` with each decision parameter among its columns clamped to the range in which it may be set; null stays."""
+    return settings.withColumns({c: clamp(F.col(c), *bounds) for c, bounds in CALIBRATION_BOUNDS.items() if c in settings.columns})
 
 
 def with_net(samples: DataFrame, by: str = "sheet_ord") -> DataFrame:

@@ -118,6 +118,18 @@ def roster_at(rows: DataFrame, page: int, size: int, query: str = "", key: str =
     return numbered_roster(rows, query, key, ascending).where(F.col("row_no").between(last - size + 1, last))
 
 
+def run_tally(pages: DataFrame) -> DataFrame:
+    """One row (pages, passed, failed_safely, failed_silently, rejection_rate) of pages (ok, accuracy, floor).
+
+    A page that was not read fails safely, one that was read below the accuracy
+    asked of it silently.
+    """
+    ok = F.coalesce("ok", F.lit(False))
+    good = F.coalesce(F.col("accuracy") >= F.col("floor"), F.lit(False))
+    out = pages.agg(F.count("*").alias("pages"), F.count_if(ok & good).alias("passed"), F.count_if(~ok).alias("failed_safely"), F.count_if(ok & ~good).alias("failed_silently"))
+    return out.withColumn("rejection_rate", F.try_divide("failed_safely", "pages"))
+
+
 def in_report_order(rows: DataFrame) -> DataFrame:
     """Rows with row_no, their number in input order."""
     return numbered(rows, None, "sheet_ord", "row_no")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.config import ScoringConfig
-from quillmark.functions.scalars import fit_length, item_status, raw_score, scaled_score
+from quillmark.functions.scalars import clamp, fit_length, item_status, raw_score, scaled_score
 
 
 def key_table(spark: SparkSession, letters: list[str | None]) -> DataFrame:
@@ -21,6 +21,12 @@ def key_table(spark: SparkSession, letters: list[str | None]) -> DataFrame:
     return spark.createDataFrame(rows, "item_no int, key string")
 
 
+def validated(settings: DataFrame) -> DataFrame:
+    """``settings`` with scale_max within 1 to 1000 and passing_score within 0 to that."""
+    top = settings.withColumn("scale_max", clamp(F.col("scale_max"), 1, 1000))
+    return top.withColumn("passing_score", F.when(F.col("passing_score").isNotNull(), F.least("scale_max", F.greatest(F.lit(0.0), "passing_score"))))
+
+
 def key_letters(key: DataFrame, n: int) -> DataFrame:
     """One row (keys array<string>) of ``n`` letters from (item_no, key)."""
     pairs = F.array_sort(F.collect_list(F.struct("item_no", "key")))

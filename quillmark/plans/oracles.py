@@ -85,14 +85,14 @@ _PAGED = (
 )"""
 )
 
-_LAYOUTS = """l(layout_id, nq, cols, rpc, os, pitch, dia, top, gutter, gap) as (
-  values ('L30', 30, 3, 20, 'ABCDE', 7.5, 5.0, 92.0, 9.0, 6.0), ('L100', 100, 4, 25, 'ABCD', 6.5, 4.2, 88.0, 7.0, 4.0), ('L12', 12, 1, 12, 'ABCDE', 7.5, 5.0, 92.0, 9.0, 6.0),
-         ('L60', 60, 2, 30, 'ABCDE', 6.0, 5.0, 80.0, 9.0, 6.0), ('L130', 130, 3, 20, 'ABCDE', 7.5, 5.0, 92.0, 9.0, 6.0)
+_LAYOUTS = """l as (
+  select cast(s_suppkey as varchar) as layout_id, s_suppkey * 13 % 160 + 1 as nq, s_nationkey % 4 + 1 as cols, s_suppkey % 25 + 8 as rpc, case when s_suppkey % 2 = 0 then 'ABCD' else 'ABCDE' end as os, s_suppkey % 6 * 0.5 + 5 as pitch, s_suppkey % 9 * 0.5 + 3 as dia,
+         s_suppkey % 30 + 70 as top, s_suppkey % 5 + 6 as gutter, s_suppkey % 4 + 3 as gap from supplier
 ), m as (
   select layout_id, nq, cols, rpc, os, length(os) as k, cast(pitch as double) as pitch, cast(dia as double) as dia, cast(top as double) as top, cast(gutter as double) as gutter, cast(gap as double) as gap,
     186.0 as usable, (186.0 - cast(gap as double) * (cols - 1)) / cols as cw, length(os) * cast(dia as double) + (length(os) - 1) * 1.6 as block, cols * rpc as per_page from l
 ), pages as (
-  select m.*, p.page from m join (select unnest(range(0, 10)) as page) p on p.page * per_page < nq
+  select m.*, p.page from m join (select unnest(range(0, 20)) as page) p on p.page * per_page < nq
 ), cells as (
   select pages.*, least(per_page, nq - page * per_page) as cnt, cast(ceil(least(per_page, nq - page * per_page) * 1.0 / cols) as int) as used from pages
 ), it as (
@@ -122,7 +122,7 @@ _DECIDED = (
 
 
 def _key(rows: str) -> str:
-    return f"with k as (select no as item_no, case when no = 30 then null else substr('ABCDE', cast((no * 3) % 5 as int) + 1, 1) end as key from (select unnest(range(1, 31)) as no)) {rows}"
+    return f"with k as (select no as item_no, case when no = 30 then null else substr('ABCDE', cast((no * 3) % 5 as int) + 1, 1) end as key from (select distinct p_partkey % 30 + 1 as no from part)) {rows}"
 
 
 #: Capitals of sharp s are two letters, which not every engine's upper knows.
@@ -210,9 +210,14 @@ union all select 0, null, 'kosong', false, raw_score, correct, count(*) from g g
     "template_counts": f"with {_LAYOUTS} select layout_id, cast(page as int) as page_index, 4 as marks, count(*) as bubbles, count(distinct no) as numbers from b group by 1, 2",
     "template_heads": f"""with {_LAYOUTS}, p as (select layout_id, page, min(no) as lo, max(no) as hi, string_agg(distinct opt, '/' order by opt) as opts from b group by 1, 2), n as (select layout_id, max(page) + 1 as pages from p group by 1)
 select layout_id, cast(page as int) as page_index, 'DINAS &lt;A &amp; B&gt;' as institution, 'TES — PILIHAN GANDA' as title, 'Halaman ' || (page + 1) || ' dari ' || pages as page, 'Butir ' || lo || '–' || hi || ' — Opsi: ' || opts as items, case when page = 0 then 5 else 0 end as instructions from p join n using (layout_id)""",
-    "setting_ranges": """with i as (select cast(unnest(range(0, 25)) as int) as i), s as (select i, least(1000.0, greatest(1.0, i * 60 - 30)) as top from i)
-select i, cast(least(0.6, greatest(0.05, i / 25.0)) as double) as fill_threshold, cast(least(0.4, greatest(0.02, i / 40.0)) as double) as margin_threshold, cast(least(0.45, greatest(0.2, i / 40.0)) as double) as sample_radius_factor,
-  cast(top as double) as scale_max, cast(least(top, i * 45) as double) as passing_score from s""",
+    "setting_ranges": """with w as (select s_suppkey, s_suppkey % 25 as i, s_suppkey % 23 as j from supplier), t as (select *, least(1000.0, greatest(1.0, i * 60 - 30)) as top from w)
+select s_suppkey, cast(least(0.6, greatest(0.05, i / 25.0)) as double) as fill_threshold, cast(least(0.4, greatest(0.02, i / 40.0)) as double) as margin_threshold, cast(least(0.45, greatest(0.2, i / 40.0)) as double) as sample_radius_factor,
+  cast(top as double) as scale_max, cast(least(top, greatest(0, j * 45 - 20)) as double) as passing_score from t""",
+    "calibrated_sheets": f"""with {_DECIDED.replace('0.16', '0.42').replace('>= 0.1 ', '>= 0.02 ')}, a as (select sheet_ord, string_agg(coalesce(response, '-'), '' order by no) as pattern, count(response) * 1.0 / count(*) as rate from dec group by 1), o as (select sheet_ord, string_agg(coalesce(response, '-'), '' order by no) as pattern from r group by 1)
+select o.sheet_ord, case when o.sheet_ord % 9 <> 4 then 'done' else 'error' end as status, case when o.sheet_ord % 9 = 4 then 'grid is not aligned with the sheet' end as error, case when o.sheet_ord % 9 <> 4 then a.pattern else o.pattern end as pattern, case when o.sheet_ord % 9 <> 4 then round(rate, 6) end as confidence
+from o join a using (sheet_ord)""",
+    "reading_tally": f"""with {_DECIDED}, pg as (select dec.sheet_ord, avg(case when dec.response is not distinct from r.response then 1.0 else 0.0 end) as acc from dec join r on r.sheet_ord = dec.sheet_ord and r.no = dec.no group by 1)
+select count(*) as pages, count(*) filter (where sheet_ord % 11 <> 0 and acc >= 0.95) as passed, count(*) filter (where sheet_ord % 11 = 0) as failed_safely, count(*) filter (where sheet_ord % 11 <> 0 and acc < 0.95) as failed_silently, round(count(*) filter (where sheet_ord % 11 = 0) * 1.0 / count(*), 6) as rejection_rate from pg""",
     "score_sheets": f"with {_graded()} select sheet_ord, correct, wrong, blank, scored_items, raw_score, round(scaled_score, 6) as scaled_score from g",
     "score_sheets_penalty": f"with {_graded(True)} select sheet_ord, correct, wrong, blank, scored_items, round(raw_score, 6) as raw_score, round(scaled_score, 6) as scaled_score from g",
     "score_sheets_wide": f"with {_graded()} select sheet_ord, correct, wrong, blank, scored_items, raw_score, round(scaled_score, 6) as scaled_score from g",
@@ -269,7 +274,7 @@ select layout_id, cast(floor(least(40.0, greatest(4.0, p_size)) + 0.5) as int) a
   array_to_string(list_filter([case when gutter + block > cw then 'column_too_narrow' end, case when rpc > greatest(0, floor((271.0 - top) / pitch)) then 'too_many_rows' end, case when nq > per_page then 'several_pages' end], lambda x: x is not null), ',') as issues,
   not (gutter + block > cw) and not (rpc > greatest(0, floor((271.0 - top) / pitch))) as printable from m""",
     "page_items": f"with {_LAYOUTS} select layout_id, cast(page as int) as page_index, cast(no as int) as no, cast(col as int) as \"column\", cast(row as int) as row from it",
-    "fiducials": "select layout_id, corner, x_mm, y_mm from (select unnest(['L30', 'L100', 'L12', 'L60', 'L130']) as layout_id) cross join (values ('tl', 9.0::double, 9.0::double), ('tr', 201.0::double, 9.0::double), ('br', 201.0::double, 288.0::double), ('bl', 9.0::double, 288.0::double)) f(corner, x_mm, y_mm)",
+    "fiducials": "select layout_id, corner, x_mm, y_mm from (select cast(s_suppkey as varchar) as layout_id from supplier) cross join (values ('tl', 9.0::double, 9.0::double), ('tr', 201.0::double, 9.0::double), ('br', 201.0::double, 288.0::double), ('bl', 9.0::double, 288.0::double)) f(corner, x_mm, y_mm)",
     "bubble_centers": f"with {_LAYOUTS} select layout_id, cast(page as int) as page_index, cast(no as int) as no, opt as option, cast(o as int) as option_index, cast(col as int) as \"column\", cast(row as int) as row, round(x, 6) as x_mm, round(y, 6) as y_mm from b",
     "number_anchors": f"with {_LAYOUTS} select layout_id, cast(page as int) as page_index, cast(no as int) as no, round(12.0 + col * (cw + gap), 6) as x_mm, round(gutter - 1.5, 6) as width_mm, round(top + row * pitch + dia / 2, 6) as y_mm from it",
     "project_points": f"with {_LAYOUTS}, d as (select *, {_H[6]} * x + {_H[7]} * y + {_H[8]} as den from b) select layout_id, cast(no as int) as no, cast(o as int) as option_index, round(({_H[0]} * x + {_H[1]} * y + {_H[2]}) / den, 6) as x, round(({_H[3]} * x + {_H[4]} * y + {_H[5]}) / den, 6) as y from d",
@@ -314,3 +319,5 @@ select case when kr is null then 'Koefisien konsistensi internal KR-20 belum dap
 from u cross join bs""",
     "omr_scan": f"with {R_SQL} select sheet_ord, no as item_no, response from r",
 }
+#: The written file holds the same lines, without their numbers.
+ORACLES["csv_file"] = f"select line from ({ORACLES['csv_rows']}) t"

@@ -15,8 +15,8 @@ from quillmark.functions.formatting import fmt
 from quillmark.operators import decisions, edits, geometry, items, merging, norms, reports, scanning, scoring, search
 from quillmark.plans import drawing
 from quillmark.plans.assessment import Assessment, assess, reassess
-from quillmark.plans.fixtures import ITEMS, d_matrix, key_of, r_matrix
-from quillmark.sources import images, sheets
+from quillmark.plans.fixtures import ITEMS, d_matrix, key_letter, key_of, r_matrix
+from quillmark.sources import images, sheets, sinks
 from quillmark.sources.versions import Versions
 from quillmark.sources.workspace import stored, work_folder
 
@@ -107,14 +107,20 @@ def item_status_long(spark, sf_dir):
     return scoring.item_rows(r_matrix(spark, sf_dir), key_of(spark))
 
 
+def _key_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key of the items that the table of parts has."""
+    no = (F.col("p_partkey") % ITEMS).cast("int") + 1
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(no.alias("item_no")).distinct().select("item_no", key_letter(F.col("item_no")).alias("key"))
+
+
 @query
 def key_string(spark, sf_dir):
-    return scoring.key_string(key_of(spark))
+    return scoring.key_string(_key_of_parts(spark, sf_dir))
 
 
 @query
 def key_fill(spark, sf_dir):
-    return scoring.fill_summary(key_of(spark))
+    return scoring.fill_summary(_key_of_parts(spark, sf_dir))
 
 
 @query
@@ -124,7 +130,7 @@ def key_from_master(spark, sf_dir):
 
 @query
 def key_toggle(spark, sf_dir):
-    key = scoring.toggled_key(key_of(spark), 1, "D")
+    key = scoring.toggled_key(_key_of_parts(spark, sf_dir), 1, "D")
     return scoring.toggled_key(key, 2, "A")
 
 
@@ -459,40 +465,47 @@ def layout_normalise(spark, sf_dir):
     return geometry.normalised(raw).select("layout_id", "rows_per_column", "num_questions", "columns", "bubble_diameter_mm", "option_set", "margin_mm")
 
 
-def _layouts(spark: SparkSession) -> DataFrame:
-    return geometry.layout_table(spark, LAYOUTS)
+def _layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A layout for each supplier, of its numbers."""
+    k = F.col("s_suppkey")
+    text = lambda c: c.cast("string")
+    raw = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
+        text(k).alias("layout_id"), text(k * 13 % 160 + 1).alias("num_questions"), text(F.col("s_nationkey") % 4 + 1).alias("columns"), text(k % 25 + 8).alias("rows_per_column"), F.when(k % 2 == 0, "ABCD").otherwise("ABCDE").alias("option_set"),
+        text(k % 6 * 0.5 + 5).alias("row_pitch_mm"), text(k % 9 * 0.5 + 3).alias("bubble_diameter_mm"), text(k % 30 + 70).alias("grid_top_mm"), text(k % 5 + 6).alias("number_gutter_mm"), text(k % 4 + 3).alias("column_gap_mm"),
+    )
+    return geometry.normalised(raw)
 
 
 @query
 def layout_metrics(spark, sf_dir):
-    m = geometry.layout_metrics(_layouts(spark)).withColumn("issues", F.array_join("issues", ","))
+    m = geometry.layout_metrics(_layouts(spark, sf_dir)).withColumn("issues", F.array_join("issues", ","))
     return _round(m, "usable_width_mm", "column_width_mm", "bubble_block_mm", "required_column_mm", "grid_bottom_limit_mm")
 
 
 @query
 def page_items(spark, sf_dir):
-    return geometry.page_items(_layouts(spark))
+    return geometry.page_items(_layouts(spark, sf_dir))
 
 
 @query
 def fiducials(spark, sf_dir):
-    return geometry.fiducials(_layouts(spark))
+    return geometry.fiducials(_layouts(spark, sf_dir))
 
 
 @query
 def bubble_centers(spark, sf_dir):
-    return _round(geometry.bubble_centers(_layouts(spark)), "x_mm", "y_mm")
+    return _round(geometry.bubble_centers(_layouts(spark, sf_dir)), "x_mm", "y_mm")
 
 
 @query
 def number_anchors(spark, sf_dir):
-    return _round(geometry.number_anchors(_layouts(spark)), "x_mm", "width_mm", "y_mm")
+    return _round(geometry.number_anchors(_layouts(spark, sf_dir)), "x_mm", "width_mm", "y_mm")
 
 
 @query
 def project_points(spark, sf_dir):
     h = [F.lit(x) for x in (3.9, 0.12, 14.0, -0.08, 4.05, 9.0, 0.0001, -0.0002, 1.0)]
-    c = geometry.bubble_centers(_layouts(spark))
+    c = geometry.bubble_centers(_layouts(spark, sf_dir))
     x, y = F.col("x_mm"), F.col("y_mm")
     return c.select("layout_id", "no", "option_index", F.round(S.project_x(h, x, y), 6).alias("x"), F.round(S.project_y(h, x, y), 6).alias("y"))
 
@@ -730,11 +743,6 @@ def csv_rows(spark, sf_dir):
     return reports.csv_lines(_normed_items(spark, sf_dir))
 
 
-@query
-def csv_head(spark, sf_dir):
-    return spark.createDataFrame([(i + 1, h) for i, h in enumerate(reports.csv_header(CONFIG))], "place int, header string")
-
-
 @query
 def report_appendix(spark, sf_dir):
     return reports.appendix(_normed_items(spark, sf_dir))
@@ -789,7 +797,7 @@ def intake_counts(spark, sf_dir):
 @query
 def template_counts(spark, sf_dir):
     """Marks, bubbles and numbers on each printed page."""
-    svg = geometry.template_svg(_layouts(spark))
+    svg = geometry.template_svg(_layouts(spark, sf_dir))
     count = lambda pattern: F.regexp_count("svg", F.lit(pattern)).cast("long")
     return svg.select("layout_id", "page_index", count("<rect ").alias("marks"), count("<circle ").alias("bubbles"), count('class="no"').alias("numbers"))
 
@@ -797,7 +805,7 @@ def template_counts(spark, sf_dir):
 @query
 def template_heads(spark, sf_dir):
     """Which lines each printed page has besides its items."""
-    svg = geometry.template_svg(_layouts(spark), Heading("Dinas <A & B>", "Unit 7", "Tes", "Pilihan Ganda"))
+    svg = geometry.template_svg(_layouts(spark, sf_dir), Heading("Dinas <A & B>", "Unit 7", "Tes", "Pilihan Ganda"))
     text = lambda pattern: F.regexp_extract("svg", pattern, 1)
     return svg.select(
         "layout_id", "page_index", text(">(DINAS[^<]*)<").alias("institution"), text(">(TES[^<]*)<").alias("title"), text(">(Halaman[^<]*)<").alias("page"), text(">(Butir[^<]*)<").alias("items"),
@@ -807,13 +815,60 @@ def template_heads(spark, sf_dir):
 
 @query
 def setting_ranges(spark, sf_dir):
-    """Thresholds and scales as they are set, and within their ranges."""
-    rows = []
-    for i in range(25):
-        o = OPTIONS.calibrated(fill_threshold=i / 25, margin_threshold=i / 40, sample_radius_factor=i / 40)
-        c = ScoringConfig(scale_max=i * 60 - 30, passing_score=i * 45).validated()
-        rows.append((i, o.fill_threshold, o.margin_threshold, o.sample_radius_factor, float(c.scale_max), float(c.passing_score)))
-    return spark.createDataFrame(rows, "i int, fill_threshold double, margin_threshold double, sample_radius_factor double, scale_max double, passing_score double")
+    """Thresholds and scales as suppliers would set them, and within their ranges."""
+    k = F.col("s_suppkey")
+    wanted = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
+        "s_suppkey", (k % 25 / 25).alias("fill_threshold"), (k % 25 / 40).alias("margin_threshold"), (k % 25 / 40).alias("sample_radius_factor"), (k % 25 * 60 - 30).cast("double").alias("scale_max"), (k % 23 * 45 - 20).cast("double").alias("passing_score")
+    )
+    return scoring.validated(decisions.calibrated(wanted))
+
+
+@query
+def calibrated_sheets(spark, sf_dir):
+    """Sheets after their marks were decided at other thresholds; those whose page failed keep their answers."""
+    decided = decisions.decisions(_net(spark, sf_dir), OPTIONS.calibrated(fill_threshold=0.42, margin_threshold=0.02))
+    answer = F.struct("no", "response", "flag")
+    one = decided.groupBy("sheet_ord").agg(F.array_sort(F.collect_list(answer)).alias("answers"), F.try_divide(F.count("response"), F.count("*")).alias("fill_rate"))
+    ok = F.col("sheet_ord") % 9 != 4
+    scans = one.select(F.col("sheet_ord").cast("string").alias("sheet_id"), ok.alias("ok"), F.when(~ok, scanning.MISALIGNED).alias("error"), "answers", "fill_rate", F.lit(0.0).alias("baseline"))
+    waiting = sheets.from_responses(r_matrix(spark, sf_dir), ITEMS).withColumns({"status": F.lit("pending"), "error": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double"), "baseline": F.lit(None).cast("double")})
+    after = scanning.sheets_after(waiting, scans, ITEMS)
+    return _round(after.select("sheet_ord", "status", "error", S.answer_pattern(F.col("answers")).alias("pattern"), "confidence"), "confidence")
+
+
+@query
+def reading_tally(spark, sf_dir):
+    """How many sheets were read as they were answered, how many refused, how many misread."""
+    read = decisions.decisions(_net(spark, sf_dir), OPTIONS).select("sheet_ord", F.col("no").alias("item_no"), F.col("response").alias("read"))
+    both = read.join(r_matrix(spark, sf_dir), ["sheet_ord", "item_no"])
+    pages = both.groupBy("sheet_ord").agg(F.avg(F.col("read").eqNullSafe(F.col("response")).cast("int")).alias("accuracy"))
+    return _round(reports.run_tally(pages.select((F.col("sheet_ord") % 11 != 0).alias("ok"), "accuracy", F.lit(0.95).alias("floor"))), "rejection_rate")
+
+
+def _written_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the roster's CSV, written and read again."""
+    path = work_folder(spark, "csv")
+    sinks.write_csv(stored(_normed_items(spark, sf_dir), work_folder(spark, "normed")), CONFIG, path)
+    return spark.read.option("lineSep", "\r\n").text(path)
+
+
+def _is_head() -> Column:
+    """Whether a line is the first; readers may take the byte order mark off."""
+    return F.col("value").rlike(f'^{sinks.BOM}?"{reports.CSV_COLUMNS[0]}"')
+
+
+@query
+def csv_head(spark, sf_dir):
+    """Names of the columns, from the first line of the written file."""
+    head = _written_csv(spark, sf_dir).where(_is_head())
+    cells = F.split(F.regexp_replace("value", f'^{sinks.BOM}?"|"$', ""), '","')
+    return head.select(F.posexplode(cells).alias("i", "header")).select((F.col("i") + 1).alias("place"), "header")
+
+
+@query
+def csv_file(spark, sf_dir):
+    """Every line of the written file but the first."""
+    return _written_csv(spark, sf_dir).where(~_is_head()).select(F.col("value").alias("line"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
