@@ -40,6 +40,13 @@ def shrink(grey: np.ndarray, max_dim: int) -> np.ndarray:
     return np.rint(mean).clip(0, 255).astype(np.uint8)
 
 
+def shrunk(pixels: np.ndarray, max_dim: int) -> np.ndarray:
+    """``shrink`` of grey, or of each colour."""
+    if pixels.ndim == 2:
+        return shrink(pixels, max_dim)
+    return np.stack([shrink(pixels[:, :, i], max_dim) for i in range(pixels.shape[2])], axis=2)
+
+
 def otsu(grey: np.ndarray) -> int:
     """Grey level of greatest variance between classes, the first of equal ones; 128 for a constant image."""
     n = np.bincount(grey.ravel(), minlength=256).astype(np.float64)

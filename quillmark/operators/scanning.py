@@ -113,6 +113,18 @@ def read_page(grey: np.ndarray, layout: Layout, page: int = 0, options: OmrOptio
     return out | {"ok": True, "alignment": alignment, "homography": hom.tolist(), "samples": samples}
 
 
+def colours_of(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
+    """Grey (h, w) or red, green and blue (h, w, 3) bytes of Spark's image struct: rows of grey, BGR or BGRA; transparent pixels lie on white."""
+    a = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+    if channels == 1:
+        return a[:, :, 0]
+    rgb = a[:, :, 2::-1]
+    if channels == 4:
+        alpha = a[:, :, 3:4] / 255.0
+        rgb = np.rint(rgb * alpha + 255.0 * (1 - alpha)).astype(np.uint8)
+    return rgb
+
+
 def pixels_of(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
     """Grey image of Spark's image struct: rows of grey, BGR or BGRA bytes; transparent pixels lie on white."""
     a = np.frombuffer(data, np.uint8).reshape(height, width, channels)

@@ -205,6 +205,14 @@ union all select pr.sheet_id, cast(pr.item_no as int), case when hit.sheet_id is
 union all select 0, null, 'kosong', false, raw_score, correct, count(*) from g group by raw_score, correct""",
     "assessed_people": _of_merged(f"with {_normed()}, cf as (select sheet_ord, count(*) filter (where conflict) as conflict_count from r1 group by 1) select sheet_ord, correct, wrong, blank, conflict_count, raw_score, round(z_score, 6) as z_score, classification from n join cf using (sheet_ord)"),
     "assessed_items": _of_merged(f"with {_ITEMS} select item_no, round(p, 6) as p, round(d, 6) as discrimination, round(rpb, 6) as point_biserial, n_blank, verdict from v"),
+    "prepared_pages": """with p as (select page_id, html, strlen(html) // 8 as h, page_id % 8 >= 4 as turned from pages), q as (
+  select *, case when html is null then 'image is not available' when page_id % 7 = 0 or h < 1 then 'image could not be decoded' end as error, least(1.0::double, 1600.0::double / greatest(h, 8)) as f, least(1.0::double, 220.0::double / greatest(h, 8)) as t from p
+), r as (select *, cast(greatest(1, floor(h * f + 0.5)) as int) as fh, cast(greatest(1, floor(8 * f + 0.5)) as int) as fw, cast(greatest(1, floor(h * t + 0.5)) as int) as th, cast(greatest(1, floor(8 * t + 0.5)) as int) as tw from q)
+select cast(page_id as varchar) as sheet_id, case when error is null then case when turned then fw else fh end end as full_height, case when error is null then case when turned then fh else fw end end as full_width,
+  case when error is null then case when turned then tw else th end end as thumb_height, case when error is null then case when turned then th else tw end end as thumb_width, error from r""",
+    "content_intake": """with k as (select page_id as k from pages where page_id % 4 <> 3)
+select cast(k as varchar) as path, case k % 6 when 0 then 'image/jpeg' when 1 then 'image/png' when 2 then 'image/gif' when 3 then 'image/bmp' when 4 then 'image/webp' end as kind,
+  cast(case when k % 6 = 0 and k % 10 between 1 and 8 then k % 10 else 1 end as int) as orientation, k % 6 <> 5 as accepted from k""",
     "image_intake": "select sha256('file:/scans/' || page_id || '/kelas%20a+b.' || (page_id % 3) || '.png') as sheet_id, 'kelas a+b.' || (page_id % 3) || '.png' as file_name, 'KELAS A+B.' || (page_id % 3) as name, 0 as page_index, case when page_id % 7 = 0 then -1 else 8 end as height from pages",
     "intake_counts": "select count(*) filter (where page_id % 7 <> 0) as readable, count(*) filter (where page_id % 7 = 0) as rejected from pages",
     "template_counts": f"with {_LAYOUTS} select layout_id, cast(page as int) as page_index, 4 as marks, count(*) as bubbles, count(distinct no) as numbers from b group by 1, 2",

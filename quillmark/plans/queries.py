@@ -784,6 +784,31 @@ def _taken_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.image_rows(pages.select(image.alias("image")))
 
 
+@query
+def prepared_pages(spark, sf_dir):
+    """Stored images and thumbnails of the pages' bytes, eight to a row: their sides, from the files."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    height = F.when(F.col("html").isNotNull(), F.when(F.col("page_id") % 7 == 0, -1).otherwise(F.floor(F.octet_length("html") / 8))).cast("int")
+    raw = pages.select(F.col("page_id").cast("string").alias("sheet_id"), height.alias("height"), F.lit(8).alias("width"), F.lit(1).alias("n_channels"), F.substring(F.col("html").cast("binary"), F.lit(1), height * 8).alias("data"), (F.col("page_id") % 8 + 1).cast("int").alias("orientation"))
+    made = images.prepared(scanning.spread(raw, pages.count()))
+    full, thumb = images.jpeg_size(F.col("full")), images.jpeg_size(F.col("thumb"))
+    return made.select("sheet_id", full["height"].alias("full_height"), full["width"].alias("full_width"), thumb["height"].alias("thumb_height"), thumb["width"].alias("thumb_width"), "error")
+
+
+@query
+def content_intake(spark, sf_dir):
+    """What files are by their bytes, whatever they are said to be: pages and addresses behind made-up signatures."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    k = F.col("page_id")
+    signature = F.element_at(F.array(*map(F.lit, ("FFD8FFE0", "89504E470D0A1A0A", "474946383961", "424D", "52494646AAAAAAAA57454250", "3C68746D"))), (k % 6 + 1).cast("int"))
+    # An EXIF directory of two entries, the second of which is the orientation.
+    exif = F.concat(F.lit("FFD8FFE1004A4578696600004949" + "2A0008000000" + "0200" + "0F0102000400000041424300" + "1201030001000000"), F.lpad(F.hex(k % 10), 2, "0"), F.lit("000000"))
+    content = F.concat(F.unhex(F.when(k % 6 == 0, exif).otherwise(signature)), F.col("url").cast("binary"))
+    mime = F.element_at(F.array(F.lit("image/png"), F.lit(""), F.lit(None).cast("string"), F.lit("text/html")), (k % 4 + 1).cast("int"))
+    files = pages.select(k.cast("string").alias("path"), mime.alias("mime"), content.alias("content"))
+    return images.taken_in(files).select("path", "kind", "orientation", "accepted")
+
+
 @query
 def image_intake(spark, sf_dir):
     return _taken_in(spark, sf_dir).select("sheet_id", "file_name", "name", "page_index", "height")
