@@ -215,6 +215,11 @@ select cast(k as varchar) as path, case k % 6 when 0 then 'image/jpeg' when 1 th
   cast(case when k % 6 = 0 and k % 10 between 1 and 8 then k % 10 else 1 end as int) as orientation, k % 6 <> 5 as accepted from k""",
     "image_intake": "select sha256('file:/scans/' || page_id || '/kelas%20a+b.' || (page_id % 3) || '.png') as sheet_id, 'kelas a+b.' || (page_id % 3) || '.png' as file_name, 'KELAS A+B.' || (page_id % 3) as name, 0 as page_index, case when page_id % 7 = 0 then -1 else 8 end as height from pages",
     "intake_counts": "select count(*) filter (where page_id % 7 <> 0) as readable, count(*) filter (where page_id % 7 = 0) as rejected from pages",
+    "template_files": f"with {_LAYOUTS}, n as (select layout_id, count(distinct page) as pages, count(*) as bubbles from b group by 1) select layout_id, pages, 3 + 2 * pages as objects, bubbles, 4 * pages as marks, true as linked from n",
+    "report_file": f"""with {_normed()}, c as (select count(*) as n, count(distinct classification) as k from n),
+line as (select case when i in (0, 99) then 24.0 else 13.0 end as h, i from (select unnest(range(0, 100)) as i) q, c where i = 0 or i = 1 or (i between 2 and 1 + k) or i between 20 and 22 or i = 99),
+pos as (select sum(h) over (order by i) - h as start from line union all select (select sum(h) from line) + j * 13.0 from (select unnest(range(0, (select n from c))) as j))
+select count(distinct floor(start / (841.89 - 30 * 72 / 25.4 - 24))) as pages, (select count(*) from line) + 7 * (select n from c) as lines, 3 + 2 * count(distinct floor(start / (841.89 - 30 * 72 / 25.4 - 24))) as places from pos""",
     "template_counts": f"with {_LAYOUTS} select layout_id, cast(page as int) as page_index, 4 as marks, count(*) as bubbles, count(distinct no) as numbers from b group by 1, 2",
     "template_heads": f"""with {_LAYOUTS}, p as (select layout_id, page, min(no) as lo, max(no) as hi, string_agg(distinct opt, '/' order by opt) as opts from b group by 1, 2), n as (select layout_id, max(page) + 1 as pages from p group by 1)
 select layout_id, cast(page as int) as page_index, 'DINAS &lt;A &amp; B&gt;' as institution, 'TES — PILIHAN GANDA' as title, 'Halaman ' || (page + 1) || ' dari ' || pages as page, 'Butir ' || lo || '–' || hi || ' — Opsi: ' || opts as items, case when page = 0 then 5 else 0 end as instructions from p join n using (layout_id)""",

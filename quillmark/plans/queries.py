@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillmark.config import Heading, Layout, OmrOptions, ScoringConfig
 from quillmark.functions import scalars as S
 from quillmark.functions.formatting import fmt
-from quillmark.operators import decisions, edits, geometry, items, merging, norms, reports, scanning, scoring, search
+from quillmark.operators import decisions, edits, geometry, items, merging, norms, pdf, reports, scanning, scoring, search
 from quillmark.plans import drawing
 from quillmark.plans.assessment import Assessment, assess, reassess
 from quillmark.plans.fixtures import ITEMS, d_matrix, key_letter, key_of, r_matrix
@@ -838,6 +838,30 @@ def template_heads(spark, sf_dir):
     )
 
 
+def _in_file(pattern: str) -> Column:
+    return F.regexp_count(F.col("file").cast("string"), F.lit(pattern)).cast("long")
+
+
+@query
+def template_files(spark, sf_dir):
+    """What each layout's printable PDF file holds, and whether its last line leads to its table of places."""
+    files = pdf.whole(pdf.documents(pdf.template_pages(stored(_layouts(spark, sf_dir), work_folder(spark, "layouts")), Heading("Dinas", "Unit 7", "Tes", "Pilihan"))))
+    body = F.col("file").cast("string")
+    at = F.regexp_extract(body, r"startxref\n(\d+)\n%%EOF\n$", 1).cast("int")
+    return files.select(F.col("doc_id").alias("layout_id"), _in_file("/Type /Page ").alias("pages"), _in_file(r"\d 0 obj\n").alias("objects"), _in_file(r" S\n").alias("bubbles"), _in_file(r" re f\n").alias("marks"), (F.substr(body, at + 1, F.lit(5)) == "xref\n").alias("linked"))
+
+
+@query
+def report_file(spark, sf_dir):
+    """The report as one PDF file: pages, lines of text, and what it says of places."""
+    scored = scored_sheets(spark, sf_dir)
+    rows = stored(norms.with_norms(scored, CONFIG).withColumn("name", F.concat(F.lit("PESERTA "), F.col("sheet_ord").cast("string"))), work_folder(spark, "normed"))
+    one = scored.agg(F.count("*").alias("n")).crossJoin(items.kr20(statistics(spark, sf_dir, scored))).crossJoin(norms.norm_basis(scored, CONFIG))
+    pages = pdf.report_pages(rows, norms.descriptive_stats(rows, "scaled_score"), reports.report_sentences(one), CONFIG, "Laporan Tes")
+    files = pdf.whole(pdf.documents(pages))
+    return files.select(_in_file("/Type /Page ").alias("pages"), _in_file(r"> Tj ET\n").alias("lines"), _in_file(r"0000\d+ 00000 n ").alias("places"))
+
+
 @query
 def setting_ranges(spark, sf_dir):
     """Thresholds and scales as suppliers would set them, and within their ranges."""

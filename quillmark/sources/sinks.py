@@ -53,3 +53,12 @@ def write_state(state: DataFrame, path: str) -> None:
 def write_templates(svg: DataFrame, path: str) -> None:
     """One SVG text per page, under a folder for each layout and page."""
     svg.write.partitionBy("layout_id", "page_index").text(path)
+
+
+def write_document(parts: DataFrame, path: str) -> int:
+    """One document of ``pdf.documents`` as a local file, part by part as they stream in; its length in bytes."""
+    length = 0
+    with open(path, "wb") as f:
+        for r in parts.orderBy("part").toLocalIterator():
+            length += f.write(r.text.encode("ascii"))
+    return length
