@@ -155,6 +155,10 @@ def text_media(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("_qm_b")).mapInArrow(_encode, f"doc_id {kind}, n_bytes long, media binary")
 
 
+#: Columns that take the place of a medium.
+MADE = ["payload_bytes", "payload_sha256", "tail_crc32", "media_sha256", "dhash", "tile", "error"]
+
+
 def _features(batches):
     for b in batches:
         i = b.schema.get_field_index("media")
@@ -163,7 +167,7 @@ def _features(batches):
             try:
                 a = None if m is None else decode(m)
                 error = None
-            except (ValueError, IndexError, struct.error) as e:
+            except (ValueError, IndexError, OverflowError, MemoryError, struct.error) as e:
                 a, error = None, str(e) or type(e).__name__
             if a is None or not a.size:
                 for c, v in zip(cols, (None,) * 6 + (error if a is None else "no samples",), strict=True):
@@ -175,16 +179,25 @@ def _features(batches):
                 c.append(v)
         kept = [b.column(j) for j in range(b.num_columns) if j != i]
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string())
-        names = [n for n in b.schema.names if n != "media"] + ["payload_bytes", "payload_sha256", "tail_crc32", "media_sha256", "dhash", "tile", "error"]
+        names = [n for n in b.schema.names if n != "media"] + MADE
         yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=names)
 
 
 def media_features(media: DataFrame) -> DataFrame:
     """Decode the stored ``media`` column; its place take digests of the samples read back, dhash, an NPY tile and an error.
 
-    A null medium has null features; other columns stay.
+    A null medium has null features, and so has one that no decoder takes,
+    whatever its header claims. Other columns stay; those that are called like
+    a new one get underscores behind their names.
     """
     small_batches(media.sparkSession)
+    names = set(media.columns) | set(MADE)
+    for c in [c for c in media.columns if c in MADE]:
+        new = c + "_"
+        while new in names:
+            new += "_"
+        names.add(new)
+        media = media.withColumnRenamed(c, new)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema if f.name != "media")
     return media.mapInArrow(_features, kept + ", payload_bytes long, payload_sha256 string, tail_crc32 long, media_sha256 string, dhash string, tile binary, error string")
 

@@ -80,3 +80,13 @@ def test_a_malformed_medium_has_null_features_and_an_error(spark):
     got = {r.doc_id: r for r in media.media_features(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
     assert got[1].dhash and got[1].error is None and got[6].error is None
     assert all(got[i].dhash is None and got[i].payload_sha256 is None for i in range(2, 9)) and all(got[i].error for i in (2, 3, 4, 5, 7, 8))
+
+
+def test_absurd_headers_and_columns_called_like_results(spark):
+    rows = [(1, b"P5 99999999999999999999 9 255\n", "x", "y", "z"), (2, media.encode_pgm(media.pad(b"abc")), "x", "y", "z"), (3, None, "x", "y", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, media binary, error string, error_ string, tile string")
+    out = media.media_features(df)
+    assert [c for c in out.columns if c.startswith(("error", "tile"))] == ["error__", "error_", "tile_", "tile", "error"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert all((r.error__, r.error_, r.tile_) == ("x", "y", "z") for r in got.values())
+    assert got[1].error and got[1].payload_bytes is None and got[2].error is None and got[2].payload_bytes == 64 and got[3].error is None
