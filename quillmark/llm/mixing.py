@@ -186,8 +186,8 @@ def placed(docs: DataFrame, keep: tuple[str, ...] = (), shard_words: int = SHARD
     """
     named = [F.col(c).alias(f"_qm_{i}") for i, c in enumerate(keep)]
     sizes = docs.select("doc_id", *row_keys(), F.col("source").cast("string"), word_count().alias("size"), *named)
-    sizes = sizes if keep else materialize(sizes, "sized")
-    src = materialize(targets(materialize(sizes.select("source", "size"), "sized") if keep else sizes), "targets")
+    sizes = materialize(sizes, "sized")
+    src = materialize(targets(sizes), "targets")
     n, total = src.agg(F.count("*"), F.sum("source_size")).first()
     q = materialize(quotas(src), "quotas")
     rows = _with_source(sizes, q, n)
@@ -225,15 +225,15 @@ def mixture(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     return draws(*placed(docs, (), shard_words)).select("doc_id", "source", "shard", "place", "first_word", "n_words", "repeat")
 
 
-def _with_draws(docs: DataFrame, keep: tuple[str, ...], shard_words: int) -> DataFrame:
-    """``placed`` rows with draws, an array of (shard, place, first_word, n_words, repeat), empty where nothing is taken.
+def _with_draws(docs: DataFrame, keep: tuple[str, ...], shard_words: int) -> tuple[DataFrame, int]:
+    """``placed`` rows with draws, an array of (shard, place, first_word, n_words, repeat), empty where nothing is taken; and the number of shards.
 
     A source and a start name a document that has words.
     """
     rows, q, shards = placed(docs, keep, shard_words)
     mine = draws(rows, q, shards).groupBy("ix", F.col("start").alias("_qm_at")).agg(F.array_sort(F.collect_list(F.struct("shard", "place", "first_word", "n_words", "repeat"))).alias("draws"))
     rows = rows.withColumn("_qm_at", F.when(F.col("size") > 0, F.col("start"))).join(mine, ["ix", "_qm_at"], "left")
-    return rows.withColumn("draws", F.coalesce("draws", F.array().cast(mine.schema["draws"].dataType)))
+    return rows.withColumn("draws", F.coalesce("draws", F.array().cast(mine.schema["draws"].dataType))), shards
 
 
 def _figures() -> list[Column]:
@@ -248,7 +248,7 @@ def taken(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     taken is the number of words the mix takes, repeats counted; places_hash a
     hash of where they stand: (shard, place, first_word, n_words, repeat) of all draws.
     """
-    return _with_draws(docs, (), shard_words).select(*_figures(), F.xxhash64("draws").alias("places_hash"))
+    return _with_draws(docs, (), shard_words)[0].select(*_figures(), F.xxhash64("draws").alias("places_hash"))
 
 
 def mixed(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -257,10 +257,15 @@ def mixed(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     pieces is a JSON array of {shard, place, text}: the pieces of all documents
     in the order of shard and place are the mixed corpus (``corpus``).
     """
-    words = F.regexp_extract_all("_qm_0", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
-    rows = _with_draws(docs, ("text",), shard_words).withColumn("_qm_words", words)
+    texts = docs.select("doc_id", "source", "text").withColumn("_qm_row", F.monotonically_increasing_id())
+    # Rows get their numbers once; places are worked out without texts, which meet them in one shuffle, a shard's worth a task.
+    texts = materialize(texts, "texts")
+    rows, shards = _with_draws(texts, ("_qm_row",), shard_words)
+    rows = rows.select(*_figures(), "draws", F.col("_qm_0").alias("_qm_row")).repartition(shards, "_qm_row")
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    met = texts.select("_qm_row", "text").repartition(shards, "_qm_row").join(rows, "_qm_row").withColumn("_qm_words", words)
     piece = lambda d: F.struct(d["shard"].alias("shard"), d["place"].alias("place"), F.array_join(F.slice("_qm_words", d["first_word"].cast("int") + 1, d["n_words"].cast("int")), " ").alias("text"))
-    return rows.select(*_figures(), F.col("_qm_0").alias("text"), F.to_json(F.transform("draws", piece)).alias("pieces"))
+    return met.select("doc_id", "source", "size", "source_size", "target", "taken", "n_shards", "text", F.to_json(F.transform("draws", piece)).alias("pieces"))
 
 
 def corpus(mix: DataFrame, path: str) -> None:
