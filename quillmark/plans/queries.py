@@ -305,7 +305,7 @@ def report_numbers(spark, sf_dir):
     """Rank by falling raw score and number in input order, without one task that sorts all."""
     from quillmark.operators.ranking import numbered
 
-    rows = numbered(graded(spark, sf_dir), "raw_score")
+    rows = stored(numbered(stored(graded(spark, sf_dir), work_folder(spark, "graded")), "raw_score"), work_folder(spark, "ranked"))
     return numbered(rows, out="row_no").select("sheet_ord", "raw_score", "rk", "row_no")
 
 
