@@ -3,6 +3,16 @@
 Each stage works on all that the one before kept; its result is written as
 Parquet and read again. Stages run on plain documents, so they can be used
 alone or in another order.
+
+Null and empty texts are texts without words: the classifier scores them like any
+other, of those that it keeps one stays as near-duplicates of each other, they
+hold no benchmark passage and no personal data, and the mix takes nothing of
+them; a null text stays null. Texts of any length are read whole. Of near
+duplicates the smallest doc_id stays, null only where none has one; rows equal in doc_id
+and text are one row to near-duplicates and to decontamination. Columns besides
+doc_id, text and source pass through the first four stages under their names,
+whatever these are. An empty table of documents gives an empty result, an empty
+benchmark removes nothing, and without labels the classifier is constant.
 """
 
 from __future__ import annotations

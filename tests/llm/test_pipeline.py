@@ -4,6 +4,7 @@ import json
 from collections import Counter
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from quillmark.llm import decontam, pii, quality
 from quillmark.llm.common import materialize, table
 from tests.llm.test_decontam import slow
@@ -61,3 +62,24 @@ def test_stages_follow_each_other_and_take_effect(spark, sf):
 def test_runs_agree(spark, sf):
     rows = [sorted(map(tuple, corpus_pipeline.run(spark, sf).select("doc_id", "size", "taken").collect())) for _ in range(2)]
     assert rows[0] == rows[1]
+
+
+def test_odd_rows_clashing_columns_and_empty_tables(spark, odd, nothing, labels, tmp_path):
+    extra = {c: F.lit("x") for c in ("seed", "word", "key", "_qm_k1", "score")}
+    benchmark = spark.createDataFrame([(1, "the of and to in that was his with for as had on at by"), (None, None), (2, "")], "item_id long, text string")
+    for name, docs, known, items in (("odd", odd, labels, benchmark), ("empty", nothing, labels, benchmark), ("bare", odd, labels.limit(0), benchmark.limit(0))):
+        sf = str(tmp_path / name)
+        docs.write.parquet(f"{sf}/documents.parquet")
+        known.withColumns(extra).write.parquet(f"{sf}/labels.parquet")
+        items.withColumns(extra).write.parquet(f"{sf}/benchmark.parquet")
+        held = {(r.doc_id, r.source) for r in docs.collect()}
+        kept = table(spark, sf, "documents")
+        for stage, f in corpus_pipeline.STAGES[1:]:
+            kept = materialize(f(spark, kept, sf), f"odd-{stage}")
+            assert stage == "mixing" or kept.columns == docs.columns
+        rows = kept.collect()
+        assert {(r.doc_id, r.source) for r in rows} <= held and (len(rows) > 30) == (name != "empty")
+        assert all(r.taken == 0 and json.loads(r.pieces) == [] for r in rows if not WORD.findall(r.text or ""))
+        assert name == "empty" or sum(not (r.text or "").strip() for r in rows) == 1
+        assert {(r.doc_id, r.source) for r in corpus_pipeline.run(spark, sf).collect()} <= held
+
