@@ -263,9 +263,11 @@ def mixed(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     rows, shards = _with_draws(texts, ("_qm_row",), shard_words)
     rows = rows.select(*_figures(), "draws", F.col("_qm_0").alias("_qm_row")).repartition(shards, "_qm_row")
     words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
-    met = texts.select("_qm_row", "text").repartition(shards, "_qm_row").join(rows, "_qm_row").withColumn("_qm_words", words)
-    piece = lambda d: F.struct(d["shard"].alias("shard"), d["place"].alias("place"), F.array_join(F.slice("_qm_words", d["first_word"].cast("int") + 1, d["n_words"].cast("int")), " ").alias("text"))
-    return met.select("doc_id", "source", "size", "source_size", "target", "taken", "n_shards", "text", F.to_json(F.transform("draws", piece)).alias("pieces"))
+    met = texts.select("_qm_row", "text").repartition(shards, "_qm_row").join(rows, "_qm_row")
+    piece = lambda w: lambda d: F.struct(d["shard"].alias("shard"), d["place"].alias("place"), F.array_join(F.slice(w, d["first_word"].cast("int") + 1, d["n_words"].cast("int")), " ").alias("text"))
+    # Bound as an element, the words of a text are found once, not for each piece.
+    pieces = F.get(F.transform(F.array(words), lambda w: F.to_json(F.transform("draws", piece(w)))), F.lit(0))
+    return met.select("doc_id", "source", "size", "source_size", "target", "taken", "n_shards", "text", pieces.alias("pieces"))
 
 
 def corpus(mix: DataFrame, path: str) -> None:
