@@ -24,7 +24,6 @@ match nothing; other columns stay as they are.
 from __future__ import annotations
 
 import math
-from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -37,6 +36,10 @@ MASKS = ((0, 1, 2, 5, 7, 8), (0, 1, 3, 4, 5, 8), (0, 4, 5, 6, 7, 8))
 SPAN = 9
 WINDOW = 13
 SHARE = 0.8
+#: Tokens that a mask of a shorter item keeps where one may be substituted, so that a hit is rare enough to be verified.
+LEAST_KEPT = 4
+#: A mask's first places, tested before all of it is.
+FIRST = 3
 #: Items shorter than this are not sought.
 LEAST_TOKENS = 1
 BROADCAST_SEEDS = 2_000_000
@@ -57,15 +60,30 @@ def _hashed(text: str) -> Column:
     return F.transform(tokens(text), lambda w: F.xxhash64(w))
 
 
-def _seed(m: int, mask: tuple[int, ...], hashes: str, pos: Column) -> Column:
-    """Hash of what mask ``m`` keeps at ``pos``; places beyond the end count as null."""
-    return F.xxhash64(F.lit(m), *[F.get(hashes, pos + o) for o in mask])
+def _beginnings(masks: list[tuple[int, ...]]) -> list[tuple[int, ...]]:
+    """The distinct first places of the masks: ``FIRST`` of each, or all that it has."""
+    return list(dict.fromkeys(mask[:FIRST] for mask in masks))
 
 
-def _of_item(masks: list[tuple[int, ...]]) -> Column:
-    """Hashes of every mask at every position of an item: mask by mask within a position."""
-    at = lambda i: F.array(*[_seed(m, mask, "_qm_bh", i) for m, mask in enumerate(masks)])
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.size("_qm_bh") - 1), at))
+def _row(number: int, places: tuple[int, ...], width: int, *more: Column) -> Column:
+    """A struct (m, o0, o1, ...) of numbered places, null beyond the last."""
+    row = [F.lit(o) for o in places] + [F.lit(None).cast("int")] * (width - len(places))
+    return F.struct(F.lit(number).alias("m"), *[o.alias(f"o{i}") for i, o in enumerate(row)], *more)
+
+
+def _begun(masks: list[tuple[int, ...]]) -> Column:
+    """The masks as data, by their beginnings: an array of (m, o0, ..., masks array of (m, o0, ...)).
+
+    One expression hashes any number of them. Beginnings are numbered below zero.
+    """
+    width = max(map(len, masks))
+    of = lambda first: F.array(*[_row(m, mask, width) for m, mask in enumerate(masks) if mask[:FIRST] == first])
+    return F.array(*[_row(-1 - g, first, FIRST, of(first).alias("masks")) for g, first in enumerate(_beginnings(masks))])
+
+
+def _seed(row: str, width: int, hashes: str, pos: str) -> Column:
+    """Hash of what stands at the places of ``row``, counted from ``pos``; places beyond the end count as null."""
+    return F.xxhash64(f"{row}.m", *[F.get(hashes, F.col(pos) + F.col(f"{row}.o{i}")) for i in range(width)])
 
 
 def bit_table(seeds: DataFrame, n: int) -> tuple[DataFrame, int]:
@@ -76,36 +94,50 @@ def bit_table(seeds: DataFrame, n: int) -> tuple[DataFrame, int]:
     return every.agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["x"]).alias("_qm_bits")), logs
 
 
-def _maybe(seed: Column, logs: int) -> Column:
+def _maybe(seed: Column, bits: Column, logs: int) -> Column:
     """Whether the seed's bit is set."""
-    word = F.get("_qm_bits", F.shiftrightunsigned(seed, 64 - logs).cast("int"))
+    word = F.get(bits, F.shiftrightunsigned(seed, 64 - logs).cast("int"))
     return F.getbit(word, seed.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
 def probes(hashed: DataFrame, seeds: DataFrame, n: int, masks: list[tuple[int, ...]]) -> DataFrame:
     """(doc_id, _qm_k1, _qm_k2, pos, seed) of every position and mask of the documents whose bit is set.
 
-    The positions are generated, hashed and tested within one stage of
-    generated code; only what passes leaves it.
+    ``seeds`` holds (seed, begins). Masks of one beginning are hashed only where
+    the bit of what it keeps is set, so many masks cost little more than a few.
+    Positions and masks are generated, hashed and tested within one stage of
+    generated code, whose size does not depend on the masks; only what passes
+    leaves it. The bits (8 MB at most) are a value of the plan, not of its rows.
     """
-    bits, logs = bit_table(seeds, n)
-    at = hashed.crossJoin(F.broadcast(materialize(bits, "bits"))).select("doc_id", *KEYS, "_qm_h", "_qm_bits", F.posexplode_outer("_qm_h").alias("pos", "_qm_own"))
-    every = [_seed(m, mask, "_qm_h", F.col("pos")) for m, mask in enumerate(masks)]
+    both = seeds.select("seed").unionByName(seeds.select(F.col("begins").alias("seed")))
+    bits, logs = bit_table(both, 2 * n)
+    bits = materialize(bits, "bits").scalar()
+    cols = ["doc_id", *KEYS, "_qm_h"]
     # Outer, since otherwise the planner tests the array's size first by making it twice.
-    passed = at.where("pos is not null").where(reduce(Column.__or__, [_maybe(x, logs) for x in every]))
-    one = passed.select("doc_id", *KEYS, "pos", "_qm_bits", F.explode(F.array(*every)).alias("seed"))
-    return one.where(_maybe(F.col("seed"), logs)).drop("_qm_bits")
+    at = hashed.select(*cols, F.posexplode_outer("_qm_h").alias("pos", "_qm_own")).where("pos is not null")
+    at = at.select(*cols, "pos", F.explode_outer(_begun(masks)).alias("_qm_first"))
+    at = at.where(_maybe(_seed("_qm_first", FIRST, "_qm_h", "pos"), bits, logs))
+    every = at.select(*cols, "pos", F.explode_outer("_qm_first.masks").alias("_qm_mask"))
+    every = every.select("doc_id", *KEYS, "pos", _seed("_qm_mask", max(map(len, masks)), "_qm_h", "pos").alias("seed"))
+    return every.where(_maybe(F.col("seed"), bits, logs))
 
 
 def short_masks(n: int) -> list[tuple[tuple[int, ...], int]]:
     """(mask, position) for an item of ``n`` tokens, below WINDOW: some of them avoids any floor(n / 5) places.
 
-    MASKS where they fit, and for each choice of places that they don't avoid
-    a mask of all others. A mask starts with its first kept token, so places
-    beyond a document's ends count as any others.
+    One substitution: the places are dealt to the fewest groups, three at least,
+    that leave four tokens when one group is ignored, a mask for each group.
+    Otherwise MASKS where they fit, and for each choice of places that they
+    don't avoid a mask of all others. A mask starts with its first kept token,
+    so places beyond a document's ends count as any others.
     """
+    lost = n // 5
+    if lost == 1 and n < SPAN:
+        groups = next(g for g in range(3, n + 1) if n - math.ceil(n / g) >= LEAST_KEPT)
+        kept = [[i for i in range(n) if i % groups != g] for g in range(groups)]
+        return [(tuple(i - k[0] for i in k), k[0]) for k in kept]
     out = [(mask, q) for q in range(n - SPAN + 1) for mask in MASKS]
-    for bad in combinations(range(n), n // 5):
+    for bad in combinations(range(n), lost):
         if not any(all(q + m not in bad for m in mask) for mask, q in out):
             kept = [i for i in range(n) if i not in bad]
             out.append((tuple(i - kept[0] for i in kept), kept[0]))
@@ -123,17 +155,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_tokens: int = LEAS
     size = F.size("_qm_bh")
     short = {r[0]: short_masks(r[0]) for r in items.where(size < WINDOW).select(size).distinct().collect()}
     masks = list(dict.fromkeys([*MASKS, *(mask for n in sorted(short) for mask, _ in short[n])]))
-    wanted = F.when(size >= WINDOW, (F.col("m") < len(MASKS)) & (F.col("q") + SPAN - 1 < size))
+    wanted = F.when(size >= WINDOW, (F.col("_qm_mask.m") < len(MASKS)) & (F.col("q") + SPAN - 1 < size))
     for n, some in short.items():
-        wanted = wanted.when(size == n, F.col("pos").isin([q * len(masks) + masks.index(mask) for mask, q in some]))
-    seeds = items.select("_qm_item", "_qm_bh", F.posexplode(_of_item(masks)).alias("pos", "seed"))
-    seeds = seeds.withColumn("m", F.col("pos") % len(masks)).withColumn("q", F.floor(F.col("pos") / len(masks)).cast("int"))
-    seeds = seeds.where(wanted).select("_qm_item", "seed", "q")
+        wanted = wanted.when(size == n, (F.col("q") * len(masks) + F.col("_qm_mask.m")).isin([q * len(masks) + masks.index(mask) for mask, q in some]))
+    at = items.select("_qm_item", "_qm_bh", F.posexplode("_qm_bh").alias("q", "_qm_own"))
+    at = at.select("_qm_item", "_qm_bh", "q", F.explode(_begun(masks)).alias("_qm_first"))
+    at = at.select("*", F.explode("_qm_first.masks").alias("_qm_mask")).where(wanted)
+    hashes = _seed("_qm_mask", max(map(len, masks)), "_qm_bh", "q").alias("seed"), _seed("_qm_first", FIRST, "_qm_bh", "q").alias("begins")
+    seeds = at.select("_qm_item", *hashes, "q")
     seeds = materialize(seeds, "seeds")
 
     n_seeds = seeds.count()
     hashed = docs.select("doc_id", *row_keys(), _hashed("text").alias("_qm_h"))
-    hits = probes(hashed, seeds, n_seeds, masks).join(bounded_broadcast(seeds, n_seeds, BROADCAST_SEEDS), "seed")
+    hits = probes(hashed, seeds, n_seeds, masks).join(bounded_broadcast(seeds.drop("begins"), n_seeds, BROADCAST_SEEDS), "seed")
     aligned = hits.select("doc_id", *KEYS, "_qm_item", (F.col("pos") - F.col("q")).alias("diagonal")).distinct()
     aligned = materialize(aligned, "aligned").join(items, "_qm_item")
     found = materialize(aligned.drop("doc_id"), "candidates")

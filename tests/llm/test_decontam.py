@@ -1,11 +1,14 @@
 from __future__ import annotations
 
 import random
+import re
 from itertools import combinations
 
 import regex
+from pyspark.sql import functions as F
 
 from quillmark.llm import decontam
+from quillmark.llm.common import row_keys
 
 #: One letter of a script without spaces, or a run of other letters, digits and marks.
 _OWN = r"[\p{Thai}\p{Lao}\p{Myanmar}\p{Khmer}\p{Hiragana}\p{Katakana}\p{Han}]"
@@ -37,6 +40,12 @@ def test_masks_find_two_substitutions_in_a_window():
         assert any(all(o + m not in bad for m in mask) for mask in decontam.MASKS for o in range(13 - decontam.SPAN + 1)), bad
 
 
+def test_masks_of_short_items_avoid_all_admissible_substitutions():
+    for n in range(1, decontam.WINDOW):
+        for bad in combinations(range(n), n // 5):
+            assert any(all(q + o not in bad and q + o < n for o in mask) for mask, q in decontam.short_masks(n)), (n, bad)
+
+
 def test_query_agrees_with_brute_force(spark, sf):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     items = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
@@ -93,12 +102,10 @@ def test_unspaced_scripts_marks_and_the_longest_of_equal_alignments(spark):
 
 
 def test_bits_of_all_seeds_are_set_and_few_others(spark):
-    from pyspark.sql import functions as F
-
     seeds = spark.range(3000).select(F.xxhash64("id").alias("seed"))
     bits, logs = decontam.bit_table(seeds, 3000)
     other = spark.range(3000, 23_000).select(F.xxhash64("id").alias("seed"))
-    passed = lambda df: df.crossJoin(bits).where(decontam._maybe(F.col("seed"), logs)).count()
+    passed = lambda df: df.crossJoin(bits).where(decontam._maybe(F.col("seed"), F.col("_qm_bits"), logs)).count()
     assert passed(seeds) == 3000 and passed(other) < 20_000 / 10
 
 
@@ -109,3 +116,21 @@ def test_a_document_repeated_as_a_row_is_reported_and_dropped(spark):
     assert [r.doc_id for r in decontam.decontaminated(docs, items).collect()] == [2]
     found = decontam.contaminated(docs, items).collect()
     assert {r.doc_id for r in found} == {1, None} and all(r.n_matched == r.item_tokens == 30 for r in found)
+
+
+def test_items_of_every_length_stay_in_generated_code(spark, sf):
+    """The probing stage is generated code that compiles, whatever the number of masks, and no row carries the bits."""
+    seeds = spark.range(100).select(F.xxhash64("id").alias("seed"), F.xxhash64("id", "id").alias("begins"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", *row_keys(), decontam._hashed("text").alias("_qm_h"))
+    masks = list(dict.fromkeys([*decontam.MASKS, *(mask for n in range(1, decontam.WINDOW) for mask, _ in decontam.short_masks(n))]))
+    before = spark.conf.get("spark.sql.codegen.fallback")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        for some in (list(decontam.MASKS), masks):
+            probes = decontam.probes(docs, seeds, 100, some)
+            probes.collect()
+            final = probes._jdf.queryExecution().executedPlan().toString().split("\n+- == Initial Plan ==")[0]
+            lines = [x for x in final.splitlines() if "Generate " in x]
+            assert len(lines) == 3 and all("*(2)" in x for x in lines) and not any("_qm_bits" in x for x in lines)
+    finally:
+        spark.conf.set("spark.sql.codegen.fallback", before)
