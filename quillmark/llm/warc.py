@@ -14,13 +14,16 @@ grows with the logarithm of the records in a file.
 A null html is an empty payload, a null url leaves its header out, and a page
 without an id is never referred to. Rows that repeat a page all come back.
 Payloads are kept whole, with any bytes, line ends and record heads in them. An
-empty table writes no record and reads back none.
+empty table writes no record and reads back none. Ids are of any type that a string
+can be cast back to; other columns of the pages, whatever they are called, are
+not archived.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from urllib.parse import unquote_plus
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -38,6 +41,14 @@ MOST_ROUNDS = 40
 BROADCAST_DIGESTS, SALTS = 160_000, 32
 
 
+def _met(rows: DataFrame, few: DataFrame, keys: list[str], salt: list[str], n: int, broadcast: int) -> DataFrame:
+    """``rows`` left joined to ``few``, of ``n`` rows, one at most for each of ``keys``: broadcast, or else salted by the columns ``salt``."""
+    if n <= broadcast:
+        return rows.join(F.broadcast(few), keys, "left")
+    spread = few.withColumn("_qm_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_qm_salt", F.pmod(F.xxhash64(*salt), F.lit(SALTS)).cast("int")).join(spread, [*keys, "_qm_salt"], "left").drop("_qm_salt")
+
+
 def with_revisits(pages: DataFrame, broadcast: int = BROADCAST_DIGESTS) -> DataFrame:
     """(page_id, url, _qm_payload, record_type, refers_to, digest).
 
@@ -54,12 +65,7 @@ def with_revisits(pages: DataFrame, broadcast: int = BROADCAST_DIGESTS) -> DataF
     first = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
     first = materialize(first, "first")
     base = base.withColumn("digest", digest)
-    if first.count() <= broadcast:
-        joined = base.join(F.broadcast(first), "digest", "left")
-    else:
-        salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
-        spread = first.withColumn("_qm_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = base.withColumn("_qm_salt", salt).join(spread, ["digest", "_qm_salt"], "left")
+    joined = _met(base, first, ["digest"], ["page_id", "url"], first.count(), broadcast)
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select("page_id", "url", "_qm_payload", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"), "digest")
 
@@ -90,8 +96,8 @@ def records(typed: DataFrame) -> DataFrame:
         _header("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "digest")),
         F.when(F.col("record_type") == "revisit", F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n")).otherwise(""),
         _header("WARC-Refers-To", F.when(F.col("refers_to").isNotNull(), F.concat(F.lit("<urn:uuid:"), _uuid(F.col("refers_to")), F.lit(">")))),
-        _header("X-Page-Id", F.col("page_id")),
-        _header("X-Refers-To-Page-Id", F.col("refers_to")),
+        _header("X-Page-Id", F.url_encode(F.col("page_id").cast("string"))),
+        _header("X-Refers-To-Page-Id", F.url_encode(F.col("refers_to").cast("string"))),
         F.lit("Content-Type: application/http; msgtype=response\r\n"),
         _header("Content-Length", F.octet_length("_qm_block")),
         F.lit("\r\n"),
@@ -123,8 +129,8 @@ def http_payload(block: bytes) -> bytes:
     return block[block.index(b"\r\n\r\n") + 4 :] if block.startswith(b"HTTP/") and b"\r\n\r\n" in block else block
 
 
-def _number(x: bytes | None) -> int | None:
-    return int(x) if x and re.fullmatch(rb"-?\d+", x) else None
+def _id(x: bytes | None) -> str | None:
+    return None if x is None else unquote_plus(x.decode("ascii", "replace"))
 
 
 def _digest(x: bytes | None) -> str | None:
@@ -134,18 +140,18 @@ def _digest(x: bytes | None) -> str | None:
 _PIECE = pa.schema(
     [
         ("file", pa.string()), ("split", pa.int64()), ("at", pa.int64()), ("size", pa.int64()), ("total", pa.int64()), ("record_type", pa.string()),
-        ("page_id", pa.int64()), ("refers_to", pa.int64()), ("named_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
+        ("page_id", pa.string()), ("refers_to", pa.string()), ("named_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
     ]
 )
-_PIECE_DDL = "file string, split long, at long, size long, total long, record_type string, page_id long, refers_to long, named_digest string, payload_bytes long, payload_digest string"
+_PIECE_DDL = "file string, split long, at long, size long, total long, record_type string, page_id string, refers_to string, named_digest string, payload_bytes long, payload_digest string"
 _RAW = pa.schema([("file", pa.string()), ("split", pa.int64()), ("at", pa.int64()), ("raw", pa.binary())])
 
 
 def _described(found: dict) -> dict:
     h = found["head"]
     return {
-        "record_type": h[b"warc-type"].decode("ascii", "replace"), "page_id": _number(h.get(b"x-page-id")),
-        "refers_to": _number(h.get(b"x-refers-to-page-id")), "named_digest": _digest(h.get(b"warc-payload-digest")),
+        "record_type": h[b"warc-type"].decode("ascii", "replace"), "page_id": _id(h.get(b"x-page-id")),
+        "refers_to": _id(h.get(b"x-refers-to-page-id")), "named_digest": _digest(h.get(b"warc-payload-digest")),
     }
 
 
@@ -256,41 +262,47 @@ def _mended(spark: SparkSession, path: str, c: DataFrame, odd: DataFrame) -> Dat
     return whole.mapInArrow(_assembled, "file string, off long, payload_bytes long, payload_digest string")
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
     """(page_id, record_type, refers_to, named_digest, payload_bytes, payload_digest): every record, in no order.
 
     payload_* are those of the bytes read; a revisit's own payload is empty. A
-    record cut off by the end of its file is digested as far as it goes.
+    record cut off by the end of its file is digested as far as it goes. Ids
+    are of ``id_type``, null where a record has none of that type.
     """
     c = materialize(candidates(spark, path), "candidates")
     chain = reachable(c.where("total is not null and off >= 0").select("file", "off", (F.col("off") + F.col("total")).alias("next")))
     found = materialize(c.join(chain, ["file", "off"]).select("file", "off", "total", *_FOUND), "found")
     whole, odd = found.where("payload_digest is not null").select(*_FOUND), found.where("payload_digest is null")
-    if odd.isEmpty():
-        return whole
-    mended = _mended(spark, path, c, odd)
-    return whole.unionByName(odd.drop("payload_bytes", "payload_digest").join(mended, ["file", "off"]).select(*_FOUND))
+    if not odd.isEmpty():
+        mended = _mended(spark, path, c, odd)
+        whole = whole.unionByName(odd.drop("payload_bytes", "payload_digest").join(mended, ["file", "off"]).select(*_FOUND))
+    return whole.withColumns({x: F.col(x).try_cast(id_type) for x in ("page_id", "refers_to")})
 
 
 _FOUND = ["page_id", "record_type", "refers_to", "named_digest", "payload_bytes", "payload_digest"]
 
 
-def round_trip(pages: DataFrame) -> DataFrame:
+def round_trip(pages: DataFrame, broadcast: int = BROADCAST_DIGESTS) -> DataFrame:
     """Write ``pages`` as archives to the shared folder, read them back and resolve revisits.
 
-    (page_id, payload_bytes, payload_digest, record_type, refers_to) per page;
-    a revisit has the size and digest that were read for the response it names.
+    (page_id, payload_bytes, payload_digest, record_type, refers_to) per page,
+    ids of their type in ``pages``; a revisit has the size and digest that were
+    read for the response it names. More than ``broadcast`` such responses meet
+    their revisits in a salted join.
     """
-    spark = pages.sparkSession
+    spark, kind = pages.sparkSession, pages.schema["page_id"].dataType.simpleString()
     path = scratch_path(spark, "warc")
     write_archives(pages, path)
-    rec = materialize(read_archives(spark, path), "records")
+    rec = materialize(read_archives(spark, path, kind), "records")
     remove_path(spark, path)
+    keys = ["refers_to", "payload_digest"]
     revisit = rec.where("record_type = 'revisit'").select("page_id", "refers_to", F.col("named_digest").alias("payload_digest"))
     response = rec.where("record_type = 'response'")
     full = response.groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"))
-    resolved = revisit.join(full, ["refers_to", "payload_digest"], "left").select("page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), "refers_to")
-    return response.select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to")).unionByName(resolved)
+    full = materialize(full.join(revisit.select(*keys).distinct(), keys, "left_semi"), "named")
+    resolved = _met(revisit, full, keys, ["page_id"], full.count(), broadcast)
+    resolved = resolved.select("page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), "refers_to")
+    return response.select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast(kind).alias("refers_to")).unionByName(resolved)
 
 
 def op5_warc(spark, sf_dir: str) -> DataFrame:

@@ -83,3 +83,19 @@ def test_empty_table_and_repeated_pages(spark, pages):
     assert {r.payload_bytes for r in got} == {100}
     no_id = spark.createDataFrame([(None, "u", "z" * 200), (3, "v", "z" * 200), (4, "w", "z" * 200)], "page_id long, url string, html string")
     assert sorted((r.page_id or -1, r.record_type, r.refers_to) for r in warc.round_trip(no_id).collect()) == [(-1, "revisit", 3), (3, "response", None), (4, "revisit", 3)]
+
+
+def test_ids_of_any_type_and_many_named_responses(spark, pages):
+    from pyspark.sql import functions as F
+
+    name = F.when(F.col("page_id") == 4, "0 ä+%\r\nX-Page-Id: 7").when(F.col("page_id") == 8, "").otherwise(F.concat(F.lit("a"), F.col("page_id").cast("string")))
+    clash = {c: F.lit(c) for c in ("digest", "first", "record_type", "_qm_salt", "_qm_payload", "file", "off")}
+    named = pages.withColumn("page_id", name).withColumns(clash)
+    for broadcast in (warc.BROADCAST_DIGESTS, 0):
+        got = warc.round_trip(named, broadcast).collect()
+        assert {tuple(r) for r in got} == expected(named) and len(got) == named.count()
+    whole = warc.round_trip(pages, 0).collect()
+    assert {tuple(r) for r in whole} == expected(pages)
+    for kind in ("int", "decimal(20,0)", "date"):
+        one = pages.where("page_id in (4, 5)").withColumn("page_id", F.expr("date '2020-01-01' + int(page_id)") if kind == "date" else F.col("page_id").cast(kind))
+        assert {tuple(r) for r in warc.round_trip(one).collect()} == expected(one)
