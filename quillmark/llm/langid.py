@@ -1,6 +1,6 @@
 """Language identification of mixed-language text.
 
-Words are runs of letters. A word's script narrows the languages to those that
+Words are runs of letters with their combining marks. A word's script narrows the languages to those that
 were seen in that script; each of them scores the word by its character
 trigrams. Viterbi over the words, with a penalty for every switch of language,
 labels spans; a document's language is the one with most letters, of equal ones
@@ -15,12 +15,14 @@ language are not learned from.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, learned_from, small_batches, table, texts_of
@@ -28,8 +30,6 @@ from .common import held_out, learned_from, small_batches, table, texts_of
 BUCKETS = 1 << 15
 #: Log score lost at each switch of language between two words.
 SWITCH = 8.0
-#: Hashes fall in 2 ** RANGE_BITS ranges when that sample is sought.
-RANGE_BITS = 10
 CACHE_WORDS = 150_000
 #: Numbers of languages.
 LABEL = np.int16
@@ -38,15 +38,32 @@ ALPHA = 0.3
 #: First and last code point of ranges, and their script; letters elsewhere are "other".
 SCRIPTS = (
     (0x41, 0x24F, "latin"), (0x370, 0x3FF, "greek"), (0x400, 0x52F, "cyrillic"), (0x530, 0x58F, "armenian"), (0x590, 0x5FF, "hebrew"),
-    (0x600, 0x77F, "arabic"), (0x900, 0x97F, "devanagari"), (0x980, 0x9FF, "bengali"), (0xB80, 0xBFF, "tamil"), (0xE00, 0xE7F, "thai"),
-    (0x10A0, 0x10FF, "georgian"), (0x1100, 0x11FF, "hangul"), (0x1E00, 0x1EFF, "latin"), (0x1F00, 0x1FFF, "greek"), (0x3040, 0x309F, "kana"),
-    (0x30A0, 0x30FF, "kana"), (0x3400, 0x9FFF, "han"), (0xAC00, 0xD7AF, "hangul"),
+    (0x600, 0x6FF, "arabic"), (0x700, 0x74F, "syriac"), (0x750, 0x77F, "arabic"), (0x780, 0x7BF, "thaana"), (0x8A0, 0x8FF, "arabic"),
+    (0x900, 0x97F, "devanagari"), (0x980, 0x9FF, "bengali"), (0xA00, 0xA7F, "gurmukhi"), (0xA80, 0xAFF, "gujarati"), (0xB00, 0xB7F, "oriya"),
+    (0xB80, 0xBFF, "tamil"), (0xC00, 0xC7F, "telugu"), (0xC80, 0xCFF, "kannada"), (0xD00, 0xD7F, "malayalam"), (0xD80, 0xDFF, "sinhala"),
+    (0xE00, 0xE7F, "thai"), (0xE80, 0xEFF, "lao"), (0xF00, 0xFFF, "tibetan"), (0x1000, 0x109F, "myanmar"), (0x10A0, 0x10FF, "georgian"),
+    (0x1100, 0x11FF, "hangul"), (0x1200, 0x139F, "ethiopic"), (0x13A0, 0x13FF, "cherokee"), (0x1780, 0x17FF, "khmer"), (0x1800, 0x18AF, "mongolian"),
+    (0x1E00, 0x1EFF, "latin"), (0x1F00, 0x1FFF, "greek"), (0x3040, 0x309F, "kana"), (0x30A0, 0x30FF, "kana"), (0x31F0, 0x31FF, "kana"),
+    (0x3400, 0x9FFF, "han"), (0xAC00, 0xD7AF, "hangul"), (0xF900, 0xFAFF, "han"), (0x20000, 0x323AF, "han"),
 )
 SCRIPT_NAMES = (*sorted({s for _, _, s in SCRIPTS}), "other")
 #: Counts leave a task after so many languages.
 FLUSH_LANGS = 64
 UNDETERMINED = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+_MARKS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c)[0] == "M")
+#: Marks begin at U+0300; the look ahead spares other characters the search among all marks.
+_WORD = re.compile(rf"[^\W\d_]+(?:(?=[\u0300-\U0010ffff])[{_MARKS}]+[^\W\d_]*)*")
+_ASCII_WORD = re.compile("[a-z]+")
+
+
+def _lettered(word: str) -> bool:
+    """Whether a letter is in what may be fractions or raised digits alone."""
+    return word.isalpha() or any(map(str.isalpha, word))
+
+
+def words_of(text: str) -> list[str]:
+    text = text.lower()
+    return _ASCII_WORD.findall(text) if text.isascii() else list(filter(_lettered, _WORD.findall(text)))
 
 
 def script_of(word: str) -> str:
@@ -96,7 +113,7 @@ def count_trigrams(batches):
     for b in batches:
         words: dict[str, Counter] = {}
         for lang, x in zip(b.column(0).to_pylist(), texts_of(b, 1), strict=True):
-            words.setdefault(lang, Counter()).update(_WORD.findall(x.decode("utf-8", "replace").lower()))
+            words.setdefault(lang, Counter()).update(words_of(x.decode("utf-8", "replace")))
         for lang, some in words.items():
             if not some:
                 continue
@@ -166,7 +183,7 @@ def _predict(model: Model):
         cache: dict[str, int] = {}
         scores = np.empty((0, len(model.langs)), np.float32)
         for b in batches:
-            docs = [_WORD.findall(x.decode("utf-8", "replace").lower()) if x else [] for x in texts_of(b, 1)]
+            docs = [words_of(x.decode("utf-8", "replace")) if x else [] for x in texts_of(b, 1)]
             if len(cache) > CACHE_WORDS:
                 cache, scores = {}, scores[:0]
             fresh = list({w for d in docs for w in d}.difference(cache))
@@ -194,7 +211,7 @@ def _predict(model: Model):
 
 def label_spans(model: Model, text: str) -> list[tuple[int, int, str]]:
     """(start, end, language) of the spans of one text, in code points; gaps belong to the span before."""
-    found = list(_WORD.finditer(text.lower()))
+    found = [m for m in _WORD.finditer(text.lower()) if _lettered(m[0])]
     if not found or not model.langs:
         return []
     labels = viterbi(model.word_scores([m[0] for m in found]), np.array([len(found)]))
@@ -202,21 +219,6 @@ def label_spans(model: Model, text: str) -> list[tuple[int, int, str]]:
     return [(found[a].start(), found[b - 1].end(), model.langs[labels[a]]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _least(known: DataFrame, per_lang: int) -> DataFrame:
-    """The rows of each language with the least hashes of doc_id, ``per_lang`` at most.
-
-    Counts by range of hashes tell which ranges hold them, so that no task sorts
-    all rows of a frequent language.
-    """
-    known = known.withColumn("_qm_h", F.xxhash64("doc_id")).withColumn("_qm_range", F.shiftright("_qm_h", 64 - RANGE_BITS))
-    ranges = known.groupBy("_qm_lang", "_qm_range").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("_qm_lang").orderBy("_qm_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") < per_lang)
-    some = known.join(ranges.select("_qm_lang", "_qm_range"), ["_qm_lang", "_qm_range"])
-    order = Window.partitionBy("_qm_lang").orderBy("_qm_h", "doc_id")
-    return some.withColumn("_qm_n", F.row_number().over(order)).where(F.col("_qm_n") <= per_lang)
-
-
 def fit(docs: DataFrame, k: int = 4, r: int = 2) -> Model:
     """Learn from all rows with a language whose crc32(doc_id) mod k is not r; only sums by language and trigram are collected.
 

@@ -113,14 +113,17 @@ def test_language_of_odd_rows(odd, nothing):
     assert {r.lang_pred for r in langid.predictions(odd, none).collect()} == {"und"}
 
 
-def test_sample_has_the_least_hashes_of_each_language(spark):
-    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("_qm_lang"))
-    df = df.unionByName(df.where("doc_id < 20"))
-    rows = df.withColumn("h", F.xxhash64("doc_id")).collect()
-    for most in (1, 50, 1000, 10_000):
-        got = sorted((r._qm_lang, r.doc_id) for r in langid._least(df, most).collect())
-        want = sorted((x, r.doc_id) for x in "ab" for r in sorted((r for r in rows if r._qm_lang == x), key=lambda r: (r.h, r.doc_id))[:most])
-        assert got == want
+def test_words_keep_their_marks_and_their_script(spark):
+    hindi, telugu, khmer, lao = "हिन्दी में लिखा", "తెలుగు భాష", "ភាសា ខ្មែរ", "ພາສາ ລາວ"
+    assert langid.words_of(hindi) == hindi.split() and langid.words_of(f"{telugu}; {khmer} 12 {lao}") == f"{telugu} {khmer} {lao}".split()
+    assert langid.words_of("Cafe\u0301 naïve² ½ ²³ \u0301 _x_1y") == ["cafe\u0301", "naïve²", "x", "y"]
+    assert [langid.script_of(w) for w in (hindi, telugu, khmer, lao, "abc", "ಕನ್ನಡ", "ગુજરાતી")] == ["devanagari", "telugu", "khmer", "lao", "latin", "kannada", "gujarati"]
+    known = {"hi": hindi, "te": telugu, "km": khmer, "lo": lao, "mr": "मराठी मध्ये लिहिलेले"}
+    ids = [i for i in range(100) if remainder(i, 4) != 2]
+    rows = [(i, f"{known[x]} {known[x]}", x) for i, x in zip(ids, list(known) * 6, strict=False)]
+    docs = spark.createDataFrame(rows + [(1000, "½ ²³", None), (1001, "\u0301", None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.predictions(docs, langid.fit(docs)).collect()}
+    assert all(got[i] == x for i, _, x in rows) and got[1000] == got[1001] == "und"
 
 
 def test_language_is_learned_from_the_right_rows(odd):
