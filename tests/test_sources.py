@@ -82,6 +82,17 @@ def test_fixed_numbers_as_a_column(spark):
     assert [r[0] for r in df.collect()] == ["1.0", "—", "2.5"]
 
 
+def test_fixed_numbers_with_halves_to_even(spark, tmp_path):
+    from quillmark.plans.oracles import ORACLES
+    from quillmark.plans.queries import QUERIES
+    from tests.compare import assert_same, connection
+
+    assert [fixed(x, 0, half_even=True) for x in (760.5, 761.5, -2.5, 2.500001)] == ["760", "762", "-2", "3"]
+    rows = [(1, 5323.5), (2, 5330.5), (3, -17.5), (5, 0.875), (13, 5323.5), (6, 2.625)]
+    spark.createDataFrame(rows, "s_suppkey long, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
+    assert assert_same(QUERIES["fmt_numbers"](spark, str(tmp_path)), connection(str(tmp_path)), ORACLES["fmt_numbers"]) == len(rows)
+
+
 def test_layout_checks():
     assert Layout.of({"columns": "2.5", "rows_per_column": None, "num_questions": "", "option_set": "XYZ", "bubble_diameter_mm": "x", "margin_mm": 99}) == Layout(
         columns=3, rows_per_column=4, num_questions=1, margin_mm=25
