@@ -4,8 +4,9 @@ Word counts over all training documents give a base score. The model is a
 causal self-attention network, trained in numpy, over subword ids grouped in
 classes: a context of up to ``SPAN`` ids gives the next class, the class gives
 the id. Subword frequencies, the neighbours that group ids and the bigrams of
-classes are sums over all training documents; attention weights are trained in
-tasks over a share of them, averaged after each epoch. Windows overlap by half,
+classes are sums over all training documents; attention weights start on a share
+of them and then pass over all, in tasks whose weights are averaged; the mixture
+is set on all, each less its own words. Windows overlap by half,
 and each scores the ids of its second half, so that every id is scored once
 with at least half a window of context.
 
@@ -42,9 +43,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 END = b"\n"
 #: Words whose counts every task holds; the others' counts come by a join.
 HEAD_WORDS = 200_000
-#: Shares of the training documents whose windows train the attention and set the mixture, and the least numbers of texts.
-TRAIN_SHARE, TUNING_SHARE = 1 / 256, 1 / 1280
-LEAST_TEXTS, LEAST_TUNING = 500, 100
+#: Share of the training documents on which the attention starts, before it passes over all, and the least number of texts.
+TRAIN_SHARE, LEAST_TEXTS = 1 / 256, 500
 #: Texts of one training task.
 TASK_TEXTS = 500
 #: Nats in a bin of the histogram that sets the mixture.
@@ -300,13 +300,21 @@ class Scorer:
         return chance.ravel()[at], start.ravel()[at]
 
 
+def _by_class(classes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of the rows of each class."""
+    flat = classes.ravel()
+    one = np.zeros((len(flat), CLASSES), rows.dtype)
+    one[np.arange(len(flat)), flat] = 1
+    return one.T @ rows.reshape(len(flat), -1)
+
+
 def _gradients(net: Network, ctx: np.ndarray, tgt: np.ndarray, at: np.ndarray) -> tuple[float, list[np.ndarray]]:
     last = ctx[:, HALF:]
     q, k, v = net.query[last], net.key[ctx], net.value[ctx]
     logits = q @ k.transpose(0, 2, 1) + net.place[np.clip(_DISTANCE, 0, SPAN - 1)]
     allowed = _CAUSAL & (ctx != PAD)[:, None, :]
-    e = np.where(allowed, np.exp(_clip(logits)), 0)
-    att = e / (e.sum(axis=2, keepdims=True) + 1e-9)
+    e = np.exp(_clip(logits)) * allowed
+    att = e / (e.sum(axis=2, keepdims=True) + e.dtype.type(1e-9))
     seen = att @ v
     z = net.own[last] + seen @ net.out
     z -= z.max(axis=2, keepdims=True)
@@ -314,21 +322,17 @@ def _gradients(net: Network, ctx: np.ndarray, tgt: np.ndarray, at: np.ndarray) -
     p /= p.sum(axis=2, keepdims=True)
     valid = at >= 0
     n = max(1, int(valid.sum()))
-    rows = np.indices(tgt.shape)
-    loss = -np.log(p[(*rows, tgt)][valid] + 1e-12).sum() / n
-    p[(*rows, tgt)] -= 1
-    p *= valid[:, :, None] / n
-    d_own, d_q, d_k, d_v = (np.zeros_like(x) for x in (net.own, net.query, net.key, net.value))
-    np.add.at(d_own, last, p)
-    d_out = np.einsum("nid,nic->dc", seen, p)
+    right = np.take_along_axis(p, tgt[:, :, None], axis=2)
+    loss = -np.log(right[:, :, 0][valid] + 1e-12).sum() / n
+    np.put_along_axis(p, tgt[:, :, None], right - 1, axis=2)
+    p *= valid[:, :, None] / p.dtype.type(n)
+    d_out = seen.reshape(-1, WIDTH).T @ p.reshape(-1, CLASSES)
     d_seen = p @ net.out.T
     d_att = d_seen @ v.transpose(0, 2, 1)
-    np.add.at(d_v, ctx, att.transpose(0, 2, 1) @ d_seen)
     d_log = att * (d_att - (d_att * att).sum(axis=2, keepdims=True))
-    np.add.at(d_q, last, d_log @ k)
-    np.add.at(d_k, ctx, d_log.transpose(0, 2, 1) @ q)
-    d_place = np.zeros_like(net.place)
-    np.add.at(d_place, np.clip(_DISTANCE, 0, SPAN - 1), d_log.sum(axis=0) * _CAUSAL)
+    d_own, d_q = _by_class(last, p), _by_class(last, d_log @ k)
+    d_k, d_v = _by_class(ctx, d_log.transpose(0, 2, 1) @ q), _by_class(ctx, att.transpose(0, 2, 1) @ d_seen)
+    d_place = np.bincount(np.clip(_DISTANCE, 0, SPAN - 1).ravel(), (d_log.sum(axis=0) * _CAUSAL).ravel(), SPAN).astype(p.dtype)
     return loss, [d_q, d_k, d_v, d_place, d_own, d_out]
 
 
@@ -374,7 +378,7 @@ class Training:
         return len(order)
 
 
-def new_training(pairs: np.ndarray, seed: int = 5) -> Training:
+def new_training(pairs: np.ndarray, seed: int = 5, dtype: type = np.float64) -> Training:
     """Class bigrams are where the table of the last class starts; without any, the network is uniform."""
     rng = np.random.default_rng(seed)
     n = lambda *s: rng.normal(0, 0.3, s)
@@ -383,6 +387,7 @@ def new_training(pairs: np.ndarray, seed: int = 5) -> Training:
         net.own[:] = np.log((pairs + 0.1) / (pairs + 0.1).sum(axis=1, keepdims=True))
     else:
         net.out[:] = 0
+    net = Network(*(p.astype(dtype) for p in net.parts()))
     return Training(net, *([np.zeros_like(p) for p in net.parts()] for _ in range(2)))
 
 
@@ -537,7 +542,7 @@ class Words(Subwords):
         sums = lambda x: np.add.reduceat(x, starts)
         return {
             "n_tokens": sizes, "head_known": sums(in_head.astype(np.int64)), "head_log": sums(logs), "score": sums(np.where(in_head, mixed, 0.0)),
-            "distinct": tokens.distinct, "ids": tokens.ids, "network": network, "outside": ~in_head, "starts": starts,
+            "distinct": tokens.distinct, "ids": tokens.ids, "network": network, "outside": ~in_head, "counts": counts, "starts": starts,
         }
 
 
@@ -667,48 +672,45 @@ def class_pairs(training: DataFrame, class_of: np.ndarray, path: str = TOKENIZER
     return _summed(rows.mapInArrow(run, "cell int, n long"), CLASSES * CLASSES).reshape(CLASSES, CLASSES)
 
 
-def shares(training: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
-    """Texts for the attention and for the mixture: shares by a hash of (doc_id, text), of equal rows one.
-
-    They grow with the ``rows`` of ``training`` and do not meet.
-    """
-    p = min(max(TRAIN_SHARE, LEAST_TEXTS / max(rows, 1)), LEAST_TEXTS / (LEAST_TEXTS + LEAST_TUNING))
-    q = min(max(TUNING_SHARE, LEAST_TUNING / max(rows, 1)), LEAST_TUNING / (LEAST_TEXTS + LEAST_TUNING))
+def shares(training: DataFrame, rows: int) -> tuple[DataFrame]:
+    """Texts on which the attention starts: a share by a hash of (doc_id, text), of equal rows one, which grows with the ``rows`` of ``training``."""
+    p = min(max(TRAIN_SHARE, LEAST_TEXTS / max(rows, 1)), 1.0)
     keyed = training.where("text is not null").select(F.col("text").cast("binary").alias("_qm_b"), *row_keys())
     u = F.pmod(F.xxhash64(F.lit("share"), *KEYS), F.lit(1 << 30)) / float(1 << 30)
+    parts = max(1, round(rows * p / TASK_TEXTS))
+    return (materialize(keyed.where(u < p).dropDuplicates(KEYS).repartition(parts, *KEYS).sortWithinPartitions(*KEYS), "attention"),)
 
-    def dealt(some: DataFrame, share: float, name: str) -> DataFrame:
-        parts = max(1, round(rows * share / TASK_TEXTS))
-        return materialize(some.dropDuplicates(KEYS).repartition(parts, *KEYS).sortWithinPartitions(*KEYS), name)
-
-    return dealt(keyed.where(u < p), p, "attention"), dealt(keyed.where((u >= p) & (u < p + q)), q, "tuning")
 
-
-def train_attention(texts: DataFrame, class_of: np.ndarray, pairs: np.ndarray, path: str = TOKENIZER) -> Network:
-    """Each epoch is one pass of the tasks over their own windows; weights and moments are then averaged by windows."""
+def train_attention(texts: DataFrame, ids: DataFrame, class_of: np.ndarray, pairs: np.ndarray, path: str = TOKENIZER) -> Network:
+    """Epochs over ``texts`` to start with, then one pass over ``coded`` ids of all; after each, weights and moments of the tasks are averaged by windows."""
     training = new_training(pairs)
     if not pairs.any():
         return training.net
     classes = np.append(class_of, STOP)
 
-    def one(number: int, vector: np.ndarray):
+    def one(number: int, vector: np.ndarray, batched):
         def run(batches):
-            mine = new_training(np.zeros((CLASSES, CLASSES)))
+            mine = new_training(np.zeros((CLASSES, CLASSES)), dtype=np.float32)
             mine.set(vector)
-            coder, rng, n = Coder(path), np.random.default_rng((number, TaskContext.get().partitionId())), 0
-            for b in batches:
-                if b.num_rows:
-                    ids, sizes = coder(b.column(0))
-                    n += mine.epoch(classes[ids], sizes, number, EPOCHS, rng)
+            rng, n = np.random.default_rng((number, TaskContext.get().partitionId())), 0
+            for ids, sizes in batched(batches):
+                n += mine.epoch(classes[ids], sizes, min(number, EPOCHS - 1), EPOCHS, rng)
             if n:
-                v = mine.vector()
+                v = mine.vector().astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v * n), pa.array(np.full(len(v), n))], names=["cell", "x", "n"])
 
         return run
 
-    for e in range(EPOCHS):
+    def batched_texts(batches):
+        coder = Coder(path)
+        for b in batches:
+            if b.num_rows:
+                yield coder(b.column(0))
+
+    for e in range(EPOCHS + 1):
         small_batches(texts.sparkSession)
-        rows = texts.select("_qm_b").mapInArrow(one(e, training.vector()), "cell int, x double, n long")
+        rows = texts.select("_qm_b") if e < EPOCHS else ids.select("ids")
+        rows = rows.mapInArrow(one(e, training.vector(), batched_texts if e < EPOCHS else _coded_batches), "cell int, x double, n long")
         rows = rows.groupBy("cell").agg((F.sum("x") / F.sum("n")).alias("x")).toArrow()
         if rows.num_rows:
             vector = np.empty(rows.num_rows)
@@ -717,23 +719,34 @@ def train_attention(texts: DataFrame, class_of: np.ndarray, pairs: np.ndarray, p
     return training.net
 
 
-def word_share(texts: DataFrame, model: Model, counts: DataFrame, floor: float) -> float:
-    """The likeliest share of the word counts on ``texts``, which are among the counted ones, less their own words."""
+def word_share(training: DataFrame, model: Model, counts: DataFrame, head: dict[bytes, int], n: int, types: int) -> float:
+    """The likeliest share of the word counts on all texts, which are among the counted ones: each text's words are scored by the counts of the others.
+
+    Tasks count the words of ``head`` by gap between both log probabilities; the others' counts come by a join.
+    """
+    floor, ten = float(np.log(n + types + 1)), float(np.log(10))
+    in_bins = lambda x: np.rint(np.clip(x, -60, 60) / GAP_BIN).astype(np.int32)
 
     def run(batches):
-        words = Words(model, {}, 0, 0)
+        words = Words(model, head, n, types)
         for b in batches:
-            if b.num_rows:
-                s = words.score(b.column(0))
-                yield pa.RecordBatch.from_arrays([pa.array(s["distinct"], pa.binary()).take(pa.array(s["ids"])), pa.array(s["network"])], names=["word", "net"])
-
-    small_batches(texts.sparkSession)
-    seen = texts.select("_qm_b").mapInArrow(run, "word binary, net double")
-    in_bins = lambda x: F.round(x / GAP_BIN).cast("int")
-    seen = materialize(seen.groupBy("word", in_bins(F.col("net") * float(np.log(10))).alias("net")).agg(F.count("*").alias("k")), "tuned")
-    own = counts.join(seen.groupBy("word").agg(F.sum("k").alias("own")), "word").select("word", F.greatest(F.col("c") - F.col("own"), F.lit(0)).alias("c"))
-    gap = F.col("net") * GAP_BIN - F.log(F.col("c") + 1) + floor * float(np.log(10))
-    rows = seen.join(own, "word").groupBy(in_bins(F.least(F.greatest(gap, F.lit(-60.0)), F.lit(60.0))).alias("gap")).agg(F.sum("k").alias("k")).toArrow()
+            if not b.num_rows:
+                continue
+            s = words.score(b.column(0))
+            text = np.repeat(np.arange(len(s["n_tokens"])), s["n_tokens"])
+            _, at, own = np.unique(text * len(s["distinct"]) + s["ids"], return_inverse=True, return_counts=True)
+            own, net, out = own[at], s["network"] * ten + floor, s["outside"]
+            bins, k = np.unique(in_bins(net[~out] - np.log(np.maximum(s["counts"][~out] - own[~out], 0) + 1)), return_counts=True)
+            word = pa.concat_arrays([pa.nulls(len(bins), pa.binary()), pa.array(s["distinct"], pa.binary()).take(pa.array(s["ids"][out]))])
+            columns = [np.append(np.zeros(len(bins), np.int64), own[out]), np.append(bins * GAP_BIN, net[out]), np.append(k, np.ones(int(out.sum()), np.int64))]
+            yield pa.RecordBatch.from_arrays([word, *map(pa.array, columns)], names=["word", "own", "gap", "k"])
+
+    small_batches(training.sparkSession)
+    seen = training.where("text is not null").select(F.col("text").cast("binary").alias("_qm_b")).mapInArrow(run, "word binary, own long, gap double, k long")
+    seen = materialize(seen, "tuned")
+    rare = seen.where("word is not null").join(counts, "word").select((F.col("gap") - F.log(F.greatest(F.col("c") - F.col("own"), F.lit(0)) + 1)).alias("gap"), "k")
+    every = seen.where("word is null").select("gap", "k").unionByName(rare)
+    rows = every.groupBy(F.round(F.least(F.greatest("gap", F.lit(-60.0)), F.lit(60.0)) / GAP_BIN).cast("int").alias("gap")).agg(F.sum("k").alias("k")).toArrow()
     share = 0.5
     if rows.num_rows:
         gaps, weight = rows["gap"].to_numpy() * GAP_BIN, rows["k"].to_numpy()
@@ -742,14 +755,14 @@ def word_share(texts: DataFrame, model: Model, counts: DataFrame, floor: float)
     return share
 
 
-def fit(training: DataFrame, counts: DataFrame, n: int, types: int, rows: int, path: str = TOKENIZER) -> Model:
+def fit(training: DataFrame, counts: DataFrame, n: int, types: int, rows: int, path: str = TOKENIZER, head: dict[bytes, int] | None = None) -> Model:
     """Learn from the ``rows`` of ``training``, whose ``counts`` are of ``n`` words of so many ``types``."""
     count = subword_counts(counts, path)
     ids = materialize(coded(training, path), "coded")
     class_of, emit = subword_classes(count, neighbours(ids, own_classes(count), path), begins(path))
-    attention, tuning = shares(training, rows)
-    model = Model(train_attention(attention, class_of, class_pairs(ids, class_of, path), path), class_of, emit, 0.5, path)
-    model.share = word_share(tuning, model, counts, float(np.log10(n + types + 1)))
+    (start,) = shares(training, rows)
+    model = Model(train_attention(start, ids, class_of, class_pairs(ids, class_of, path), path), class_of, emit, 0.5, path)
+    model.share = word_share(training, model, counts, head_counts(counts) if head is None else head, n, types)
     return model
 
 
@@ -765,7 +778,7 @@ def scored(docs: DataFrame, k: int = 7, r: int = 2, head_words: int = HEAD_WORDS
     ends = F.sum(F.when(F.col("word") == F.lit(END), F.col("c")))
     n, types, rows = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(ends, F.lit(0))).first()
     head = head_counts(counts, head_words)
-    model = fit(training, counts, n, types, rows, path)
+    model = fit(training, counts, n, types, rows, path, head)
     small_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     part = docs.select("doc_id", F.col("text").cast("binary").alias("_qm_b")).mapInArrow(

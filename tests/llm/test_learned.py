@@ -427,6 +427,30 @@ def test_lm_learns_from_all_training_texts(spark):
     assert 300 < lm.shares(training, 1500)[0].count() < 700
 
 
+def test_lm_mixture_and_attention_see_every_text(spark):
+    """The mixture is that of all texts, each scored by the counts of the others, and a start on no text still learns from all."""
+    texts = [f"the house of w{i // 7} is a w{i // 7} house" if i % 3 else "rain " * (i % 5 + 1) + f"w{i}" for i in range(900)]
+    training = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    counts = lm.word_counts(training)
+    held = {bytes(r.word): r.c for r in counts.collect()}
+    n, types = sum(held.values()), len(held)
+    model = lm.fit(training, counts, n, types, len(texts), head={w: c for w, c in held.items() if c > 100})
+    gaps = []
+    for t in texts:
+        s = lm.Words(model, {}, n, types).score([t.encode()])
+        words = [s["distinct"][i] for i in s["ids"]]
+        gaps += [net * np.log(10) - np.log((held[w] - words.count(w) + 1) / (n + types + 1)) for w, net in zip(words, s["network"], strict=True)]
+    share = 0.5
+    for _ in range(30):
+        share = np.mean(share / (share + (1 - share) * np.exp(np.array(gaps))))
+    assert abs(model.share - share) < 2e-3
+    ids = lm.coded(training)
+    pairs = lm.class_pairs(ids, model.class_of)
+    start = training.limit(0).selectExpr("cast(text as binary) as _qm_b")
+    net = lm.train_attention(start, ids, model.class_of, pairs)
+    assert np.abs(net.out - lm.new_training(pairs).net.out).max() > 1e-3
+
+
 def slow_log10(model: lm.Model, words: list[bytes]) -> list[float]:
     """The network's log10 probability of each word, and of the end, one id after another in plain loops."""
     import math
