@@ -7,7 +7,7 @@ darkness of every bubble; decisions are columns (see ``decisions``).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -130,10 +130,10 @@ def pixels_of(height: int, width: int, channels: int, data: bytes) -> np.ndarray
     a = np.frombuffer(data, np.uint8).reshape(height, width, channels)
     if channels == 1:
         return a[:, :, 0]
-    rgb = a[:, :, 2::-1].astype(np.float64)
+    rgb = a[:, :, 2::-1]
     if channels == 4:
         alpha = a[:, :, 3:4] / 255.0
-        rgb = rgb * alpha + 255.0 * (1 - alpha)
+        rgb = rgb.astype(np.float64) * alpha + 255.0 * (1 - alpha)
     return im.to_grey(rgb)
 
 
@@ -143,17 +143,19 @@ def spread(rows: DataFrame, n: int, by: str = "sheet_id") -> DataFrame:
     return rows.repartition(tasks, by)
 
 
-def scanned(images: DataFrame, layout: Layout, options: OmrOptions = OmrOptions()) -> DataFrame:
+def scanned(images: DataFrame, layout: Layout, options: OmrOptions = OmrOptions(), source: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]] | None = None) -> DataFrame:
     """One row of schemas.SCAN per row of ``images`` (sheet_id, page_index, height, width, n_channels, data).
 
     A null image and one that the source could not decode (height below 1) are
     failed rows. A null page_index is page 0. Arrow batches are bounded by
     bytes (spark.sql.execution.arrow.maxBytesPerBatch); deal images out with
-    ``spread`` where few partitions hold them.
+    ``spread`` where few partitions hold them. A ``source`` makes batches of
+    images of batches of other rows, in the task that reads them, so no image
+    leaves it.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in source(batches) if source else batches:
             for s in pdf.itertuples(index=False):
                 page = 0 if pd.isna(s.page_index) else int(s.page_index)
                 row = {"ok": False, "error": None, "threshold": None, "alignment": None, "homography": None, "samples": None}
@@ -171,6 +173,8 @@ def scanned(images: DataFrame, layout: Layout, options: OmrOptions = OmrOptions(
                 out = pd.DataFrame([{"sheet_id": s.sheet_id, "page_index": page} | row], columns=schemas.SCAN.fieldNames())
                 yield out.astype({"page_index": "int32"}).assign(threshold=out["threshold"].astype("Int32"))
 
+    if source:
+        return images.mapInPandas(run, schemas.SCAN)
     cols = [F.col("sheet_id").cast("string"), F.col("page_index").cast("int"), "height", "width", F.col("n_channels"), "data"]
     return images.select(*cols).mapInPandas(run, schemas.SCAN)
 

@@ -304,3 +304,27 @@ def test_dark_mask_agrees_with_plain_means():
         mean = np.array([[grey[max(0, y - r) : y + r + 1, max(0, x - r) : x + r + 1].mean() for x in range(shape[1])] for y in range(shape[0])])
         mask, level = im.dark_mask(grey, divisor, bias)
         assert (mask == ((grey < level) | ((grey < mean - bias) & (grey < 200)))).all()
+
+
+def test_kernels_agree_with_plain_sums_and_drawn_pages_with_inked_ones():
+    rng = np.random.default_rng(4)
+    for h, w in ((1, 9), (40, 33), (300, 57)):
+        grey = rng.integers(0, 256, (h, w)).astype(np.uint8)
+        for turned in (grey, np.rot90(grey)):
+            mask, level = im.dark_mask(turned, 9, 12)
+            r = max(6, int(min(h, w) / 9 + 0.5))
+            for y, x in np.ndindex(turned.shape):
+                box = turned[max(0, y - r) : y + r + 1, max(0, x - r) : x + r + 1]
+                assert mask[y, x] == (turned[y, x] < level or (turned[y, x] < 200 and int(turned[y, x]) + 12 < box.mean()))
+        colours = rng.integers(0, 256, (h, w, 3)).astype(np.uint8)
+        assert (im.to_grey(colours) == im.to_grey(colours.astype(float))).all()
+
+
+def test_pages_are_drawn_and_read_in_one_task(spark):
+    """Images used to pass from Python to Spark and back, three times the bytes for colours."""
+    layout = Layout.of({"num_questions": 12, "columns": 1, "rows_per_column": 12})
+    s = spark.createDataFrame([(str(i), list("ABCDE"[i % 3 :] + "ABCDEABCDE")[:12]) for i in range(5)], "sheet_id string, answers array<string>")
+    two = scanning.scanned(drawing.drawn_pages(s, layout), layout)
+    one = scanning.scanned(s, layout, source=drawing.drawer(layout))
+    assert one._jdf.queryExecution().toString().count("MapInPandas") < two._jdf.queryExecution().toString().count("MapInPandas")
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
