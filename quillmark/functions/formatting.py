@@ -30,3 +30,8 @@ def fmt(v: Column, digits: int = 2, half_even: bool = False) -> Column:
         return pd.Series([fixed(None if pd.isna(x) else float(x), digits, half_even) for x in s], dtype="object")
 
     return formatted(v.cast("double"))
+
+
+def thousandths(c: Column) -> Column:
+    """Three decimals of a measure, far cheaper than by a format string."""
+    return c.cast("double").cast("decimal(18,3)").cast("string")

@@ -6,12 +6,14 @@ what is printed and what is sampled cannot drift apart.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import fields
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.config import LAYOUT_BOUNDS, LAYOUT_COUNTS, OPTION_SETS, Heading, Layout
+from quillmark.functions.formatting import thousandths
 from quillmark.functions.scalars import half_up
 
 FIELDS = [f.name for f in fields(Layout)]
@@ -95,12 +97,16 @@ def page_items(layouts: DataFrame, pages: Column | None = None) -> DataFrame:
     return m.select("layout_id", "page_index", (F.col("start") + F.col("k") + 1).alias("no"), column.alias("column"), (F.col("k") % F.col("rows_used")).alias("row"))
 
 
-def fiducials(layouts: DataFrame) -> DataFrame:
-    """(layout_id, corner, x_mm, y_mm): centres of the four marks."""
+def corners() -> dict[str, tuple[Column, Column]]:
+    """Middles of the four marks."""
     inset = F.col("fiducial_inset_mm") + F.col("fiducial_size_mm") / 2
     right, bottom = F.col("page_width_mm") - inset, F.col("page_height_mm") - inset
-    corners = {"tl": (inset, inset), "tr": (right, inset), "br": (right, bottom), "bl": (inset, bottom)}
-    four = F.array(*[F.struct(F.lit(k).alias("corner"), x.alias("x_mm"), y.alias("y_mm")) for k, (x, y) in corners.items()])
+    return {"tl": (inset, inset), "tr": (right, inset), "br": (right, bottom), "bl": (inset, bottom)}
+
+
+def fiducials(layouts: DataFrame) -> DataFrame:
+    """(layout_id, corner, x_mm, y_mm): centres of the four marks."""
+    four = F.array(*[F.struct(F.lit(k).alias("corner"), x.alias("x_mm"), y.alias("y_mm")) for k, (x, y) in corners().items()])
     return layouts.select("layout_id", F.explode(four).alias("f")).select("layout_id", "f.*")
 
 
@@ -126,6 +132,37 @@ def number_anchors(layouts: DataFrame) -> DataFrame:
     return _placed(layouts).select("layout_id", "page_index", "no", F.col("left_mm").alias("x_mm"), (F.col("number_gutter_mm") - 1.5).alias("width_mm"), "y_mm")
 
 
+def printed_pages(layouts: DataFrame) -> DataFrame:
+    """A row for each page: its layout's fields and measures, page_index, first and last (numbers of its items) and rows_used."""
+    m = _let(layouts).withColumn("page_index", F.explode(F.sequence(F.lit(0), F.col("page_count") - 1)))
+    m = m.withColumn("first", F.col("page_index") * F.col("per_page") + 1)
+    m = m.withColumn("last", F.least(F.col("first") + F.col("per_page") - 1, F.col("num_questions"))).where("last >= first")
+    return m.withColumn("rows_used", F.ceil((F.col("last") - F.col("first") + 1) / F.col("columns")).cast("int"))
+
+
+def printed_items(number: Callable, heights: Callable, widths: Callable, bubble: Callable) -> Column:
+    """Text of all items of a row of ``printed_pages``, one after another, without an exchange.
+
+    ``number`` makes the text of an item of its no, left edge and height; of
+    each bubble ``bubble`` makes one of its letter and what ``heights`` and
+    ``widths`` made, once an item and once a bubble, of its middle's y and x.
+    """
+    n = F.col("last") - F.col("first")
+    column = lambda k: F.floor(k / F.col("rows_used"))
+    y = lambda k: F.col("grid_top_mm") + k % F.col("rows_used") * F.col("row_pitch_mm") + F.col("bubble_diameter_mm") / 2
+    left = lambda k: F.col("margin_mm") + column(k) * (F.col("column_width_mm") + F.col("column_gap_mm"))
+    items = F.transform(F.sequence(F.lit(0), n), lambda k: F.struct((F.col("first") + k).alias("no"), left(k).alias("left"), y(k).alias("y")))
+    items = F.transform(items, lambda i: F.struct(number(i["no"], i["left"], i["y"]).alias("number"), i["left"].alias("left"), heights(i["y"]).alias("heights")))
+    x = lambda left, o: left + F.col("number_gutter_mm") + o * (F.col("bubble_diameter_mm") + F.col("bubble_gap_mm")) + F.col("bubble_diameter_mm") / 2
+
+    def bubbles(i: Column) -> Column:
+        placed = F.transform(F.sequence(F.lit(0), F.col("option_count") - 1), lambda o: F.struct(F.substr(F.col("option_set"), o + 1, F.lit(1)).alias("letter"), x(i["left"], o).alias("x")))
+        placed = F.transform(placed, lambda b: F.struct(b["letter"].alias("letter"), widths(b["x"]).alias("widths")))
+        return F.array_join(F.transform(placed, lambda b: bubble(b["letter"], b["widths"], i["heights"])), "")
+
+    return F.array_join(F.transform(items, lambda i: F.concat(i["number"], bubbles(i))), "")
+
+
 #: What every page prints; the instructions stand on the first page only.
 NO_INSTITUTION = "Nama Institusi"
 SHEET_TITLE = "Lembar Jawaban Komputer"
@@ -147,7 +184,7 @@ HEAD_MM = 70.0
 
 
 def _mm(c: Column) -> Column:
-    return F.format_string("%.3f", c.cast("double"))
+    return thousandths(c)
 
 
 def _xml(text: Column) -> Column:
@@ -206,23 +243,15 @@ def _page_foot() -> Column:
 def template_svg(layouts: DataFrame, heading: Heading = Heading()) -> DataFrame:
     """(layout_id, page_index, svg): a printable page of each layout: head, marks, bubbles, letters, numbers and foot."""
     f1 = _mm
-    m = layouts.select("layout_id", "page_width_mm", "page_height_mm", "bubble_diameter_mm", "fiducial_size_mm")
-    bubble = bubble_centers(layouts).join(m, "layout_id")
-    circle = F.concat(
-        F.lit('<circle cx="'), f1(F.col("x_mm")), F.lit('" cy="'), f1(F.col("y_mm")), F.lit('" r="'), f1(F.col("bubble_diameter_mm") / 2), F.lit('"/><text x="'), f1(F.col("x_mm")),
-        F.lit('" y="'), f1(F.col("y_mm")), F.lit('">'), F.col("option"), F.lit("</text>"),
-    )
-    number = F.concat(F.lit('<text class="no" x="'), f1(F.col("x_mm") + F.col("width_mm")), F.lit('" y="'), f1(F.col("y_mm")), F.lit('">'), F.col("no").cast("string"), F.lit("</text>"))
-    parts = bubble.select("layout_id", "page_index", "no", "option_index", circle.alias("part"))
-    parts = parts.unionByName(number_anchors(layouts).select("layout_id", "page_index", "no", F.lit(-1).alias("option_index"), number.alias("part")))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "option_index", "part"))), lambda x: x["part"]), "")
-    pages = parts.groupBy("layout_id", "page_index").agg(body.alias("body"), F.min("no").alias("first"), F.max("no").alias("last"))
-    side = F.col("fiducial_size_mm")
-    square = F.concat(
-        F.lit('<rect x="'), f1(F.col("x_mm") - side / 2), F.lit('" y="'), f1(F.col("y_mm") - side / 2), F.lit('" width="'), f1(side), F.lit('" height="'), f1(side), F.lit('"/>')
+    radius, side = f1(F.col("bubble_diameter_mm") / 2), F.col("fiducial_size_mm")
+    body = printed_items(
+        lambda no, left, y: F.concat(F.lit('<text class="no" x="'), f1(left + (F.col("number_gutter_mm") - 1.5)), F.lit('" y="'), f1(y), F.lit('">'), no.cast("string"), F.lit("</text>")),
+        f1, f1,
+        lambda letter, x, y: F.concat(F.lit('<circle cx="'), x, F.lit('" cy="'), y, F.lit('" r="'), F.col("radius"), F.lit('"/><text x="'), x, F.lit('" y="'), y, F.lit('">'), letter, F.lit("</text>")),
     )
-    marks = fiducials(layouts).join(m, "layout_id").groupBy("layout_id").agg(F.array_join(F.array_sort(F.collect_list(square)), "").alias("marks"))
+    square = lambda x, y: F.concat(F.lit('<rect x="'), f1(x - side / 2), F.lit('" y="'), f1(y - side / 2), F.lit('" width="'), f1(side), F.lit('" height="'), f1(side), F.lit('"/>'))
+    marks = F.array_join(F.array_sort(F.array(*[square(x, y) for x, y in corners().values()])), "")
     size = F.concat(F.lit('width="'), f1(F.col("page_width_mm")), F.lit('mm" height="'), f1(F.col("page_height_mm")), F.lit('mm" viewBox="0 0 '), f1(F.col("page_width_mm")), F.lit(" "), f1(F.col("page_height_mm")), F.lit('"'))
     style = F.lit("<style>circle{fill:none;stroke:#000;stroke-width:.28}text{font:2.2px sans-serif;text-anchor:middle;dominant-baseline:central}.no{text-anchor:end}.l{text-anchor:start}.r{text-anchor:end}path{fill:none;stroke:#000;stroke-width:.3}</style>")
-    svg = F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" '), size, F.lit(">"), style, F.col("marks"), _page_head(heading), F.col("body"), _page_foot(), F.lit("</svg>"))
-    return pages.join(marks, "layout_id").join(_let(layouts), "layout_id").select("layout_id", "page_index", svg.alias("svg"))
+    svg = F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" '), size, F.lit(">"), style, marks, _page_head(heading), body, _page_foot(), F.lit("</svg>"))
+    return printed_pages(layouts).withColumn("radius", radius).select("layout_id", "page_index", svg.alias("svg"))

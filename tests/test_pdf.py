@@ -106,6 +106,14 @@ def test_places_beyond_a_million_bytes_are_counted(spark):
     assert _report_counts(parts).collect() == [(6, 48_000, 15)]
 
 
+def test_printed_pages_need_no_exchange(spark):
+    """A page's bubbles used to be exploded, drawn, shuffled and gathered again."""
+    table = geometry.layout_table(spark, {"L": Layout.of(), "M": Layout.of({"num_questions": 130, "option_set": "ABCD"})})
+    for pages in (geometry.template_svg(table), pdf.template_pages(table)):
+        assert "Exchange" not in pages._jdf.queryExecution().executedPlan().toString()
+        assert pages.count() == sum(r.page_count for r in geometry.layout_metrics(table).collect())
+
+
 def test_no_pages_no_file(spark):
     none = spark.createDataFrame([], "doc_id string, page long, width double, height double, commands string")
     assert pdf.documents(none).count() == 0
