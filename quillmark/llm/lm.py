@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEYS, held_out, learned_from, materialize, row_keys, small_batches, table, texts_of
+from .common import KEYS, discard, held_out, learned_from, materialize, row_keys, small_batches, table, texts_of
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: A text's words and its end; no word contains a line end.
@@ -58,8 +58,8 @@ EPOCHS = 4
 CACHE_WORDS = 200_000
 PAD, START, STOP = 0, 1, 2
 RARE_BEGIN, RARE = CLASSES - 2, CLASSES - 1
-#: Windows scored at a time.
-BLOCK = 512
+#: Windows scored at a time, few enough that their arrays stay in a core's cache.
+BLOCK = 128
 
 
 @lru_cache(2)
@@ -252,12 +252,42 @@ def windows(classes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
 #: Distance of key j from the query of target i, and where it is causal.
 _DISTANCE = np.arange(HALF)[:, None] + HALF - np.arange(SPAN)[None, :]
 _CAUSAL = (_DISTANCE >= 0) & (_DISTANCE < SPAN)
+_PLACE = np.clip(_DISTANCE, 0, SPAN - 1)
 
 
 def _clip(x: np.ndarray) -> np.ndarray:
     return np.clip(x, -20, 20)
 
 
+class Room(dict):
+    """Arrays by name that are used again and again, so that blocks of windows ask for no new memory."""
+
+    def __call__(self, name: str, shape: tuple[int, ...], dtype: type = np.float32) -> np.ndarray:
+        size = int(np.prod(shape))
+        if name not in self or len(self[name]) < size:
+            self[name] = np.empty(size, dtype)
+        return self[name][:size].reshape(shape)
+
+
+def _weights(pair: np.ndarray, mask: np.ndarray, last: np.ndarray, ctx: np.ndarray, room: Room) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of the table of pairs (n, HALF, SPAN), and attention weights, not yet divided by their sums."""
+    shape, dtype = (len(ctx), HALF, SPAN), pair.dtype.type
+    cells = np.add((last * CLASSES)[:, :, None], ctx[:, None, :], out=room("cells", shape, np.int64))
+    weight = pair.ravel().take(cells, out=room("weight", shape, dtype), mode="clip")
+    weight *= mask
+    return cells, weight
+
+
+def _tables(net: Network, dtype: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exponentials of the logits of pairs and of places, masked ones 0, and values with a last column of ones, which sums the weights."""
+    pair = np.exp(_clip(net.query @ net.key.T)).astype(dtype, copy=False)
+    pair[:, PAD] = 0
+    mask = (np.exp(_clip(net.place))[_PLACE] * _CAUSAL).astype(dtype, copy=False)
+    values = np.ones((CLASSES, WIDTH + 1), dtype)
+    values[:, :WIDTH] = net.value
+    return pair, mask, values
+
+
 class Scorer:
     """Attention weights from tables of exponentials: masked positions weigh 0.
 
@@ -265,14 +295,10 @@ class Scorer:
     """
 
     def __init__(self, net: Network, begin: np.ndarray | None = None):
-        self.pair = np.exp(_clip(net.query @ net.key.T)).astype(np.float32)
-        self.pair[:, PAD] = 0
-        self.mask = np.where(_CAUSAL, np.exp(_clip(net.place[np.clip(_DISTANCE, 0, SPAN - 1)])), 0).astype(np.float32)
-        # A last column of ones sums the weights.
-        self.value = np.column_stack((net.value, np.ones(CLASSES))).astype(np.float32)
+        self.pair, self.mask, self.value = _tables(net, np.float32)
         self.own, self.out = (np.ascontiguousarray(x, np.float32) for x in (net.own, net.out))
         begin = np.zeros(CLASSES, bool) if begin is None else begin
-        self.sums = np.column_stack((np.ones(CLASSES), begin)).astype(np.float32)
+        self.sums, self.room = np.column_stack((np.ones(CLASSES), begin)).astype(np.float32), Room()
 
     def __call__(self, classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Natural log probability of each class given those before it in its sequence."""
@@ -280,60 +306,83 @@ class Scorer:
 
     def both(self, classes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``__call__``, and the log probability that a word, or the end, begins at each place."""
-        laid, flat = Layout.of(classes, sizes), self.pair.ravel()
+        laid, room = Layout.of(classes, sizes), self.room
         chance, start = np.empty((2, len(laid.rows), HALF), np.float32)
         for a in range(0, len(laid.rows), BLOCK):
             ctx, tgt = laid.block(a, a + BLOCK)
-            last = ctx[:, HALF:]
-            weight = flat.take((last * CLASSES)[:, :, None] + ctx[:, None, :])
-            weight *= self.mask
-            seen = (weight @ self.value.take(ctx, axis=0)).reshape(-1, WIDTH + 1)
-            mean = seen[:, :WIDTH] / (seen[:, WIDTH:] + 1e-9)
-            logits = mean @ self.out
-            logits += self.own.take(last.reshape(-1), axis=0)
+            last, n = ctx[:, HALF:], len(ctx)
+            _, weight = _weights(self.pair, self.mask, last, ctx, room)
+            value = self.value.take(ctx, axis=0, out=room("value", (n, SPAN, WIDTH + 1)), mode="clip")
+            seen = np.matmul(weight, value, out=room("seen", (n, HALF, WIDTH + 1))).reshape(-1, WIDTH + 1)
+            mean = np.divide(seen[:, :WIDTH], seen[:, WIDTH:] + np.float32(1e-9), out=room("mean", (n * HALF, WIDTH)))
+            logits = np.matmul(mean, self.out, out=room("logits", (n * HALF, CLASSES)))
+            logits += self.own.take(last.reshape(-1), axis=0, out=room("own", (n * HALF, CLASSES)), mode="clip")
             chosen = logits[np.arange(len(logits)), tgt.reshape(-1)]
             np.exp(logits, out=logits)
-            total, first = np.log(logits @ self.sums + 1e-30).T
+            total, first = np.log(logits @ self.sums + np.float32(1e-30)).T
             chance[a : a + BLOCK] = (chosen - total).reshape(-1, HALF)
             start[a : a + BLOCK] = (first - total).reshape(-1, HALF)
         at = laid.spots()
         return chance.ravel()[at], start.ravel()[at]
 
 
-def _by_class(classes: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sums of the rows of each class."""
-    flat = classes.ravel()
-    one = np.zeros((len(flat), CLASSES), rows.dtype)
-    one[np.arange(len(flat)), flat] = 1
-    return one.T @ rows.reshape(len(flat), -1)
-
-
-def _gradients(net: Network, ctx: np.ndarray, tgt: np.ndarray, at: np.ndarray) -> tuple[float, list[np.ndarray]]:
-    last = ctx[:, HALF:]
-    q, k, v = net.query[last], net.key[ctx], net.value[ctx]
-    logits = q @ k.transpose(0, 2, 1) + net.place[np.clip(_DISTANCE, 0, SPAN - 1)]
-    allowed = _CAUSAL & (ctx != PAD)[:, None, :]
-    e = np.exp(_clip(logits)) * allowed
-    att = e / (e.sum(axis=2, keepdims=True) + e.dtype.type(1e-9))
-    seen = att @ v
-    z = net.own[last] + seen @ net.out
-    z -= z.max(axis=2, keepdims=True)
-    p = np.exp(z)
-    p /= p.sum(axis=2, keepdims=True)
-    valid = at >= 0
-    n = max(1, int(valid.sum()))
-    right = np.take_along_axis(p, tgt[:, :, None], axis=2)
-    loss = -np.log(right[:, :, 0][valid] + 1e-12).sum() / n
-    np.put_along_axis(p, tgt[:, :, None], right - 1, axis=2)
-    p *= valid[:, :, None] / p.dtype.type(n)
-    d_out = seen.reshape(-1, WIDTH).T @ p.reshape(-1, CLASSES)
-    d_seen = p @ net.out.T
-    d_att = d_seen @ v.transpose(0, 2, 1)
-    d_log = att * (d_att - (d_att * att).sum(axis=2, keepdims=True))
-    d_own, d_q = _by_class(last, p), _by_class(last, d_log @ k)
-    d_k, d_v = _by_class(ctx, d_log.transpose(0, 2, 1) @ q), _by_class(ctx, att.transpose(0, 2, 1) @ d_seen)
-    d_place = np.bincount(np.clip(_DISTANCE, 0, SPAN - 1).ravel(), (d_log.sum(axis=0) * _CAUSAL).ravel(), SPAN).astype(p.dtype)
-    return loss, [d_q, d_k, d_v, d_place, d_own, d_out]
+def _ordered(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by class, the classes that occur, and where each begins in that order."""
+    order = np.argsort(classes.astype(np.uint8), kind="stable")
+    sizes = np.bincount(classes, minlength=CLASSES)
+    some = np.flatnonzero(sizes)
+    return order, some, (np.cumsum(sizes) - sizes)[some]
+
+
+#: The largest logit in training, so that exponentials stay finite.
+_MOST = 60
+
+
+def _gradients(net: Network, ctx: np.ndarray, tgt: np.ndarray, at: np.ndarray, room: Room | None = None) -> tuple[float, list[np.ndarray]]:
+    """The loss of a batch of windows and its slopes.
+
+    The attention's slopes come by pairs of classes. Places are in the order of
+    their last class where the next class's law is concerned, so that rows of
+    one class are summed as they stand.
+    """
+    room, dtype, windows = Room() if room is None else room, net.own.dtype.type, len(ctx)
+    rows, last = windows * HALF, ctx[:, HALF:]
+    pair, mask, values = _tables(net, dtype)
+    cells, att = _weights(pair, mask, last, ctx, room)
+    v = values.take(ctx, axis=0, out=room("value", (windows, SPAN, WIDTH + 1), dtype), mode="clip")
+    seen = np.matmul(att, v, out=room("seen", (windows, HALF, WIDTH + 1), dtype))
+    total = 1 / (seen[:, :, WIDTH:] + dtype(1e-9))
+    att *= total
+    mean = np.multiply(seen[:, :, :WIDTH], total, out=room("mean", (windows, HALF, WIDTH), dtype)).reshape(rows, WIDTH)
+    order, some, starts = _ordered(last.ravel())
+    mean, valid = mean.take(order, axis=0), at.ravel()[order] >= 0
+    p = np.matmul(mean, net.out, out=room("p", (rows, CLASSES), dtype))
+    p += net.own.take(last.ravel()[order], axis=0, out=room("own", (rows, CLASSES), dtype), mode="clip")
+    np.minimum(p, _MOST, out=p)
+    np.exp(p, out=p)
+    total = 1 / (p @ np.ones(CLASSES, dtype))
+    chosen, share = np.arange(0, rows * CLASSES, CLASSES) + tgt.ravel()[order], valid.astype(dtype)
+    flat, n = p.reshape(-1), max(1, int(valid.sum()))
+    loss = -(np.log(flat[chosen] * total + 1e-12) @ share) / n
+    share /= n
+    p *= (share * total)[:, None]
+    flat[chosen] -= share
+    d_own = np.zeros((CLASSES, CLASSES), dtype)
+    d_own[some] = np.add.reduceat(p, starts, axis=0)
+    slope = np.matmul(p, net.out.T, out=room("slope", (rows, WIDTH), dtype))
+    d_seen, common = room("d_seen", (rows, WIDTH), dtype), room("common", (rows,), dtype)
+    d_seen[order], common[order] = slope, (slope * mean) @ np.ones(WIDTH, dtype)
+    d_seen = d_seen.reshape(windows, HALF, WIDTH)
+    d_log = np.matmul(d_seen, v[:, :, :WIDTH].transpose(0, 2, 1), out=room("d_log", att.shape, dtype))
+    d_log -= common.reshape(windows, HALF, 1)
+    d_log *= att
+    d_pair = np.bincount(cells.ravel(), d_log.ravel(), CLASSES * CLASSES).reshape(CLASSES, CLASSES).astype(dtype)
+    d_place = np.bincount(_PLACE.ravel(), np.ones(windows, dtype) @ d_log.reshape(windows, -1), SPAN).astype(dtype)
+    of_key = np.matmul(att.transpose(0, 2, 1), d_seen, out=room("of_key", (windows, SPAN, WIDTH), dtype)).reshape(-1, WIDTH)
+    order, some, starts = _ordered(ctx.ravel())
+    d_value = np.zeros((CLASSES, WIDTH), dtype)
+    d_value[some] = np.add.reduceat(of_key.take(order, axis=0), starts, axis=0)
+    return loss, [d_pair @ net.key, d_pair.T @ net.query, d_value, d_place, d_own, mean.T @ p]
 
 
 def pair_counts(classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -343,38 +392,47 @@ def pair_counts(classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.bincount(before * CLASSES + classes, minlength=CLASSES * CLASSES).reshape(CLASSES, CLASSES)
 
 
+_SHAPES = [(CLASSES, WIDTH), (CLASSES, WIDTH), (CLASSES, WIDTH), (SPAN,), (CLASSES, CLASSES), (WIDTH, CLASSES)]
+
+
 @dataclass
 class Training:
-    """A network and the moments of Adam."""
+    """A network's weights, one after another, and the moments of Adam."""
 
-    net: Network
-    first: list[np.ndarray]
-    second: list[np.ndarray]
+    weights: np.ndarray
+    first: np.ndarray
+    second: np.ndarray
     step: float = 0.0
 
+    @property
+    def net(self) -> Network:
+        """The weights as the network's tables."""
+        ends = np.cumsum([int(np.prod(x)) for x in _SHAPES])
+        return Network(*(x.reshape(shape) for x, shape in zip(np.split(self.weights, ends[:-1]), _SHAPES, strict=True)))
+
     def vector(self) -> np.ndarray:
-        return np.concatenate([*(x.ravel() for x in (*self.net.parts(), *self.first, *self.second)), [self.step]])
+        return np.concatenate([self.weights, self.first, self.second, [self.step]])
 
     def set(self, vector: np.ndarray) -> None:
-        at = 0
-        for x in (*self.net.parts(), *self.first, *self.second):
-            x[...] = vector[at : at + x.size].reshape(x.shape)
-            at += x.size
-        self.step = float(vector[at])
+        n = len(self.weights)
+        for i, x in enumerate((self.weights, self.first, self.second)):
+            x[:] = vector[i * n : (i + 1) * n]
+        self.step = float(vector[-1])
 
     def epoch(self, classes: np.ndarray, sizes: np.ndarray, number: int, epochs: int, rng: np.random.Generator) -> int:
         """Adam over shuffled windows, whose number is returned."""
         context, target, spot = windows(classes, sizes)
         order, batch = rng.permutation(len(context)), 64
+        net, room, x, y = self.net, Room(), self.first, self.second
         for a in range(0, len(order), batch):
             some = order[a : a + batch]
-            _, grads = _gradients(self.net, context[some], target[some], spot[some])
+            _, grads = _gradients(net, context[some], target[some], spot[some], room)
+            g = np.concatenate([d.ravel() for d in grads])
             self.step += 1
             lr = 0.01 * (1 - (number + a / len(order)) / epochs)
-            for p, g, x, y in zip(self.net.parts(), grads, self.first, self.second, strict=True):
-                x += 0.1 * (g - x)
-                y += 0.01 * (g * g - y)
-                p -= lr * (x / (1 - 0.9**self.step)) / (np.sqrt(y / (1 - 0.99**self.step)) + 1e-8)
+            x += 0.1 * (g - x)
+            y += 0.01 * (g * g - y)
+            self.weights -= lr / (1 - 0.9**self.step) * x / (np.sqrt(y / (1 - 0.99**self.step)) + 1e-8)
         return len(order)
 
 
@@ -387,8 +445,8 @@ def new_training(pairs: np.ndarray, seed: int = 5, dtype: type = np.float64) ->
         net.own[:] = np.log((pairs + 0.1) / (pairs + 0.1).sum(axis=1, keepdims=True))
     else:
         net.out[:] = 0
-    net = Network(*(p.astype(dtype) for p in net.parts()))
-    return Training(net, *([np.zeros_like(p) for p in net.parts()] for _ in range(2)))
+    weights = np.concatenate([p.ravel() for p in net.parts()]).astype(dtype)
+    return Training(weights, *(np.zeros_like(weights) for _ in range(2)))
 
 
 def train_network(classes: np.ndarray, sizes: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> Network:
@@ -524,7 +582,7 @@ class Words(Subwords):
         self.counts = np.concatenate((self.counts, np.fromiter((self.head.get(w, -1) for w in words), np.int64, len(words))))
 
     def score(self, texts: pa.Array | list[bytes]) -> dict[str, list | np.ndarray]:
-        """By text: n_tokens, head_known, head_log, score of the head's words; by token: its number among ``distinct``, network and outside (the head)."""
+        """By text: n_tokens, head_known, head_log; by token: its number among ``distinct``, network, outside (the head) and counts."""
         tokens = Tokens.of(texts)
         words, sizes = self.words(tokens), tokens.sizes
         starts, counts, lengths = np.cumsum(sizes) - sizes, self.counts[words], self.lengths[words]
@@ -538,10 +596,9 @@ class Words(Subwords):
         after[starts + sizes - 1] = 0
         network = (network + after) / np.log(10)
         logs = np.where(in_head, np.log10(np.maximum(counts, 0) + 1.0), 0.0)
-        mixed = mixture(self.model.share, network, logs + self.floor)
         sums = lambda x: np.add.reduceat(x, starts)
         return {
-            "n_tokens": sizes, "head_known": sums(in_head.astype(np.int64)), "head_log": sums(logs), "score": sums(np.where(in_head, mixed, 0.0)),
+            "n_tokens": sizes, "head_known": sums(in_head.astype(np.int64)), "head_log": sums(logs),
             "distinct": tokens.distinct, "ids": tokens.ids, "network": network, "outside": ~in_head, "counts": counts, "starts": starts,
         }
 
@@ -552,22 +609,79 @@ def mixture(share: float, network: np.ndarray, unigram: np.ndarray) -> np.ndarra
     return np.logaddexp(network * ten + np.log1p(-share), unigram * ten + np.log(share)) / ten
 
 
-def _score(model: Model, head: dict[bytes, int], n: int, types: int):
+#: Nats beyond which gaps are alike to the mixture, and how many bins of ``GAP_BIN`` lead there.
+MOST_GAP = 60
+_BINS = round(MOST_GAP / GAP_BIN)
+
+_NETWORKED = "row long, learns boolean, n_tokens long, head_known long, head_log double, gaps array<float>, tail array<binary>, nets array<double>, own array<long>, bins array<int>, k array<long>"
+
+
+def _networked(model: Model, head: dict[bytes, int], n: int, types: int):
+    def lists(at: np.ndarray, starts: np.ndarray, *values: pa.Array | np.ndarray) -> list[pa.ListArray]:
+        """By text what stands at the tokens ``at``."""
+        offsets = pa.array(np.append(np.searchsorted(at, starts), len(at)).astype(np.int32))
+        return [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in values]
+
     def run(batches):
         words = Words(model, head, n, types)
-        row = TaskContext.get().partitionId() << 40
+        row, floor = TaskContext.get().partitionId() << 40, np.log(n + types + 1)
         for b in batches:
             if not b.num_rows:
                 continue
             s = words.score(b.column(1))
-            ids = pa.array(np.arange(row, row + b.num_rows))
+            inside, outside, starts = np.flatnonzero(~s["outside"]), np.flatnonzero(s["outside"]), s["starts"]
+            # How often the text holds the word.
+            text = np.repeat(np.arange(b.num_rows), s["n_tokens"])
+            pairs = pa.array(text * len(s["distinct"]) + s["ids"]).dictionary_encode().indices.to_numpy()
+            own = np.bincount(pairs)[pairs]
+            # The gap between both log probabilities: with all counts, and in bins with those of the other texts.
+            net, counts = s["network"][inside] * np.log(10) + floor, s["counts"][inside]
+            (gaps,) = lists(inside, starts, (net - np.log(counts + 1.0)).astype(np.float32))
+            learns = b.column(2).to_numpy(zero_copy_only=False)
+            mine = learns[text[inside]]
+            other = net[mine] - np.log(np.maximum(counts - own[inside], 0)[mine] + 1.0)
+            k = np.bincount(np.rint(np.clip(other, -MOST_GAP, MOST_GAP) / GAP_BIN).astype(np.int64) + _BINS)
+            bins = np.flatnonzero(k)
+            tail = lists(outside, starts, pa.array(s["distinct"], pa.binary()).take(pa.array(s["ids"][outside])), s["network"][outside], own[outside])
+            # The first row has the bins of its whole batch.
+            binned = lists(np.zeros(len(bins), np.int64), np.arange(b.num_rows), (bins - _BINS).astype(np.int32), k[bins])
+            named = [pa.array(np.arange(row, row + b.num_rows)), b.column(2), *(pa.array(s[x]) for x in ("n_tokens", "head_known", "head_log"))]
             row += b.num_rows
-            outside = np.flatnonzero(s["outside"])
-            offsets = pa.array(np.append(np.searchsorted(outside, s["starts"]), len(outside)).astype(np.int32))
-            tail = pa.ListArray.from_arrays(offsets, pa.array(s["distinct"], pa.binary()).take(pa.array(s["ids"][outside])))
-            nets = pa.ListArray.from_arrays(offsets, pa.array(s["network"][outside]))
-            named = [pa.array(s[k]) for k in ("n_tokens", "head_known", "head_log", "score")]
-            yield pa.RecordBatch.from_arrays([b.column(0), ids, *named, tail, nets], names=["doc_id", "row", "n_tokens", "head_known", "head_log", "score", "tail", "nets"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *named, gaps, *tail, *binned], names=["doc_id", *(x.split()[0] for x in _NETWORKED.split(", "))])
+
+    return run
+
+
+def networked(docs: DataFrame, learns: Column, model: Model, head: dict[bytes, int], n: int, types: int) -> DataFrame:
+    """What ``docs`` need of the network, stored: all that remains to be known is the share of the word counts.
+
+    By row: the gaps between both log probabilities of its words of ``head``;
+    tail, nets and own of its other words, whose counts are elsewhere. Bins
+    count the gaps of the words of ``head`` of rows that ``learns`` is true of.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    small_batches(docs.sparkSession)
+    part = docs.select("doc_id", F.col("text").cast("binary").alias("_qm_b"), F.coalesce(learns, F.lit(False)).alias("learns"))
+    return materialize(part.mapInArrow(_networked(model, head, n, types), f"doc_id {kind}, {_NETWORKED}"), "networked")
+
+
+def counted_tail(part: DataFrame, counts: DataFrame) -> DataFrame:
+    """(row, learns, net, own, c) of each token outside the head, stored; c is null for a word never counted."""
+    tail = part.select("row", "learns", F.explode(F.arrays_zip(F.col("tail").alias("word"), F.col("nets").alias("net"), "own")).alias("t")).select("row", "learns", "t.*")
+    return materialize(tail.join(counts, "word", "left").drop("word"), "tail")
+
+
+def _mixed(share: float):
+    """Sums over the gaps of each row: what the mixture adds to the word counts' log10 probability."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                gaps = b.column(1)
+                added = mixture(share, gaps.flatten().to_numpy(zero_copy_only=False).astype(np.float64) / np.log(10), 0.0)
+                ends = np.cumsum(pc.list_value_length(gaps).to_numpy(zero_copy_only=False))
+                before = np.bincount(np.repeat(np.arange(b.num_rows), np.diff(ends, prepend=0)), added, b.num_rows).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(before)], names=[*(b.schema.names[i] for i in (0, *range(2, b.num_columns))), "added"])
 
     return run
 
@@ -719,80 +833,66 @@ def train_attention(texts: DataFrame, ids: DataFrame, class_of: np.ndarray, pair
     return training.net
 
 
-def word_share(training: DataFrame, model: Model, counts: DataFrame, head: dict[bytes, int], n: int, types: int) -> float:
-    """The likeliest share of the word counts on all texts, which are among the counted ones: each text's words are scored by the counts of the others.
-
-    Tasks count the words of ``head`` by gap between both log probabilities; the others' counts come by a join.
-    """
+def word_share(part: DataFrame, tail: DataFrame, n: int, types: int) -> float:
+    """The likeliest share of the word counts on all texts that were learned from, of ``networked`` and ``counted_tail``: each text's words are scored by the counts of the others."""
     floor, ten = float(np.log(n + types + 1)), float(np.log(10))
-    in_bins = lambda x: np.rint(np.clip(x, -60, 60) / GAP_BIN).astype(np.int32)
-
-    def run(batches):
-        words = Words(model, head, n, types)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            s = words.score(b.column(0))
-            text = np.repeat(np.arange(len(s["n_tokens"])), s["n_tokens"])
-            _, at, own = np.unique(text * len(s["distinct"]) + s["ids"], return_inverse=True, return_counts=True)
-            own, net, out = own[at], s["network"] * ten + floor, s["outside"]
-            bins, k = np.unique(in_bins(net[~out] - np.log(np.maximum(s["counts"][~out] - own[~out], 0) + 1)), return_counts=True)
-            word = pa.concat_arrays([pa.nulls(len(bins), pa.binary()), pa.array(s["distinct"], pa.binary()).take(pa.array(s["ids"][out]))])
-            columns = [np.append(np.zeros(len(bins), np.int64), own[out]), np.append(bins * GAP_BIN, net[out]), np.append(k, np.ones(int(out.sum()), np.int64))]
-            yield pa.RecordBatch.from_arrays([word, *map(pa.array, columns)], names=["word", "own", "gap", "k"])
-
-    small_batches(training.sparkSession)
-    seen = training.where("text is not null").select(F.col("text").cast("binary").alias("_qm_b")).mapInArrow(run, "word binary, own long, gap double, k long")
-    seen = materialize(seen, "tuned")
-    rare = seen.where("word is not null").join(counts, "word").select((F.col("gap") - F.log(F.greatest(F.col("c") - F.col("own"), F.lit(0)) + 1)).alias("gap"), "k")
-    every = seen.where("word is null").select("gap", "k").unionByName(rare)
-    rows = every.groupBy(F.round(F.least(F.greatest("gap", F.lit(-60.0)), F.lit(60.0)) / GAP_BIN).cast("int").alias("gap")).agg(F.sum("k").alias("k")).toArrow()
+    gap = F.col("net") * ten + floor - F.log(F.greatest(F.col("c") - F.col("own"), F.lit(0)) + 1)
+    most = F.lit(float(MOST_GAP))
+    rare = tail.where("learns").select(F.round(F.least(F.greatest(gap, -most), most) / GAP_BIN).cast("int").alias("bins"), F.lit(1).cast("long").alias("k"))
+    every = part.select(F.explode(F.arrays_zip("bins", "k")).alias("b")).select("b.*").unionByName(rare)
+    rows = every.groupBy("bins").agg(F.sum("k").alias("k")).toArrow()
     share = 0.5
     if rows.num_rows:
-        gaps, weight = rows["gap"].to_numpy() * GAP_BIN, rows["k"].to_numpy()
+        gaps, weight = rows["bins"].to_numpy() * GAP_BIN, rows["k"].to_numpy()
         for _ in range(30):
             share = float(np.clip(np.average(share / (share + (1 - share) * np.exp(gaps)), weights=weight), 1e-3, 1 - 1e-3))
     return share
 
 
-def fit(training: DataFrame, counts: DataFrame, n: int, types: int, rows: int, path: str = TOKENIZER, head: dict[bytes, int] | None = None) -> Model:
-    """Learn from the ``rows`` of ``training``, whose ``counts`` are of ``n`` words of so many ``types``."""
+def trained(training: DataFrame, counts: DataFrame, rows: int, path: str = TOKENIZER) -> Model:
+    """A model whose mixture is not yet set, of the ``rows`` of ``training`` and their ``counts``."""
     count = subword_counts(counts, path)
     ids = materialize(coded(training, path), "coded")
     class_of, emit = subword_classes(count, neighbours(ids, own_classes(count), path), begins(path))
     (start,) = shares(training, rows)
-    model = Model(train_attention(start, ids, class_of, class_pairs(ids, class_of, path), path), class_of, emit, 0.5, path)
-    model.share = word_share(training, model, counts, head_counts(counts) if head is None else head, n, types)
+    net = train_attention(start, ids, class_of, class_pairs(ids, class_of, path), path)
+    discard(ids)
+    return Model(net, class_of, emit, 0.5, path)
+
+
+def fit(training: DataFrame, counts: DataFrame, n: int, types: int, rows: int, path: str = TOKENIZER, head: dict[bytes, int] | None = None) -> Model:
+    """Learn from the ``rows`` of ``training``, whose ``counts`` are of ``n`` words of so many ``types``."""
+    model = trained(training, counts, rows, path)
+    part = networked(training, F.col("text").isNotNull(), model, head_counts(counts) if head is None else head, n, types)
+    model.share = word_share(part, counted_tail(part, counts), n, types)
     return model
 
 
 def scored(docs: DataFrame, k: int = 7, r: int = 2, head_words: int = HEAD_WORDS, path: str = TOKENIZER) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row; learns from the rows whose crc32(doc_id) mod k is not r.
 
-    A null text is empty: its end is its only token.
+    A null text is empty: its end is its only token. The network passes once
+    over all rows; the mixture is set on what it stored, and then made of it.
     """
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     training = docs.where(learned_from(k, r))
     counts = materialize(word_counts(training), "counts")
     ends = F.sum(F.when(F.col("word") == F.lit(END), F.col("c")))
     n, types, rows = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(ends, F.lit(0))).first()
-    head = head_counts(counts, head_words)
-    model = fit(training, counts, n, types, rows, path, head)
-    small_batches(spark)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    part = docs.select("doc_id", F.col("text").cast("binary").alias("_qm_b")).mapInArrow(
-        _score(model, head, n, types), f"doc_id {kind}, row long, n_tokens long, head_known long, head_log double, score double, tail array<binary>, nets array<double>"
-    )
-    part = materialize(part, "scored")
+    model = trained(training, counts, rows, path)
+    part = networked(docs, learned_from(k, r) & F.col("text").isNotNull(), model, head_counts(counts, head_words), n, types)
+    tail = counted_tail(part, counts)
+    model.share = word_share(part, tail, n, types)
     floor = float(np.log10(n + types + 1))
-    tail = part.select("row", F.explode(F.arrays_zip(F.col("tail").alias("word"), F.col("nets").alias("net"))).alias("t"))
-    tail = tail.select("row", "t.word", "t.net").join(counts, "word", "left")
     log = F.log10(F.coalesce("c", F.lit(0)) + 1)
     tail = tail.groupBy("row").agg(F.count("c").alias("more"), F.sum(log).alias("log"), F.sum(mixed_column(model.share, F.col("net"), log - floor)).alias("mixed"))
-    out = part.drop("tail", "nets").join(tail, "row", "left")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    small_batches(docs.sparkSession)
+    part = part.select("doc_id", "gaps", "row", "n_tokens", "head_known", "head_log").mapInArrow(_mixed(model.share), f"doc_id {kind}, row long, n_tokens long, head_known long, head_log double, added double")
+    out = part.join(tail, "row", "left")
     base = F.col("head_log") + F.coalesce("log", F.lit(0.0)) - F.col("n_tokens") * F.lit(floor)
-    return out.select("doc_id", "n_tokens", (F.col("head_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("mixed", F.lit(0.0))).alias("score"))
+    score = F.col("head_log") - F.col("head_known") * F.lit(floor) + F.col("added") + F.coalesce("mixed", F.lit(0.0))
+    return out.select("doc_id", "n_tokens", (F.col("head_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
 
 
 def op4_lm(spark, sf_dir: str) -> DataFrame:

@@ -451,6 +451,33 @@ def test_lm_mixture_and_attention_see_every_text(spark):
     assert np.abs(net.out - lm.new_training(pairs).net.out).max() > 1e-3
 
 
+def test_lm_network_passes_once_over_each_text(spark, monkeypatch):
+    """What sets the mixture also makes the scores: the network sees no text twice."""
+    texts = ["the house of the cat is a house", "a dog", "zebra crossing " * 30, ""] * 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    passes, networked = [], lm.networked
+    monkeypatch.setattr(lm, "networked", lambda *args: passes.append(networked(*args)) or passes[-1])
+    got = lm.scored(docs)
+    assert got.count() == len(texts) == sum(x.count() for x in passes)
+    held = got.join(passes[0].select("doc_id", "gaps", "tail"), "doc_id").selectExpr("bool_and(size(gaps) + size(tail) = n_tokens)").first()
+    assert held[0]
+
+
+def test_lm_slopes_in_single_precision_are_those_in_double():
+    """A step in the arrays of the step before, of more windows, gives what it gives alone."""
+    rng = np.random.default_rng(4)
+    sizes = np.array([7, 300, 1, 64])
+    classes = rng.integers(3, lm.CLASSES, sizes.sum())
+    net, room = lm.train_network(classes, sizes, epochs=1), lm.Room()
+    some = lm.Network(*(x.astype(np.float32) for x in net.parts()))
+    ctx, tgt, at = lm.windows(classes, sizes)
+    for n in (len(ctx), 3):
+        loss, want = lm._gradients(net, ctx[:n], tgt[:n], at[:n])
+        near, got = lm._gradients(some, ctx[:n], tgt[:n], at[:n], room)
+        assert np.isclose(loss, near, rtol=1e-5)
+        assert all(g.dtype == np.float32 and np.allclose(w, g, atol=1e-5) for w, g in zip(want, got, strict=True))
+
+
 def slow_log10(model: lm.Model, words: list[bytes]) -> list[float]:
     """The network's log10 probability of each word, and of the end, one id after another in plain loops."""
     import math
