@@ -137,9 +137,9 @@ def pixels_of(height: int, width: int, channels: int, data: bytes) -> np.ndarray
     return im.to_grey(rgb)
 
 
-def spread(rows: DataFrame, n: int, by: str = "sheet_id") -> DataFrame:
-    """``n`` rows dealt over so many tasks that each has ``IMAGES_PER_TASK`` or fewer, and every core some; adaptive planning doesn't join them again."""
-    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // IMAGES_PER_TASK))
+def spread(rows: DataFrame, n: int, by: str = "sheet_id", each: int = IMAGES_PER_TASK) -> DataFrame:
+    """``n`` rows dealt over so many tasks that each has ``each`` of them, about, and every core some; adaptive planning doesn't join them again."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // each))
     return rows.repartition(tasks, by)
 
 

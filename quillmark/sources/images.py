@@ -15,6 +15,8 @@ from quillmark.operators.scanning import BAD_IMAGE, NO_IMAGE, colours_of
 
 #: Longest side and quality of the stored image and of its thumbnail.
 FULL, THUMB = (1600, 90), (220, 70)
+#: Bytes of files that leave a task at a time, about.
+FILE_BYTES = 8 << 20
 #: Leading bytes of image files in hexadecimal, and their kind.
 SIGNATURES = {"FFD8FF": "image/jpeg", "89504E470D0A1A0A": "image/png", "474946383761": "image/gif", "474946383961": "image/gif", "424D": "image/bmp", "49492A00": "image/tiff", "4D4D002A": "image/tiff"}
 
@@ -117,23 +119,30 @@ def prepared(images: DataFrame) -> DataFrame:
     A row without an image or with bytes that are none has an error instead.
     """
 
+    def one(s) -> tuple:
+        if s.data is None or pd.isna(s.height):
+            return s.sheet_id, None, None, NO_IMAGE
+        if s.height < 1 or s.width < 1:
+            return s.sheet_id, None, None, BAD_IMAGE
+        try:
+            pixels = colours_of(int(s.height), int(s.width), int(s.n_channels), s.data)
+        except (ValueError, TypeError, IndexError) as e:
+            return s.sheet_id, None, None, f"{BAD_IMAGE}: {type(e).__name__}"
+        pixels = upright(pixels, s.orientation)
+        return s.sheet_id, *(jpeg.encode(imaging.shrunk(pixels, side), quality) for side, quality in (FULL, THUMB)), None
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = lambda made: pd.DataFrame(made, columns=["sheet_id", "full", "thumb", "error"])
         for pdf in batches:
+            made, held = [], 0
             for s in pdf.itertuples(index=False):
-                files, error = [None, None], None
-                if s.data is None or pd.isna(s.height):
-                    error = NO_IMAGE
-                elif s.height < 1 or s.width < 1:
-                    error = BAD_IMAGE
-                else:
-                    try:
-                        pixels = colours_of(int(s.height), int(s.width), int(s.n_channels), s.data)
-                    except (ValueError, TypeError, IndexError) as e:
-                        error = f"{BAD_IMAGE}: {type(e).__name__}"
-                    else:
-                        pixels = upright(pixels, s.orientation)
-                        files = [jpeg.encode(imaging.shrunk(pixels, side), quality) for side, quality in (FULL, THUMB)]
-                yield pd.DataFrame([(s.sheet_id, *files, error)], columns=["sheet_id", "full", "thumb", "error"])
+                made.append(one(s))
+                held += sum(len(x) for x in made[-1][1:3] if x)
+                if held >= FILE_BYTES:
+                    yield frame(made)
+                    made, held = [], 0
+            if made:
+                yield frame(made)
 
     held = F.coalesce("orientation", F.lit(1)) if "orientation" in images.columns else F.lit(1)
     return images.select("sheet_id", "height", "width", "n_channels", "data", held.cast("int").alias("orientation")).mapInPandas(run, "sheet_id string, full binary, thumb binary, error string")

@@ -105,3 +105,16 @@ def test_intake_keeps_files_without_a_type_and_counts_what_is_no_image(spark):
     rows = [("a", "", exif(3, ">")), ("b", None, b"\x89PNG\r\n\x1a\n..."), ("c", "text/html", b"\x89PNG\r\n\x1a\n"), ("d", "image/png", b"<html>"), ("e", "image/x", b""), ("f", "image/webp", b"RIFF1234WEBPVP8 "), ("g", "image/gif", None)]
     got = {r.path: (r.kind, r.orientation, r.accepted) for r in images.taken_in(spark.createDataFrame(rows, "path string, mime string, content binary")).collect()}
     assert got == {"a": ("image/jpeg", 3, True), "b": ("image/png", 1, True), "d": (None, 1, False), "e": (None, 1, False), "f": ("image/webp", 1, True), "g": (None, 1, False)}
+
+
+def test_many_small_images_are_few_tasks_and_come_back_in_batches(spark):
+    from quillmark.operators import scanning
+
+    rows = [(f"s{i}", *((8, 8, 1, bytes([i % 251]) * 64) if i % 9 else (-1, -1, -1, b""))) for i in range(3000)]
+    dealt = scanning.spread(spark.createDataFrame(rows, "sheet_id string, height int, width int, n_channels int, data binary"), len(rows), each=500)
+    assert dealt.rdd.getNumPartitions() == max(6, spark.sparkContext.defaultParallelism)
+    got = {r.sheet_id: r for r in images.prepared(dealt).collect()}
+    assert len(got) == len(rows)
+    for name, height, _, _, data in rows[::37]:
+        want = jpeg.encode(np.frombuffer(data, np.uint8).reshape(8, 8), 90) if height > 0 else None
+        assert (got[name].full and bytes(got[name].full)) == want and (got[name].error is None) == (height > 0)
