@@ -18,6 +18,8 @@ appended sheet changes nothing, and null kinds, targets or items neither.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,14 @@ SHEET_KINDS = ("rename", "page", "remove", "append")
 #: Edits of one cell that fold at a time.
 FOLD = 4096
 
+#: What keeps a table that is read several times, under a name.
+Keep = Callable[[DataFrame, str], DataFrame]
+
+
+def _anew(df: DataFrame, name: str) -> DataFrame:
+    """Keeps nothing: each use computes the table."""
+    return df
+
 
 def effects(log: DataFrame) -> DataFrame:
     """(target, item_no, seq, x, found, other): what the log's edits do to a cell: ``found`` where it holds x, else ``other``."""
@@ -108,21 +118,22 @@ def replayed_sheets(sheets: DataFrame, log: DataFrame, members: DataFrame) -> Da
     )
 
 
-def replayed_responses(responses: DataFrame, log: DataFrame, members: DataFrame, alive: DataFrame) -> DataFrame:
+def replayed_responses(responses: DataFrame, log: DataFrame, members: DataFrame, alive: DataFrame, keep: Keep = _anew) -> DataFrame:
     """``responses`` (sheet_id, item_no, response) of the sheets that are ``alive`` (sheet_id, born) after the log.
 
     Edits before a sheet's last append don't count, nor what it held then.
+    ``keep`` gets the edits that count and the new answers, which are read several times.
     """
     rows = responses.select(F.col("sheet_id").cast("string").alias("sheet_id"), F.col("item_no").cast("int").alias("item_no"), "response")
     rows = rows.join(alive.where("born is null").select("sheet_id"), "sheet_id", "left_semi")
     members = members.select("participant_id", F.col("sheet_id").cast("string").alias("sheet_id"), "sheet_ord").join(alive.where("born is null").select("sheet_id"), "sheet_id", "left_semi")
     people = members.select(F.col("participant_id").alias("target"), F.lit(None).cast("long").alias("born")).distinct()
     people = people.unionByName(alive.where("born is not null").select(F.col("sheet_id").alias("target"), "born"))
-    edits = effects(log).join(people, "target").where("born is null or seq > born").drop("born")
+    edits = keep(effects(log).join(people, "target").where("born is null or seq > born").drop("born"), "edits")
     done = folded(edits)
     now = merging.merged_responses(rows, members).select(F.col("participant_id").alias("target"), "item_no", F.col("response").alias("now"))
     f = F.struct("x", "found", "other")
-    new = done.join(now, ["target", "item_no"], "left").select("target", "item_no", after(f, F.col("now")).alias("response"))
+    new = keep(done.join(now, ["target", "item_no"], "left").select("target", "item_no", after(f, F.col("now")).alias("response")), "new")
     # Every sheet of the participant gives the answer up, and its own takes the new one.
     touched = new.join(members.select(F.col("participant_id").alias("target"), "sheet_id"), "target").select("sheet_id", "item_no", F.lit(True).alias("_qm_touched"))
     kept = rows.join(touched, ["sheet_id", "item_no"], "left")
@@ -132,13 +143,15 @@ def replayed_responses(responses: DataFrame, log: DataFrame, members: DataFrame,
     return kept.unionByName(new.select(F.col("target").alias("sheet_id"), "item_no", "response"))
 
 
-def replayed(sheets: DataFrame, responses: DataFrame, log: DataFrame, merge: bool = False) -> tuple[DataFrame, DataFrame]:
+def replayed(sheets: DataFrame, responses: DataFrame, log: DataFrame, merge: bool = False, keep: Keep = _anew) -> tuple[DataFrame, DataFrame]:
     """Sheets and responses after the log; with ``merge`` sheets of equal names are one participant, as they are before the log.
 
+    ``keep`` stores tables that are read several times, so that they are computed once.
+
     The part of a log up to some seq may be replayed and stored, and the rest
     on what was stored: the result is the same, except that with ``merge`` the
     participants are those of the stored sheets.
     """
-    members = merging.memberships(sheets, merge)
-    kept = replayed_sheets(sheets, log, members)
-    return kept.drop("born"), replayed_responses(responses, log, members, kept)
+    members = keep(merging.memberships(sheets, merge), "members")
+    kept = keep(replayed_sheets(sheets, log, members), "alive")
+    return kept.drop("born"), replayed_responses(responses, log, members, kept, keep)

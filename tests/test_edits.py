@@ -120,3 +120,17 @@ def test_versions_outlive_a_failed_write_and_refuse_a_stale_one(spark, tmp_path)
     assert v.read("t", 1).count() == 3
     v.remove_before(5)
     assert v.read("t").count() == 3 and not (tmp_path / "v" / "v00000001").exists()
+
+
+def test_what_a_replay_reads_several_times_may_be_stored(spark, base, tmp_path):
+    sheets, responses, s, r = base
+    log = made(random.Random(5), 80)
+    kept = []
+
+    def keep(df, name):
+        kept.append(name)
+        df.write.parquet(str(tmp_path / name))
+        return spark.read.schema(df.schema).parquet(str(tmp_path / name))
+
+    assert state(*edits.replayed(s, r, spark.createDataFrame(log, LOG), keep=keep)) == plain(sheets, responses, log)
+    assert kept == ["members", "alive", "edits", "new"]
