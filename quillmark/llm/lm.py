@@ -26,12 +26,15 @@ one, and with nothing to learn from all words are equally unlikely.
 from __future__ import annotations
 
 import base64
+import math
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from numpy.lib.stride_tricks import as_strided
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +48,8 @@ END = b"\n"
 HEAD_WORDS = 200_000
 #: Share of the training documents on which the attention starts, before it passes over all, and the least number of texts.
 TRAIN_SHARE, LEAST_TEXTS = 1 / 256, 500
+#: Texts of an Arrow batch whose words are counted.
+COUNT_ROWS = 4096
 #: Texts of one training task.
 TASK_TEXTS = 500
 #: Nats in a bin of the histogram that sets the mixture.
@@ -54,8 +59,6 @@ CLASSES, OWN_CLASSES, BEGIN_GROUPS = 64, 40, 10
 WIDTH, SPAN = 16, 32
 HALF = SPAN // 2
 EPOCHS = 4
-#: Distinct words whose subwords a task keeps.
-CACHE_WORDS = 200_000
 PAD, START, STOP = 0, 1, 2
 RARE_BEGIN, RARE = CLASSES - 2, CLASSES - 1
 #: Windows scored at a time, few enough that their arrays stay in a core's cache.
@@ -103,6 +106,19 @@ def subwords(words: list[bytes], path: str = TOKENIZER) -> tuple[np.ndarray, np.
     return ids, np.diff(first, append=len(ids))
 
 
+def split_words(texts: pa.Array | list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words of all texts, one after another, and the number of each text's."""
+    texts = pa.array(texts, pa.binary()) if isinstance(texts, list) else texts
+    lower = pc.ascii_lower(pc.fill_null(pc.cast(texts, pa.string(), safe=False), ""))
+    split = pc.ascii_split_whitespace(lower)
+    words = split.flatten().cast(pa.binary())
+    # White space at a text's ends leaves empty words.
+    real = pc.greater(pc.binary_length(words), 0)
+    ends = np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False))
+    before = np.concatenate(([0], np.cumsum(real.to_numpy(zero_copy_only=False))))
+    return words.filter(real).dictionary_encode(), np.diff(before[ends], prepend=0)
+
+
 @dataclass
 class Tokens:
     """Tokens of several texts: the distinct ones, with the end of a text first, and their numbers in order."""
@@ -113,46 +129,27 @@ class Tokens:
 
     @classmethod
     def of(cls, texts: pa.Array | list[bytes]) -> Tokens:
-        texts = pa.array(texts, pa.binary()) if isinstance(texts, list) else texts
-        lower = pc.ascii_lower(pc.fill_null(pc.cast(texts, pa.string(), safe=False), ""))
-        split = pc.ascii_split_whitespace(lower)
-        words = split.flatten().cast(pa.binary())
-        # White space at a text's ends leaves empty words.
-        real = pc.greater(pc.binary_length(words), 0)
-        ends = np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False))
-        before = np.concatenate(([0], np.cumsum(real.to_numpy(zero_copy_only=False))))
-        sizes = np.diff(before[ends], prepend=0)
-        coded = words.filter(real).dictionary_encode()
+        coded, sizes = split_words(texts)
         ids = np.zeros(len(coded) + len(sizes), np.int64)
         ids[np.arange(len(coded)) + np.repeat(np.arange(len(sizes)), sizes)] = coded.indices.to_numpy() + 1
         return cls([END, *coded.dictionary.to_numpy(zero_copy_only=False).tolist()], ids, sizes + 1)
 
 
-class Numbers(dict):
-    """Numbers of words in the order in which they are first asked for, those of ``fresh`` since it was last emptied."""
-
-    def __init__(self):
-        self.fresh: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        self.fresh.append(word)
-        return n
-
-
 # ---- word counts -------------------------------------------------------------
 
 
 def _count(batches):
     for b in batches:
         if b.num_rows:
-            t = Tokens.of(b.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(t.distinct, pa.binary()), pa.array(np.bincount(t.ids, minlength=len(t.distinct)))], names=["word", "c"])
+            coded, sizes = split_words(b.column(0))
+            c = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
+            words = pa.concat_arrays([coded.dictionary, pa.array([END], pa.binary())])
+            yield pa.RecordBatch.from_arrays([words, pa.array(np.append(c, len(sizes)))], names=["word", "c"])
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word binary, c) over all rows of ``docs``, the end of each text among the words."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, COUNT_ROWS)
     part = docs.select(F.col("text").cast("binary").alias("_qm_b")).mapInArrow(_count, "word binary, c long")
     return part.groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -230,6 +227,11 @@ class Layout:
         at = self.rows[a:b, None] * HALF
         return self.flat[at + np.arange(SPAN)].astype(np.int64), self.flat[at + (HALF + 1 + np.arange(HALF))].astype(np.int64)
 
+    def places(self) -> np.ndarray:
+        """Of each class where the half that scores it would have it, were a window to begin at each half."""
+        halves = -(-self.sizes // HALF) + 2
+        return np.arange(int(self.sizes.sum())) + np.repeat((np.cumsum(halves) - halves) * HALF - (np.cumsum(self.sizes) - self.sizes), self.sizes)
+
     def spots(self) -> np.ndarray:
         """Of each class its place among all windows' scored ones."""
         return np.arange(int(self.sizes.sum())) + np.repeat(self.firsts - (np.cumsum(self.sizes) - self.sizes), self.sizes)
@@ -255,37 +257,32 @@ _CAUSAL = (_DISTANCE >= 0) & (_DISTANCE < SPAN)
 _PLACE = np.clip(_DISTANCE, 0, SPAN - 1)
 
 
-def _clip(x: np.ndarray) -> np.ndarray:
-    return np.clip(x, -20, 20)
-
-
 class Room(dict):
     """Arrays by name that are used again and again, so that blocks of windows ask for no new memory."""
 
     def __call__(self, name: str, shape: tuple[int, ...], dtype: type = np.float32) -> np.ndarray:
-        size = int(np.prod(shape))
-        if name not in self or len(self[name]) < size:
-            self[name] = np.empty(size, dtype)
-        return self[name][:size].reshape(shape)
+        size, held = math.prod(shape), self.get(name)
+        if held is None or len(held) < size:
+            held = self[name] = np.empty(size, dtype)
+        return held[:size].reshape(shape)
 
 
 def _weights(pair: np.ndarray, mask: np.ndarray, last: np.ndarray, ctx: np.ndarray, room: Room) -> tuple[np.ndarray, np.ndarray]:
     """Cells of the table of pairs (n, HALF, SPAN), and attention weights, not yet divided by their sums."""
     shape, dtype = (len(ctx), HALF, SPAN), pair.dtype.type
     cells = np.add((last * CLASSES)[:, :, None], ctx[:, None, :], out=room("cells", shape, np.int64))
-    weight = pair.ravel().take(cells, out=room("weight", shape, dtype), mode="clip")
+    weight = pair.reshape(-1).take(cells, out=room("weight", shape, dtype), mode="clip")
     weight *= mask
     return cells, weight
 
 
-def _tables(net: Network, dtype: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Exponentials of the logits of pairs and of places, masked ones 0, and values with a last column of ones, which sums the weights."""
-    pair = np.exp(_clip(net.query @ net.key.T)).astype(dtype, copy=False)
+def _tables(net: Network, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of the logits of pairs and of places, masked ones 0."""
+    pair = net.query @ net.key.T
+    pair = np.exp(np.clip(pair, -20, 20, out=pair), out=pair).astype(dtype, copy=False)
     pair[:, PAD] = 0
-    mask = (np.exp(_clip(net.place))[_PLACE] * _CAUSAL).astype(dtype, copy=False)
-    values = np.ones((CLASSES, WIDTH + 1), dtype)
-    values[:, :WIDTH] = net.value
-    return pair, mask, values
+    mask = (np.exp(np.clip(net.place, -20, 20))[_PLACE] * _CAUSAL).astype(dtype, copy=False)
+    return pair, mask
 
 
 class Scorer:
@@ -295,7 +292,9 @@ class Scorer:
     """
 
     def __init__(self, net: Network, begin: np.ndarray | None = None):
-        self.pair, self.mask, self.value = _tables(net, np.float32)
+        self.pair, self.mask = _tables(net, np.float32)
+        # A last column of ones sums the weights.
+        self.value = np.column_stack((net.value, np.ones(CLASSES))).astype(np.float32)
         self.own, self.out = (np.ascontiguousarray(x, np.float32) for x in (net.own, net.out))
         begin = np.zeros(CLASSES, bool) if begin is None else begin
         self.sums, self.room = np.column_stack((np.ones(CLASSES), begin)).astype(np.float32), Room()
@@ -305,25 +304,38 @@ class Scorer:
         return self.both(classes, sizes)[0]
 
     def both(self, classes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``__call__``, and the log probability that a word, or the end, begins at each place."""
+        """``__call__``, and the log probability that a word, or the end, begins at each place.
+
+        A window begins at each half, those that reach into the next sequence
+        among them, whose results are not used: so windows are views of values
+        that stand one after another.
+        """
         laid, room = Layout.of(classes, sizes), self.room
-        chance, start = np.empty((2, len(laid.rows), HALF), np.float32)
-        for a in range(0, len(laid.rows), BLOCK):
-            ctx, tgt = laid.block(a, a + BLOCK)
-            last, n = ctx[:, HALF:], len(ctx)
-            _, weight = _weights(self.pair, self.mask, last, ctx, room)
-            value = self.value.take(ctx, axis=0, out=room("value", (n, SPAN, WIDTH + 1)), mode="clip")
+        halves = len(laid.flat) // HALF
+        # What is scored stands one place behind its half.
+        flat = np.append(laid.flat, np.uint8(PAD))
+        chance, start = np.empty((2, halves * HALF), np.float32)
+        for a in range(0, halves - 1, BLOCK):
+            n = min(BLOCK, halves - 1 - a)
+            here = flat[a * HALF : (a + n + 1) * HALF].astype(np.int64)
+            last, tgt = here[HALF:], flat[(a + 1) * HALF + 1 : (a + n + 1) * HALF + 1].astype(np.int64)
+            step = here.itemsize * HALF
+            ctx = as_strided(here, (n, SPAN), (step, here.itemsize), writeable=False)
+            _, weight = _weights(self.pair, self.mask, last.reshape(n, HALF), ctx, room)
+            value = self.value.take(here, axis=0, out=room("value", (len(here), WIDTH + 1)), mode="clip")
+            value = as_strided(value, (n, SPAN, WIDTH + 1), (HALF * value.strides[0], *value.strides), writeable=False)
             seen = np.matmul(weight, value, out=room("seen", (n, HALF, WIDTH + 1))).reshape(-1, WIDTH + 1)
             mean = np.divide(seen[:, :WIDTH], seen[:, WIDTH:] + np.float32(1e-9), out=room("mean", (n * HALF, WIDTH)))
             logits = np.matmul(mean, self.out, out=room("logits", (n * HALF, CLASSES)))
-            logits += self.own.take(last.reshape(-1), axis=0, out=room("own", (n * HALF, CLASSES)), mode="clip")
-            chosen = logits[np.arange(len(logits)), tgt.reshape(-1)]
+            logits += self.own.take(last, axis=0, out=room("own", (n * HALF, CLASSES)), mode="clip")
+            chosen = logits.reshape(-1).take(np.arange(0, n * HALF * CLASSES, CLASSES) + tgt)
             np.exp(logits, out=logits)
             total, first = np.log(logits @ self.sums + np.float32(1e-30)).T
-            chance[a : a + BLOCK] = (chosen - total).reshape(-1, HALF)
-            start[a : a + BLOCK] = (first - total).reshape(-1, HALF)
-        at = laid.spots()
-        return chance.ravel()[at], start.ravel()[at]
+            at = slice(a * HALF, (a + n) * HALF)
+            np.subtract(chosen, total, out=chance[at])
+            np.subtract(first, total, out=start[at])
+        at = laid.places()
+        return chance[at], start[at]
 
 
 def _ordered(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -334,12 +346,18 @@ def _ordered(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, some, (np.cumsum(sizes) - sizes)[some]
 
 
+def _run_sums(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows; neighbours in a row are added as one complex number, in half as many loops."""
+    pairs = rows.view(np.complex64 if rows.dtype == np.float32 else np.complex128)
+    return np.add.reduceat(pairs, starts, axis=0).view(rows.dtype)
+
+
 #: The largest logit in training, so that exponentials stay finite.
 _MOST = 60
 
 
-def _gradients(net: Network, ctx: np.ndarray, tgt: np.ndarray, at: np.ndarray, room: Room | None = None) -> tuple[float, list[np.ndarray]]:
-    """The loss of a batch of windows and its slopes.
+def _gradients(net: Network, ctx: np.ndarray, tgt: np.ndarray, at: np.ndarray, room: Room | None = None, lossless: bool = False) -> tuple[float, list[np.ndarray]]:
+    """The loss of a batch of windows, unless ``lossless``, and its slopes.
 
     The attention's slopes come by pairs of classes. Places are in the order of
     their last class where the next class's law is concerned, so that rows of
@@ -347,42 +365,49 @@ def _gradients(net: Network, ctx: np.ndarray, tgt: np.ndarray, at: np.ndarray, r
     """
     room, dtype, windows = Room() if room is None else room, net.own.dtype.type, len(ctx)
     rows, last = windows * HALF, ctx[:, HALF:]
-    pair, mask, values = _tables(net, dtype)
+    pair, mask = _tables(net, dtype)
     cells, att = _weights(pair, mask, last, ctx, room)
-    v = values.take(ctx, axis=0, out=room("value", (windows, SPAN, WIDTH + 1), dtype), mode="clip")
-    seen = np.matmul(att, v, out=room("seen", (windows, HALF, WIDTH + 1), dtype))
-    total = 1 / (seen[:, :, WIDTH:] + dtype(1e-9))
-    att *= total
-    mean = np.multiply(seen[:, :, :WIDTH], total, out=room("mean", (windows, HALF, WIDTH), dtype)).reshape(rows, WIDTH)
-    order, some, starts = _ordered(last.ravel())
-    mean, valid = mean.take(order, axis=0), at.ravel()[order] >= 0
+    # Weights are divided by their sums where they meet a place's mean and its slope.
+    sums = (1 / (att.reshape(rows, SPAN) @ np.ones(SPAN, dtype) + dtype(1e-9)))[:, None]
+    v = net.value.take(ctx, axis=0, out=room("value", (windows, SPAN, WIDTH), dtype), mode="clip")
+    seen = np.matmul(att, v, out=room("seen", (windows, HALF, WIDTH), dtype)).reshape(rows, WIDTH)
+    seen *= sums
+    last = last.ravel()
+    order, some, starts = _ordered(last)
+    back = room("back", (rows,), np.int64)
+    back[order] = np.arange(rows)
+    mean = seen.take(order, axis=0, out=room("mean", (rows, WIDTH), dtype), mode="clip")
     p = np.matmul(mean, net.out, out=room("p", (rows, CLASSES), dtype))
-    p += net.own.take(last.ravel()[order], axis=0, out=room("own", (rows, CLASSES), dtype), mode="clip")
-    np.minimum(p, _MOST, out=p)
+    p += net.own.take(last.take(order), axis=0, out=room("own", (rows, CLASSES), dtype), mode="clip")
+    # Means lie within their values, so most nets can't have a logit that large.
+    if not np.abs(net.value).max(axis=0) @ np.abs(net.out).max(axis=1) + net.own.max() < _MOST:
+        np.minimum(p, _MOST, out=p)
     np.exp(p, out=p)
     total = 1 / (p @ np.ones(CLASSES, dtype))
-    chosen, share = np.arange(0, rows * CLASSES, CLASSES) + tgt.ravel()[order], valid.astype(dtype)
-    flat, n = p.reshape(-1), max(1, int(valid.sum()))
-    loss = -(np.log(flat[chosen] * total + 1e-12) @ share) / n
-    share /= n
+    chosen, share = np.arange(0, rows * CLASSES, CLASSES) + tgt.ravel().take(order), (at.ravel().take(order) >= 0).astype(dtype)
+    flat, n = p.reshape(-1), max(1, np.count_nonzero(share))
+    loss = math.nan if lossless else -(np.log(flat.take(chosen) * total + dtype(1e-12)) @ share) / n
+    share /= dtype(n)
     p *= (share * total)[:, None]
     flat[chosen] -= share
     d_own = np.zeros((CLASSES, CLASSES), dtype)
-    d_own[some] = np.add.reduceat(p, starts, axis=0)
+    d_own[some] = _run_sums(p, starts)
     slope = np.matmul(p, net.out.T, out=room("slope", (rows, WIDTH), dtype))
-    d_seen, common = room("d_seen", (rows, WIDTH), dtype), room("common", (rows,), dtype)
-    d_seen[order], common[order] = slope, (slope * mean) @ np.ones(WIDTH, dtype)
+    d_out = mean.T @ p
+    d_seen = slope.take(back, axis=0, out=room("d_seen", (rows, WIDTH), dtype), mode="clip")
+    d_seen *= sums
+    common = np.einsum("ij,ij->i", d_seen, seen)
     d_seen = d_seen.reshape(windows, HALF, WIDTH)
-    d_log = np.matmul(d_seen, v[:, :, :WIDTH].transpose(0, 2, 1), out=room("d_log", att.shape, dtype))
+    d_log = np.matmul(d_seen, v.transpose(0, 2, 1), out=room("d_log", att.shape, dtype))
     d_log -= common.reshape(windows, HALF, 1)
     d_log *= att
-    d_pair = np.bincount(cells.ravel(), d_log.ravel(), CLASSES * CLASSES).reshape(CLASSES, CLASSES).astype(dtype)
-    d_place = np.bincount(_PLACE.ravel(), np.ones(windows, dtype) @ d_log.reshape(windows, -1), SPAN).astype(dtype)
+    d_pair = np.bincount(cells.reshape(-1), d_log.reshape(-1), CLASSES * CLASSES).reshape(CLASSES, CLASSES).astype(dtype)
+    d_place = np.bincount(_PLACE.reshape(-1), np.ones(windows, dtype) @ d_log.reshape(windows, -1), SPAN).astype(dtype)
     of_key = np.matmul(att.transpose(0, 2, 1), d_seen, out=room("of_key", (windows, SPAN, WIDTH), dtype)).reshape(-1, WIDTH)
-    order, some, starts = _ordered(ctx.ravel())
+    order, some, starts = _ordered(ctx.reshape(-1))
     d_value = np.zeros((CLASSES, WIDTH), dtype)
-    d_value[some] = np.add.reduceat(of_key.take(order, axis=0), starts, axis=0)
-    return loss, [d_pair @ net.key, d_pair.T @ net.query, d_value, d_place, d_own, mean.T @ p]
+    d_value[some] = _run_sums(of_key.take(order, axis=0, out=room("by_key", of_key.shape, dtype), mode="clip"), starts)
+    return loss, [d_pair @ net.key, d_pair.T @ net.query, d_value, d_place, d_own, d_out]
 
 
 def pair_counts(classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -424,15 +449,20 @@ class Training:
         context, target, spot = windows(classes, sizes)
         order, batch = rng.permutation(len(context)), 64
         net, room, x, y = self.net, Room(), self.first, self.second
+        g, t = np.empty((2, len(x)), x.dtype)
         for a in range(0, len(order), batch):
             some = order[a : a + batch]
-            _, grads = _gradients(net, context[some], target[some], spot[some], room)
-            g = np.concatenate([d.ravel() for d in grads])
+            _, grads = _gradients(net, context.take(some, axis=0), target.take(some, axis=0), spot.take(some, axis=0), room, lossless=True)
+            np.concatenate([d.ravel() for d in grads], out=g)
             self.step += 1
             lr = 0.01 * (1 - (number + a / len(order)) / epochs)
-            x += 0.1 * (g - x)
-            y += 0.01 * (g * g - y)
-            self.weights -= lr / (1 - 0.9**self.step) * x / (np.sqrt(y / (1 - 0.99**self.step)) + 1e-8)
+            # x += 0.1 * (g - x), y += 0.01 * (g * g - y), in place.
+            x += np.multiply(np.subtract(g, x, out=t), 0.1, out=t)
+            np.multiply(g, g, out=t)
+            y += np.multiply(np.subtract(t, y, out=t), 0.01, out=t)
+            np.sqrt(np.divide(y, 1 - 0.99**self.step, out=t), out=t)
+            t += 1e-8
+            self.weights -= np.divide(np.multiply(x, lr / (1 - 0.9**self.step), out=g), t, out=t)
         return len(order)
 
 
@@ -506,37 +536,47 @@ def begin_classes(class_of: np.ndarray, begin: np.ndarray) -> np.ndarray:
 # ---- words to subwords -------------------------------------------------------
 
 
-class Subwords:
-    """Subwords of the words met, kept while they fit."""
+@dataclass
+class Head:
+    """The most frequent words, whose counts and subwords every task gets, so that none encodes them anew."""
+
+    words: list[bytes]
+    counts: np.ndarray
+    flat: np.ndarray  # subword ids, one word after another
+    lengths: np.ndarray
 
-    def __init__(self, path: str = TOKENIZER):
-        self.path = path
-        self.forget()
+    @classmethod
+    def of(cls, counts: dict[bytes, int], path: str = TOKENIZER) -> Head:
+        words, coder = list(counts), Subwords(path)
+        coder.learn(words)
+        return cls(words, np.fromiter(counts.values(), np.int64, len(words)), coder.flat, coder.lengths)
 
-    def forget(self) -> None:
-        self.known = Numbers()
-        self.flat, self.starts, self.lengths = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def add(self, words: list[bytes]) -> None:
-        """Learn new words; the end is an id behind the vocabulary."""
+class Subwords:
+    """Subwords of words: those of the head, and behind them those of the last texts' other words."""
+
+    def __init__(self, path: str = TOKENIZER, head: Head | None = None):
+        self.path, self.head = path, head or Head([], np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64))
+        self.numbers = {w: i for i, w in enumerate(self.head.words)}
+
+    def learn(self, words: list[bytes]) -> None:
+        """Encode words outside the head in place of those learned before; the end is an id behind the vocabulary."""
         plain = [w for w in words if w != END]
         ids, sizes = subwords(plain, self.path)
         if len(plain) < len(words):
             at = words.index(END)
             ids = np.insert(ids, int(sizes[:at].sum()), tokenizer(self.path).n_vocab)
             sizes = np.insert(sizes, at, 1)
-        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(sizes) - sizes))
-        self.lengths = np.concatenate((self.lengths, sizes))
-        self.flat = np.concatenate((self.flat, ids.astype(np.int32)))
+        self.flat = np.concatenate((self.head.flat, ids.astype(np.int32)))
+        self.lengths = np.concatenate((self.head.lengths, sizes))
+        self.starts = np.cumsum(self.lengths) - self.lengths
 
     def words(self, tokens: Tokens) -> np.ndarray:
         """The number of each token's word."""
-        if len(self.known) + len(tokens.distinct) > CACHE_WORDS:
-            self.forget()
-        numbers = np.fromiter(map(self.known.__getitem__, tokens.distinct), np.int64, len(tokens.distinct))
-        if self.known.fresh:
-            self.add(self.known.fresh)
-            self.known.fresh = []
+        numbers = np.fromiter(map(self.numbers.get, tokens.distinct, repeat(-1)), np.int64, len(tokens.distinct))
+        others = np.flatnonzero(numbers < 0)
+        numbers[others] = len(self.numbers) + np.arange(len(others))
+        self.learn([tokens.distinct[i] for i in others.tolist()])
         return numbers[tokens.ids]
 
     def ids(self, words: np.ndarray) -> np.ndarray:
@@ -555,31 +595,31 @@ class Subwords:
 class Coder(Subwords):
     """Subword ids of texts, each text's end being the id behind the vocabulary."""
 
-    def __init__(self, path: str):
-        super().__init__(path)
+    def __init__(self, path: str, head: Head | None = None):
+        super().__init__(path, head)
         self.enc = tokenizer(path)
 
 
 class Words(Subwords):
     """Scores texts; the counts of the words of ``head`` are known here."""
 
-    def __init__(self, model: Model, head: dict[bytes, int], n: int, types: int):
-        self.model, self.floor, self.head = model, -np.log10(n + types + 1), head
+    def __init__(self, model: Model, head: dict[bytes, int] | Head, n: int, types: int):
+        self.model, self.floor = model, -np.log10(n + types + 1)
         self.scorer = Scorer(model.network, begin_classes(model.class_of, begins(model.path)))
         self.class_of = np.append(model.class_of, STOP).astype(np.uint8)
         self.emit = np.append(model.emit, 0.0)
-        super().__init__(model.path)
+        super().__init__(model.path, head if isinstance(head, Head) else Head.of(head, model.path))
 
-    def forget(self) -> None:
-        super().forget()
-        self.counts, self.emitted = np.empty(0, np.int64), np.empty(0)
+        self.head_emitted = self._emitted(self.head.flat, self.head.lengths)
 
-    def add(self, words: list[bytes]) -> None:
-        """Learn new words; a count is -1 for a word outside the head."""
-        done = len(self.starts)
-        super().add(words)
-        self.emitted = np.concatenate((self.emitted, np.add.reduceat(self.emit[self.flat[self.starts[done] :]], self.starts[done:] - self.starts[done])))
-        self.counts = np.concatenate((self.counts, np.fromiter((self.head.get(w, -1) for w in words), np.int64, len(words))))
+    def _emitted(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(self.emit[ids], np.cumsum(sizes) - sizes) if len(sizes) else np.empty(0)
+
+    def learn(self, words: list[bytes]) -> None:
+        """The count of a word outside the head is -1."""
+        super().learn(words)
+        self.emitted = np.concatenate((self.head_emitted, self._emitted(self.flat[len(self.head.flat) :], self.lengths[len(self.head.words) :])))
+        self.counts = np.concatenate((self.head.counts, np.full(len(words), -1)))
 
     def score(self, texts: pa.Array | list[bytes]) -> dict[str, list | np.ndarray]:
         """By text: n_tokens, head_known, head_log; by token: its number among ``distinct``, network, outside (the head) and counts."""
@@ -616,7 +656,7 @@ _BINS = round(MOST_GAP / GAP_BIN)
 _NETWORKED = "row long, learns boolean, n_tokens long, head_known long, head_log double, gaps array<float>, tail array<binary>, nets array<double>, own array<long>, bins array<int>, k array<long>"
 
 
-def _networked(model: Model, head: dict[bytes, int], n: int, types: int):
+def _networked(model: Model, head: Head, n: int, types: int):
     def lists(at: np.ndarray, starts: np.ndarray, *values: pa.Array | np.ndarray) -> list[pa.ListArray]:
         """By text what stands at the tokens ``at``."""
         offsets = pa.array(np.append(np.searchsorted(at, starts), len(at)).astype(np.int32))
@@ -652,7 +692,7 @@ def _networked(model: Model, head: dict[bytes, int], n: int, types: int):
     return run
 
 
-def networked(docs: DataFrame, learns: Column, model: Model, head: dict[bytes, int], n: int, types: int) -> DataFrame:
+def networked(docs: DataFrame, learns: Column, model: Model, head: Head, n: int, types: int) -> DataFrame:
     """What ``docs`` need of the network, stored: all that remains to be known is the share of the word counts.
 
     By row: the gaps between both log probabilities of its words of ``head``;
@@ -668,7 +708,8 @@ def networked(docs: DataFrame, learns: Column, model: Model, head: dict[bytes, i
 def counted_tail(part: DataFrame, counts: DataFrame) -> DataFrame:
     """(row, learns, net, own, c) of each token outside the head, stored; c is null for a word never counted."""
     tail = part.select("row", "learns", F.explode(F.arrays_zip(F.col("tail").alias("word"), F.col("nets").alias("net"), "own")).alias("t")).select("row", "learns", "t.*")
-    return materialize(tail.join(counts, "word", "left").drop("word"), "tail")
+    # Each word has one row in counts, so a partition's table of them is small, and nothing is sorted.
+    return materialize(tail.join(counts.hint("shuffle_hash"), "word", "left").drop("word"), "tail")
 
 
 def _mixed(share: float):
@@ -725,11 +766,11 @@ def subword_counts(counts: DataFrame, path: str = TOKENIZER) -> np.ndarray:
     return _summed(counts.select("word", "c").mapInArrow(run, "cell int, n long"), tokenizer(path).n_vocab) + 1
 
 
-def coded(training: DataFrame, path: str = TOKENIZER) -> DataFrame:
+def coded(training: DataFrame, path: str = TOKENIZER, head: Head | None = None) -> DataFrame:
     """(ids binary): the subword ids of each text, 4 bytes each, its end behind them."""
 
     def run(batches):
-        coder = Coder(path)
+        coder = Coder(path, head)
         for b in batches:
             if b.num_rows:
                 ids, sizes = coder(b.column(0))
@@ -849,10 +890,10 @@ def word_share(part: DataFrame, tail: DataFrame, n: int, types: int) -> float:
     return share
 
 
-def trained(training: DataFrame, counts: DataFrame, rows: int, path: str = TOKENIZER) -> Model:
+def trained(training: DataFrame, counts: DataFrame, rows: int, path: str = TOKENIZER, head: Head | None = None) -> Model:
     """A model whose mixture is not yet set, of the ``rows`` of ``training`` and their ``counts``."""
     count = subword_counts(counts, path)
-    ids = materialize(coded(training, path), "coded")
+    ids = materialize(coded(training, path, head), "coded")
     class_of, emit = subword_classes(count, neighbours(ids, own_classes(count), path), begins(path))
     (start,) = shares(training, rows)
     net = train_attention(start, ids, class_of, class_pairs(ids, class_of, path), path)
@@ -862,8 +903,9 @@ def trained(training: DataFrame, counts: DataFrame, rows: int, path: str = TOKEN
 
 def fit(training: DataFrame, counts: DataFrame, n: int, types: int, rows: int, path: str = TOKENIZER, head: dict[bytes, int] | None = None) -> Model:
     """Learn from the ``rows`` of ``training``, whose ``counts`` are of ``n`` words of so many ``types``."""
-    model = trained(training, counts, rows, path)
-    part = networked(training, F.col("text").isNotNull(), model, head_counts(counts) if head is None else head, n, types)
+    held = Head.of(head_counts(counts) if head is None else head, path)
+    model = trained(training, counts, rows, path, held)
+    part = networked(training, F.col("text").isNotNull(), model, held, n, types)
     model.share = word_share(part, counted_tail(part, counts), n, types)
     return model
 
@@ -879,8 +921,9 @@ def scored(docs: DataFrame, k: int = 7, r: int = 2, head_words: int = HEAD_WORDS
     counts = materialize(word_counts(training), "counts")
     ends = F.sum(F.when(F.col("word") == F.lit(END), F.col("c")))
     n, types, rows = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(ends, F.lit(0))).first()
-    model = trained(training, counts, rows, path)
-    part = networked(docs, learned_from(k, r) & F.col("text").isNotNull(), model, head_counts(counts, head_words), n, types)
+    head = Head.of(head_counts(counts, head_words), path)
+    model = trained(training, counts, rows, path, head)
+    part = networked(docs, learned_from(k, r) & F.col("text").isNotNull(), model, head, n, types)
     tail = counted_tail(part, counts)
     model.share = word_share(part, tail, n, types)
     floor = float(np.log10(n + types + 1))

@@ -478,6 +478,51 @@ def test_lm_slopes_in_single_precision_are_those_in_double():
         assert all(g.dtype == np.float32 and np.allclose(w, g, atol=1e-5) for w, g in zip(want, got, strict=True))
 
 
+def test_lm_words_of_the_head_are_not_encoded_anew(monkeypatch):
+    """Tasks get the subwords of the head's words, and encode only others; ids are those without a head."""
+    texts = [b"the house of the zebra", b"", b"a house x\xc3\xa9\xe2\x80\x93y the", b"the of the"]
+    ids, sizes = lm.Coder(lm.TOKENIZER)(texts)
+    head = lm.Head.of({b"the": 7, lm.END: 4, b"of": 3, b"house": 2})
+    encoded, subwords = [], lm.subwords
+    monkeypatch.setattr(lm, "subwords", lambda words, path: encoded.extend(words) or subwords(words, path))
+    coder = lm.Coder(lm.TOKENIZER, head)
+    for _ in range(2):
+        got, per = coder(texts)
+        assert got.tolist() == ids.tolist() and per.tolist() == sizes.tolist()
+    assert sorted(encoded) == sorted(2 * [b"zebra", b"a", "x\u00e9\u2013y".encode()])
+
+
+def test_lm_scorer_gives_what_its_windows_give():
+    """The scorer's windows are views of all halves; those that reach into the next sequence are not used."""
+    rng = np.random.default_rng(6)
+    sizes = np.array([1, 16, 17, 2500, 31, 32, 33, 1])
+    classes = rng.integers(3, lm.CLASSES, sizes.sum())
+    net = lm.train_network(classes, sizes, epochs=1)
+    ctx, tgt, spot = lm.windows(classes, sizes)
+    pair, mask = lm._tables(net, np.float64)
+    last = ctx[:, lm.HALF :]
+    weight = pair[last[:, :, None], ctx[:, None, :]] * mask
+    logits = (weight @ net.value[ctx]) / weight.sum(axis=2, keepdims=True) @ net.out + net.own[last]
+    law = np.exp(logits) / np.exp(logits).sum(axis=2, keepdims=True)
+    begin, want, starts = rng.random(lm.CLASSES) < 0.3, np.empty(len(classes)), np.empty(len(classes))
+    real = spot >= 0
+    want[spot[real]] = np.log(np.take_along_axis(law, tgt[:, :, None], axis=2)[:, :, 0][real])
+    starts[spot[real]] = np.log(law[:, :, begin].sum(axis=2)[real])
+    got = lm.Scorer(net, begin).both(classes, sizes)
+    assert np.allclose(got[0], want, atol=1e-4) and np.allclose(got[1], starts, atol=1e-4)
+
+
+def test_lm_sums_of_runs_and_large_logits():
+    rng = np.random.default_rng(7)
+    for kind in (np.float32, np.float64):
+        rows, starts = rng.normal(size=(50, 6)).astype(kind), np.array([0, 1, 20, 49])
+        assert np.allclose(lm._run_sums(rows, starts), np.add.reduceat(rows, starts, axis=0), atol=1e-5)
+    classes, sizes = rng.integers(3, lm.CLASSES, 40), np.array([40])
+    net = lm.train_network(classes, sizes, epochs=1)
+    net.own[:] = 500
+    assert np.isfinite(lm._gradients(net, *lm.windows(classes, sizes))[0])
+
+
 def slow_log10(model: lm.Model, words: list[bytes]) -> list[float]:
     """The network's log10 probability of each word, and of the end, one id after another in plain loops."""
     import math
