@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.config import CALIBRATION_BOUNDS, OmrOptions
@@ -72,29 +74,35 @@ def flags(decided: DataFrame, by: str = "sheet_ord") -> DataFrame:
     return decided.where("flag is not null").select(by, "no", F.col("flag").alias("reason"))
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once a row, however often ``f`` names it and wherever the planner puts it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def decide_scans(scans: DataFrame, options: OmrOptions) -> DataFrame:
     """Scans with baseline, answers array<struct<no, response, flag>>, marked and fill_rate; nothing is shuffled.
 
     A failed scan has null answers.
     """
-    fills = F.array_sort(F.transform("samples", lambda s: s["fill"]))
-    n = F.size("_qm_f")
-    middle = (F.get("_qm_f", F.floor((n - 1) / 2).cast("int")) + F.get("_qm_f", F.floor(n / 2).cast("int"))) / 2
-    out = scans.withColumn("_qm_f", fills).withColumn("baseline", F.when(F.col("ok"), middle))
-    numbers = F.array_sort(F.array_distinct(F.transform("samples", lambda s: s["no"])))
-    # Sorted by falling net, then option: the first is the darkest.
-    mine = lambda no: F.array_sort(F.transform(F.filter("samples", lambda s: s["no"] == no), lambda s: F.struct((F.col("baseline") - s["fill"]).alias("m"), s["option_index"].alias("i"), s["option"].alias("o"))))
-    top = F.transform(numbers, lambda no: F.struct(no.alias("no"), F.slice(mine(no), 1, 2).alias("top")))
+    fills = F.sort_array(F.transform("samples", lambda s: s["fill"]))
+    middle = _let(fills, lambda f: (F.get(f, F.floor((F.size(f) - 1) / 2).cast("int")) + F.get(f, F.floor(F.size(f) / 2).cast("int"))) / 2)
+    out = scans.withColumn("baseline", F.when(F.col("ok"), middle))
 
     def answer(x):
-        best, second = F.get(x["top"], F.lit(0)), F.get(x["top"], F.lit(1))
-        net = -best["m"]
-        margin = net + F.coalesce(second["m"], F.lit(0.0))
+        net = -x["m"]
+        margin = net + F.coalesce(x["second"], F.lit(0.0))
         enough = net >= F.lit(options.fill_threshold)
         sure = enough & (margin >= F.lit(options.margin_threshold))
-        return F.struct(x["no"].alias("no"), F.when(sure, best["o"]).alias("response"), F.when(~sure, F.when(enough, "ganda").otherwise("kosong")).alias("flag"))
+        return F.struct(x["no"].alias("no"), F.when(sure, x["o"]).alias("response"), F.when(~sure, F.when(enough, "ganda").otherwise("kosong")).alias("flag"))
+
+    def answers(ranked):
+        # By item, then by falling net, then option: what stands first of an item is its darkest.
+        first = F.filter(F.transform(ranked, lambda x, i: F.struct(x["no"].alias("no"), x["m"].alias("m"), x["o"].alias("o"), i.alias("at"))), lambda x: ~F.get(ranked, x["at"] - 1)["no"].eqNullSafe(x["no"]))
+        after = lambda x: F.get(ranked, x["at"] + 1)
+        return F.transform(first, lambda x: answer({"no": x["no"], "m": x["m"], "o": x["o"], "second": F.when(after(x)["no"] == x["no"], after(x)["m"])}))
 
-    out = out.withColumn("answers", F.when(F.col("ok"), F.transform(top, answer))).drop("_qm_f")
+    by_item = lambda base: F.sort_array(F.transform("samples", lambda s: F.struct(s["no"].alias("no"), (base - s["fill"]).alias("m"), s["option_index"].alias("i"), s["option"].alias("o"))))
+    out = out.withColumn("answers", F.when(F.col("ok"), _let(F.col("baseline"), lambda base: _let(by_item(base), answers))))
     marked = F.when(F.col("ok"), F.size(F.filter("answers", lambda a: a["response"].isNotNull())))
     return out.withColumn("marked", marked).withColumn("fill_rate", F.try_divide(F.col("marked"), F.size("answers")))
 

@@ -268,6 +268,20 @@ def test_nested_and_long_decisions_agree(spark, folder):
     assert sorted(map(str, nested.collect())) == sorted(map(str, long.collect())) and nested.count() == 30
 
 
+def test_decisions_are_made_once_a_page_when_answers_are_exploded(spark):
+    """The filter that explode adds used to carry the sorting of all bubbles into every bubble's lambda."""
+    bubble = "named_struct('no', {}, 'option', '{}', 'option_index', {}, 'column', 0, 'row', 0, 'x_mm', 0D, 'y_mm', 0D, 'x', 0D, 'y', 0D, 'radius', 1D, 'fill', {}D)"
+    fills = {1: (0.1, 0.7), 3: (0.1, 0.1), 2: (0.6, 0.6), 7: (0.2,)}
+    samples = ", ".join(bubble.format(no, "AB"[i], i, f) for no, of in fills.items() for i, f in reversed(list(enumerate(of))))
+    scans = spark.sql(f"select 'x' as sheet_id, true as ok, array({samples}) as samples union all select 'y', false, null")
+    decided = decisions.decide_scans(scans, OmrOptions())
+    # The baseline is 0.2.
+    assert [tuple(a) for a in decided.where("ok").first().answers] == [(1, "B", None), (2, None, "ganda"), (3, None, "kosong"), (7, None, "kosong")]
+    one = decided.select("sheet_id", F.explode("answers").alias("a"))
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert one.count() == 4 and 0 < plan.count(".fill, lambda") <= 3, plan.count(".fill, lambda")
+
+
 def test_two_marks_are_flagged(spark):
     rows = [(1, 1, 0, "A", 0.6), (1, 1, 1, "B", 0.55), (1, 2, 0, "A", 0.1), (1, 2, 1, "B", 0.1), (1, 3, 0, "A", 0.7), (1, 3, 1, "B", 0.1), (1, 4, 0, "A", 0.1), (1, 4, 1, "B", 0.1)]
     samples = spark.createDataFrame(rows, "sheet_ord long, no int, option_index int, option string, fill double")
