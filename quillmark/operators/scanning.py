@@ -7,10 +7,14 @@ darkness of every bubble; decisions are columns (see ``decisions``).
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +22,10 @@ from quillmark import schemas
 from quillmark.config import Layout, OmrOptions
 from quillmark.operators import imaging as im
 
-#: Images that one task reads, a second or so each ten.
-IMAGES_PER_TASK = 32
+#: Images that one task reads, a second or so each sixty.
+IMAGES_PER_TASK = 128
+#: Read pages that leave a task in one batch.
+ROWS = 64
 
 #: What a failed page says.
 NO_MARKS = "corner marks not found"
@@ -31,8 +37,9 @@ NO_IMAGE = "image is not available"
 BAD_IMAGE = "image could not be decoded"
 
 
+@lru_cache(maxsize=64)
 def page_centers(layout: Layout, page: int = 0) -> dict[str, np.ndarray]:
-    """Bubbles of one page as arrays: no, option_index, column, row, x_mm, y_mm."""
+    """Bubbles of one page as arrays, shared and not to be changed: no, option_index, column, row, x_mm, y_mm."""
     per_page = layout.columns * layout.rows_per_column
     start = page * per_page
     count = max(0, min(per_page, layout.num_questions - start))
@@ -54,15 +61,27 @@ def mark_centers(layout: Layout) -> np.ndarray:
     return np.array([(inset, inset), (right, inset), (right, bottom), (inset, bottom)])
 
 
-def _turned(mask: np.ndarray, found: dict[str, np.ndarray], layout: Layout, c: dict[str, np.ndarray]):
+def _measured(mask: np.ndarray, found: dict[str, np.ndarray], layout: Layout, c: dict[str, np.ndarray]) -> Callable[[np.ndarray], tuple[np.ndarray | None, float]]:
+    """Of four marks: the plane they span and the ink on its printed rings, once for each four."""
+    marks, at, known = mark_centers(layout), np.column_stack((found["cx"], found["cy"])), {}
+
+    def measure(quad: np.ndarray) -> tuple[np.ndarray | None, float]:
+        if (key := tuple(quad.tolist())) not in known:
+            hom = im.homography(marks, at[quad])
+            known[key] = hom, -np.inf if hom is None else im.ring_density(mask, hom, c["x_mm"], c["y_mm"], layout.bubble_diameter_mm / 2)
+        return known[key]
+
+    return measure
+
+
+def _turned(mask: np.ndarray, layout: Layout, measure: Callable):
     """Chooser of the orientation whose bubbles stand on printed rings, the head of the page having more ink than its foot."""
     m, w, h = layout.margin_mm, layout.page_width_mm, layout.page_height_mm
 
     def evidence(quad: np.ndarray) -> float:
-        hom = im.homography(mark_centers(layout), np.column_stack((found["cx"], found["cy"]))[quad])
+        hom, ring = measure(quad)
         if hom is None:
             return -np.inf
-        ring = im.ring_density(mask, hom, c["x_mm"], c["y_mm"], layout.bubble_diameter_mm / 2)
         head = im.band_density(mask, hom, m, m, w - m, layout.grid_top_mm - 4)
         return 2 * ring + head - im.band_density(mask, hom, m, h - m - layout.footer_mm, w - m, h - m)
 
@@ -74,19 +93,30 @@ def _turned(mask: np.ndarray, found: dict[str, np.ndarray], layout: Layout, c: d
 
 def read_page(grey: np.ndarray, layout: Layout, page: int = 0, options: OmrOptions = OmrOptions()) -> dict:
     """Fields of a scan row (see schemas.SCAN) without its keys."""
+    row = _read(grey, layout, page, options)
+    if row["samples"] is not None:
+        values = {k: v.tolist() for k, v in row["samples"].items()}
+        values["option"] = [layout.option_set[i] for i in values["option_index"]]
+        row["samples"] = [dict(zip(_BUBBLE, s, strict=True)) for s in zip(*(values[k] for k in _BUBBLE), strict=True)]
+    return row
+
+
+def _read(grey: np.ndarray, layout: Layout, page: int, options: OmrOptions) -> dict:
+    """``read_page`` with arrays of all samples, without their option."""
     mask, level = im.dark_mask(grey, options.local_window_divisor, options.local_bias)
     c = page_centers(layout, page)
     out = {"ok": False, "error": None, "threshold": level, "alignment": None, "homography": None, "samples": None}
-    found = quad = None
+    found = quad = measure = None
     for factor in im.STRICTNESS:
         found = im.components(im.mark_mask(grey, level, factor))
-        quad = im.corner_marks(found, grey.shape, layout.page_width_mm / layout.page_height_mm, _turned(mask, found, layout, c))
+        measure = _measured(mask, found, layout, c)
+        quad = im.corner_marks(found, grey.shape, layout.page_width_mm / layout.page_height_mm, _turned(mask, layout, measure))
         if quad is not None:
             break
     if quad is None:
         return out | {"error": NO_MARKS}
     marks = mark_centers(layout)
-    hom = im.homography(marks, np.column_stack((found["cx"], found["cy"]))[quad])
+    hom, alignment = measure(quad)
     if hom is None:
         return out | {"error": NO_PLANE}
     if not len(c["no"]):
@@ -97,7 +127,6 @@ def read_page(grey: np.ndarray, layout: Layout, page: int = 0, options: OmrOptio
         ratio = np.sqrt(found["area"][quad]) / np.hypot(ex - x, ey - y)
     if np.count_nonzero((ratio >= 0.55) & (ratio <= 1.8)) < 3:
         return out | {"error": WRONG_SIZE}
-    alignment = im.ring_density(mask, hom, c["x_mm"], c["y_mm"], layout.bubble_diameter_mm / 2)
     if alignment < 0.12:
         return out | {"error": MISALIGNED, "alignment": alignment}
     radius = layout.bubble_diameter_mm * options.sample_radius_factor
@@ -105,11 +134,8 @@ def read_page(grey: np.ndarray, layout: Layout, page: int = 0, options: OmrOptio
     (ax, ay), (bx, by) = im.project(hom, c["x_mm"] + radius, c["y_mm"]), im.project(hom, c["x_mm"], c["y_mm"] + radius)
     r = (np.hypot(ax - x, ay - y) + np.hypot(bx - x, by - y)) / 2
     ok = np.isfinite(x) & np.isfinite(r)
-    fill = im.disc_shares(mask, x[ok], y[ok], r[ok])
-    samples = [
-        {"no": int(n), "option": layout.option_set[int(o)], "option_index": int(o), "column": int(col), "row": int(row), "x_mm": float(xm), "y_mm": float(ym), "x": float(px), "y": float(py), "radius": float(pr), "fill": float(f)}
-        for n, o, col, row, xm, ym, px, py, pr, f in zip(*(c[k][ok] for k in ("no", "option_index", "column", "row", "x_mm", "y_mm")), x[ok], y[ok], r[ok], fill, strict=True)
-    ]
+    samples = {k: c[k][ok] for k in ("no", "option_index", "column", "row", "x_mm", "y_mm")}
+    samples |= {"x": x[ok], "y": y[ok], "radius": r[ok], "fill": im.disc_shares(mask, x[ok], y[ok], r[ok])}
     return out | {"ok": True, "alignment": alignment, "homography": hom.tolist(), "samples": samples}
 
 
@@ -130,6 +156,8 @@ def pixels_of(height: int, width: int, channels: int, data: bytes) -> np.ndarray
     a = np.frombuffer(data, np.uint8).reshape(height, width, channels)
     if channels == 1:
         return a[:, :, 0]
+    if channels == 3:
+        return im.grey_of(a, im.LUMA[::-1])
     rgb = a[:, :, 2::-1]
     if channels == 4:
         alpha = a[:, :, 3:4] / 255.0
@@ -154,29 +182,76 @@ def scanned(images: DataFrame, layout: Layout, options: OmrOptions = OmrOptions(
     leaves it.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in source(batches) if source else batches:
-            for s in pdf.itertuples(index=False):
-                page = 0 if pd.isna(s.page_index) else int(s.page_index)
-                row = {"ok": False, "error": None, "threshold": None, "alignment": None, "homography": None, "samples": None}
-                if s.data is None or pd.isna(s.height):
-                    row["error"] = NO_IMAGE
-                elif s.height < 1 or s.width < 1:
-                    row["error"] = BAD_IMAGE
-                else:
-                    try:
-                        grey = pixels_of(int(s.height), int(s.width), int(s.n_channels), s.data)
-                    except (ValueError, TypeError, IndexError) as e:  # bytes that are no such image: a failed row, not a failed job
-                        row["error"] = f"{BAD_IMAGE}: {type(e).__name__}"
-                    else:
-                        row = read_page(im.shrink(grey, options.max_dim), layout, page, options)
-                out = pd.DataFrame([{"sheet_id": s.sheet_id, "page_index": page} | row], columns=schemas.SCAN.fieldNames())
-                yield out.astype({"page_index": "int32"}).assign(threshold=out["threshold"].astype("Int32"))
+    def read(sheet_id, page_index, height, width, channels, data) -> tuple:
+        page = 0 if pd.isna(page_index) else int(page_index)
+        row = {"ok": False, "error": None, "threshold": None, "alignment": None, "homography": None, "samples": None}
+        # A missing number is no number, whichever of Arrow and pandas brings it.
+        height, width, channels = (np.nan if v is None else v for v in (height, width, channels))
+        if data is None or pd.isna(height):
+            row["error"] = NO_IMAGE
+        elif height < 1 or width < 1:
+            row["error"] = BAD_IMAGE
+        else:
+            try:
+                grey = pixels_of(int(height), int(width), int(channels), data)
+            except (ValueError, TypeError, IndexError) as e:  # bytes that are no such image: a failed row, not a failed job
+                row["error"] = f"{BAD_IMAGE}: {type(e).__name__}"
+            else:
+                row = _read(im.shrink(grey, options.max_dim), layout, page, options)
+        return sheet_id, page, row
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _keep_memory()
+        rows = []
+        for columns in (([f[c] for c in _IMAGE] for f in source(b.to_pandas() for b in batches)) if source else map(_columns, batches)):
+            for image in zip(*columns, strict=True):
+                rows.append(read(*image))
+                if len(rows) == ROWS:
+                    yield _scans(rows, layout)
+                    rows = []
+        if rows:
+            yield _scans(rows, layout)
 
     if source:
-        return images.mapInPandas(run, schemas.SCAN)
+        return images.mapInArrow(run, schemas.SCAN)
     cols = [F.col("sheet_id").cast("string"), F.col("page_index").cast("int"), "height", "width", F.col("n_channels"), "data"]
-    return images.select(*cols).mapInPandas(run, schemas.SCAN)
+    return images.select(*cols).mapInArrow(run, schemas.SCAN)
+
+
+@lru_cache(maxsize=1)
+def _keep_memory() -> None:
+    """The worker keeps the megabytes that each page takes and frees, 128 at most, instead of getting them from the system for every page."""
+    with contextlib.suppress(OSError, AttributeError):  # a C library without these settings
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 128 << 20)  # M_TRIM_THRESHOLD
+
+
+_IMAGE = ("sheet_id", "page_index", "height", "width", "n_channels", "data")
+_BUBBLE = schemas.BUBBLE.fieldNames()
+_KINDS = {"no": pa.int32(), "option_index": pa.int32(), "column": pa.int32(), "row": pa.int32()}
+
+
+def _columns(batch: pa.RecordBatch) -> list[list]:
+    """Values of a batch of images, the bytes where they are."""
+    columns = [c.to_pylist() for c in batch.columns[:-1]]
+    return [*columns, [v.as_buffer() if v.is_valid else None for v in batch.column(len(columns))]]
+
+
+def _scans(rows: list[tuple], layout: Layout) -> pa.RecordBatch:
+    """Rows (sheet_id, page_index, what ``_read`` gives) as a batch of schemas.SCAN."""
+    read = [r for _, _, r in rows]
+    of = [r["samples"] for r in read]
+    none = pa.array([s is None for s in of])
+    ends = np.cumsum([0, *(0 if s is None else len(s["no"]) for s in of)]).astype(np.int32)
+    held = [s for s in of if s is not None]
+    join = lambda k: np.concatenate([s[k] for s in held]) if held else np.zeros(0)
+    bubbles = {k: pa.array(join(k)).cast(_KINDS.get(k, pa.float64())) for k in _BUBBLE if k != "option"}
+    bubbles["option"] = pa.array(list(layout.option_set), pa.string()).take(bubbles["option_index"])
+    samples = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([bubbles[k] for k in _BUBBLE], _BUBBLE), mask=none)
+    plain = {"ok": pa.bool_(), "error": pa.string(), "threshold": pa.int32(), "alignment": pa.float64(), "homography": pa.list_(pa.float64())}
+    keys = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32())]
+    return pa.RecordBatch.from_arrays([*keys, *(pa.array([r[k] for r in read], t) for k, t in plain.items()), samples], names=schemas.SCAN.fieldNames())
 
 
 def samples_of(scans: DataFrame) -> DataFrame:

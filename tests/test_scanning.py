@@ -342,3 +342,61 @@ def test_pages_are_drawn_and_read_in_one_task(spark):
     one = scanning.scanned(s, layout, source=drawing.drawer(layout))
     assert one._jdf.queryExecution().toString().count("MapInPandas") < two._jdf.queryExecution().toString().count("MapInPandas")
     assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+
+
+def test_kernels_skip_what_is_white_or_plain_and_change_nothing():
+    rng = np.random.default_rng(6)
+    for h, w in ((1, 9), (33, 41), (40, 64)):
+        colours = np.full((h, w, 3), 255, np.uint8)
+        inked = rng.random((h, w)) < 0.1
+        colours[inked] = rng.integers(0, 256, (inked.sum(), 3))
+        plain = np.rint(colours.astype(float) @ [114.0, 587.0, 299.0] / 1000)
+        assert (scanning.pixels_of(h, w, 3, colours.tobytes()) == plain).all()
+        assert (im.grey_of(colours, im.LUMA) == im.to_grey(colours.astype(float))).all()
+        grey = plain.astype(np.uint8)
+        n = np.bincount(grey.ravel(), minlength=256).astype(float)
+        low, all_ = np.cumsum(n), n.sum()
+        mean = np.cumsum(n * np.arange(256))
+        between = [a * (all_ - a) * (s / a - (mean[-1] - s) / (all_ - a)) ** 2 if 0 < a < all_ else 0 for a, s in zip(low, mean, strict=True)]
+        assert im.otsu(grey) == (int(np.argmax(between)) if max(between) > 0 else 128)
+        mask = np.pad(inked, 1)
+        plus = lambda m: [m[1:-1, 1:-1], m[:-2, 1:-1], m[2:, 1:-1], m[1:-1, :-2], m[1:-1, 2:]]
+        dense = np.pad(rng.random((h, w)) < 0.8, 1)[1:-1, 1:-1]
+        eroded, out = np.zeros_like(dense), np.zeros_like(dense)
+        if min(h, w) > 2:
+            eroded[1:-1, 1:-1] = np.logical_and.reduce(plus(dense))
+            out[1:-1, 1:-1] = np.logical_or.reduce(plus(eroded))
+        assert (im.opened(dense) == out).all()
+        for flat in (mask.ravel(), dense.ravel(), dense.ravel()[:5]):
+            assert (im._set(flat) == np.flatnonzero(flat)).all()
+    thousandths = np.arange(255_001)
+    assert (np.rint(thousandths.astype(np.float32) / 1000) == np.rint(thousandths / 1000)).all()
+
+
+def test_read_pages_leave_a_task_together():
+    """Each page used to leave as a table of its own, made of 150 dictionaries."""
+    import pyarrow as pa
+
+    class Frame:
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    layout = Layout.of({"num_questions": 12, "columns": 1, "rows_per_column": 12})
+    run = scanning.scanned(Frame(), layout, source=drawing.drawer(layout))
+    sheets = [(str(i), list("ABCDE"[i % 3 :] + "ABCDEABCDE")[:12]) for i in range(5)]
+    batch = pa.RecordBatch.from_arrays([pa.array([s for s, _ in sheets]), pa.array([a for _, a in sheets])], names=["sheet_id", "answers"])
+    out = list(run(iter([batch, batch])))
+    assert [b.num_rows for b in out] == [10]
+    rows = out[0].to_pylist()
+    for (sheet_id, answers), row in zip(sheets * 2, rows, strict=True):
+        crossed = frozenset(range(2, 13, 3))
+        want = scanning.read_page(drawing.draw_page(layout, dict(enumerate(answers, 1)), crossed), layout)
+        assert row == want | {"sheet_id": sheet_id, "page_index": 0}
+
+
+def test_images_with_missing_numbers_are_failed_rows(spark):
+    rows = [("a", None, 2, None, 1, b"1234"), ("b", 0, 2, 2, None, b"1234"), ("c", 0, None, 2, 1, b"1234"), ("d", 1, 2, 2, 1, None), ("e", 0, 2, 2, 1, b"123"), ("f", 0, 0, 2, 1, b""), (None, 0, 2, 2, 1, b"1234")]
+    images = spark.createDataFrame(rows, "sheet_id string, page_index int, height int, width int, n_channels int, data binary")
+    got = {r.sheet_id: (r.page_index, r.ok, r.error, r.samples) for r in scanning.scanned(images, LAYOUTS["L30"]).collect()}
+    bad = f"{scanning.BAD_IMAGE}: ValueError"
+    assert got == {"a": (0, False, bad, None), "b": (0, False, bad, None), "c": (0, False, scanning.NO_IMAGE, None), "d": (1, False, scanning.NO_IMAGE, None), "e": (0, False, bad, None), "f": (0, False, scanning.BAD_IMAGE, None), None: (0, False, scanning.NO_MARKS, None)}
